@@ -1,0 +1,8 @@
+"""Training-data operators: dedup, extraction, scoring, mixing, tokenizing and scanning of text corpora."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel by value, so executors need no installed copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
