@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .minhash_dedup import op4_minhash_dedup
 from .substring_dedup import op1_substring_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup,)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_minhash_dedup)}
 
 
 def oracles() -> dict[str, str]:
