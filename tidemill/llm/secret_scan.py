@@ -1,0 +1,163 @@
+"""Secret scans in DataFrame functions only: three base patterns, and entropy spans that add to them.
+
+Base kinds, leftmost and non-overlapping per kind, in code points with exclusive ends: `assign` (a credential name, a
+separator and a value of 6 or more characters), `access` (AKIA and 16 or more capitals or digits) and `hex` (24 or more
+lower-case hex digits). Positions come from the lengths of the matches and of the text between them.
+
+Added kind `entropy`: candidates are runs of 20 or more letters, digits and + / _ -. Windows of 20 characters slide over
+a candidate; the counts of its characters change by one entering and one leaving character a step, and with them the sum
+of c*log2(c), so each step costs a constant. A candidate is a secret if some window's Shannon entropy reaches the limit
+of its character class (hex digits, one case with digits, mixed), holds a letter and a digit, lies outside the base spans,
+and is not on the allow-list of well-known harmless values.
+
+Edge cases: null and empty texts have no spans (counts 0, hash of the empty text, spans ''). Rows are independent of each
+other: equal rows give equal results, nulls in other columns do not matter, an empty table gives an empty result. The
+query reads id and text only; redact() keeps all columns.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import documents
+
+KINDS = ("assign", "access", "hex", "entropy")
+
+
+def either_case(words: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+ASSIGN = "(" + either_case("password|passwd|secret|token|api_?key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = "AKIA[A-Z0-9]{16,}"
+HEX = "[0-9a-f]{24,}"
+CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
+WINDOW = 20
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+#: Bits in a window of 20 characters: hex digits, one case with digits, mixed.
+LIMITS = (3.2, 3.5, 3.7)
+#: Digests of the empty text, nil and sample identifiers, key placeholders of public manuals.
+ALLOWED = "d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855|00000000-0000-0000-0000-000000000000|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|0123456789|abcdefghij|ABCDEFGHIJ"
+MARK = "[SECRET]"
+
+
+def _quoted(pattern: str) -> str:
+    return "r'" + pattern.replace("'", r"\x27") + "'"
+
+
+def _found(pattern: str, kind: int, keep: str) -> Column:
+    """array<struct<start, kind, end>> of the matches for which keep holds; keep sees m (match) and v (its last group)."""
+    group = 2 if kind == 0 else 0
+    p = _quoted(pattern)
+    return F.expr(f"""
+        case when text rlike {p} then
+          filter(
+            aggregate(
+              arrays_zip(slice(split(text, {p}, -1), 1, size(regexp_extract_all(text, {p}, 0))), regexp_extract_all(text, {p}, 0), regexp_extract_all(text, {p}, {group})),
+              named_struct('at', 0, 'out', cast(array() as array<struct<start:int,kind:int,end:int,m:string,v:string>>)),
+              (s, x) -> named_struct(
+                'at', s.at + length(x.`0`) + length(x.`1`),
+                'out', concat(s.out, array(named_struct('start', s.at + length(x.`0`), 'kind', {kind}, 'end', s.at + length(x.`0`) + length(x.`1`), 'm', x.`1`, 'v', x.`2`)))),
+              s -> s.out),
+            x -> {keep})
+        else cast(array() as array<struct<start:int,kind:int,end:int,m:string,v:string>>) end""")
+
+
+def _entropy(text: str) -> str:
+    """The largest Shannon entropy of a window, from counts that each step changes by one in and one out."""
+    code = f"locate(substring({text}, %s, 1), '{ALPHABET}') - 1"
+    term = "case when {c} > 1 then {c} * log2({c}) else 0D end"
+    now, less = f"s.counts[{code % 'i'}]", f"s.counts[{code % f'i - {WINDOW}'}]"
+    same = f"substring({text}, i, 1) = substring({text}, i - {WINDOW}, 1)"
+    step_in = f"{term.format(c=f'cast({now} + 1 as double)')} - {term.format(c=f'cast({now} as double)')}"
+    step_out = f"{term.format(c=f'cast({less} - 1 as double)')} - {term.format(c=f'cast({less} as double)')}"
+    change = f"case when i <= {WINDOW} then {step_in} when {same} then 0D else {step_in} + {step_out} end"
+    counts = f"transform(s.counts, (c, k) -> c + case when k = {code % 'i'} then 1 else 0 end - case when i > {WINDOW} and k = {code % f'i - {WINDOW}'} then 1 else 0 end)"
+    return f"""aggregate(
+        sequence(1, length({text})),
+        named_struct('counts', array_repeat(0, {len(ALPHABET)}), 'sum', 0D, 'best', 0D),
+        (s, i) -> named_struct(
+          'counts', {counts},
+          'sum', s.sum + {change},
+          'best', case when i < {WINDOW} then 0D else greatest(s.best, log2({WINDOW}D) - (s.sum + {change}) / {WINDOW}D) end),
+        s -> round(s.best, 6))"""
+
+
+def with_spans(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with the columns base and spans: arrays of (start, kind, end), sorted; kind indexes KINDS. Drops no column."""
+    own = df.columns
+    if {"base", "spans", "candidates"} & set(own) or text != "text":
+        raise ValueError("the text column is text, and base, spans and candidates are made here")
+    df = df.withColumn("text", F.coalesce("text", F.lit("")))
+    slim = "x -> struct(x.start, x.kind, x.end)"
+    df = df.withColumn("base", F.array_sort(F.concat(_found(ASSIGN, 0, "length(x.v) >= 6"), _found(ACCESS, 1, "length(x.m) >= 20"), _found(HEX, 2, "true"))))
+    df = df.withColumn("base", F.expr(f"transform(base, {slim})"))
+    lone = "not exists(base, b -> b.start < x.end and x.start < b.end)"
+    allowed = f"not (x.m rlike '{ALLOWED}')"
+    limit = f"case when x.m rlike '^[0-9a-f]+$' then {LIMITS[0]}D when x.m rlike '^([0-9a-z]+|[0-9A-Z]+)$' then {LIMITS[1]}D else {LIMITS[2]}D end"
+    keep = f"{lone} and x.m rlike '[0-9]' and x.m rlike '[A-Za-z]' and {allowed}"
+    df = df.withColumn("candidates", _found(CANDIDATE, 3, keep))
+    high = F.expr(f"transform(filter(candidates, x -> {_entropy('x.m')} >= {limit}), {slim})")
+    return df.withColumn("spans", F.array_sort(F.concat("base", high))).drop("candidates")
+
+
+def _joined(spans: str) -> Column:
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    return F.expr(f"array_join(transform({spans}, x -> concat(array({names})[x.kind], ':', x.start, ':', x.end)), ',')")
+
+
+def redact(df: DataFrame) -> DataFrame:
+    """df with every secret of its text column replaced by a mark; overlapping spans become one mark. Null texts stay."""
+    own = df.columns
+    work = with_spans(df.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(own)], F.col("text").alias("text")))
+    clean = F.expr(f"""
+        aggregate(spans, named_struct('at', 0, 'out', ''),
+          (s, x) -> named_struct(
+            'at', greatest(s.at, x.end),
+            'out', case when x.start < s.at then s.out else concat(s.out, substring(text, s.at + 1, x.start - s.at), '{MARK}') end),
+          s -> concat(s.out, substring(text, s.at + 1)))""")
+    return work.select(*[F.when(F.col(f"_{i}").isNotNull(), clean).alias(c) if c == "text" else F.col(f"_{i}").alias(c) for i, c in enumerate(own)])
+
+
+def secret_scan(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row of docs."""
+    df = with_spans(docs.select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as bigint)").alias(f"n_{KINDS[k]}") for k in range(3)]
+    return df.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(documents(spark, sf_dir))
+
+
+def oracle() -> str:
+    """The same in DuckDB, entropy taken window by window."""
+
+    def q(pattern: str) -> str:
+        return "'" + pattern.replace("'", r"\x27") + "'"
+
+    def spans(kind: int, pattern: str, group: int, keep: str) -> str:
+        p = q(pattern)
+        return f"""
+        select row, text, {kind} as kind, m, s as start, s + length(m) as "end" from (
+          select row, text, m, v, cast(sum(length(g)) over w + coalesce(sum(length(m)) over (partition by row order by k rows between unbounded preceding and 1 preceding), 0) as bigint) as s
+          from (select row, text, unnest(regexp_split_to_array(text, {p})[:len(regexp_extract_all(text, {p}))]) as g, unnest(regexp_extract_all(text, {p})) as m, unnest(regexp_extract_all(text, {p}, {group})) as v, unnest(range(len(regexp_extract_all(text, {p})))) as k from d where regexp_matches(text, {p}))
+          window w as (partition by row order by k rows between unbounded preceding and current row)
+        ) where {keep}"""
+
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    show = f"""concat([{names}][kind + 1], ':', start, ':', "end")"""
+    return f"""
+    with d as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+    base as ({spans(0, ASSIGN, 2, "length(v) >= 6")} union all {spans(1, ACCESS, 0, "true")} union all {spans(2, HEX, 0, "true")}),
+    cand as ({spans(3, CANDIDATE, 0, f"regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') and not regexp_matches(m, '{ALLOWED}')")}),
+    high as (
+      select row, text, kind, m, start, "end" from cand c
+      where not exists (select 1 from base b where b.row = c.row and b.start < c."end" and c.start < b."end")
+        and round(list_max(list_transform(range(1, length(m) - {WINDOW} + 2), lambda i: list_aggregate(string_split(substr(m, i, {WINDOW}), ''), 'entropy'))), 6)
+            >= case when regexp_matches(m, '^[0-9a-f]+$') then {LIMITS[0]} when regexp_matches(m, '^([0-9a-z]+|[0-9A-Z]+)$') then {LIMITS[1]} else {LIMITS[2]} end),
+    b as (select row, count(*) filter (kind = 0) as n0, count(*) filter (kind = 1) as n1, count(*) filter (kind = 2) as n2, string_agg({show}, ',' order by start, kind) as said from base group by row),
+    a as (select row, string_agg({show}, ',' order by start, kind) as said from (select * from base union all select * from high) group by row)
+    select d.doc_id, coalesce(n0, 0) as n_assign, coalesce(n1, 0) as n_access, coalesce(n2, 0) as n_hex, sha256(coalesce(b.said, '')) as base_sha256, coalesce(a.said, '') as spans
+    from d left join b using (row) left join a using (row)"""
