@@ -142,6 +142,13 @@ def _joined(first: int, held: list[bytes]) -> tuple[int, bytes, np.ndarray]:
     return first, b"\n".join(held), offsets
 
 
+def small(batches: Iterable[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches, so that few texts at a time exist as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def records(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 

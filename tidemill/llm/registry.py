@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from . import secret_scan
 from .minhash_dedup import op4_minhash_dedup
+from .secret_scan import op10_secret_scan
 from .substring_dedup import op1_substring_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_minhash_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_minhash_dedup, op10_secret_scan)}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op10_secret_scan": secret_scan.oracle()}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_hashes, cut, documents, gram_hashes, key_filter, mix64, passes, pieces, records, word_bounds, word_runs
+from .common import byte_hashes, cut, documents, gram_hashes, key_filter, mix64, passes, pieces, records, small, word_bounds, word_runs
 
 WINDOW = 35
 
@@ -65,7 +65,7 @@ def _anchors(blob: bytes, offsets: np.ndarray, window: int):
 
 def _emit_anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for _, blob, offsets in pieces(batch["text"].to_pylist()):
                 if (found := _anchors(blob, offsets, window)) is not None:
                     yield records(_ANCHORS, [found[0], found[1]])
@@ -75,7 +75,7 @@ def _emit_anchors(window: int):
 
 def _emit_pieces(window: int, shared, mixed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keys = batch["row_key"].to_numpy()
             for first, blob, offsets in pieces(batch["text"].to_pylist()):
                 if (found := _anchors(blob, offsets, window)) is None:
@@ -184,7 +184,7 @@ def _remove(window: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[], [], [], []]
             spans = batch["spans"].to_pylist() if "spans" in batch.schema.names else [None] * batch.num_rows
             for text, found in zip(batch["text"].to_pylist(), spans, strict=True):
