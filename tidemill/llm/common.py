@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: A word: a run of bytes other than blank and the five ASCII controls 9 to 13. bytes.split() cuts exactly there.
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 FILTER_BITS = 26
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -74,7 +74,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 1 << 20)
+            n = max(n, 1 << 19)
             steps = np.full(n, self.base, np.uint64)
             steps[0] = 1
             back = np.full(n, self.inverse, np.uint64)

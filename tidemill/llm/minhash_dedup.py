@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_hashes, cut, documents, gram_hashes, key_filter, mix64, passes, pieces, records, shuffle_width, word_bounds
+from .common import byte_hashes, cut, documents, gram_hashes, key_filter, mix64, passes, pieces, records, shuffle_width, small, word_bounds
 from .components import connected_components
 
 SHINGLE, THRESHOLD = 3, (85, 100)
@@ -76,34 +76,30 @@ def _sign(shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scatter, shifts = _permutations()
-        for batch in batches:
-            ids = batch["doc_id"].to_pylist()
-            for at in range(0, len(ids), 1000):
-                n, classes, signatures = [], [], []
-                for hashes in shingle_sets(batch["text"].slice(at, 1000).to_pylist(), shingle):
-                    n.append(len(hashes))
-                    classes.append(_set_hash(hashes) if len(hashes) else None)
-                    places = scatter[(hashes & np.uint64(UNIVERSE - 1)).astype(np.int64)]
-                    low = np.full(BANDS * ROWS, UNIVERSE, np.uint32)
-                    for k in range(0, len(places), 4096):
-                        low = np.minimum(low, shifts[places[k : k + 4096]].min(axis=0))
-                    signatures.append(low)
-                keys = mix64((np.array(signatures, np.uint64).reshape(len(n), BANDS, ROWS) * odd.reshape(BANDS, ROWS)).sum(axis=2, dtype=np.uint64))
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
-                yield records(_SIGNED, [ids[at : at + 1000], n, classes, bands])
+        for batch in small(batches):
+            n, classes, signatures = [], [], []
+            for hashes in shingle_sets(batch["text"].to_pylist(), shingle):
+                n.append(len(hashes))
+                classes.append(_set_hash(hashes) if len(hashes) else None)
+                places = scatter[(hashes & np.uint64(UNIVERSE - 1)).astype(np.int64)]
+                low = np.full(BANDS * ROWS, UNIVERSE, np.uint32)
+                for k in range(0, len(places), 1024):
+                    low = np.minimum(low, shifts[places[k : k + 1024]].min(axis=0))
+                signatures.append(low)
+            keys = mix64((np.array(signatures, np.uint64).reshape(len(n), BANDS, ROWS) * odd.reshape(BANDS, ROWS)).sum(axis=2, dtype=np.uint64))
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
+            yield records(_SIGNED, [batch["doc_id"], n, classes, bands])
 
     return run
 
 
 def _wanted_sets(shingle: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch["text"].to_pylist()
-            for at in range(0, len(texts), 1000):
-                sets = [(_set_hash(h), h) for h in shingle_sets(texts[at : at + 1000], shingle) if len(h)]
-                if sets:
-                    keep = passes(wanted.value, np.array([k for k, _ in sets], np.int64))
-                    yield records(_SETS, [[k for (k, _), x in zip(sets, keep, strict=True) if x], [h.tobytes() for (_, h), x in zip(sets, keep, strict=True) if x]])
+        for batch in small(batches):
+            sets = [(_set_hash(h), h) for h in shingle_sets(batch["text"].to_pylist(), shingle) if len(h)]
+            if sets:
+                keep = passes(wanted.value, np.array([k for k, _ in sets], np.int64))
+                yield records(_SETS, [[k for (k, _), x in zip(sets, keep, strict=True) if x], [h.tobytes() for (_, h), x in zip(sets, keep, strict=True) if x]])
 
     return run
 
@@ -114,7 +110,7 @@ def _similar(common, na, nb):
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for a, b, x, y in zip(*(batch[c].to_pylist() for c in ("a", "b", "of_a", "of_b")), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -149,7 +145,7 @@ def _confirm_block(held: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
 def _confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block; a block has about twice BLOCK members at most."""
     now, held = None, []
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for block, name, label, shingles in zip(*(batch[c].to_pylist() for c in ("block", "class", "component", "shingles")), strict=True):
             if block != now:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import secret_scan
+from . import mixing, secret_scan
+from .fingerprint import op7_fingerprint
+from .language_id import op6_language_id
+from .media_store import op9_media_columns
 from .minhash_dedup import op4_minhash_dedup
+from .mixing import op5_mixing
 from .secret_scan import op10_secret_scan
 from .substring_dedup import op1_substring_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_minhash_dedup, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_minhash_dedup, op5_mixing, op6_language_id, op7_fingerprint, op9_media_columns, op10_secret_scan)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op10_secret_scan": secret_scan.oracle()}
+    return {"op5_mixing": mixing.oracle(), "op10_secret_scan": secret_scan.oracle()}
