@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 from . import mixing, secret_scan
+from .brown_lm import op3_lm_score
 from .fingerprint import op7_fingerprint
+from .html_extract import op2_html_extract
 from .language_id import op6_language_id
 from .media_store import op9_media_columns
 from .minhash_dedup import op4_minhash_dedup
 from .mixing import op5_mixing
 from .secret_scan import op10_secret_scan
+from .sentencepiece_codec import op8_sentencepiece
 from .substring_dedup import op1_substring_dedup
 
+OPERATORS = (op1_substring_dedup, op2_html_extract, op3_lm_score, op4_minhash_dedup, op5_mixing, op6_language_id, op7_fingerprint, op8_sentencepiece, op9_media_columns, op10_secret_scan)
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_minhash_dedup, op5_mixing, op6_language_id, op7_fingerprint, op9_media_columns, op10_secret_scan)}
+    import corpus_pipeline
+
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
-    return {"op5_mixing": mixing.oracle(), "op10_secret_scan": secret_scan.oracle()}
+    import corpus_pipeline
+
+    known = {"op5_mixing": mixing.oracle(), "op10_secret_scan": secret_scan.oracle()}
+    return known | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
