@@ -9,6 +9,9 @@ columns are carried along.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +26,29 @@ from tidemill.llm.sentencepiece_codec import decode, encode
 LEAST_SCORE = 0.3
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def shielded(stage: Callable) -> Callable:
+    """Gives further columns names of no meaning while a stage runs, so none can clash with what it makes."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        hidden = {c: f"_further_{k}" for k, c in enumerate(docs.columns) if c not in OWN}
+        out = stage(spark, docs.withColumnsRenamed(hidden), sf_dir)
+        return out.withColumnsRenamed({v: k for k, v in hidden.items()})
+
+    return run_stage
+
+
+@shielded
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language the filters know; und and undecided ones go. A missing lang is filled in."""
     found = identify(docs, fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "score")
 
 
+@shielded
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of every group of near copies, one row of it; documents without words are no copies."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
@@ -36,12 +56,14 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return chosen.dropDuplicates(["doc_id", "text"])
 
 
+@shielded
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps all documents and replaces every secret in their texts by a mark; n_chars follows the text."""
     out = redact(docs)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
+@shielded
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and drops documents so that sources come near their target words; rows lie in shards in shuffled order."""
     mixed = mix(docs)

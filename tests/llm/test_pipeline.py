@@ -7,7 +7,8 @@ from .test_minhash_dedup import brute as groups
 from .test_secret_scan import brute as secrets
 
 
-def test_stages_one_by_one(spark, sf):
+def test_stages_one_by_one(spark):
+    sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").cache()
     rows = {r.doc_id: r for r in docs.collect()}
     lang = p.language_stage(spark, docs, sf)
@@ -45,11 +46,12 @@ def test_stages_one_by_one(spark, sf):
 
 
 def test_edges(spark):
-    kinds = "doc_id long, text string, lang string, source string, n_chars long, ids string, base string"
-    rows = [(1, None, None, None, None, "a", "b"), (2, "", "en", "s", 0, None, None), (3, "word " * 50, "en", "s", 250, "x", "y"), (3, "word " * 50, "en", "s", 250, "x", "y"), (4, "wort und " * 40, "de", None, 5, None, None), (None, "mots et " * 30, None, "t", 1, None, None)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, ids string, base string, score int, mix_n int, spans int, _id int"
+    rows = [(1, None, None, None, None, "a", "b", 1, 2, 3, 4), (2, "", "en", "s", 0, None, None, None, None, None, None), (3, "word " * 50, "en", "s", 250, "x", "y", 1, 2, 3, 4), (3, "word " * 50, "en", "s", 250, "x", "y", 1, 2, 3, 4), (4, "wort und " * 40, "de", None, 5, None, None, None, None, None, None), (None, "mots et " * 30, None, "t", 1, None, None, None, None, None, None)]
     docs = spark.createDataFrame(rows, kinds)
     for table in (docs, docs.limit(0)):
-        for _, stage in p.STAGES:
-            table = stage(spark, table, "").cache()
+        for name, stage in p.STAGES:
+            table = (out := stage(spark, table, "")).cache()
+            assert name == "sentencepiece" or out.columns == docs.columns
         assert all(r.exact for r in table.collect())
     assert len(p.STAGES) == 5
