@@ -20,7 +20,15 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD_BASE = np.uint64(0xD1342543DE82EF95)
 
 
+def lean(spark: SparkSession) -> None:
+    """Short Arrow batches for this session: rows hold whole texts, and a batch exists several times at once."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 500:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -42,6 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends there and survives lost executors."""
     spark = df.sparkSession
+    lean(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import byte_hashes, records, small, word_bounds
+from .common import byte_hashes, lean, records, small, word_bounds
 
 PATH, WORDS, MEASURES, HIDDEN = 512, 16, 8, 16
 PAGES, EPOCHS, BATCH, RATE, SEED = 1500, 10, 20, 0.01, 11
@@ -409,6 +409,7 @@ def main_texts(w: dict[str, np.ndarray], pages: list[str]) -> list[str]:
 
 def extract(pages: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
+    lean(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(weights or train())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
