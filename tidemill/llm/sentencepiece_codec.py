@@ -122,8 +122,8 @@ def _to_bytes(v: Vocabulary, codes: np.ndarray) -> list[int]:
     return out
 
 
-def encode_segments(v: Vocabulary, segments: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Ids and score of each segment, all solved in step."""
+def encode_segments(v: Vocabulary, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all segments in a row, how many of each segment, and each one's score; all are solved in step."""
     sizes = np.array([len(s) for s in segments])
     order = np.argsort(-sizes, kind="stable")
     code = _codes("".join(segments))
@@ -142,8 +142,7 @@ def encode_segments(v: Vocabulary, segments: list[str]) -> tuple[list[np.ndarray
             better = value > top
             top[better], by[better] = value[better], n
         best[node[live] + e], back[node[live] + e] = top, by
-    at, live, tokens = sizes.copy(), np.flatnonzero(sizes > 0), [[] for _ in segments]
-    steps = []
+    at, live, steps = sizes.copy(), np.flatnonzero(sizes > 0), []
     while len(live):
         n = back[node[live] + at[live]]
         at[live] -= n
@@ -151,30 +150,61 @@ def encode_segments(v: Vocabulary, segments: list[str]) -> tuple[list[np.ndarray
         found = piece[start, n - 1].astype(np.int64)
         steps.append((live, np.where(found >= 0, found, -1 - code[start].astype(np.int64))))
         live = live[at[live] > 0]
-    owner = np.concatenate([s[0] for s in steps]) if steps else np.zeros(0, np.int64)
-    token = np.concatenate([s[1] for s in steps]) if steps else np.zeros(0, np.int64)
-    turned = np.arange(len(owner))[::-1]
-    by_owner = turned[np.argsort(owner[turned], kind="stable")]
-    token, ends = token[by_owner], np.cumsum(np.bincount(owner, minlength=len(segments)))
-    tokens = np.split(token, ends[:-1]) if len(segments) else []
-    for k in np.unique(np.repeat(np.arange(len(segments)), np.diff(np.concatenate(([0], ends))))[token < 0]).tolist():
-        tokens[k] = np.array([i for t in tokens[k].tolist() for i in ([t] if t >= 0 else _to_bytes(v, np.array([-1 - t])))], np.int64)
-    return tokens, best[node + sizes]
+    owner = np.concatenate([s[0] for s in steps[::-1]]) if steps else np.zeros(0, np.int64)
+    token = np.concatenate([s[1] for s in steps[::-1]]) if steps else np.zeros(0, np.int64)
+    by_owner = np.argsort(owner, kind="stable")
+    owner, token = owner[by_owner], token[by_owner]
+    bare = np.flatnonzero(token < 0)
+    if len(bare):
+        as_bytes = {t: _to_bytes(v, np.array([-1 - t])) for t in set(token[bare].tolist())}
+        lists = [as_bytes[t] for t in token[bare].tolist()]
+        copies = np.ones(len(token), np.int64)
+        copies[bare] = [len(x) for x in lists]
+        owner, wide = np.repeat(owner, copies), np.repeat(token, copies)
+        wide[wide < 0] = [b for x in lists for b in x]
+        token = wide
+    return token, np.bincount(owner, minlength=len(segments)), best[node + sizes]
+
+
+class Encoder:
+    """Encodes whole texts and keeps the ids of the segments it has solved, up to `most` of them."""
+
+    def __init__(self, v: Vocabulary, most: int = 500_000):
+        self.v, self.most, self.find = v, most, re.compile(v.segment).findall
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.length = 0
+
+    def __call__(self, escaped: list[str]) -> list[np.ndarray]:
+        if len(self.known) > self.most:
+            self.forget()
+        known, before = self.known, len(self.known)
+        places = []
+        for t in escaped:
+            words = self.find(t)
+            for s in set(words).difference(known):
+                known[s] = len(known)
+            places.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+        if len(known) > before:
+            solved, n, _ = encode_segments(self.v, list(known)[before:])
+            self.starts.append(self.length + np.cumsum(n) - n)
+            self.sizes.append(n)
+            self.flat.append(solved.astype(np.int32))
+            self.length += int(n.sum())
+            self.flat, self.starts, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.starts)], [np.concatenate(self.sizes)]
+        flat, starts, sizes = self.flat[0], self.starts[0], self.sizes[0]
+        out = []
+        for p in places:
+            n = sizes[p]
+            out.append(flat[np.repeat(starts[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        return out
 
 
 def encode_texts(v: Vocabulary, escaped: list[str]) -> list[np.ndarray]:
-    """Ids of whole escaped texts; every distinct segment is solved once."""
-    find = re.compile(v.segment).findall
-    known: dict[str, int] = {}
-    places = [np.array([known.setdefault(s, len(known)) for s in find(t)], np.int64) for t in escaped]
-    solved, _ = encode_segments(v, list(known)) if known else ([], None)
-    sizes = np.array([len(s) for s in solved], np.int64)
-    flat, starts = (np.concatenate(solved) if solved else np.zeros(0, np.int64)), np.concatenate(([0], np.cumsum(sizes)))
-    out = []
-    for p in places:
-        n = sizes[p]
-        out.append(flat[np.repeat(starts[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-    return out
+    return Encoder(v)(escaped)
 
 
 def decode_ids(v: Vocabulary, ids) -> str:
@@ -220,7 +250,7 @@ def transfer(v: Vocabulary, text: str, n: int) -> np.ndarray:
     head = before[0]
     starts = list(range(min(width, len(head) + 1)))
     best, _, _ = _forward(v, _codes(head), len(head), starts)
-    middle = float(encode_segments(v, before[1:])[1].sum()) if before[1:] else 0.0
+    middle = float(encode_segments(v, before[1:])[2].sum()) if before[1:] else 0.0
     tail, _, _ = _forward(v, _codes(last), size, [0])
     out[: len(starts), :reach] = best[len(head)][:, None] + middle + tail[size : size + reach, 0][None, :]
     return np.maximum(out, LOW)
@@ -261,7 +291,7 @@ def backtrace(v: Vocabulary, text: str, n: int, enter: int, leave: int) -> np.nd
     before, last, size = _split(v, text, n)
     if not before:
         return np.array(_trace(v, last, size, enter, leave), np.int64)
-    middle = encode_segments(v, before[1:])[0] if before[1:] else []
+    middle = encode_segments(v, before[1:])[:1] if before[1:] else ()
     return np.concatenate([np.array(_trace(v, before[0], len(before[0]), enter, 0), np.int64), *middle, np.array(_trace(v, last, size, 0, leave), np.int64)])
 
 
@@ -284,8 +314,9 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value)
         for batch in small(batches):
-            ids = encode_texts(shared.value, [SPACE + escape(t) if t else "" for t in batch["text"].to_pylist()])
+            ids = encoder([SPACE + escape(t) if t else "" for t in batch["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
 
     ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
