@@ -43,8 +43,8 @@ _BASE = np.uint64(0xC6A4A7935BD1E995)
 
 
 class Vocabulary(NamedTuple):
-    lookup: Lookup
-    ids: np.ndarray
+    lookup: Lookup  # of all beginnings of pieces
+    ids: np.ndarray  # of each beginning, -1 where it is no piece
     scores: np.ndarray
     unknown: float
     bytes_: list[int]
@@ -76,10 +76,8 @@ def load(path: str = MODEL) -> Vocabulary:
     normal = [(p.piece, k, p.score) for k, p in enumerate(model.pieces) if p.type in (1, 4)]
     if any(SPACE in p.lstrip(SPACE) for p, _, _ in normal):
         raise ValueError("pieces that hold a blank inside are not supported")
-    keys = []
-    for p, _, _ in normal:
-        sums, _ = _hashes(_codes(p))
-        keys.append(int(mix64(sums[-1:] + np.uint64(len(p)))[0]))
+    prefixes = {p[:n]: (-1, LOW) for p, _, _ in normal for n in range(1, len(p))} | {p: (k, x) for p, k, x in normal}
+    keys = np.concatenate([mix64(_hashes(_codes(p))[0][-1:] + np.uint64(len(p))) for p in prefixes])
     of_byte = {p.piece: k for k, p in enumerate(model.pieces) if p.type == 6}
     texts = [b""] * len(model.pieces)
     for p, k, _ in normal:
@@ -88,9 +86,9 @@ def load(path: str = MODEL) -> Vocabulary:
         texts[of_byte[f"<0x{b:02X}>"]] = bytes([b])
     used = {c for p, _, _ in normal if len(p) > 1 for c in p}
     alone = "".join(c for c in ALONE if c not in used)
-    scores = np.array([s for _, _, s in normal])
+    low = min(x for _, _, x in normal)
     segment = f"[{alone}]|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" if alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
-    return Vocabulary(Lookup(np.array(keys, np.uint64)), np.array([k for _, k, _ in normal]), scores, float(scores.min() - 10), [of_byte[f"<0x{b:02X}>"] for b in range(256)], max(len(p) for p, _, _ in normal), texts, segment)
+    return Vocabulary(Lookup(keys), np.array([k for k, _ in prefixes.values()], np.int32), np.array([x for _, x in prefixes.values()]), low - 10, [of_byte[f"<0x{b:02X}>"] for b in range(256)], max(len(p) for p, _, _ in normal), texts, segment)
 
 
 def escape(text: str) -> str:
@@ -102,14 +100,14 @@ def _edges(v: Vocabulary, code: np.ndarray, room: np.ndarray) -> tuple[np.ndarra
     sums, down = _hashes(code)
     piece = np.full((len(code), v.longest), -1, np.int32)
     score = np.full((len(code), v.longest), LOW)
+    at = np.arange(len(code))  # starts whose characters so far begin some piece
     for n in range(1, v.longest + 1):
-        at = np.flatnonzero(room >= n)
+        at = at[room[at] >= n]
         if not len(at):
             break
         found = v.lookup(mix64((sums[at + n] - sums[at]) * down[at] + np.uint64(n)))
-        hit = found >= 0
-        piece[at[hit], n - 1] = v.ids[found[hit]]
-        score[at[hit], n - 1] = v.scores[found[hit]]
+        at, found = at[found >= 0], found[found >= 0]
+        piece[at, n - 1], score[at, n - 1] = v.ids[found], v.scores[found]
     lone = piece[:, 0] < 0
     score[lone, 0] = v.unknown
     return piece, score
