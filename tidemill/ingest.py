@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,8 +35,6 @@ def full_refresh(made: DataFrame, path: str) -> DataFrame:
 
 def embed(made: DataFrame, embedder: Callable[[list[str]], list[list[float]]], width: int, batch: int = 16) -> DataFrame:
     """made with embedding from a callable that takes up to batch texts; another width than promised is an error."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
         out = []
