@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,24 +83,34 @@ def _gram_list(text: str) -> list[str]:
 def word_similarity_of(query: str, text: str) -> float:
     """The largest similarity of the query's trigram set and any stretch of the text's trigram list.
 
-    A best stretch starts and ends at a shared trigram; a start is given up when even all shared ones could not beat the
-    best so far.
+    A best stretch starts at a shared trigram. A trigram is new in a stretch if it last occurred before the stretch, so
+    running sums give the similarities of all stretches from many starts at once; a start is done when even all shared
+    trigrams could not beat the best so far.
     """
-    wanted = set(_gram_list(query))
-    grams = _gram_list(text)
-    hits = [i for i, g in enumerate(grams) if g in wanted]
-    best = 0.0
-    for k, start in enumerate(hits):
-        seen, shared = set(), 0
-        for i in range(start, hits[-1] + 1):
-            if grams[i] not in seen:
-                seen.add(grams[i])
-                shared += grams[i] in wanted
-            if len(wanted) / max(len(seen), len(wanted)) <= best:
-                break
-            best = max(best, shared / (len(wanted) + len(seen) - shared))
-        if best == 1 or k and (len(hits) - k) / len(wanted) <= best:
-            break
+    wanted, grams = set(_gram_list(query)), _gram_list(text)
+    hit = np.fromiter((g in wanted for g in grams), bool, len(grams))
+    starts, size = np.flatnonzero(hit), len(wanted)
+    if not len(starts):
+        return 0.0
+    seen: dict[str, int] = {}
+    before = np.empty(len(grams), np.int64)
+    for i, g in enumerate(grams):
+        before[i] = seen.get(g, -1)
+        seen[g] = i
+    best, width = 0.0, min(4 * size, len(grams))
+    while len(starts):
+        before = np.append(before[: len(grams)], np.full(width, len(grams)))  # beyond the end nothing is new
+        wide = np.append(hit[: len(grams)], np.zeros(width, bool))
+        left = []
+        for k in range(0, len(starts), max(1, (1 << 18) // width)):
+            part = starts[k : k + max(1, (1 << 18) // width)]
+            at = part[:, None] + np.arange(width)
+            new = before[at] < part[:, None]
+            distinct, shared = new.cumsum(axis=1), (new & wide[at]).cumsum(axis=1)
+            best = max(best, float((shared / (size + distinct - shared)).max()))
+            left.append(part[(distinct[:, -1] * best < size) & (part + width < len(grams))])
+        starts = np.concatenate(left)
+        width = min(2 * width, len(grams))
     return best
 
 
