@@ -1,6 +1,9 @@
 import hashlib
+import random
 from collections import Counter
 
+import pytest
+from tidemill.llm import substring_dedup as substring_dedup_module
 from tidemill.llm.substring_dedup import SuffixAutomaton, op1_substring_dedup, substring_dedup
 
 
@@ -39,8 +42,9 @@ def test_edges(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_near_copies(spark):
-    import random
+@pytest.mark.parametrize("shard", [512, 8])
+def test_near_copies(spark, monkeypatch, shard):
+    monkeypatch.setattr(substring_dedup_module, "SHARD", shard)
 
     rng = random.Random(7)
     base = [f"w{rng.randrange(5000)}" for _ in range(300)]

@@ -6,7 +6,9 @@ anchor: of every run of `window` words the smallest hash among its inner runs of
 equal anchors, so all starts of a run meet in the shard of its anchor. There a suffix automaton of the shard's distinct
 pieces, with weighted occurrence counts, gives each piece its matching statistics: a run of full length whose state
 counts two or more starts is repeated. Pieces that occur twice as a whole need no automaton. Bounded Bloom filters of the
-shared anchors keep all other pieces from being shuffled; they are sieves only, exact joins follow.
+shared anchors keep all other pieces from being shuffled; they are sieves only, exact joins follow. An anchor with more
+than 512 distinct pieces makes no shard, as that could outgrow a task: its pieces fall apart into their single runs, whose
+starts Spark sums up by content.
 
 Edge cases: a null or empty text has no words (n_words 0, hash of the empty text). Texts shorter than the window keep all
 words. Equal rows, and rows with an equal id, each count as texts of their own: a row that appears twice repeats itself.
@@ -23,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_hashes, cut, documents, gram_hashes, key_filter, mix64, passes, pieces, records, small, word_bounds, word_runs
+from .common import byte_hashes, cut, documents, gram_hashes, key_filter, mix64, passes, pieces, records, shuffle_width, small, word_bounds, word_runs
 
 WINDOW = 35
+#: Distinct pieces of one anchor that still make one shard.
+SHARD = 512
 
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("piece", pa.int64())])
 _PIECES = pa.schema([("anchor", pa.int64()), ("piece", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
@@ -180,6 +184,24 @@ def _shard(window: int):
     return run
 
 
+def _runs(window: int):
+    """The single runs of pieces: piece, offset in it, hash of the run's words."""
+    schema = pa.schema([("anchor", pa.int64()), ("piece", pa.int64()), ("weight", pa.int64()), ("bit", pa.int64()), ("run", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            out: list[list] = [[] for _ in schema.names]
+            for anchor, piece, weight, words in zip(*(batch[c].to_pylist() for c in ("anchor", "piece", "weight", "words")), strict=True):
+                data = np.frombuffer(words, np.uint8)
+                hashes = gram_hashes(byte_hashes(data, *word_bounds(data)), window).view(np.int64)
+                n = len(hashes)
+                for column, values in zip(out, ([anchor] * n, [piece] * n, [weight] * n, [1 << k for k in range(n)], hashes.tolist()), strict=True):
+                    column += values
+            yield records(schema, out)
+
+    return run
+
+
 def _remove(window: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
@@ -221,14 +243,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     weights = found.groupBy("anchor", "piece").agg(F.count("*").alias("weight"), F.min("n").alias("n"))
     whole = weights.where("weight > 1").select("anchor", "piece", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     distinct = found.where("words is not null").groupBy("anchor", "piece").agg(F.count("*").alias("weight"), F.first("words").alias("words"))
-    parts = distinct.repartition(shuffle_parts(spark), "anchor").sortWithinPartitions("anchor").mapInArrow(_shard(window), _MASKS)
+    large = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(f"n > {SHARD}").select("anchor", F.lit(True).alias("large"))
+    sized = cut(distinct.join(large, "anchor", "left"), "shards")
+    shards = sized.where("large is null").select("anchor", "piece", "weight", "words").repartition(shuffle_width(spark), "anchor")
+    parts = shards.sortWithinPartitions("anchor").mapInArrow(_shard(window), _MASKS)
+    runs = sized.where("large").select("anchor", "piece", "weight", "words").mapInArrow(_runs(window), "anchor long, piece long, weight long, bit long, run long")
+    often = runs.groupBy("anchor", "run").agg(F.sum("weight").alias("starts")).where("starts > 1")
+    single = runs.where("weight = 1").join(often, ["anchor", "run"], "left_semi").groupBy("anchor", "piece").agg(F.bit_or("bit").alias("mask"))
+    parts = parts.unionByName(single)
     return found.select("anchor", "piece", "row_key", "start").join(whole.unionByName(parts), ["anchor", "piece"]).groupBy("row_key").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space) of every row of docs."""
     spark = docs.sparkSession
