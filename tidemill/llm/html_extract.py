@@ -244,6 +244,7 @@ _NAMES = {
     "notice": ["notice", "cookie-notice", "cookie-banner", "alert", "consent", "message", "popup", "modal", "gdpr", "warning"], "ad": ["ad", "ads", "advert", "advertisement", "promo", "sponsored", "sponsor", "ad-slot", "banner-ad"], "form": ["form", "search-form", "newsletter", "login", "subscribe", "signup", "contact-form"], "comments": ["comments", "comment-list", "comment", "discussion", "responses", "disqus", "replies", "user-comments"],
     "main": ["content", "main", "post", "entry", "entry-content", "article", "article-body", "story", "post-content", "text", "body", "main-content", "post-body", "page-content"], "plain": ["container", "wrap", "row", "col", "inner", "page", "box", "layout", "grid", "outer", "site", "section"],
 }
+_ROLES = {"nav": "navigation", "header": "banner", "footer": "contentinfo", "sidebar": "complementary", "notice": "alert", "form": "search", "main": "main"}
 _TAGS = {"nav": ["nav", "div", "ul"], "header": ["header", "header", "div"], "footer": ["footer", "footer", "div"], "sidebar": ["aside", "aside", "div", "section"], "notice": ["div", "section", "aside", "p", "dialog"], "ad": ["div", "div", "aside", "section", "ins"], "form": ["form"], "comments": ["section", "div", "ul", "ol"]}
 
 
@@ -280,6 +281,8 @@ class PageMaker:
 
     def attr(self, kind: str) -> str:
         name, r = self.r.choice(_NAMES[kind]), self.r.random()
+        if kind in _ROLES and self.r.random() < 0.07:
+            return f' role="{_ROLES[kind]}"'
         if r < 0.55:
             return f' class="{name}"' if self.r.random() < 0.7 else f' class="{self.word()} {name}"'
         return f' id="{name}"' if r < 0.75 else f" class='{name} {self.word()}' id=\"{self.word()}\"" if r < 0.85 else f' class="{name}-{self.word()}"'
@@ -287,7 +290,8 @@ class PageMaker:
     def main(self) -> str:
         out = []
         if self.r.random() < 0.8:
-            out.append(f"<h1>{MARK}{self.words(2, 10)}</h1>")
+            title = f"<h1>{MARK}{self.words(2, 10)}</h1>"
+            out.append(f"<header>{title}</header>" if self.r.random() < 0.12 else title)
         for _ in range(self.r.choice((1, 2, 3, 4, 6, 9, 14))):
             r = self.r.random()
             if r < 0.78:
@@ -341,10 +345,11 @@ class PageMaker:
         body += [self.junk(k) for k in order]
         tag = r.choice(("article", "article", "article", "main", "div", "div", "section", "td"))
         attr = self.attr("main") if tag in ("div", "section", "td") or r.random() < 0.3 else ""
-        main = f"<{tag}{attr}>{self.main()}</{tag}>"
-        if tag == "td":
+        bare = r.random() < 0.07
+        main = self.main() if bare else f"<{tag}{attr}>{self.main()}</{tag}>"
+        if tag == "td" and not bare:
             main = f"<table><tr>{main}</tr></table>"
-        for _ in range(r.choice((0, 0, 1, 2))):
+        for _ in range(0 if bare else r.choice((0, 0, 1, 2))):
             main = f"<{(w := r.choice(('div', 'main', 'section')))}{self.attr('plain') if w != 'main' else ''}>{main}</{w}>"
         body.append(main)
         if r.random() < 0.3:
