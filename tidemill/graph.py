@@ -1,7 +1,7 @@
 """Graph operators: entity resolution, one- and two-hop neighbours, degree ranking and conditional scans.
 
-All are builders of DataFrames; none starts a job. Anchors and terms are literals or small frames of the caller, the edge
-table is scanned once for each hop and never collected. Edges without a node at their end are left out by the joins.
+Builders of DataFrames; only neighbors() runs a job, which stops at the first row, to see whether one hop is enough.
+Anchors and terms are literals or small frames of the caller; edges are never collected. Edges without a node at their end are left out by the joins.
 """
 
 from __future__ import annotations
@@ -64,11 +64,11 @@ def hop(e: DataFrame, anchor: str, relation: str | None, edge_filter: dict | Non
     return near.groupBy("dst").agg(*summary(), F.lit(None).cast("string").alias("via"))
 
 
-def two_hops(n: DataFrame, e: DataFrame, anchor: str, relation: str | None, edge_filter: dict | None = None) -> DataFrame:
+def two_hops(n: DataFrame, e: DataFrame, anchor: str, relation: str | None, edge_filter: dict | None = None, near: DataFrame | None = None) -> DataFrame:
     """dst at two hops: the middle by any relation but events, the last step by the given one. The first middle node, in
-    the order of its edges, that leads to a node gives its edges and `via`."""
+    the order of its edges, that leads to a node gives its edges and `via`. near: the edges at the anchor, where known."""
     adj = adjacency(e).where(edge_passes(edge_filter))
-    mids = adj.where((F.col("src") == anchor) & relation_passes(None, False)).groupBy("dst").agg(F.min("ord").alias("mid_ord"))
+    mids = adjacency(e if near is None else near).where(edge_passes(edge_filter)).where((F.col("src") == anchor) & relation_passes(None, False)).groupBy("dst").agg(F.min("ord").alias("mid_ord"))
     named = mids.join(n.select(F.col("id").alias("dst"), F.col("name").alias("via")), "dst").withColumnRenamed("dst", "src")
     far = adj.where(relation_passes(relation, False)).join(named, "src").where(F.col("dst") != anchor)
     paths = far.groupBy("dst", "src", "via", "mid_ord").agg(*summary())
@@ -76,21 +76,15 @@ def two_hops(n: DataFrame, e: DataFrame, anchor: str, relation: str | None, edge
     return paths.withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first", "src").withColumn("first", F.col("first")).drop("mid_ord")
 
 
-def shaped(found: DataFrame, n: DataFrame, target_type: str | None, node_filter: dict | None, top_k: int) -> DataFrame:
-    """Selected nodes in the order of links, name and first sight, cut to top_k, with the size of the whole answer."""
-    keep = n.where((F.col("type") == target_type if target_type else F.lit(True)) & node_passes(node_filter))
-    rows = found.join(keep.select(F.col("id").alias("dst"), "type", "name"), "dst")
-    return rows.orderBy(F.desc("link_count"), "name", "first", "dst").limit(clamp(top_k)).select("dst", "type", "name", "relation", "direction", "via", "link_count", "contract_amount", "contract_status", "top_priority", "issue_count").withColumnRenamed("dst", "id")
+def neighbors(n: DataFrame, e: DataFrame, anchor: str, relation: str | None = None, target_type: str | None = None, node_filter: dict | None = None, edge_filter: dict | None = None, top_k: int = DEFAULT, near: DataFrame | None = None) -> DataFrame:
+    """Nodes at one hop; where that gives none of a wanted type, at two. In the order of links, name and first sight.
 
-
-def neighbors(n: DataFrame, e: DataFrame, anchor: str, relation: str | None = None, target_type: str | None = None, node_filter: dict | None = None, edge_filter: dict | None = None, top_k: int = DEFAULT) -> DataFrame:
-    """One hop; where that gives nothing of a wanted type, two. Both are one plan: two-hop rows fall to one-hop ones."""
-    one = hop(e, anchor, relation, edge_filter).withColumn("hops", F.lit(1))
-    both = one if target_type is None else one.unionByName(two_hops(n, e, anchor, relation, edge_filter).withColumn("hops", F.lit(2)))
-    keep = n.where((F.col("type") == target_type if target_type else F.lit(True)) & node_passes(node_filter))
-    rows = both.join(keep.select(F.col("id").alias("dst"), "type", "name"), "dst")
-    least = rows.agg(F.min("hops").alias("least"))
-    rows = rows.join(F.broadcast(least), F.col("hops") == F.col("least")).drop("least")  # one row
+    near: the edges at the anchor, if the caller can read them alone; e must hold all edges.
+    """
+    keep = n.where((F.col("type") == target_type if target_type else F.lit(True)) & node_passes(node_filter)).select(F.col("id").alias("dst"), "type", "name")
+    rows = hop(e if near is None else near, anchor, relation, edge_filter).join(keep, "dst").withColumn("hops", F.lit(1))
+    if target_type is not None and rows.isEmpty():
+        rows = two_hops(n, e, anchor, relation, edge_filter, near).join(keep, "dst").withColumn("hops", F.lit(2))
     return rows.orderBy(F.desc("link_count"), "name", "first", "dst").limit(clamp(top_k)).select(F.col("dst").alias("id"), "type", "name", "relation", "direction", "via", "hops", "link_count", "contract_amount", "contract_status", "top_priority", "issue_count")
 
 

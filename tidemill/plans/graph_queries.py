@@ -107,27 +107,27 @@ def g_resolve(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_one_hop("customer_7", "part", "true", 30))
 def g_neighbors_1hop(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(g.neighbors(s.nodes(spark, sf), s.edges(spark, sf), "customer_7", target_type="part", top_k=30))
+    return _shown(g.neighbors(s.nodes(spark, sf), s.edges(spark, sf), "customer_7", target_type="part", top_k=30, near=s.edges(spark, sf, anchor="customer_7")))
 
 
 @query(_one_hop("customer_7", "part", "relation = 'USES' and status = 'active'", 10))
 def g_neighbors_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(g.neighbors(s.nodes(spark, sf), s.edges(spark, sf), "customer_7", "USES", "part", edge_filter={"status": "active"}))
+    return _shown(g.neighbors(s.nodes(spark, sf), s.edges(spark, sf), "customer_7", "USES", "part", edge_filter={"status": "active"}, near=s.edges(spark, sf, anchor="customer_7")))
 
 
 @query(f"{WITH} select count(*) filter (status <> 'active') as excluded from a where src = 'customer_7' and relation = 'USES'")
 def g_neighbors_excluded(spark: SparkSession, sf: str) -> DataFrame:
-    return g.excluded(s.edges(spark, sf, ("USES",)), "customer_7", "USES", {"status": "active"})
+    return g.excluded(s.edges(spark, sf, ("USES",), "customer_7"), "customer_7", "USES", {"status": "active"})
 
 
 @query(_two_hops("part_7", "order", "relation <> 'REPORTED_ISSUE' and (relation <> 'USES' or status = 'active')", "a.relation = 'HAS_PROJECT'", 30))
 def g_neighbors_2hop(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(g.neighbors(s.nodes(spark, sf), s.edges(spark, sf), "part_7", "HAS_PROJECT", "order", edge_filter={"status": "active"}, top_k=30))
+    return _shown(g.neighbors(s.nodes(spark, sf), s.edges(spark, sf), "part_7", "HAS_PROJECT", "order", edge_filter={"status": "active"}, top_k=30, near=s.edges(spark, sf, anchor="part_7")))
 
 
 @query(_two_hops("customer_7", "customer", "relation <> 'REPORTED_ISSUE'", "a.relation <> 'REPORTED_ISSUE'", 30))
 def g_same_type_2hop(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(g.neighbors(s.nodes(spark, sf), s.edges(spark, sf), "customer_7", None, "customer", top_k=30))
+    return _shown(g.neighbors(s.nodes(spark, sf), s.edges(spark, sf), "customer_7", None, "customer", top_k=30, near=s.edges(spark, sf, anchor="customer_7")))
 
 
 def _ranked(relation: str, kind: str, where: str, order: str, k: int) -> str:
@@ -166,7 +166,7 @@ def g_scan_far_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{WITH}, r as (select dst from a join n on n.id = dst where src = 'customer_7' and relation = 'USES' and type = 'part' group by dst)
     select count(*) as total, least(count(*), 10) as returned, count(*) > 10 as truncated from r""")
 def g_total_returned_truncated(spark: SparkSession, sf: str) -> DataFrame:
-    found = g.hop(s.edges(spark, sf, ("USES",)), "customer_7", "USES").join(s.nodes(spark, sf, ("part",)).select(F.col("id").alias("dst")), "dst")
+    found = g.hop(s.edges(spark, sf, ("USES",), "customer_7"), "customer_7", "USES").join(s.nodes(spark, sf, ("part",)).select(F.col("id").alias("dst")), "dst")
     return found.agg(F.count("*").alias("total")).select("total", F.least("total", F.lit(10).cast("long")).alias("returned"), (F.col("total") > 10).alias("truncated"))
 
 

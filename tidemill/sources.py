@@ -57,11 +57,18 @@ def nodes(spark: SparkSession, sf_dir: str, types: tuple = NODE_TYPES) -> DataFr
     return reduce(DataFrame.unionByName, [made[t]() for t in types])
 
 
-def edges(spark: SparkSession, sf_dir: str, relations: tuple | None = None) -> DataFrame:
-    """The edges of some relations; only their tables are read."""
+def edges(spark: SparkSession, sf_dir: str, relations: tuple | None = None, anchor: str | None = None) -> DataFrame:
+    """The edges of some relations; only their tables are read.
+
+    With an anchor, only the edges at that node: by its type, relations are left out, and its key is compared with the
+    key columns themselves, so the scans can skip by their statistics.
+    """
+    kind, _, at = (anchor or "").rpartition("_")
 
     def row(relation: str, df: DataFrame, source: Column, target: Column, order: tuple, status=None, amount=None, priority=None) -> DataFrame:
         a, b, _, _ = RELATIONS[relation]
+        if anchor:
+            df = df.where((source == F.lit(at).cast("long") if a == kind else F.lit(False)) | (target == F.lit(at).cast("long") if b == kind else F.lit(False)))
         keys = [F.lit(list(RELATIONS).index(relation)), *order, *[F.lit(0)] * (4 - len(order))]
         return df.select(
             F.concat(F.lit(f"{a}_"), source).alias("source"), F.concat(F.lit(f"{b}_"), target).alias("target"), F.lit(relation).alias("relation"),
@@ -88,7 +95,8 @@ def edges(spark: SparkSession, sf_dir: str, relations: tuple | None = None) -> D
         "LEADS": lambda r: row(r, table(spark, sf_dir, "lineitem").where("l_linenumber = 1"), F.col("l_suppkey"), F.col("l_orderkey"), line),
         "REPORTED_ISSUE": lambda r: row(r, lines().where("l_returnflag = 'R'"), F.col("o_custkey"), F.col("l_partkey"), line, priority=_mapped(PRIORITY, F.col("o_orderpriority"), "unknown")),
     }
-    return reduce(DataFrame.unionByName, [made[r](r) for r in relations or tuple(RELATIONS)])
+    wanted = [r for r in relations or tuple(RELATIONS) if not anchor or kind in RELATIONS[r][:2]]
+    return reduce(DataFrame.unionByName, [made[r](r) for r in wanted])
 
 
 def read_graph_json(spark: SparkSession, nodes_path: str, edges_path: str) -> tuple[DataFrame, DataFrame]:
