@@ -170,11 +170,9 @@ def answer(model: Model, texts: list) -> tuple[list[str], list[float]]:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the columns lang_pred and score."""
+    """docs with the columns lang_pred and score, in place of any of these names."""
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.columns
-    if {"lang_pred", "score"} & set(own):
-        raise ValueError("lang_pred and score are made here")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):

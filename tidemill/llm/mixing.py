@@ -13,7 +13,8 @@ of blocks have at most 256 rows a source. Ids decide the permutation: reruns agr
 
 Edge cases: a null or wordless text has size 0 and takes 0 words. A null source is a source, ordered last. Null ids count
 as the text 'null'; rows with equal ids keep together in the permutation, shorter texts first, equal rows are
-interchangeable (if the last pick has equal rows, all of them are taken). Sources without words get target 0. An empty table gives an empty result. mix() keeps all columns.
+interchangeable (if the last pick has equal rows, all of them are taken). Sources without words get target 0. An empty table gives an empty result. mix() keeps all columns but those named mix_*
+that it makes.
 """
 
 from __future__ import annotations
@@ -107,6 +108,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     chosen = mixed_sizes(docs).where("copies > 0").groupBy("doc_id", "size").agg(F.max("shards").alias("mix_shards")).withColumnsRenamed({"doc_id": "mix_id", "size": "mix_size"})
     size = F.expr(f"cast(regexp_count(coalesce(text, ''), r'{WORD}') as bigint)")
+    docs = docs.drop("mix_id", "mix_size", "mix_shards", "mix_n", "mix_copy", "mix_shard", "mix_order")
     x = docs.withColumn("mix_n", size)
     x = x.join(chosen, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_n") == F.col("mix_size"))).drop("mix_id", "mix_size", "mix_n")
     own = docs.columns

@@ -84,11 +84,10 @@ def _entropy(text: str) -> str:
         s -> round(s.best, 6))"""
 
 
-def with_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the columns base and spans: arrays of (start, kind, end), sorted; kind indexes KINDS. Drops no column."""
-    own = df.columns
-    if {"base", "spans", "candidates"} & set(own) or text != "text":
-        raise ValueError("the text column is text, and base, spans and candidates are made here")
+def with_spans(df: DataFrame) -> DataFrame:
+    """df with base and spans, in place of any of these names (and of candidates): sorted arrays of (start, kind, end);
+    kind indexes KINDS."""
+    df = df.drop("base", "spans", "candidates")
     df = df.withColumn("text", F.coalesce("text", F.lit("")))
     slim = "x -> struct(x.start, x.kind, x.end)"
     df = df.withColumn("base", F.array_sort(F.concat(_found(ASSIGN, 0, "length(x.v) >= 6"), _found(ACCESS, 1, "length(x.m) >= 20"), _found(HEX, 2, "true"))))

@@ -16,7 +16,7 @@ they serve as the lattice's scores, so the ids are those SentencePiece gives for
 of its merge mode. Decoding gives every text back exactly; a literal U+2581 is encoded by its bytes for that.
 
 Edge cases: null and empty texts have no ids and decode to ''. Rows with equal ids stay apart, equal texts have equal ids.
-An empty table gives an empty result. encode() keeps all columns and refuses clashing names.
+An empty table gives an empty result. encode() keeps all other columns.
 """
 
 from __future__ import annotations
@@ -303,11 +303,10 @@ def _piece(batch: pa.RecordBatch) -> Iterator[tuple[str, int]]:
 
 
 def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """docs with ids: array<int> of its text column."""
+    """docs with ids: array<int> of its text column, in place of any column of that name."""
     spark = docs.sparkSession
+    docs = docs.drop("ids")
     own = docs.columns
-    if "ids" in own:
-        raise ValueError("ids is made here")
     vocabulary = load(model)
     shared = spark.sparkContext.broadcast(vocabulary)
 
@@ -356,9 +355,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
-    """coded with decoded: the text of its ids column ('' for null)."""
-    if "decoded" in coded.columns:
-        raise ValueError("decoded is made here")
+    """coded with decoded: the text of its ids column ('' for null), in place of any column of that name."""
+    coded = coded.drop("decoded")
     shared = coded.sparkSession.sparkContext.broadcast(load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
