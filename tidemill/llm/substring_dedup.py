@@ -184,12 +184,22 @@ def _shard(window: int):
     return run
 
 
-def _runs(window: int):
-    """The single runs of pieces: piece, offset in it, hash of the run's words."""
+def _small_anchors(large):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~passes(large.value, batch["anchor"].to_numpy())))
+
+    return run
+
+
+def _runs(window: int, large):
+    """The single runs of the pieces of large anchors: piece, offset in it, hash of the run's words. An anchor the filter
+    takes for a large one is treated alike in all its pieces, so nothing is lost by that."""
     schema = pa.schema([("anchor", pa.int64()), ("piece", pa.int64()), ("weight", pa.int64()), ("bit", pa.int64()), ("run", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
+            batch = batch.filter(pa.array(passes(large.value, batch["anchor"].to_numpy())))
             out: list[list] = [[] for _ in schema.names]
             for anchor, piece, weight, words in zip(*(batch[c].to_pylist() for c in ("anchor", "piece", "weight", "words")), strict=True):
                 data = np.frombuffer(words, np.uint8)
@@ -243,11 +253,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     weights = found.groupBy("anchor", "piece").agg(F.count("*").alias("weight"), F.min("n").alias("n"))
     whole = weights.where("weight > 1").select("anchor", "piece", F.expr("shiftleft(1L, n) - 1").alias("mask"))
     distinct = found.where("words is not null").groupBy("anchor", "piece").agg(F.count("*").alias("weight"), F.first("words").alias("words"))
-    large = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(f"n > {SHARD}").select("anchor", F.lit(True).alias("large"))
-    sized = cut(distinct.join(large, "anchor", "left"), "shards")
-    shards = sized.where("large is null").select("anchor", "piece", "weight", "words").repartition(shuffle_width(spark), "anchor")
+    distinct = cut(distinct, "shards")
+    large = spark.sparkContext.broadcast(key_filter(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(f"n > {SHARD}"), "anchor"))
+    shards = distinct.mapInArrow(_small_anchors(large), "anchor long, piece long, weight long, words binary").repartition(shuffle_width(spark), "anchor")
     parts = shards.sortWithinPartitions("anchor").mapInArrow(_shard(window), _MASKS)
-    runs = sized.where("large").select("anchor", "piece", "weight", "words").mapInArrow(_runs(window), "anchor long, piece long, weight long, bit long, run long")
+    runs = distinct.mapInArrow(_runs(window, large), "anchor long, piece long, weight long, bit long, run long")
     often = runs.groupBy("anchor", "run").agg(F.sum("weight").alias("starts")).where("starts > 1")
     single = runs.where("weight = 1").join(often, ["anchor", "run"], "left_semi").groupBy("anchor", "piece").agg(F.bit_or("bit").alias("mask"))
     parts = parts.unionByName(single)
