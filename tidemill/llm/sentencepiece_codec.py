@@ -95,21 +95,33 @@ def escape(text: str) -> str:
     return text.replace(SPACE, LITERAL).replace(" ", SPACE)
 
 
-def _edges(v: Vocabulary, code: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each start and length: the piece (-1 none) and its score; room: characters up to the segment's end."""
+def _matches(v: Vocabulary, code: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces in the text: start, length, id (-1 for a character without a piece) and score; room: characters up to
+    the segment's end."""
     sums, down = _hashes(code)
-    piece = np.full((len(code), v.longest), -1, np.int32)
-    score = np.full((len(code), v.longest), LOW)
-    at = np.arange(len(code))  # starts whose characters so far begin some piece
+    at, out = np.arange(len(code)), []  # starts whose characters so far begin some piece
     for n in range(1, v.longest + 1):
         at = at[room[at] >= n]
         if not len(at):
             break
         found = v.lookup(mix64((sums[at + n] - sums[at]) * down[at] + np.uint64(n)))
-        at, found = at[found >= 0], found[found >= 0]
-        piece[at, n - 1], score[at, n - 1] = v.ids[found], v.scores[found]
-    lone = piece[:, 0] < 0
-    score[lone, 0] = v.unknown
+        known = found >= 0
+        if n == 1:
+            bare = np.ones(len(code), bool)
+            bare[at[known]] = v.ids[found[known]] < 0
+            lone = np.flatnonzero(bare & (room >= 1))
+            out.append((lone, np.ones(len(lone), np.int32), np.full(len(lone), -1, np.int32), np.full(len(lone), v.unknown)))
+        at, found = at[known], found[known]
+        whole = v.ids[found] >= 0
+        out.append((at[whole], np.full(int(whole.sum()), n, np.int32), v.ids[found[whole]], v.scores[found[whole]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
+
+
+def _edges(v: Vocabulary, code: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each start and length: the piece (-1 none) and its score."""
+    at, n, ids, scores = _matches(v, code, room)
+    piece, score = np.full((len(code), v.longest), -1, np.int32), np.full((len(code), v.longest), LOW)
+    piece[at, n - 1], score[at, n - 1] = ids, scores
     return piece, score
 
 
@@ -122,31 +134,31 @@ def _to_bytes(v: Vocabulary, codes: np.ndarray) -> list[int]:
 
 def encode_segments(v: Vocabulary, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all segments in a row, how many of each segment, and each one's score; all are solved in step."""
-    sizes = np.array([len(s) for s in segments])
-    order = np.argsort(-sizes, kind="stable")
+    sizes = np.array([len(s) for s in segments], np.int64)
     code = _codes("".join(segments))
     first = np.concatenate(([0], np.cumsum(sizes)))
-    room = np.repeat(first[1:], sizes) - np.arange(len(code))
-    piece, score = _edges(v, code, room)
+    owner = np.repeat(np.arange(len(segments)), sizes)
+    start, length, ids, score = _matches(v, code, first[1:][owner] - np.arange(len(code)))
+    offset = start - first[owner[start]]
+    order = np.argsort(offset, kind="stable")  # all pieces at the first character of their segment, then at the second, ...
+    begin, length, ids, score = (start + owner[start])[order], length[order], ids[order], score[order]
+    goal, steps_at = begin + length, np.cumsum(np.bincount(offset)) if len(offset) else np.zeros(0, np.int64)
     node = first[:-1] + np.arange(len(segments))  # one node more than characters
-    best, back = np.full(len(code) + len(segments), LOW), np.zeros(len(code) + len(segments), np.int32)
+    best, back, token_at = np.full(len(code) + len(segments), LOW), np.zeros(len(code) + len(segments), np.int32), np.full(len(code) + len(segments), -1, np.int64)
     best[node] = 0
-    lengths = sizes[order]
-    for e in range(1, int(lengths[0]) + 1 if len(lengths) else 1):
-        live = order[: np.searchsorted(-lengths, -e, "right")]
-        top, by = np.full(len(live), LOW), np.zeros(len(live), np.int32)
-        for n in range(min(v.longest, e), 0, -1):
-            value = best[node[live] + e - n] + score[first[live] + e - n, n - 1]
-            better = value > top
-            top[better], by[better] = value[better], n
-        best[node[live] + e], back[node[live] + e] = top, by
+    lo = 0
+    for hi in steps_at.tolist():
+        value, to = best[begin[lo:hi]] + score[lo:hi], goal[lo:hi]  # no two of these end at one node
+        better = np.flatnonzero(value > best[to])
+        to = to[better]
+        best[to], back[to], token_at[to] = value[better], length[lo:hi][better], ids[lo:hi][better]
+        lo = hi
     at, live, steps = sizes.copy(), np.flatnonzero(sizes > 0), []
     while len(live):
-        n = back[node[live] + at[live]]
-        at[live] -= n
-        start = first[live] + at[live]
-        found = piece[start, n - 1].astype(np.int64)
-        steps.append((live, np.where(found >= 0, found, -1 - code[start].astype(np.int64))))
+        end = node[live] + at[live]
+        at[live] -= back[end]
+        found = token_at[end]
+        steps.append((live, np.where(found >= 0, found, -1 - code[first[live] + at[live]].astype(np.int64))))
         live = live[at[live] > 0]
     owner = np.concatenate([s[0] for s in steps[::-1]]) if steps else np.zeros(0, np.int64)
     token = np.concatenate([s[1] for s in steps[::-1]]) if steps else np.zeros(0, np.int64)
@@ -164,6 +176,14 @@ def encode_segments(v: Vocabulary, segments: list[str]) -> tuple[np.ndarray, np.
     return token, np.bincount(owner, minlength=len(segments)), best[node + sizes]
 
 
+class _Numbers(dict):
+    """Numbers its keys as they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Encoder:
     """Encodes whole texts and keeps the ids of the segments it has solved, up to `most` of them."""
 
@@ -172,7 +192,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.flat, self.starts, self.sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         self.length = 0
 
@@ -183,8 +203,6 @@ class Encoder:
         places = []
         for t in escaped:
             words = self.find(t)
-            for s in set(words).difference(known):
-                known[s] = len(known)
             places.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
         if len(known) > before:
             solved, n, _ = encode_segments(self.v, list(known)[before:])
