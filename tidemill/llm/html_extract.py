@@ -297,7 +297,7 @@ class PageMaker:
             if r < 0.78:
                 out.append(f"<p>{MARK}{self.paragraph()}" + ("</p>" if self.r.random() < 0.85 else ""))
             elif r < 0.86:
-                out.append(f"<h{self.r.choice('23')}>{MARK}{self.words(1, 6)}</h2>".replace("</h2>", "</h2>"))
+                out.append(f"<h{self.r.choice('23')}>{MARK}{self.words(1, 6)}</h2>")  # some end tags do not fit
             elif r < 0.91:
                 out.append("<ul>" + "".join(f"<li>{MARK}{self.words(1, 15)}</li>" for _ in range(self.r.randint(1, 5))) + "</ul>")
             elif r < 0.94:
