@@ -379,7 +379,9 @@ def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            texts = [decode_ids(shared.value, ids or []) for ids in batch["ids"].to_pylist()]
+            ends = batch["ids"].offsets.to_numpy()
+            flat = batch["ids"].values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False).tolist()
+            texts = [decode_ids(shared.value, flat[a:b]) for a, b in zip((ends[:-1] - ends[0]).tolist(), (ends[1:] - ends[0]).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())]))
