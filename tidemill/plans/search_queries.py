@@ -36,9 +36,13 @@ def query_vector(spark: SparkSession, sf: str, vec_id: int = QUERY_ID):
     return v.literal(table(spark, sf, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])
 
 
-def passages(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang", "source")
-    return d.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang", "source")
+
+
+def passages(spark: SparkSession, sf: str, how: str = "left") -> DataFrame:
+    """All documents, with a null embedding where they have none; how='inner' keeps those that have one."""
+    return texts(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", how)
 
 
 COSINE = "list_cosine_similarity(e.embedding::double[], q.embedding::double[])"
@@ -73,12 +77,21 @@ def trigram_score(content):
 
 @query(f"with {SQL_KEYWORD} select id, round(keyword, 6) as keyword from s where keyword > 0.02 order by s.keyword desc, id limit 30")
 def kw_trigram_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return v.keyword_search(passages(spark, sf), trigram_score, 30, 0.02).select("id", F.round("keyword", 6).alias("keyword"))
+    return v.keyword_search(passages(spark, sf, "inner"), trigram_score, 30, 0.02).select("id", F.round("keyword", 6).alias("keyword"))
+
+
+#: The same over all documents, whether or not they have a vector.
+SQL_KEYWORD_ALL = SQL_KEYWORD.replace(" where doc_id in (select vec_id from embeddings)", "")
+
+
+@query(f"with {SQL_KEYWORD_ALL} select id, round(keyword, 6) as keyword from s where keyword > 0.02 order by s.keyword desc, id limit 30")
+def kw_trigram_similarity_all(spark: SparkSession, sf: str) -> DataFrame:
+    return v.keyword_search(texts(spark, sf), trigram_score, 30, 0.02).select("id", F.round("keyword", 6).alias("keyword"))
 
 
 @query()
 def kw_word_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return v.keyword_search(passages(spark, sf), v.word_similarity(QUERY_TEXT), 30).select("id", F.round("keyword", 6).alias("keyword"))
+    return v.keyword_search(texts(spark, sf), v.word_similarity(QUERY_TEXT), 30).select("id", F.round("keyword", 6).alias("keyword"))
 
 
 @query(f"""with {QV}, {SQL_KEYWORD.replace("from documents where", "from documents where lang = 'en' and")},
@@ -88,6 +101,17 @@ def kw_word_similarity(spark: SparkSession, sf: str) -> DataFrame:
     f as (select coalesce(vec.id, kw.id) as id, coalesce(1.0::double / (60 + vec.r), 0) + coalesce(1.0::double / (60 + kw.r), 0) as score from vec full join kw on vec.id = kw.id)
     select f.id, lang, round(similarity, 6) as similarity, round(score, 9) as rrf_score from f join c on c.id = f.id join g on g.id = f.id order by score desc, f.id limit 10""")
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
+    found = v.hybrid_search(passages(spark, sf, "inner"), QUERY_TEXT, query_vector(spark, sf), 10, "lang", "en", score=trigram_score)
+    return found.select("id", "lang", F.round("similarity", 6).alias("similarity"), F.round("rrf_score", 9).alias("rrf_score"))
+
+
+@query(f"""with {QV}, {SQL_KEYWORD_ALL.replace("from documents", "from documents where lang = 'en'")},
+    c as (select e.vec_id as id, {COSINE} as similarity from embeddings e, q where e.vec_id in (select id from g)),
+    vec as (select id, row_number() over (order by similarity desc, id) as r from c qualify r <= 30),
+    kw as (select id, row_number() over (order by keyword desc, id) as r from s where keyword > 0.1 qualify r <= 30),
+    f as (select coalesce(vec.id, kw.id) as id, coalesce(1.0::double / (60 + vec.r), 0) + coalesce(1.0::double / (60 + kw.r), 0) as score from vec full join kw on vec.id = kw.id)
+    select f.id, lang, round(similarity, 6) as similarity, round(score, 9) as rrf_score from f join g on g.id = f.id left join c on c.id = f.id order by score desc, f.id limit 10""")
+def hybrid_rrf_all(spark: SparkSession, sf: str) -> DataFrame:
     found = v.hybrid_search(passages(spark, sf), QUERY_TEXT, query_vector(spark, sf), 10, "lang", "en", score=trigram_score)
     return found.select("id", "lang", F.round("similarity", 6).alias("similarity"), F.round("rrf_score", 9).alias("rrf_score"))
 

@@ -131,11 +131,12 @@ def keyword_search(chunks: DataFrame, score: Callable[[Column], Column], k: int,
 def hybrid_search(chunks: DataFrame, query_text: str, query: Column, top_k: int = 5, filter_column: str | None = None, filter_value=None, rrf_k: int = 60, pool: int = 30, score: Callable[[Column], Column] | None = None) -> DataFrame:
     """Reciprocal-rank fusion of both axes: the rows of chunks with similarity (cosine) and rrf_score, by the latter.
 
-    Only ids and ranks of at most pool rows an axis are fused; wide columns are joined to the few results at the end.
+    Rows without an embedding have no rank on the vector axis and a null similarity; the keyword axis reads all rows. Only
+    ids and ranks of at most pool rows an axis are fused; wide columns are joined to the few results at the end.
     """
     check(top_k)
     wanted = filtered(chunks, filter_column, filter_value)
-    vec = ranked(nearest(wanted.select("id", "embedding"), query, pool), "similarity").withColumnRenamed("rank", "vec_rank")
+    vec = ranked(nearest(wanted.where("embedding is not null").select("id", "embedding"), query, pool), "similarity").withColumnRenamed("rank", "vec_rank")
     kw = ranked(keyword_search(wanted.select("id", "content"), score or word_similarity(query_text), pool), "keyword").withColumnRenamed("rank", "kw_rank")
     part = lambda c: F.coalesce(1.0 / (F.lit(rrf_k) + F.col(c)), F.lit(0.0))
     fused = vec.join(kw, "id", "full_outer").select("id", (part("vec_rank") + part("kw_rank")).alias("rrf_score"))
