@@ -1,6 +1,8 @@
 """Searches read the whole tables."""
 
+import numpy as np
 from tidemill import registry
+from tidemill import vectors as v
 
 
 def small_tables(spark, folder):
@@ -20,3 +22,21 @@ def test_documents_without_a_vector_are_found_by_words(spark, tmp_path):
         got = {r.id: r for r in registry.QUERIES[name](spark, sf).collect()}
         assert set(got) == {1, 2, 3, 4, 5}
         assert got[4].similarity is None and got[4].rrf_score == round(1 / 61, 9) and got[3].similarity == 1.0
+
+
+def test_every_question_sees_every_row(spark, monkeypatch):
+    monkeypatch.setattr(v, "PART", 7)
+    rng = np.random.default_rng(5)
+    some = rng.normal(size=(45, 3)).astype(np.float32).tolist()
+    rows = [*enumerate([*some, *some]), (90, [1.0, 2.0]), (91, None), (92, [0.0, 0.0, 0.0]), (100, [2.0, 1.0])]  # copies tie
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+
+    def best(x):
+        near = [(-np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y)), k) for k, y in rows if y and len(y) == len(x) and any(x) and any(y)]
+        return [k for _, k in sorted((round(s, 12), k) for s, k in near)[:6]]
+
+    got = {}
+    for r in v.nearest_of_each(df, df.where("id % 20 = 0"), 6).orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append(r.id)
+    assert got == {k: found for k, x in rows if k % 20 == 0 and x and (found := best(x))}
+    assert v.nearest_of_each(df.limit(0), df, 6).count() == 0

@@ -64,6 +64,34 @@ def vec_rownum_pool(spark: SparkSession, sf: str) -> DataFrame:
     return v.ranked(v.nearest(embedded(spark, sf), query_vector(spark, sf), 30), "similarity").select("id", F.col("rank").cast("long").alias("rank"))
 
 
+#: The query set of whole searches: every row whose id is divisible by 20, against all rows.
+EACH = 20
+SQL_EACH = f"""c as (select q.vec_id as q, e.vec_id as id, e.label, {COSINE} as s from embeddings q, embeddings e where q.vec_id % {EACH} = 0),
+    r as (select *, row_number() over (partition by q order by s desc, id) as rank from c"""
+
+
+def asked(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("id") % EACH == 0)
+
+
+@query(f"with {SQL_EACH}) select q, id, label, round(s, 6) as similarity from r where rank <= 5")
+def vec_topk_each(spark: SparkSession, sf: str) -> DataFrame:
+    e = embedded(spark, sf)
+    return v.nearest_of_each(e, asked(e), 5).join(e.select("id", "label"), "id").select("q", "id", "label", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"with {SQL_EACH} where label = 4) select q, id, label, round(s, 6) as similarity from r where rank <= 10")
+def vec_topk_filtered_each(spark: SparkSession, sf: str) -> DataFrame:
+    e = embedded(spark, sf)
+    return v.nearest_of_each(e.where("label = 4"), asked(e), 10).select("q", "id", F.lit(4).alias("label"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"with {SQL_EACH}) select q, id, rank from r where rank <= 30")
+def vec_rownum_pool_each(spark: SparkSession, sf: str) -> DataFrame:
+    e = embedded(spark, sf)
+    return v.nearest_of_each(e, asked(e), 30).select("q", "id", F.col("rank").cast("long").alias("rank"))
+
+
 WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 GRAMS = "list_distinct(flatten(list_transform(" + WORDS + ", lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 SQL_KEYWORD = f"""t as (select {GRAMS.format(f"'{QUERY_TEXT}'")} as q),
@@ -191,6 +219,40 @@ def grade_sets(spark: SparkSession, sf: str) -> DataFrame:
     return ev.grade_sets(places.withColumnRenamed("doc", "id"), expected.withColumnRenamed("doc", "id"))
 
 
+#: The same for every row of the query set, expected by label alone.
+SQL_HITS_EACH = SQL_HITS.replace("q.vec_id < 10", f"q.vec_id % {EACH} = 0").replace("label = want and id % 3 = 0", "label = want")
+
+
+def hits_each(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    e = embedded(spark, sf)
+    near = v.nearest_of_each(e, asked(e), 13).where("id != q")  # the row itself may be among them
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("rank"))
+    found = near.withColumn("rank", rank).where("rank <= 12").select("q", (F.col("id") % 50).alias("doc"), "rank")
+    docs = e.groupBy(F.col("label").alias("want"), (F.col("id") % 50).alias("doc")).agg(F.count("*").alias("n"))
+    questions = asked(e).select(F.col("id").alias("q"), F.col("label").alias("want"))
+    expected = questions.join(docs, "want").where("n > 1 or doc != q % 50").select("q", "doc")  # other rows than the question's own
+    return ev.distinct_positions(found), expected
+
+
+@query(f"""with {SQL_HITS_EACH} select k, cast(count(*) filter (hit) as bigint) as hits, count(*) as total, count(*) filter (hit) * 100 // count(*) as percent
+    from (select k, x.q, exists (select 1 from d join w on d.q = w.q and d.doc = w.doc where d.q = x.q and place <= k) as hit from (select distinct q from w) x, (values (3), (5)) k(k)) group by k""")
+def hit_at_k_each(spark: SparkSession, sf: str) -> DataFrame:
+    places, expected = hits_each(spark, sf)
+    return ev.rate(ev.hit_at(places, expected, 3), "hit").withColumn("k", F.lit(3)).unionByName(ev.rate(ev.hit_at(places, expected, 5), "hit").withColumn("k", F.lit(5)))
+
+
+@query(f"with {SQL_HITS_EACH} select q, doc, place from d")
+def distinct_places_each(spark: SparkSession, sf: str) -> DataFrame:
+    return hits_each(spark, sf)[0].withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"""with {SQL_HITS_EACH}, g as (select q, doc from d), b as (select coalesce(g.q, w.q) as q, g.q is null as missing, w.q is null as extra from g full join w on g.q = w.q and g.doc = w.doc)
+    select q, case when bool_or(missing) then 'wrong' when bool_or(extra) then 'over' else 'exact' end as grade from b group by q""")
+def grade_sets_each(spark: SparkSession, sf: str) -> DataFrame:
+    places, expected = hits_each(spark, sf)
+    return ev.grade_sets(places.withColumnRenamed("doc", "id"), expected.withColumnRenamed("doc", "id"))
+
+
 # ---- chunking ------------------------------------------------------------------------------------------------------
 
 SQL_TOKENS = "cast(floor(len(regexp_extract_all({0}, '[가-힣一-鿿぀-ヿ]')) + len(regexp_extract_all({0}, '[A-Za-z0-9]+')) * 1.3::double) as integer)"

@@ -10,10 +10,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST = 10
+PART = 2048
+
+_NEAREST = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -56,6 +61,86 @@ def vector_search(chunks: DataFrame, query: Column, top_k: int = 5, filter_colum
     return nearest(filtered(chunks, filter_column, filter_value), query, min(top_k, MOST))
 
 
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All dot products of the rows, summed in order as _dot does, so equal vectors tie wherever they lie."""
+    out, step = np.zeros((len(a), len(b))), np.empty((len(a), len(b)))
+    for x, y in zip(a.T, np.ascontiguousarray(b.T), strict=True):
+        np.multiply(x[:, None], y, out=step)
+        out += step
+    return out
+
+
+def _lengths(a: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(a))
+    for x in a.T:
+        out += x * x
+    return np.sqrt(out)
+
+
+def _by_width(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    width = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    for w in np.unique(width).tolist():
+        mask = pa.array(width == w)
+        yield w, ids.filter(mask).to_numpy(), vectors.filter(mask).flatten().to_numpy(zero_copy_only=False).reshape(-1, w)
+
+
+def _nearest_in_parts(k: int, questions: int = 128):
+    """Rows come sorted by part, those to be searched before the questions; each question gets the best k of the part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ready = None, {}, {}
+        for batch in batches:
+            tag = batch["part"].to_numpy() * 2 + batch["asked"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(tag)) + 1).tolist(), len(tag)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                part, asked = divmod(int(tag[lo]), 2) if hi > lo else (now, 0)
+                if part != now:
+                    now, held, ready = part, {}, {}
+                for at in range(lo, hi, questions if asked else hi - lo):
+                    piece = batch.slice(at, min(hi - at, questions) if asked else hi - lo)
+                    for w, ids, x in _by_width(piece["id"], piece["embedding"]):
+                        if not asked:
+                            held.setdefault(w, []).append((ids, x))
+                            continue
+                        if w not in held:
+                            continue
+                        if w not in ready:
+                            rows = np.concatenate([i for i, _ in held[w]])
+                            order = np.argsort(rows, kind="stable")
+                            y = np.concatenate([v for _, v in held[w]])[order]
+                            ready[w] = rows[order], y, _lengths(y)
+                        yield _best(k, ids, x, *ready[w])
+
+    return run
+
+
+def _best(k: int, ids: np.ndarray, x: np.ndarray, rows: np.ndarray, y: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    whole = _lengths(x)[:, None] * length
+    s = np.divide(_dots(x, y), whole, out=np.full(whole.shape, -np.inf), where=whole > 0)
+    least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+    out = []
+    for i, q in enumerate(ids.tolist()):
+        found = np.flatnonzero((s[i] >= least[i]) & (s[i] > -np.inf))
+        found = found[np.argsort(-s[i, found], kind="stable")][:k]  # rows lie in the order of their ids
+        out.append((np.full(len(found), q), rows[found], s[i, found]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), _NEAREST.types, strict=True)], schema=_NEAREST)
+
+
+def nearest_of_each(rows: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """q, id, similarity, rank: for each of questions (id, embedding) the k rows (id, embedding) with the largest cosine.
+
+    Rows are dealt into parts of about PART by their id; every question goes to every part, keeps the best k there, and
+    only these are ranked. No table is broadcast or held whole. Rows without a cosine to a question are not found.
+    """
+    parts = max(1, -(-rows.count() // PART))
+    pick = lambda df, part, asked: df.where("embedding is not null").select(part.alias("part"), F.lit(asked).cast("long").alias("asked"), F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    both = pick(rows, F.pmod(F.xxhash64("id"), F.lit(parts)), 0).unionByName(pick(questions, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))), 1))
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = both.repartition(width, "part").sortWithinPartitions("part", "asked").mapInArrow(_nearest_in_parts(k), "q long, id long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 # ---- keyword axis --------------------------------------------------------------------------------------------------
 
 
