@@ -1,7 +1,9 @@
 """Searches read the whole tables."""
 
+import re
+
 import numpy as np
-from tidemill import registry
+from tidemill import ingest, registry
 from tidemill import vectors as v
 
 
@@ -40,3 +42,56 @@ def test_every_question_sees_every_row(spark, monkeypatch):
         got.setdefault(r.q, []).append(r.id)
     assert got == {k: found for k, x in rows if k % 20 == 0 and x and (found := best(x))}
     assert v.nearest_of_each(df.limit(0), df, 6).count() == 0
+
+
+def brute_chunks(title, text):
+    size = lambda t: int(len(re.findall(r"[가-힣一-鿿぀-ヿ]", t)) + len(re.findall(r"[A-Za-z0-9]+", t)) * 1.3)
+    parts = [[]]
+    for line in (text or "").splitlines():
+        if re.match(r"#{2,3}\s", line + "\n"):
+            parts.append([])
+        parts[-1].append(line)
+    held, groups = [], []
+    for s in filter(None, ("\n".join(p).strip() for p in parts)):
+        if held and sum(map(size, held)) + size(s) > 400:
+            groups.append("\n\n".join(held))
+            held = []
+        held.append(s)
+    groups += ["\n\n".join(held)] if held else []
+    out = []
+    for g in groups:
+        if size(g) <= 500:
+            out.append(g)
+            continue
+        held = []
+        for x in filter(None, (x.strip() for x in re.split(r"\n\s*\n", g))):
+            if held and sum(map(size, held)) + size(x) > 500:
+                out.append("\n\n".join(held))
+                k = len(held) - 1
+                while k and sum(map(size, held[k:])) < 50:
+                    k -= 1
+                held = held[k:]
+            held.append(x)
+        out.append("\n\n".join(held))
+    return [x if x.startswith("# ") else f"# {title}\n\n{x}" for x in out]
+
+
+def test_all_chunks_of_whole_documents(spark, sf, tmp_path):
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 99, n))
+    docs = [(k, "\n".join(("" if rng.random() < 0.4 else "## " if rng.random() < 0.1 else "") + words(rng.integers(1, 120)) + ("\n" if rng.random() < 0.7 else "") for _ in range(30)), "en", "s") for k in range(20)]
+    docs += [(20, None, "en", "s"), (21, "", "en", "s"), (22, "# Own title\n\ntext", "en", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (str(tmp_path), sf):
+        rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+        want = {(r.doc_id, k): x for r in rows for k, x in enumerate(brute_chunks(f"Document {r.doc_id}", r.text))}
+        got = registry.QUERIES["chunk_documents"](spark, folder).collect()
+        assert len(got) == len(want) and {(r.doc_id, r.chunk_index): r.content for r in got} == want
+    assert max(r.chunk_index for r in registry.QUERIES["chunk_prefix_all"](spark, str(tmp_path)).collect()) >= 2
+
+
+def test_load_verify_counts_what_was_written(spark, sf, monkeypatch):
+    paths, load = [], ingest.full_refresh
+    monkeypatch.setattr(ingest, "full_refresh", lambda made, path: (paths.append(path), load(made, path))[1])
+    got = registry.QUERIES["load_verify"](spark, sf).first()
+    assert len(paths) == 1 and spark.read.parquet(paths[0]).count() == got.n_rows

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill import evaluation as ev
+from tidemill import ingest
 from tidemill import text as tx
 from tidemill import vectors as v
 from tidemill.sources import table
@@ -295,9 +298,26 @@ def chunk_prefix_index(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("doc_id", "chunk_index", tx.titled(F.concat(F.lit("Document "), "doc_id"), F.col("content")).alias("content"))
 
 
+@query(f"with recursive {SQL_FOLD} select doc_id, chunk_index, case when starts_with(content, '# ') then content else '# Document ' || doc_id || chr(10) || chr(10) || content end as content from c")
+def chunk_prefix_all(spark: SparkSession, sf: str) -> DataFrame:
+    return folded(spark, sf).select("doc_id", "chunk_index", tx.titled(F.concat(F.lit("Document "), "doc_id"), F.col("content")).alias("content"))
+
+
+@query()
+def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """All chunks of all documents: sections, merged, oversize ones split with overlap, titled."""
+    title = F.concat(F.lit("Document "), "doc_id")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id").alias("id"), title.alias("title"), F.lit("technical_doc").alias("type"), F.concat(F.col("doc_id"), F.lit(".md")).alias("filename"), F.col("text").alias("body"))
+    return tx.chunks(d).select("doc_id", "chunk_index", "content")
+
+
 @query(f"with recursive {SQL_FOLD} select count(*) as n_rows, count(distinct doc_id) as n_docs from c")
 def load_verify(spark: SparkSession, sf: str) -> DataFrame:
-    return folded(spark, sf).agg(F.count("*").alias("n_rows"), F.countDistinct("doc_id").alias("n_docs"))
+    """Writes the chunks, verifies the written table and counts what is read from it."""
+    from tidemill.llm.common import shared_dir
+
+    loaded = ingest.full_refresh(folded(spark, sf), f"{shared_dir(spark)}/load_verify-{uuid.uuid4().hex}")
+    return loaded.agg(F.count("*").alias("n_rows"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 @query("select source, lang, count(*) as n, count(distinct text) as texts, sum(length(text)) as n_chars from documents group by all")
