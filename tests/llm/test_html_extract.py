@@ -74,3 +74,26 @@ def test_edges(spark):
     assert by[3, "w"] == by[None, "v"] == "A title Some text of it."
     assert by[4, "x"] == " ".join(["A title", *["Some text of it."] * 4000])
     assert extract(df.limit(0)).count() == 0
+
+
+def test_custom_elements_are_no_raw_elements():
+    for name in ("video-js", "svg-icon", "audio-player", "select-menu", "object-view", "math-field", "scripted"):
+        assert [t for _, t, _ in h.blocks(f"<p>one</p><{name} id=v></{name}><p>two</p>")] == ["one", "two"], name
+    assert [t for _, t, _ in h.blocks("<p>a</p><video src=x><p>no</p></video><svg/><select\n><option>no</select><p>b</p><video")] == ["a", "b"]
+
+
+def test_formulas_are_text():
+    page = '<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding="application/x-tex">x=2</annotation></semantics></math> holds</p>'
+    assert [(t, [x[0] for x in p]) for p, t, _ in h.blocks(page)] == [("so x=2 holds", ["p"])]
+
+
+def test_deep_nesting():
+    deep = lambda inner: "<div>" * 20 + inner + "</div>" * 20
+    one = "<nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>A title</h1>{}</article><section class=comments>{}</section><footer>&copy; me</footer>"
+    text, reply = "<p>Some text of it. It goes on.</p>" * 3, "<p>I think so too.</p>" * 3
+    pages = [one.format(deep(text), deep(reply)), one.format(text, reply)]
+    found = h.blocks(pages[0])
+    assert all(h._bin("n:comment", h.PATH) in h._path_bins(p) for p, t, _ in found if t == "I think so too.")
+    assert all(h._bin("t:article", h.PATH) in h._path_bins(p) for p, t, _ in found if t.startswith("Some"))
+    got = h.main_texts(h.train(), pages)
+    assert got[0] == got[1] == "A title" + " Some text of it. It goes on." * 3

@@ -11,7 +11,8 @@ with plain and semantic markup, made-up words in all of them. That sample is bou
 The weights (about 100 KB) are broadcast; pages are labelled where they are read, without any shuffle.
 
 Edge cases: null and empty html give '' with 0 characters. Unclosed, crossing and cut-off tags, comments and raw elements
-are read as browsers mostly do; an unfinished tag at the end is dropped, text outside of tags is text. Rows are
+are read as browsers mostly do, custom elements such as video-js as any other element; formulas are text without their
+annotations; an unfinished tag at the end is dropped, text outside of tags is text. Rows are
 independent of each other: equal rows give equal results. An empty table gives an empty result. Only page_id, url and html
 are read.
 """
@@ -36,13 +37,13 @@ INPUT = PATH + WORDS + MEASURES
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|iframe|svg|textarea|select|object|math|canvas|audio|video)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(script|style|template|noscript|iframe|svg|textarea|select|object|annotation(?:-xml)?|canvas|audio|video)(?=[\s/>]|\Z)[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>"""
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 _BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i kbd mark nobr q s samp small span strike strong sub sup time tt u var".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i kbd mark nobr q s samp small span strike strong sub sup time tt u var math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -118,17 +119,19 @@ def _bin(text: str, size: int) -> int:
     return (h ^ h >> 15) * 2654435761 % (1 << 32) * size >> 32
 
 
+@lru_cache(20_000)
+def _element_bins(tag: str, given: str) -> frozenset[int]:
+    names = [f"t:{tag}"]
+    for m in _NAMED.finditer(given):
+        for word in _PARTS.findall(m[2] or m[3] or m[4] or ""):
+            names.append(f"n:{word.lower().removesuffix('s')}")
+    return frozenset(_bin(n, PATH) for n in names)
+
+
 @lru_cache(20_000)
 def _path_bins(path: tuple) -> tuple[int, ...]:
-    bins = set()
-    for depth, (tag, given) in enumerate(path[-14:]):
-        near = depth >= len(path[-14:]) - 2
-        names = [f"t:{tag}"] + ([f"l:{tag}"] if near else [])
-        for m in _NAMED.finditer(given):
-            for word in _PARTS.findall(m[2] or m[3] or m[4] or ""):
-                names.append(f"n:{word.lower().removesuffix('s')}")
-        bins.update(_bin(n, PATH) for n in names)
-    return tuple(sorted(bins))
+    bins = {_bin(f"l:{tag}", PATH) for tag, _ in path[-2:]}
+    return tuple(sorted(bins.union(*(_element_bins(*x) for x in path))))
 
 
 def features(found: list[tuple[tuple, str, int]]) -> np.ndarray:
