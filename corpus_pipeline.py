@@ -22,8 +22,8 @@ from tidemill.llm.mixing import mix
 from tidemill.llm.secret_scan import redact
 from tidemill.llm.sentencepiece_codec import decode, encode
 
-#: A share of n-grams below which no language is believed; four equal ones would have 0.25 each.
-LEAST_SCORE = 0.3
+#: The part of its share of n-grams by which the best language must lead the second one to be believed.
+LEAST_LEAD = 0.02
 
 
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
@@ -44,8 +44,8 @@ def shielded(stage: Callable) -> Callable:
 @shielded
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language the filters know; und and undecided ones go. A missing lang is filled in."""
-    found = identify(docs, fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "score")
+    found = identify(docs, fit(docs), lead=True).where((F.col("lang_pred") != "und") & (F.col("lead") >= LEAST_LEAD))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "score", "lead")
 
 
 @shielded

@@ -62,3 +62,29 @@ def test_many_languages():
     for k in range(L.HASHES):
         places[2, (h >> np.uint64(k * L.PLACE_BITS) & np.uint64((1 << L.PLACE_BITS) - 1)).astype(np.int64)] |= np.uint64(2)
     assert L.answer(L.Model(names, places, np.zeros(130)), ["hello"]) == (["l129"], [1.0])
+
+
+def test_filters_grow_with_the_grams(spark, monkeypatch):
+    assert L.place_bits(0) == L.place_bits(400_000) == 21 and L.place_bits(10_000_000) == 26
+    assert L.shifts(21) == [0, 21, 42]
+    monkeypatch.setattr(L, "PLACE_BITS", 8)
+    rng = np.random.default_rng(3)
+    letters = {"aa": "abcdefghijklm", "bb": "nopqrstuvwxyz"}
+    text = lambda k: " ".join("".join(rng.choice(list(letters[k]), 6)) for _ in range(300))
+    rows = [(k, t) for k in letters for t in [text(k) for _ in range(5)] for _ in range(2)]
+    model = fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.places.shape[1] > 1 << 8 and model.false.max() <= 0.15  # half full, three hashes
+    names, scores = L.answer(model, [t for _, t in rows])
+    assert names == [k for k, _ in rows] and min(scores) > 0.9
+
+
+def test_lead_does_not_depend_on_the_number_of_languages():
+    for n in (2, 40):
+        places = np.zeros((1, 1 << L.PLACE_BITS), np.uint64)
+        for k in range(n):  # all know most of it, the last one everything
+            h, _, _ = L.grams(["hello"])
+            for at in L.shifts(L.PLACE_BITS):
+                places[0, (h[: None if k == n - 1 else -2] >> np.uint64(at) & np.uint64((1 << L.PLACE_BITS) - 1)).astype(np.int64)] |= np.uint64(1 << k)
+        model = L.Model([f"l{k:02d}" for k in range(n)], places, np.zeros(n))
+        names, _, leads = L.judge(model, ["hello", "123"])
+        assert names == [f"l{n - 1:02d}", "und"] and leads[0] == 1 - (len(h) - 2) / len(h) and leads[1] == 0

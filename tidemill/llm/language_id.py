@@ -2,12 +2,14 @@
 
 Method: every 4-gram of letters and word gaps is counted per language over all training rows. A language contains a gram
 if it has it twice or more and at least a fifth as often, per gram, as the language that has it most. The grams go into
-Bloom filters of 2^21 places and 3 hashes that are sliced by bit: a place is a bitmask over languages, so the AND of three
+Bloom filters of 3 hashes, with as many places (2^21 at least) as leave half of them free in the fullest language, that are
+sliced by bit: a place is a bitmask over languages, so the AND of three
 places gives all languages containing a gram in one look. A document's popcount per language is corrected for the
 filter's false positives, which are known from its fill; the largest corrected share decides.
 
-The model is bounded (16 MB for up to 64 languages, 16 MB more for each further 64), whatever the corpus; counting it is
-a shuffle of gram counts, summed up within each task first.
+The model takes 16 MB for up to 64 languages, 16 MB more for each further 64, as long as no language has over 484,000
+grams; beyond that it grows with them (35 to 70 bytes a gram of the fullest language) and none is left out. Counting it is a
+shuffle of gram counts, summed up within each task first.
 
 Edge cases: null texts and texts without a letter are `und` with score 0, as is every text if no language was learned.
 Null or empty lang values are not learned from. Equal texts get equal answers. Ties go to the language that sorts first.
@@ -16,6 +18,7 @@ An empty table gives an empty result; only id, text and, in training, lang are r
 
 from __future__ import annotations
 
+import math
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -31,7 +34,7 @@ from pyspark.sql import types as T
 from .common import crc_remainder, cut, documents, mix64, records, small
 
 SIZE = 4
-PLACE_BITS, HASHES = 21, 3
+PLACE_BITS, HASHES, FILL = 21, 3, 0.5
 LEAST, SHARE = 2, 0.2
 MODULUS, HELD_OUT = 4, 2
 
@@ -40,10 +43,20 @@ _COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64
 
 class Model(NamedTuple):
     languages: list[str]
-    places: np.ndarray  # words x 2^PLACE_BITS masks
+    places: np.ndarray  # words x 2^bits masks, PLACE_BITS at least
     false: np.ndarray  # rate of false positives per language
 
 
+def place_bits(most: int) -> int:
+    """The bits of a place that keep the filter of a language of so many grams at most FILL full."""
+    return max(PLACE_BITS, math.ceil(math.log2(max(1, most) * HASHES / -math.log(1 - FILL))))
+
+
+def shifts(bits: int) -> list[int]:
+    """Where the places lie in the 64 bits of a hash: disjoint thirds for 21 bits, overlapping as little as they can beyond."""
+    return [k * ((64 - bits) // (HASHES - 1)) for k in range(HASHES)]
+
+
 @lru_cache(1)
 def _letters() -> np.ndarray:
     return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)])
@@ -122,18 +135,20 @@ def fit(docs: DataFrame) -> Model:
     counts = cut(known.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
-    width = 1 << PLACE_BITS
     words = max(1, -(-len(languages) // 64))
-    places = np.zeros((words, width), np.uint64)
     if not languages:
-        return Model([], places, np.zeros(0))
+        return Model([], np.zeros((words, 1 << PLACE_BITS), np.uint64), np.zeros(0))
     total = F.create_map(*[F.lit(x) for k in languages for x in (k, float(totals[k]))])
     bit = F.create_map(*[F.lit(x) for k, v in enumerate(languages) for x in (v, k)])
     rate = counts.withColumn("rate", F.col("n") / total[F.col("lang")]).withColumn("bit", bit[F.col("lang")])
     top = rate.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("bit", "rate", "n")).alias("all"))
     held = top.select("gram", F.explode("all").alias("x"), "top").where(f"x.n >= {LEAST} and x.rate >= {SHARE} * top")
-    # The three places are disjoint thirds of the hash, so the executors and numpy agree on them.
-    spots = held.select(F.col("x.bit").alias("bit"), F.explode(F.array(*[F.expr(f"cast(shiftrightunsigned(gram, {k * PLACE_BITS}) & {width - 1} as int)") for k in range(HASHES)])).alias("place"))
+    held = cut(held.select(F.col("x.bit").alias("bit"), "gram"), "held")
+    bits = place_bits(max((r["count"] for r in held.groupBy("bit").count().collect()), default=0))
+    width = 1 << bits
+    places = np.zeros((words, width), np.uint64)
+    # The places are bits of the hash, so the executors and numpy agree on them.
+    spots = held.select("bit", F.explode(F.array(*[F.expr(f"cast(shiftrightunsigned(gram, {k}) & {width - 1} as int)") for k in shifts(bits)])).alias("place"))
     masks = spots.groupBy(F.expr("bit div 64").alias("word"), "place").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toArrow()
     places[masks["word"].to_numpy(), masks["place"].to_numpy()] = masks["mask"].to_numpy().view(np.uint64)
     fill = [np.count_nonzero(places[k // 64] >> np.uint64(k % 64) & np.uint64(1)) / width for k in range(len(languages))]
@@ -141,18 +156,25 @@ def fit(docs: DataFrame) -> Model:
 
 
 def answer(model: Model, texts: list) -> tuple[list[str], list[float]]:
-    names, scores = [], []
+    return judge(model, texts)[:2]
+
+
+def judge(model: Model, texts: list) -> tuple[list[str], list[float], list[float]]:
+    """Language, score, and the lead of the best share over the second one as a part of it, however many languages there are."""
+    names, scores, leads = [], [], []
+    bits = model.places.shape[1].bit_length() - 1
     for _, part in _chunks(texts):
         h, starts, letters = grams(part)
         n = np.maximum(np.diff(starts) - SIZE + 1, 1)
         if not model.languages or not len(h):
             names += ["und"] * len(part)
             scores += [0.0] * len(part)
+            leads += [0.0] * len(part)
             continue
         inside = np.ones(len(h), bool)
         for k in range(1, SIZE):
             inside[starts[1:-1] - k] = False
-        spots = [(h >> np.uint64(k * PLACE_BITS) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64) for k in range(HASHES)]
+        spots = [(h >> np.uint64(k) & np.uint64((1 << bits) - 1)).astype(np.int64) for k in shifts(bits)]
         shares = np.empty((len(part), len(model.languages)))
         for word, places in enumerate(model.places):
             mask = np.where(inside, places[spots[0]] & places[spots[1]] & places[spots[2]], np.uint64(0))
@@ -166,20 +188,26 @@ def answer(model: Model, texts: list) -> tuple[list[str], list[float]]:
         score = np.divide(shares[np.arange(len(part)), best], total, out=np.zeros(len(part)), where=total > 0)
         names += [model.languages[b] if c else "und" for b, c in zip(best.tolist(), letters.tolist(), strict=True)]
         scores += np.where(letters > 0, score, 0.0).tolist()
-    return names, scores
+        first = shares[np.arange(len(part)), best]
+        shares[np.arange(len(part)), best] = 0
+        lead = np.divide(first - shares.max(axis=1), first, out=np.zeros(len(part)), where=first > 0)
+        leads += np.where(letters > 0, lead, 0.0).tolist()
+    return names, scores, leads
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the columns lang_pred and score, in place of any of these names."""
-    docs = docs.drop("lang_pred", "score")
+def identify(docs: DataFrame, model: Model, lead: bool = False) -> DataFrame:
+    """docs with the columns lang_pred and score, and lead if wanted, in place of any of these names."""
+    extra = ["lang_pred", "score", *(["lead"] if lead else [])]
+    docs = docs.drop(*extra)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            names, scores = answer(shared.value, batch["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            names, *numbers = judge(shared.value, batch["text"].to_pylist())
+            made = [pa.array(names, pa.string()), *[pa.array(x, pa.float64()) for x in numbers]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made[: len(extra)]], names=[*batch.schema.names, *extra])
 
-    kinds = [*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    kinds = [*docs.schema.fields, T.StructField("lang_pred", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in extra[1:]]]
     return docs.mapInArrow(run, T.StructType(kinds))
 
 
