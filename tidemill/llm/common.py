@@ -16,8 +16,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 18
 FILTER_BITS = 26
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_WORD_BASE = np.uint64(0xD1342543DE82EF95)
+PRIME = (1 << 61) - 1
+PLACES = 64
+
+_P = np.uint64(PRIME)
+_BASE = 0x1B873593CC9E2D51 % PRIME
 
 
 def lean(spark: SparkSession) -> None:
@@ -38,9 +41,11 @@ def crc_remainder(column: str, modulus: int):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where none is set (local runs)."""
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one only on a local master without any."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -74,37 +79,55 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _random_table(places: int = PLACES) -> np.ndarray:
+    """A fixed random 64-bit number for each place and byte value."""
+    return mix64(mix64(np.arange(1, places * 256 + 1, dtype=np.uint64)) ^ np.uint64(0xD1342543DE82EF95))
+
+
+_TABLE = _random_table()
+
+
+def _modulo(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below it, from halves of 31 bits."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    ah, al, bh, bl = a >> half, a & low, b >> half, b & low
+    mid = al * bh + ah * bl
+    return _modulo(((ah * bh) << np.uint64(1)) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << half) + al * bl)
+
+
 class Powers:
-    """Powers of an odd number and of its inverse modulo 2^64, longer on demand."""
+    """Powers of a number and of its inverse modulo PRIME, longer on demand."""
 
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
+    def __init__(self, base: int):
+        self.bases = base, pow(base, -1, PRIME)
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 1 << 19)
-            steps = np.full(n, self.base, np.uint64)
-            steps[0] = 1
-            back = np.full(n, self.inverse, np.uint64)
-            back[0] = 1
-            self.up, self.down = np.cumprod(steps, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+        while len(self.up) < n:
+            k = len(self.up)
+            more = [times(x, np.uint64(pow(b, k, PRIME))) for x, b in zip((self.up, self.down), self.bases, strict=True)]
+            self.up, self.down = np.concatenate((self.up, more[0])), np.concatenate((self.down, more[1]))
         return self.up, self.down
 
 
 _POWERS: dict[int, Powers] = {}
 
 
-def powers(base: np.uint64) -> Powers:
-    return _POWERS.setdefault(int(base), Powers(base))
-
-
-def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each range, from one pass of prefix sums."""
-    up, down = powers(base).upto(len(values) + 1)
+def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of values[start:end] for each range: a polynomial modulo a prime, from one pass of prefix sums."""
+    up, down = _POWERS.setdefault(_BASE, Powers(_BASE)).upto(len(values) + 1)
+    x = times(_modulo(values), up[: len(values)])
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], dtype=np.uint64, out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    high = np.cumsum(x >> np.uint64(31), dtype=np.uint64)
+    high = (high >> np.uint64(30)) + ((high & np.uint64((1 << 30) - 1)) << np.uint64(31))
+    sums[1:] = _modulo(high + np.cumsum(x & np.uint64((1 << 31) - 1), dtype=np.uint64))
+    part = times(_modulo(sums[ends] + (_P - sums[starts])), down[starts])
+    return mix64(part + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +138,30 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hash(data.astype(np.uint64) + np.uint64(1), starts, ends, _BASE)
+    """64-bit hashes of disjoint words of one byte or more: the sum of one random number for each byte at its place.
+
+    Numbers of places beyond the table are mixed from it and the place. Unlike a polynomial modulo 2^64, which all odd
+    bases make equal for some long words (Thue-Morse ones), this has no words of such a kind.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    all_ = np.arange(int(sizes.sum()))
+    place = all_ - np.repeat(first, sizes)
+    x = _TABLE[((place & (PLACES - 1)) << 8) + data[all_ + np.repeat(starts - first, sizes)]]
+    far = np.flatnonzero(place >= PLACES)
+    if len(far):
+        x[far] = mix64(x[far] + (place[far] // PLACES).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix64(np.add.reduceat(x, first) + sizes.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
+def window_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows of PLACES bytes that start at the given places; they may overlap."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(PLACES):
+        out += _TABLE[(k << 8) + data[at + k].astype(np.int64)]
+    return mix64(out)
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -124,11 +170,11 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     at = np.arange(n)
-    return range_hash(words, at, at + size, _WORD_BASE)
+    return range_hash(words, at, at + size)
 
 
 def word_runs(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hash(words, starts, ends, _WORD_BASE)
+    return range_hash(words, starts, ends)
 
 
 def pieces(texts: Iterable[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, bytes, np.ndarray]]:

@@ -12,7 +12,7 @@ range is doubled for the range before it.
 
 Edge cases: null texts are empty. Texts of under 64 bytes are one feature, empty ones none: fingerprint ''. Equal
 fingerprints have likeness 1, an empty one and another 0. Rows with equal ids follow each other in the order of their
-texts; null ids come last. A single row is its own next document. An empty table gives an empty result; other columns are
+texts; null ids come last. Rows of one id, or of null ids, lie in one range, so in one task. A single row is its own next document. An empty table gives an empty result; other columns are
 not read.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_hashes, documents, records, shuffle_width, small
+from .common import byte_hashes, documents, records, shuffle_width, small, window_hashes
 
 WINDOW, RUN, VOTES = 64, 64, 16
 LEVELS = 1024
@@ -150,7 +150,7 @@ def digests(rank: np.ndarray, texts: list[bytes]) -> list[Digest]:
             reach *= 2
         votes = np.bincount(low & ((1 << 40) - 1), minlength=len(levels))
         at = np.flatnonzero(inside & (votes >= VOTES))
-        hashes = byte_hashes(data, at, at + WINDOW)
+        hashes = window_hashes(data, at)
         cut = np.searchsorted(at, starts)
         for k, a, b in zip(held, cut.tolist(), [*cut[1:].tolist(), len(at)], strict=True):
             own = hashes[a:b]

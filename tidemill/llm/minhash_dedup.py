@@ -5,25 +5,28 @@ circular shifts by 0, 1, 2, ... give all coordinates of a signature. So the sign
 of the (doubled) rank table, and that of a document the minimum over its slices. 28 bands of 5 coordinates meet at
 Jaccard 0.85 with probability 1 - 7e-8.
 
-Documents with equal shingle sets are one class, identified by a 64-bit hash of the set, from the start: copies never
-multiply. Then, on classes:
+Documents with equal word sequences are one class, known by 128 bits of the SHA-256 of the sequence, from the start: copies
+never multiply. Then, on classes:
 1. every member of a bucket is checked exactly against the bucket's smallest class (a star, never all pairs);
 2. components of the confirmed links; a bucket inside one component is settled, as is one of two members;
-3. in other buckets every member is checked against all members of other components, in blocks of bounded size that
-   each pair of sub-blocks fills, so no bucket has to fit into a task and no link is lost;
+3. in other buckets the members outside of the bucket's largest component are checked against all others, in blocks of
+   bounded size: a member of the largest component is repeated once for each BLOCK outsiders, an outsider once for each
+   BLOCK members, so no bucket has to fit into a task and no link is lost;
 4. components of all links.
-Bounded Bloom filters keep shingle sets of documents without a candidate from being shuffled.
+Checks compare the words themselves: hashes only find candidates. Bounded Bloom filters keep the words of documents without
+a candidate from being shuffled.
 
 Edge cases: a null or wordless text has no shingles, n_shingles 0 and is linked with nothing: its component is its own id.
-One or two words are one shingle. Rows with an equal id are texts of their own; component_id is the smallest id in the
-component, null ids aside. A null id stands for itself (component_id null, unless linked; kept is false for a linked one
-and true otherwise). Further columns are not read. An empty table gives an empty result.
+Fewer words than a shingle has are one shingle of their own length, equal only to the same words. Rows with an equal id are
+texts of their own; component_id is the smallest id in the component, null ids aside. A null id stands for itself
+(component_id null, unless linked; kept is false for a linked one and true otherwise). Further columns are not read. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +40,13 @@ SHINGLE, THRESHOLD = 3, (85, 100)
 BANDS, ROWS = 28, 5
 UNIVERSE = 1 << 20
 BLOCK = 512
+SALTS = 16
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_SETS = pa.schema([("class", pa.int64()), ("shingles", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SETS = pa.schema([("words", pa.binary()), ("text", pa.binary())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-@lru_cache(1)
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     """The scattering permutation, and all circular shifts of the ranking one as rows of a view."""
     rng = np.random.default_rng(20260)
@@ -52,23 +55,21 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
     return scatter, np.lib.stride_tricks.sliding_window_view(np.concatenate((rank, rank[:size])), size)
 
 
-def shingle_sets(texts: list, size: int) -> Iterator[np.ndarray]:
-    """The sorted distinct 64-bit shingle hashes of each text."""
+def shingle_sets(texts: list, size: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    """The lower-cased words of each text, joined by blanks, and its sorted distinct 64-bit shingle hashes."""
     for _, blob, offsets in pieces(texts):
-        data = np.frombuffer(blob.lower(), np.uint8)
+        blob = blob.lower()
+        data = np.frombuffer(blob, np.uint8)
         starts, ends = word_bounds(data)
-        words = byte_hashes(data, starts, ends)
-        grams = gram_hashes(words, size)
+        grams = gram_hashes(byte_hashes(data, starts, ends), size)
         first = np.searchsorted(starts, offsets)
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if b - a >= size:
-                yield np.unique(grams[a : b - size + 1])
-            else:
-                yield gram_hashes(words[a:b], b - a) if b > a else words[:0]
+        for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            words = b" ".join(blob[offsets[k] : offsets[k + 1]].split())
+            yield words, np.unique(grams[a : b - size + 1]) if b - a >= size else np.full(int(b > a), b - a, np.uint64)
 
 
-def _set_hash(hashes: np.ndarray) -> int:
-    return int(mix64(np.array([mix64(hashes).sum(dtype=np.uint64) + np.uint64(len(hashes))], np.uint64)).view(np.int64)[0])
+def _name(words: bytes) -> bytes:
+    return hashlib.sha256(words).digest()[:16]
 
 
 def _sign(shingle: int):
@@ -77,52 +78,76 @@ def _sign(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scatter, shifts = _permutations()
         for batch in small(batches):
-            n, classes, signatures = [], [], []
-            for hashes in shingle_sets(batch["text"].to_pylist(), shingle):
+            n, names, signatures, banded = [], [], [], []
+            for words, hashes in shingle_sets(batch["text"].to_pylist(), shingle):
                 n.append(len(hashes))
-                classes.append(_set_hash(hashes) if len(hashes) else None)
+                names.append(_name(words) if words else None)
+                banded.append(words.count(b" ") + 1 >= shingle and words != b"")  # fewer words equal only themselves
                 places = scatter[(hashes & np.uint64(UNIVERSE - 1)).astype(np.int64)]
                 low = np.full(BANDS * ROWS, UNIVERSE, np.uint32)
                 for k in range(0, len(places), 1024):
                     low = np.minimum(low, shifts[places[k : k + 1024]].min(axis=0))
                 signatures.append(low)
             keys = mix64((np.array(signatures, np.uint64).reshape(len(n), BANDS, ROWS) * odd.reshape(BANDS, ROWS)).sum(axis=2, dtype=np.uint64))
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
-            yield records(_SIGNED, [batch["doc_id"], n, classes, bands])
+            ends = np.concatenate(([0], np.cumsum(np.array(banded, np.int32) * BANDS))).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[np.array(banded, bool)].view(np.int64).ravel()))
+            yield records(_SIGNED, [batch["doc_id"], n, names, bands])
 
     return run
 
 
-def _wanted_sets(shingle: int, wanted):
+def _key(names: list) -> np.ndarray:
+    """What the sieve knows of a class name: its first 8 bytes."""
+    return np.frombuffer(b"".join(x[:8] for x in names), ">i8").astype(np.int64)
+
+
+def _wanted_texts(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            sets = [(_set_hash(h), h) for h in shingle_sets(batch["text"].to_pylist(), shingle) if len(h)]
-            if sets:
-                keep = passes(wanted.value, np.array([k for k, _ in sets], np.int64))
-                yield records(_SETS, [[k for (k, _), x in zip(sets, keep, strict=True) if x], [h.tobytes() for (_, h), x in zip(sets, keep, strict=True) if x]])
+            texts = [t for t in (b" ".join((t or "").encode().lower().split()) for t in batch["text"].to_pylist()) if t]
+            names = [_name(t) for t in texts]
+            keep = passes(wanted.value, _key(names)) if names else ()
+            yield records(_SETS, [[x for x, k in zip(c, keep, strict=True) if k] for c in (names, texts)])
 
     return run
 
 
-def _similar(common, na, nb):
-    part, whole = THRESHOLD
+def exact_shingles(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """The distinct shingles of each text of size words or more, as numbers that are equal where the words are."""
+    ids: dict[bytes, int] = {}
+    split = [t.split() for t in texts]
+    words = [np.fromiter((ids.setdefault(w, len(ids)) for w in t), np.int64, len(t)) for t in split]
+    code = plain = np.concatenate(words)
+    lengths = np.array([len(w) for w in words])
+    ends = np.cumsum(lengths)
+    for k in range(1, size):  # runs of k + 1 words are pairs of a run of k words and a word
+        pair = code[:-1] * len(ids) + plain[k:]
+        _, code = np.unique(pair, return_inverse=True)
+    return [np.unique(code[e - n : e - size + 1]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+
+
+def _similar(threshold: tuple[int, int], common, na, nb):
+    part, whole = threshold
     return whole * common >= part * (na + nb - common)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small(batches):
-        out = []
-        for a, b, x, y in zip(*(batch[c].to_pylist() for c in ("a", "b", "of_a", "of_b")), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if _similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-                out.append((a, b))
-        yield records(_LINKS, list(zip(*out, strict=True)) if out else [[], []])
+def _confirm(shingle: int, threshold: tuple[int, int]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            out = []
+            for a, b, *texts in zip(*(batch[c].to_pylist() for c in ("a", "b", "of_a", "of_b")), strict=True):
+                x, y = exact_shingles(texts, shingle)
+                if _similar(threshold, len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+                    out.append((a, b))
+            yield records(_LINKS, list(zip(*out, strict=True)) if out else [[], []])
+
+    return run
 
 
-def _confirm_block(held: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
-    """Links between members of different components; held: class, component, shingles."""
+def _confirm_block(held: list[tuple[int, int, bytes]], shingle: int, threshold: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links between members of different components; held: class, component, words."""
     names, labels = [x[0] for x in held], np.array([x[1] for x in held])
-    sets = [np.frombuffer(x[2], np.uint64) for x in held]
+    sets = exact_shingles([x[2] for x in held], shingle)
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, element = np.unique(np.concatenate(sets), return_inverse=True)
@@ -134,67 +159,85 @@ def _confirm_block(held: list[tuple[int, int, bytes]]) -> list[tuple[int, int]]:
     out = []
     for i in np.flatnonzero(labels != largest).tolist():
         own = element[first[i] : first[i + 1]]
-        lo, n = np.where(own > 0, ends[own - 1], 0), 0
+        lo = np.where(own > 0, ends[own - 1], 0)
         n = ends[own] - lo
         common = np.bincount(posted[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())], minlength=len(sets))
-        for j in np.flatnonzero(_similar(common, sizes[i], sizes) & (labels != labels[i])).tolist():
+        for j in np.flatnonzero(_similar(threshold, common, sizes[i], sizes) & (labels != labels[i])).tolist():
             out.append((names[i], names[j]))
     return out
 
 
-def _confirm_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm_blocks(shingle: int, threshold: tuple[int, int]) -> Callable:
     """Rows come sorted by block; a block has about twice BLOCK members at most."""
-    now, held = None, []
-    for batch in small(batches):
-        out = []
-        for block, name, label, shingles in zip(*(batch[c].to_pylist() for c in ("block", "class", "component", "shingles")), strict=True):
-            if block != now:
-                if len(held) > 1:
-                    out += _confirm_block(held)
-                now, held = block, []
-            held.append((name, label, shingles))
-        yield records(_LINKS, list(zip(*out, strict=True)) if out else [[], []])
-    if len(held) > 1 and (out := _confirm_block(held)):
-        yield records(_LINKS, list(zip(*out, strict=True)))
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in small(batches):
+            out = []
+            for block, name, label, text in zip(*(batch[c].to_pylist() for c in ("block", "class", "component", "text")), strict=True):
+                if block != now:
+                    if len(held) > 1:
+                        out += _confirm_block(held, shingle, threshold)
+                    now, held = block, []
+                held.append((name, label, text))
+            yield records(_LINKS, list(zip(*out, strict=True)) if out else [[], []])
+        if len(held) > 1 and (out := _confirm_block(held, shingle, threshold)):
+            yield records(_LINKS, list(zip(*out, strict=True)))
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text).
+
+    threshold: the least Jaccard similarity as a fraction; the bands are made for 4/5 and more.
+    """
     spark = docs.sparkSession
+    part, whole = threshold
     slim = docs.select("doc_id", "text")
-    signed = cut(slim.mapInArrow(_sign(shingle), "doc_id long, n long, class long, bands array<long>"), "signed")
-    rows = signed.where("n > 0").select("class", "n", F.explode("bands").alias("band"))
+    signed = slim.mapInArrow(_sign(shingle), "doc_id long, n long, words binary, bands array<long>").withColumn("row", F.monotonically_increasing_id())
+    signed = cut(signed, "signed")
+    classes = signed.where("words is not null").groupBy("words").agg(F.min("row").alias("class"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = cut(classes, "classes")
+    rows = classes.select("class", "n", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("class").alias("hub"), F.max("class").alias("top")).where("hub != top")
-    members = cut(rows.distinct().join(buckets.select("band", "hub"), "band"), "members")
+    members = cut(rows.join(buckets.select("band", "hub"), "band"), "members")
 
-    wanted = spark.sparkContext.broadcast(key_filter(members, "class"))
-    sets = slim.mapInArrow(_wanted_sets(shingle, wanted), "class long, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles"))
-    sets = cut(sets, "sets")
+    linked = cut(classes.select("words", "class").join(members.select("class").distinct(), "class", "left_semi"), "linked")
+    wanted = spark.sparkContext.broadcast(key_filter(linked.select(F.expr("cast(conv(hex(substring(words, 1, 8)), 16, -10) as long)").alias("key")), "key"))
+    texts = slim.mapInArrow(_wanted_texts(wanted), "words binary, text binary").groupBy("words").agg(F.first("text").alias("text"))
+    texts = cut(texts.join(linked, "words").select("class", "text"), "texts")
     hubs = members.groupBy("band", "hub").agg(F.max(F.when(F.col("class") == F.col("hub"), F.col("n"))).alias("hub_n"))
-    part, whole = THRESHOLD
     pairs = members.join(hubs.select("band", "hub_n"), "band").where(f"class != hub and {whole} * least(n, hub_n) >= {part} * greatest(n, hub_n)").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
-    checked = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("of_b")), "b")
-    links = cut(checked.mapInArrow(_confirm, "a long, b long"), "links")
+    checked = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("of_a")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("of_b")), "b")
+    links = cut(checked.mapInArrow(_confirm(shingle, threshold), "a long, b long"), "links")
     found = cut(connected_components(links), "components")
 
     # Buckets of three or more members that lie in several components.
     placed = members.select("band", "class").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    open_ = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("same")).where("lo != hi and m > 2")
-    open_ = open_.groupBy("same", "m").agg(F.min("band").alias("band"))  # one of the buckets with the same members
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
-    blocks = placed.join(open_.select("band", parts.alias("parts")), "band").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = blocks.select(F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), "class", "component")
-    more = blocks.join(sets, "class").repartition(shuffle_width(spark), "block").sortWithinPartitions("block").mapInArrow(_confirm_blocks, "a long, b long")
+    parts = placed.groupBy("band", "component").agg(F.count("*").alias("m"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("same"))
+    open_ = parts.groupBy("band").agg(F.count("*").alias("components"), F.sum("m").alias("m"), F.sum("same").alias("same"), F.max(F.struct("m", "component")).alias("most")).where("components > 1 and m > 2")
+    open_ = open_.groupBy("same", "m").agg(F.min(F.struct("band", "most")).alias("x"))  # one of the buckets with the same members
+    count = lambda x: F.ceil(x / BLOCK).cast("int")
+    open_ = open_.select("x.band", F.col("x.most.component").alias("largest"), count(F.col("x.most.m")).alias("inner"), count(F.col("m") - F.col("x.most.m")).alias("outer"))
+    x = placed.join(open_, "band").withColumn("out", F.col("component") != F.col("largest"))
+    x = x.withColumn("mine", F.pmod(F.xxhash64("class"), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    of_outer = F.transform(upto("outer"), lambda k: F.when(F.col("out"), F.xxhash64("band", F.lit(0), F.least("mine", k), F.greatest("mine", k))).otherwise(F.xxhash64("band", F.lit(1), "mine", k)))
+    of_inner = F.when(F.col("out"), F.transform(upto("inner"), lambda k: F.xxhash64("band", F.lit(1), k, "mine"))).otherwise(F.array().cast("array<long>"))
+    blocks = x.select(F.explode(F.concat(of_outer, of_inner)).alias("block"), "class", "component")
+    more = blocks.join(texts, "class").repartition(shuffle_width(spark), "block").sortWithinPartitions("block").mapInArrow(_confirm_blocks(shingle, threshold), "a long, b long")
     more = cut(more.distinct(), "links")
     if not more.isEmpty():
         found = cut(connected_components(links.unionByName(more)), "components")
 
-    classes = signed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(found.withColumnRenamed("node", "class"), "class", "left")
-    classes = classes.select("class", "least", F.coalesce("component", "class").alias("component"))
-    ids = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(ids, "component").select("class", "component_id")
-    out = signed.select("doc_id", "n", "class").join(named, "class", "left")
+    # The smallest id of each component; large components are dealt over several tasks on their way back.
+    salt = F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")
+    of = classes.select("class", "least").join(found.withColumnRenamed("node", "class"), "class")
+    ids = of.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = of.select("class", "component", salt.alias("salt")).join(ids, ["component", "salt"]).select("class", "component_id")
+    named = classes.join(named, "class", "left").select("words", F.coalesce("component_id", "least").alias("component_id"))
+    out = signed.select("doc_id", "n", "words").join(named, "words", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 

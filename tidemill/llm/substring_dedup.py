@@ -5,10 +5,12 @@ are not broadcast whole; each piece of text is sent to the one shard that can ho
 anchor: of every run of `window` words the smallest hash among its inner runs of about half that length. Equal runs have
 equal anchors, so all starts of a run meet in the shard of its anchor. There a suffix automaton of the shard's distinct
 pieces, with weighted occurrence counts, gives each piece its matching statistics: a run of full length whose state
-counts two or more starts is repeated. Pieces that occur twice as a whole need no automaton. Bounded Bloom filters of the
-shared anchors keep all other pieces from being shuffled; they are sieves only, exact joins follow. An anchor with more
-than 512 distinct pieces makes no shard, as that could outgrow a task: its pieces fall apart into their single runs, whose
-starts Spark sums up by content.
+counts two or more starts is repeated. The automata compare words by their bytes and decide every run; hashes only bring
+pieces together. Bounded Bloom filters of the shared anchors keep all other pieces from being shuffled.
+
+An anchor with more than SHARD distinct pieces would make a shard without a bound. Its pieces fall apart into single runs
+of `window` words; those whose hash comes twice are dealt by that hash over shards of about SHARD runs, one row a distinct
+run with the sum of its starts, and automata of these decide them.
 
 Edge cases: a null or empty text has no words (n_words 0, hash of the empty text). Texts shorter than the window keep all
 words. Equal rows, and rows with an equal id, each count as texts of their own: a row that appears twice repeats itself.
@@ -28,11 +30,14 @@ from pyspark.sql import functions as F
 from .common import byte_hashes, cut, documents, gram_hashes, key_filter, mix64, passes, pieces, records, shuffle_width, small, word_bounds, word_runs
 
 WINDOW = 35
-#: Distinct pieces of one anchor that still make one shard.
+#: Sequences in a shard, about: an anchor with more distinct pieces makes several shards of single runs.
 SHARD = 512
 
-_ANCHORS = pa.schema([("anchor", pa.int64()), ("piece", pa.int64())])
-_PIECES = pa.schema([("anchor", pa.int64()), ("piece", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
+#: Runs of one text whose anchors are looked for at a time; positions among them have 24 bits.
+PART = 1 << 23
+
+_ANCHORS = pa.schema([("anchor", pa.int64())])
+_PIECES = pa.schema([("anchor", pa.int64()), ("piece", pa.int64()), ("row_id", pa.int64()), ("row_key", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
 _MASKS = "anchor long, piece long, mask long"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
@@ -49,14 +54,17 @@ def _anchors(blob: bytes, offsets: np.ndarray, window: int):
     size = (window + 1) // 2
     span = window - size + 1  # inner runs in a window
     grams = gram_hashes(words, size)
-    key = (mix64(grams) >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
-    low, reach = key, 1
-    while reach * 2 <= span:
-        low = np.minimum(low[: len(low) - reach], low[reach:])
-        reach *= 2
-    if reach < span:
-        low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
-    at = (low[:count] & np.uint64((1 << 24) - 1)).astype(np.int64)
+    rank, at = mix64(grams), np.empty(count, np.int64)
+    for a in range(0, count, PART):
+        part = rank[a : a + PART + span - 1]
+        low = (part >> np.uint64(24) << np.uint64(24)) | np.arange(len(part), dtype=np.uint64)
+        reach = 1
+        while reach * 2 <= span:
+            low = np.minimum(low[: len(low) - reach], low[reach:])
+            reach *= 2
+        if reach < span:
+            low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :])
+        at[a : a + PART] = (low & np.uint64((1 << 24) - 1)).astype(np.int64) + a
     good = owner[:count] == owner[window - 1 :]
     first = np.flatnonzero(good & np.concatenate(([True], (at[1:] != at[:-1]) | ~good[:-1])))
     stop = np.flatnonzero(good & np.concatenate(((at[1:] != at[:-1]) | ~good[1:], [True]))) + 1
@@ -72,24 +80,23 @@ def _emit_anchors(window: int):
         for batch in small(batches):
             for _, blob, offsets in pieces(batch["text"].to_pylist()):
                 if (found := _anchors(blob, offsets, window)) is not None:
-                    yield records(_ANCHORS, [found[0], found[1]])
+                    yield records(_ANCHORS, [found[0]])
 
     return run
 
 
-def _emit_pieces(window: int, shared, mixed):
+def _emit_pieces(window: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            keys = batch["row_key"].to_numpy()
+            ids, keys = batch["row_id"].to_numpy(), batch["row_key"].to_numpy()
             for first, blob, offsets in pieces(batch["text"].to_pylist()):
                 if (found := _anchors(blob, offsets, window)) is None:
                     continue
                 keep = np.flatnonzero(passes(shared.value, found[0]))
-                if len(keep):
-                    anchor, piece, whose, start, n, lo, hi = (x[keep] for x in found)
-                    inner = passes(mixed.value, anchor)
-                    text = [blob[a:b] if k else None for a, b, k in zip(lo.tolist(), hi.tolist(), inner.tolist(), strict=True)]
-                    yield records(_PIECES, [anchor, piece, keys[first + whose], start.astype(np.int32), n.astype(np.int32), pa.array(text, pa.binary())])
+                for k in range(0, len(keep), 4096):
+                    anchor, piece, whose, start, _, lo, hi = (x[keep[k : k + 4096]] for x in found)
+                    words = [b" ".join(blob[a:b].split()) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    yield records(_PIECES, [anchor, piece, ids[first + whose], keys[first + whose], start.astype(np.int32), words])
 
     return run
 
@@ -156,14 +163,14 @@ class SuffixAutomaton:
 
 
 def _shard(window: int):
-    """Rows come sorted by anchor; one anchor's pieces are one shard."""
+    """Rows come sorted by shard."""
 
-    def solve(anchor: int, held: list[tuple[int, int, bytes]]):
+    def solve(held: list[tuple[int, int, int, bytes]]):
         ids: dict[bytes, int] = {}
-        sequences = [[ids.setdefault(w, len(ids)) for w in words.split()] for _, _, words in held]
-        automaton = SuffixAutomaton(sequences, [weight for _, weight, _ in held])
-        for (piece, weight, _), sequence in zip(held, sequences, strict=True):
-            if weight == 1 and (mask := automaton.repeated(sequence, window)):
+        sequences = [[ids.setdefault(w, len(ids)) for w in words.split()] for *_, words in held]
+        automaton = SuffixAutomaton(sequences, [weight for _, _, weight, _ in held])
+        for (anchor, piece, *_), sequence in zip(held, sequences, strict=True):
+            if mask := automaton.repeated(sequence, window):
                 yield anchor, piece, mask
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,41 +178,41 @@ def _shard(window: int):
         now, held = None, []
         for batch in batches:
             out = []
-            for anchor, piece, weight, words in zip(*(batch[c].to_pylist() for c in ("anchor", "piece", "weight", "words")), strict=True):
-                if anchor != now:
-                    if len(held) > 1:
-                        out += solve(now, held)
-                    now, held = anchor, []
-                held.append((piece, weight, words))
+            for shard, *row in zip(*(batch[c].to_pylist() for c in ("shard", "anchor", "piece", "weight", "words")), strict=True):
+                if shard != now:
+                    out += solve(held)
+                    now, held = shard, []
+                held.append(row)
             yield records(schema, list(zip(*out, strict=True)) if out else [[], [], []])
-        if len(held) > 1 and (out := list(solve(now, held))):
+        if out := list(solve(held)):
             yield records(schema, list(zip(*out, strict=True)))
 
     return run
 
 
-def _small_anchors(large):
+def _of_size(large, wanted: bool):
+    """The pieces of large anchors, or of the others. An anchor the filter takes for a large one is treated alike in all
+    its pieces, so nothing is lost by that."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(~passes(large.value, batch["anchor"].to_numpy())))
+            yield batch.filter(pa.array(passes(large.value, batch["anchor"].to_numpy()) == wanted))
 
     return run
 
 
-def _runs(window: int, large):
-    """The single runs of the pieces of large anchors: piece, offset in it, hash of the run's words. An anchor the filter
-    takes for a large one is treated alike in all its pieces, so nothing is lost by that."""
-    schema = pa.schema([("anchor", pa.int64()), ("piece", pa.int64()), ("weight", pa.int64()), ("bit", pa.int64()), ("run", pa.int64())])
+def _runs(window: int):
+    """The single runs of pieces: piece, offset in it, hash of the run's words."""
+    schema = pa.schema([("anchor", pa.int64()), ("piece", pa.int64()), ("weight", pa.int64()), ("bit", pa.int32()), ("run", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            batch = batch.filter(pa.array(passes(large.value, batch["anchor"].to_numpy())))
             out: list[list] = [[] for _ in schema.names]
             for anchor, piece, weight, words in zip(*(batch[c].to_pylist() for c in ("anchor", "piece", "weight", "words")), strict=True):
                 data = np.frombuffer(words, np.uint8)
                 hashes = gram_hashes(byte_hashes(data, *word_bounds(data)), window).view(np.int64)
                 n = len(hashes)
-                for column, values in zip(out, ([anchor] * n, [piece] * n, [weight] * n, [1 << k for k in range(n)], hashes.tolist()), strict=True):
+                for column, values in zip(out, ([anchor] * n, [piece] * n, [weight] * n, range(n), hashes.tolist()), strict=True):
                     column += values
             yield records(schema, out)
 
@@ -239,38 +246,45 @@ def _remove(window: int):
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """row_key, spans: array of (start, mask): bit i of mask marks a repeated run of window words at word start + i.
+    """row_id, row_key, spans: array of (start, mask): bit i of mask marks a repeated run of window words at start + i.
 
-    docs has row_key, a 64-bit hash of the row's id and text, and text. window: 3 to 100 words.
+    docs has row_id and row_key, which together name a row, and text. window: 3 to 100 words.
     """
     spark = docs.sparkSession
-    slim = docs.select("row_key", "text")
-    counts = slim.mapInArrow(_emit_anchors(window), "anchor long, piece long").groupBy("anchor").agg(F.count("*").alias("n"), F.min("piece").alias("lo"), F.max("piece").alias("hi")).where("n > 1")
-    counts = cut(counts.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
+    slim = docs.select("row_id", "row_key", "text")
+    counts = cut(slim.select("text").mapInArrow(_emit_anchors(window), "anchor long").groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     shared = spark.sparkContext.broadcast(key_filter(counts, "anchor"))
-    mixed = spark.sparkContext.broadcast(key_filter(counts.where("mixed"), "anchor"))
-    found = cut(slim.mapInArrow(_emit_pieces(window, shared, mixed), "anchor long, piece long, row_key long, start int, n int, words binary"), "pieces")
-    weights = found.groupBy("anchor", "piece").agg(F.count("*").alias("weight"), F.min("n").alias("n"))
-    whole = weights.where("weight > 1").select("anchor", "piece", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    distinct = found.where("words is not null").groupBy("anchor", "piece").agg(F.count("*").alias("weight"), F.first("words").alias("words"))
-    distinct = cut(distinct, "shards")
-    large = spark.sparkContext.broadcast(key_filter(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(f"n > {SHARD}"), "anchor"))
-    shards = distinct.mapInArrow(_small_anchors(large), "anchor long, piece long, weight long, words binary").repartition(shuffle_width(spark), "anchor")
-    parts = shards.sortWithinPartitions("anchor").mapInArrow(_shard(window), _MASKS)
-    runs = distinct.mapInArrow(_runs(window, large), "anchor long, piece long, weight long, bit long, run long")
-    often = runs.groupBy("anchor", "run").agg(F.sum("weight").alias("starts")).where("starts > 1")
-    single = runs.where("weight = 1").join(often, ["anchor", "run"], "left_semi").groupBy("anchor", "piece").agg(F.bit_or("bit").alias("mask"))
-    parts = parts.unionByName(single)
-    return found.select("anchor", "piece", "row_key", "start").join(whole.unionByName(parts), ["anchor", "piece"]).groupBy("row_key").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
+    found = cut(slim.mapInArrow(_emit_pieces(window, shared), "anchor long, piece long, row_id long, row_key long, start int, words binary"), "pieces")
+    distinct = cut(found.groupBy("anchor", "piece").agg(F.count("*").alias("weight"), F.first("words").alias("words")), "distinct")
+    kinds = "anchor long, piece long, weight long, words binary"
+    many = spark.sparkContext.broadcast(key_filter(distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(f"n > {SHARD}"), "anchor"))
+    whole = distinct.mapInArrow(_of_size(many, False), kinds).withColumn("shard", F.col("anchor"))
+
+    large = distinct.mapInArrow(_of_size(many, True), kinds)
+    runs = cut(large.mapInArrow(_runs(window), "anchor long, piece long, weight long, bit int, run long"), "runs")
+    often = cut(runs.groupBy("anchor", "run").agg(F.sum("weight").alias("weight"), F.min(F.struct("piece", "bit")).alias("at")).where("weight > 1"), "often")
+    most = often.groupBy("anchor").count().agg(F.max("count")).first()[0] or 1
+    bits = max(0, (most // SHARD).bit_length())
+    deal = F.xxhash64("anchor", F.shiftrightunsigned("run", 64 - bits)) if bits else F.col("anchor")
+    single = often.select("anchor", "run", "weight", "at.piece", "at.bit").join(large.select("anchor", "piece", "words"), ["anchor", "piece"])
+    words = F.array_join(F.slice(F.split(F.col("words").cast("string"), " "), F.col("bit") + 1, window), " ").cast("binary")
+    single = single.select("anchor", F.col("run").alias("piece"), "weight", words.alias("words"), deal.alias("shard"))
+
+    parts = whole.unionByName(single).repartition(shuffle_width(spark), "shard").sortWithinPartitions("shard").mapInArrow(_shard(window), _MASKS)
+    masks = cut(parts, "masks")
+    of_large = F.expr("shiftleft(1L, bit)").alias("mask")
+    by_run = runs.join(masks.select("anchor", F.col("piece").alias("run")), ["anchor", "run"], "left_semi").select("anchor", "piece", of_large).groupBy("anchor", "piece").agg(F.bit_or("mask").alias("mask"))
+    spans = found.select("anchor", "piece", "row_id", "row_key", "start").join(masks.mapInArrow(_of_size(many, False), _MASKS).unionByName(by_run), ["anchor", "piece"])
+    return spans.groupBy("row_id", "row_key").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text (kept words joined by one space) of every row of docs."""
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row_id", F.coalesce("doc_id", F.lit(0))).withColumn("row_key", F.xxhash64("doc_id", "text"))
     spans = cut(repeated_spans(keyed, window), "spans")
     hit = spark.sparkContext.broadcast(key_filter(spans, "row_key"))
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("row_key", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("row_id", pa.int64()), ("row_key", pa.int64())])
 
     def sift(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,9 +294,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
         return run
 
-    kind = "doc_id long, text string, row_key long"
+    kind = "doc_id long, text string, row_id long, row_key long"
     clean = keyed.mapInArrow(sift(False), kind).mapInArrow(_remove(window), _RESULT)
-    touched = keyed.mapInArrow(sift(True), kind).join(spans, "row_key", "left").select("doc_id", "text", "spans").mapInArrow(_remove(window), _RESULT)
+    touched = keyed.mapInArrow(sift(True), kind).join(spans, ["row_id", "row_key"], "left").select("doc_id", "text", "spans").mapInArrow(_remove(window), _RESULT)
     return clean.unionByName(touched)
 
 
