@@ -13,69 +13,66 @@ V = s.load()
 
 @pytest.fixture(scope="module")
 def library():
-    model = sentencepiece_model_pb2.ModelProto()
-    with open(s.MODEL, "rb") as f:
-        model.ParseFromString(f.read())
-    model.trainer_spec.model_type = 1  # the same pieces and scores by the unigram rule
-    return sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    return sentencepiece.SentencePieceProcessor(model_file=s.MODEL)
 
 
 def ids(text):
-    return s.encode_texts(V, [s.SPACE + s.escape(text)])[0].tolist()
-
-
-TEXTS = ["The quick brown fox", "a", " ", "  two  blanks ", "é ü 😀 full ｆｕｌｌ 日本語テキスト", "line\n\ttabs\r\n end", "x" * 60, "0123456789 " * 5, "Anblewh sttible athawh thonre"]
+    return s.encode_texts(V, [s.SPACE + s.escape(text)])[0].tolist() if text else []
 
 
-def plain(library, text):
-    """The best path by the textbook loop over a dictionary of pieces."""
-    pieces = {library.id_to_piece(k): (library.get_score(k), k) for k in range(library.get_piece_size()) if not (library.is_byte(k) or library.is_control(k) or library.is_unknown(k))}
-    low = min(x for x, _ in pieces.values()) - 10
-    t = "▁" + text.replace(" ", "▁") if text else ""
-    best = [(0.0, None)] + [(-1e300, None)] * len(t)
-    for e in range(1, len(t) + 1):
-        for a in range(max(0, e - 16), e):
-            score, k = pieces.get(t[a:e], (low, None) if e - a == 1 else (None, None))
-            if score is not None and best[a][0] + score > best[e][0]:
-                best[e] = (best[a][0] + score, (a, k))
-    out, e = [], len(t)
-    while e:
-        a, k = best[e][1]
-        out.append([k] if k is not None else [library.piece_to_id(f"<0x{b:02X}>") for b in t[a:e].encode()])
-        e = a
-    return [k for part in out[::-1] for k in part]
+TEXTS = ["The quick brown fox", "a", " ", "  two  blanks ", "é ü 😀 full ｆｕｌｌ 日本語テキスト", "line\n\ttabs\r\n end", "x" * 60, "0123456789 " * 5, "Anblewh sttible athawh thonre", "x" * 3000, "日本語の文" * 200, *[" " * n + "the" + " " * (n // 2) for n in range(40)]]
 
 
-def test_ids_match_the_plain_loop(library, spark, sf):
-    texts = TEXTS + [w for r in spark.read.parquet(f"{sf}/documents.parquet").limit(8).collect() for w in r.text[:400].split(". ")]
-    for t in texts:
+def test_ids_match_the_library(library, spark):
+    texts = TEXTS + [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for t, want in zip(texts, library.encode(texts, num_threads=1), strict=True):
         got = ids(t)
-        assert got == plain(library, t), t
-        assert library.decode(got) == t
-        assert cost(got) >= cost(library.encode(t))  # whose search takes shortcuts at such large scores
-
-
-def cost(tokens):
-    score = dict(zip(V.ids.tolist(), V.scores.tolist(), strict=True))
-    return sum(score.get(t, 0) for t in tokens)
+        assert got == want, t[:80]
+        assert s.decode_ids(V, got) == t
+
+
+def test_neighbours_match_the_merge_loop():
+    rng = random.Random(5)
+    rank = {p: -x for p, x in ((q.piece, q.score) for q in model().pieces if q.type == 1)}
+    id_of = {p.piece: k for k, p in enumerate(model().pieces) if p.type == 1}
+    names = list(id_of)
+    some = [(rng.choice(names), rng.choice(names)) for _ in range(3000)]
+    for p in rng.sample(names, 1500):  # and pairs that often are no neighbours
+        k = rng.randrange(len(p))
+        if p[:k] in id_of and p[k:] in id_of:
+            some.append((p[:k], p[k:]))
+        some += [(p[:k], q) for q in ("e", "s", "ing", "▁", "▁▁") if p[:k] in id_of]
+    got = s.neighbours(V, np.array([id_of[a] for a, _ in some]), np.array([id_of[b] for _, b in some]))
+    assert got.tolist() == [s.merge(a + b, rank)[0] == [a, b] for a, b in some]
+    assert 0 < got.sum() < len(got)
+
+
+def model():
+    out = sentencepiece_model_pb2.ModelProto()
+    with open(s.MODEL, "rb") as f:
+        out.ParseFromString(f.read())
+    return out
 
 
 def test_chunks_match_the_whole():
-    rng = random.Random(1)
-    texts = ["".join(rng.choice("abcdeé thes ing\n日") for _ in range(400)) for _ in range(15)] + ["thesestationing" * 30, " " * 100, "日本" * 60, "x"]
+    rng, pairs = random.Random(1), s.Pairs(V)
+    texts = ["".join(rng.choice("abcdeé thes ing\n日") for _ in range(400)) for _ in range(15)] + ["thesestationing" * 30, " " * 100, "日本" * 60, "x", "in" * 200 + " " * 40 + "\n" * 40]
     for t in texts:
         whole = s.SPACE + s.escape(t)
         for size in (16, 17, 40, 101):
-            parts = [(whole[k : k + size + V.longest], min(size, len(whole) - k)) for k in range(0, len(whole), size)]
-            matrices = [s.transfer(V, p, n) for p, n in parts]
-            total = matrices[0]
-            for m in matrices[1:]:
-                total = s.combine(total, m)
-            got = [x for (p, n), (a, b) in zip(parts, s.states(matrices), strict=True) for x in s.backtrace(V, p, n, a, b).tolist()]
-            assert s.decode_ids(V, got) == t
-            assert cost(got) == cost(ids(t))
-            scores = s.encode_segments(V, s.re.findall(V.segment, whole))[2]
-            assert total[0, 0] == scores.sum()
+            chunks = []
+            for k in range(0, len(whole), size):
+                before = min(k, V.longest)
+                hi = min(size, len(whole) - k)
+                chunks.append(s.Chunk(pairs, whole[k - before : k + hi + V.longest], before, before + hi, k == 0, k + hi == len(whole)))
+            matrices = [c.transfer() for c in chunks]
+            assert s.product(matrices).tolist() == [[0]]
+            half = len(matrices) // 2 or 1
+            found = s.states(matrices)
+            if len(matrices) > half:  # the same by way of two groups
+                (a, b), (c, d) = s.states([s.product(matrices[:half]), s.product(matrices[half:])])
+                assert found == s.states(matrices[:half], a, b) + s.states(matrices[half:], c, d)
+            assert [x for c, (a, b) in zip(chunks, found, strict=True) for x in c.trace(a, b).tolist()] == ids(t)
 
 
 def test_product_is_associative():
@@ -96,8 +93,18 @@ def test_whole_table(spark, sf):
 def test_edges(spark, monkeypatch):
     monkeypatch.setattr(s, "CHUNK", 50)
     rng = random.Random(9)
+    monkeypatch.setattr(s, "FAN", 4)
     rows = [(1, None), (2, ""), (3, " "), (4, "a▁b ▁"), (None, "x y"), (5, "same"), (5, "same"), (6, "\n" * 120), (7, "thing" * 70), (8, "".join(rng.choice("ab é日\n") for _ in range(3000)))]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as decoded", "3 as chunk", "4 as row_id")
-    got = encoded_and_checked(df).collect()
-    assert sorted(((r.doc_id, r.n_chars, r.exact) for r in got), key=str) == sorted(((i, len(t or ""), True) for i, t in rows), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as decoded", "3 as chunk", "4 as row_id", "5 as _row")
+    assert all(r.exact for r in encoded_and_checked(df).collect())
+    got = {(r.doc_id, r.text): r.ids for r in s.decode(s.encode(df)).where("decoded <=> coalesce(text, '')").collect()}
+    assert got == {(i, t): ids(t) for i, t in rows}
+    assert s.encode(df).count() == len(rows)
     assert encoded_and_checked(df.limit(0)).count() == 0
+
+
+def test_long_texts(spark, library):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(("the ", "a", "日本", "ing", " \n")) for _ in range(150_000)), "thesestationing" * 20_000]
+    got = {r.doc_id: r.ids for r in encoded_and_checked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("exact").collect()}
+    assert [got[0], got[1]] == library.encode(texts, num_threads=1)

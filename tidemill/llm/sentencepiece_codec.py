@@ -1,19 +1,22 @@
 """SentencePiece encoding and decoding by a max-plus scan over the piece lattice.
 
-Method: the encoding is the path of largest summed piece scores through the lattice of all pieces that match the text
-(the unigram rule; of equal paths the one with the longer last piece). A character no piece covers costs the smallest
-score less 10 and becomes its bytes. Between a blank and what comes before it, and around line ends, no piece crosses:
+Method: the encoding is a path through the lattice of all pieces that match the text. The model merges pieces by rank, and
+a sequence of pieces is what its merging gives just when every two neighbours are: if the merging of both together leaves
+them as they are. So a step from one piece to the next weighs 0 where the two may be neighbours and minus infinity where
+they may not, and the path of largest weight is the only one of weight 0. Ids equal those of the library. Whether two
+pieces may be neighbours is read off their merge histories, back from the whole pieces to single characters. A character
+no piece covers becomes its bytes. Between a blank and what comes before it, and around line ends, no piece crosses:
 segments there are solved once for all their occurrences in a batch, all distinct segments in step, in numpy.
 
 Giant documents are split into chunks of 65536 code points, which spread over the tasks. The state at a chunk's border is
-the number of characters by which the piece over the border reaches into the next chunk. Each chunk yields a max-plus
-transfer matrix between its entry and exit states; the matrices of a document combine associatively, prefix by prefix;
-going back through the products gives every chunk its entry and exit state, and the chunks are backtraced independently.
+the piece that starts before the border and ends at or beyond it. Each chunk yields a max-plus transfer matrix between its
+entry and exit states. The matrices of a document are multiplied in a tree, FAN at a time in one task, level by level;
+going down the tree again gives every chunk its entry and exit state, and the chunks are backtraced independently.
 
 The vocabulary is read by the driver from a .model file (a parameter) and broadcast; 32000 pieces take a few MB. Only
-models with the identity normaliser and byte fallback are taken. Scores of a BPE-type file are its negative merge ranks;
-they serve as the lattice's scores, so the ids are those SentencePiece gives for these pieces in unigram mode, not those
-of its merge mode. Decoding gives every text back exactly; a literal U+2581 is encoded by its bytes for that.
+merge-type models with the identity normaliser and byte fallback are taken, whose pieces all come from merges of falling
+score. Decoding gives every text back exactly; a literal U+2581 is encoded by its bytes for that, where the library would
+take it for a blank.
 
 Edge cases: null and empty texts have no ids and decode to ''. Rows with equal ids stay apart, equal texts have equal ids.
 An empty table gives an empty result. encode() keeps all other columns.
@@ -21,6 +24,7 @@ An empty table gives an empty result. encode() keeps all other columns.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -31,39 +35,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .brown_lm import Lookup
-from .common import cut, documents, mix64, powers, records, small
+from .common import cut, documents, mix64, records, small
+from .lookup import Lookup
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 16
+FAN = 64
+SHORT = 64  # characters of a segment that is solved in step with others
 SPACE, LITERAL = "▁", "\ud800"  # the literal sign stands in as a lone surrogate, which no text holds
 ALONE = "\n\t\r\v\f"
-LOW = -1e300
-_BASE = np.uint64(0xC6A4A7935BD1E995)
+LOW = np.float32(-1e30)
 
 
 class Vocabulary(NamedTuple):
-    lookup: Lookup  # of all beginnings of pieces
+    steps: Lookup  # (beginning of a piece, next character) -> longer beginning
     ids: np.ndarray  # of each beginning, -1 where it is no piece
-    scores: np.ndarray
-    unknown: float
+    rank: np.ndarray  # of the last merge of each piece, -1 for single characters
+    left: np.ndarray  # what was merged last
+    right: np.ndarray
+    pairs: Lookup  # (piece, piece) -> number of the merge
+    merged: np.ndarray  # rank of each merge
     bytes_: list[int]
     longest: int
     texts: list[bytes]
+    alone: str
     segment: str
 
 
-def _hashes(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up, down = powers(_BASE).upto(len(code) + 1)
-    sums = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum((code.astype(np.uint64) + np.uint64(1)) * up[: len(code)], dtype=np.uint64, out=sums[1:])
-    return sums, down
-
-
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def merge(text: str, rank: dict[str, float]) -> tuple[list[str], list[tuple[float, str, str]]]:
+    """The textbook merge loop, for single pieces: what is left, and all merges as (rank, left, right)."""
+    parts, done = list(text), []
+    while True:
+        found = [(rank[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in rank]
+        if not found:
+            return parts, done
+        r, k = min(found)
+        done.append((r, parts[k], parts[k + 1]))
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
 def load(path: str = MODEL) -> Vocabulary:
     from sentencepiece import sentencepiece_model_pb2
 
@@ -71,87 +85,127 @@ def load(path: str = MODEL) -> Vocabulary:
     with open(path, "rb") as f:
         model.ParseFromString(f.read())
     rule = model.normalizer_spec
-    if rule.precompiled_charsmap or rule.remove_extra_whitespaces or not rule.add_dummy_prefix or not model.trainer_spec.byte_fallback:
-        raise ValueError("only the identity normaliser with byte fallback and a dummy prefix is supported")
-    normal = [(p.piece, k, p.score) for k, p in enumerate(model.pieces) if p.type in (1, 4)]
-    if any(SPACE in p.lstrip(SPACE) for p, _, _ in normal):
-        raise ValueError("pieces that hold a blank inside are not supported")
-    prefixes = {p[:n]: (-1, LOW) for p, _, _ in normal for n in range(1, len(p))} | {p: (k, x) for p, k, x in normal}
-    keys = np.concatenate([mix64(_hashes(_codes(p))[0][-1:] + np.uint64(len(p))) for p in prefixes])
+    if rule.precompiled_charsmap or rule.remove_extra_whitespaces or not rule.add_dummy_prefix or not model.trainer_spec.byte_fallback or model.trainer_spec.model_type != 2:
+        raise ValueError("only merge models with the identity normaliser, byte fallback and a dummy prefix are supported")
+    if any(p.type not in (1, 2, 3, 6) for p in model.pieces):
+        raise ValueError("user-defined and unused pieces are not supported")
+    rank = {p.piece: -p.score for p in model.pieces if p.type == 1}
+    id_of = {p.piece: k for k, p in enumerate(model.pieces) if p.type == 1}
+    if any(SPACE in p.lstrip(SPACE) for p in rank) or any(c not in rank for p in rank for c in p):
+        raise ValueError("pieces that hold a blank inside, or a character that is no piece, are not supported")
+    size = len(model.pieces)
+    level, left, right = np.full(size, -1.0), np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for p, k in id_of.items():
+        if len(p) > 1:
+            parts, done = merge(p, rank)
+            ranks = [r for r, _, _ in done]
+            if parts != [p] or ranks != sorted(ranks):
+                raise ValueError(f"{p!r} does not come from merges in order")
+            level[k], left[k], right[k] = ranks[-1], id_of[done[-1][1]], id_of[done[-1][2]]
+    both = [(id_of[p[:n]] * size + id_of[p[n:]], r) for p, r in rank.items() for n in range(1, len(p)) if p[:n] in rank and p[n:] in rank]
+
+    number = {"": 0}
+    for p in rank:
+        for n in range(1, len(p) + 1):
+            number.setdefault(p[:n], len(number))
+    keys = np.array([number[p[:-1]] << 21 | ord(p[-1]) for p in number if p], np.uint64)
     of_byte = {p.piece: k for k, p in enumerate(model.pieces) if p.type == 6}
-    texts = [b""] * len(model.pieces)
-    for p, k, _ in normal:
+    texts = [b""] * size
+    for p, k in id_of.items():
         texts[k] = p.replace(SPACE, " ").encode()
     for b in range(256):
         texts[of_byte[f"<0x{b:02X}>"]] = bytes([b])
-    used = {c for p, _, _ in normal if len(p) > 1 for c in p}
+    used = {c for p in rank if len(p) > 1 for c in p}
     alone = "".join(c for c in ALONE if c not in used)
-    low = min(x for _, _, x in normal)
     segment = f"[{alone}]|{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" if alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
-    return Vocabulary(Lookup(keys), np.array([k for k, _ in prefixes.values()], np.int32), np.array([x for _, x in prefixes.values()]), low - 10, [of_byte[f"<0x{b:02X}>"] for b in range(256)], max(len(p) for p, _, _ in normal), texts, segment)
+    ids = np.array([id_of.get(p, -1) for p in number], np.int64)
+    pairs = np.array([k for k, _ in both], np.uint64)
+    return Vocabulary(Lookup(mix64(keys)), ids, level, left, right, Lookup(mix64(pairs)), np.array([r for _, r in both]), [of_byte[f"<0x{b:02X}>"] for b in range(256)], max(map(len, rank)), texts, alone, segment)
 
 
 def escape(text: str) -> str:
     return text.replace(SPACE, LITERAL).replace(" ", SPACE)
 
 
-def _matches(v: Vocabulary, code: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All pieces in the text: start, length, id (-1 for a character without a piece) and score; room: characters up to
-    the segment's end."""
-    sums, down = _hashes(code)
-    at, out = np.arange(len(code)), []  # starts whose characters so far begin some piece
+def neighbours(v: Vocabulary, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether merging both pieces together leaves them as they are; -1 stands for anything that never merges.
+
+    Both merge histories are walked back from the end, the later merge first. The two parts at the border in between would
+    merge if their common rank came before the next merge of either; of equal ranks the one further left comes first.
+    """
+    ok = np.ones(len(left), bool)
+    live = np.flatnonzero((left >= 0) & (right >= 0))
+    x, y = left[live], right[live]
+    next_x = next_y = np.full(len(live), np.inf)
+    size, ranks = np.int64(len(v.rank)), np.append(v.merged, np.inf)
+    while len(live):
+        joint = ranks[v.pairs(mix64((x * size + y).astype(np.uint64)))]
+        bad = (joint < next_x) & (joint <= next_y)
+        ok[live[bad]] = False
+        rank_x, rank_y = v.rank[x], v.rank[y]
+        go = ~bad & ((rank_x >= 0) | (rank_y >= 0))
+        live, x, y, next_x, next_y, rank_x, rank_y = (z[go] for z in (live, x, y, next_x, next_y, rank_x, rank_y))
+        of_y = rank_y >= rank_x
+        next_x, next_y = np.where(of_y, next_x, rank_x), np.where(of_y, rank_y, next_y)
+        x, y = np.where(of_y, x, v.right[x]), np.where(of_y, v.left[y], y)
+    return ok
+
+
+def _matches(v: Vocabulary, code: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces in the text: start, length and id (-1 for a character without a piece); room: characters up to the
+    segment's end."""
+    at, node, out = np.arange(len(code)), np.zeros(len(code), np.int64), []
     for n in range(1, v.longest + 1):
-        at = at[room[at] >= n]
+        keep = room[at] >= n
+        at, node = at[keep], node[keep]
         if not len(at):
             break
-        found = v.lookup(mix64((sums[at + n] - sums[at]) * down[at] + np.uint64(n)))
+        found = v.steps(mix64(node.astype(np.uint64) << np.uint64(21) | code[at + (n - 1)].astype(np.uint64)))
         known = found >= 0
         if n == 1:
-            bare = np.ones(len(code), bool)
-            bare[at[known]] = v.ids[found[known]] < 0
-            lone = np.flatnonzero(bare & (room >= 1))
-            out.append((lone, np.ones(len(lone), np.int32), np.full(len(lone), -1, np.int32), np.full(len(lone), v.unknown)))
-        at, found = at[known], found[known]
-        whole = v.ids[found] >= 0
-        out.append((at[whole], np.full(int(whole.sum()), n, np.int32), v.ids[found[whole]], v.scores[found[whole]]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
+            lone = at[~known]
+            out.append((lone, np.ones(len(lone), np.int64), np.full(len(lone), -1, np.int64)))
+        at, node = at[known], found[known] + 1  # number 0 is the empty beginning
+        whole = v.ids[node] >= 0
+        out.append((at[whole], np.full(int(whole.sum()), n, np.int64), v.ids[node[whole]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def _edges(v: Vocabulary, code: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each start and length: the piece (-1 none) and its score."""
-    at, n, ids, scores = _matches(v, code, room)
-    piece, score = np.full((len(code), v.longest), -1, np.int32), np.full((len(code), v.longest), LOW)
-    piece[at, n - 1], score[at, n - 1] = ids, scores
-    return piece, score
+def _to_bytes(v: Vocabulary, c: int) -> list[int]:
+    return [v.bytes_[b] for b in (SPACE if chr(c) == LITERAL else chr(c)).encode()]
 
 
-def _to_bytes(v: Vocabulary, codes: np.ndarray) -> list[int]:
-    out: list[int] = []
-    for c in codes.tolist():
-        out += [v.bytes_[b] for b in (SPACE if chr(c) == LITERAL else chr(c)).encode()]
-    return out
-
-
-def encode_segments(v: Vocabulary, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all segments in a row, how many of each segment, and each one's score; all are solved in step."""
+def _spelled(v: Vocabulary, token: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens below 0 are characters (-1 - code) and become their bytes."""
+    bare = np.flatnonzero(token < 0)
+    if not len(bare):
+        return token, owner
+    as_bytes = {t: _to_bytes(v, -1 - t) for t in set(token[bare].tolist())}
+    lists = [as_bytes[t] for t in token[bare].tolist()]
+    copies = np.ones(len(token), np.int64)
+    copies[bare] = [len(x) for x in lists]
+    owner, wide = np.repeat(owner, copies), np.repeat(token, copies)
+    wide[wide < 0] = [b for x in lists for b in x]
+    return wide, owner
+
+
+def encode_segments(v: Vocabulary, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all segments in a row, and how many of each segment; all are solved in step."""
     sizes = np.array([len(s) for s in segments], np.int64)
     code = _codes("".join(segments))
     first = np.concatenate(([0], np.cumsum(sizes)))
     owner = np.repeat(np.arange(len(segments)), sizes)
-    start, length, ids, score = _matches(v, code, first[1:][owner] - np.arange(len(code)))
+    start, length, ids = _matches(v, code, first[1:][owner] - np.arange(len(code)))
     offset = start - first[owner[start]]
     order = np.argsort(offset, kind="stable")  # all pieces at the first character of their segment, then at the second, ...
-    begin, length, ids, score = (start + owner[start])[order], length[order], ids[order], score[order]
+    begin, length, ids = (start + owner[start])[order], length[order], ids[order]
     goal, steps_at = begin + length, np.cumsum(np.bincount(offset)) if len(offset) else np.zeros(0, np.int64)
     node = first[:-1] + np.arange(len(segments))  # one node more than characters
-    best, back, token_at = np.full(len(code) + len(segments), LOW), np.zeros(len(code) + len(segments), np.int32), np.full(len(code) + len(segments), -1, np.int64)
-    best[node] = 0
+    back, token_at = np.zeros(len(code) + len(segments), np.int64), np.full(len(code) + len(segments), -1, np.int64)
     lo = 0
-    for hi in steps_at.tolist():
-        value, to = best[begin[lo:hi]] + score[lo:hi], goal[lo:hi]  # no two of these end at one node
-        better = np.flatnonzero(value > best[to])
-        to = to[better]
-        best[to], back[to], token_at[to] = value[better], length[lo:hi][better], ids[lo:hi][better]
+    for hi in steps_at.tolist():  # every beginning of a segment has one encoding, so one last piece
+        good = np.flatnonzero(neighbours(v, token_at[begin[lo:hi]], ids[lo:hi])) + lo
+        back[goal[good]], token_at[goal[good]] = length[good], ids[good]
         lo = hi
     at, live, steps = sizes.copy(), np.flatnonzero(sizes > 0), []
     while len(live):
@@ -163,17 +217,8 @@ def encode_segments(v: Vocabulary, segments: list[str]) -> tuple[np.ndarray, np.
     owner = np.concatenate([s[0] for s in steps[::-1]]) if steps else np.zeros(0, np.int64)
     token = np.concatenate([s[1] for s in steps[::-1]]) if steps else np.zeros(0, np.int64)
     by_owner = np.argsort(owner, kind="stable")
-    owner, token = owner[by_owner], token[by_owner]
-    bare = np.flatnonzero(token < 0)
-    if len(bare):
-        as_bytes = {t: _to_bytes(v, np.array([-1 - t])) for t in set(token[bare].tolist())}
-        lists = [as_bytes[t] for t in token[bare].tolist()]
-        copies = np.ones(len(token), np.int64)
-        copies[bare] = [len(x) for x in lists]
-        owner, wide = np.repeat(owner, copies), np.repeat(token, copies)
-        wide[wide < 0] = [b for x in lists for b in x]
-        token = wide
-    return token, np.bincount(owner, minlength=len(segments)), best[node + sizes]
+    token, owner = _spelled(v, token[by_owner], owner[by_owner])
+    return token, np.bincount(owner, minlength=len(segments))
 
 
 class _Numbers(dict):
@@ -187,17 +232,31 @@ class _Numbers(dict):
 class Encoder:
     """Encodes whole texts and keeps the ids of the segments it has solved, up to `most` of them."""
 
-    def __init__(self, v: Vocabulary, most: int = 500_000):
-        self.v, self.most, self.find = v, most, re.compile(v.segment).findall
+    def __init__(self, v: Vocabulary, most: int = 100_000):
+        self.v, self.most, self.find, self.pairs = v, most, re.compile(v.segment).findall, Pairs(v)
         self.forget()
 
     def forget(self) -> None:
         self.known = _Numbers()
-        self.flat, self.starts, self.sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        self.length = 0
+        self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _solve(self, segments: list[str]) -> None:
+        solved, n = encode_segments(self.v, [s if len(s) <= SHORT else "" for s in segments])
+        parts, at = [], 0
+        if any(len(s) > SHORT for s in segments):
+            ends = np.cumsum(n)
+            for k, s in enumerate(segments):
+                if len(s) > SHORT:
+                    ids = walk(self.pairs, s)
+                    parts += [solved[at : ends[k]], ids]
+                    at, n[k] = ends[k], len(ids)
+            solved = np.concatenate([*parts, solved[at:]])
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(n) - n)
+        self.sizes = np.append(self.sizes, n)
+        self.flat = np.append(self.flat, solved.astype(np.int32))
 
     def __call__(self, escaped: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or len(self.flat) > 4 * self.most:
             self.forget()
         known, before = self.known, len(self.known)
         places = []
@@ -205,17 +264,11 @@ class Encoder:
             words = self.find(t)
             places.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
         if len(known) > before:
-            solved, n, _ = encode_segments(self.v, list(known)[before:])
-            self.starts.append(self.length + np.cumsum(n) - n)
-            self.sizes.append(n)
-            self.flat.append(solved.astype(np.int32))
-            self.length += int(n.sum())
-            self.flat, self.starts, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.starts)], [np.concatenate(self.sizes)]
-        flat, starts, sizes = self.flat[0], self.starts[0], self.sizes[0]
+            self._solve(list(known)[before:])
         out = []
         for p in places:
-            n = sizes[p]
-            out.append(flat[np.repeat(starts[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            n = self.sizes[p]
+            out.append(self.flat[np.repeat(self.starts[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
         return out
 
 
@@ -227,49 +280,164 @@ def decode_ids(v: Vocabulary, ids) -> str:
     return b"".join([v.texts[k] for k in ids]).decode("utf-8", "replace")[1:]
 
 
-# ---- chunks of giant texts -----------------------------------------------------------------------------------------
-
-
-def _forward(v: Vocabulary, code: np.ndarray, n: int, starts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best scores of paths from each start to each position up to n and beyond it; only pieces that start before n."""
-    piece, score = _edges(v, code, len(code) - np.arange(len(code)))
-    best, back = np.full((len(code) + 1, len(starts)), LOW), np.zeros((len(code) + 1, len(starts)), np.int32)
-    best[starts, np.arange(len(starts))] = 0
-    for e in range(1, len(code) + 1):
-        for size in range(min(v.longest, e), 0, -1):
-            if e - size < n and score[e - size, size - 1] > LOW:
-                value = best[e - size] + score[e - size, size - 1]
-                better = value > best[e]
-                best[e][better], back[e][better] = value[better], size
-    return best, back, piece
-
-
-def _split(v: Vocabulary, text: str, n: int) -> tuple[list[str], str, int]:
-    """Segments that end by n, with the one that reaches n last; that one's text with the lookahead, and its size up to n."""
-    spans = [m.span() for m in re.finditer(v.segment, text)]
-    spans = [s for s in spans if s[0] < n]
-    a, b = spans[-1]
-    return [text[x:y] for x, y in spans[:-1]], text[a:b], n - a
-
-
-def transfer(v: Vocabulary, text: str, n: int) -> np.ndarray:
-    """The matrix of a chunk of n characters; text also holds the lookahead."""
-    width = v.longest
-    out = np.full((width, width), LOW)
-    before, last, size = _split(v, text, n)
-    reach = min(width, len(last) - size + 1)
-    if not before:
-        starts = list(range(min(width, size + 1)))
-        best, _, _ = _forward(v, _codes(last), size, starts)
-        out[: len(starts), :reach] = best[size : size + reach].T
-        return np.maximum(out, LOW)
-    head = before[0]
-    starts = list(range(min(width, len(head) + 1)))
-    best, _, _ = _forward(v, _codes(head), len(head), starts)
-    middle = float(encode_segments(v, before[1:])[2].sum()) if before[1:] else 0.0
-    tail, _, _ = _forward(v, _codes(last), size, [0])
-    out[: len(starts), :reach] = best[len(head)][:, None] + middle + tail[size : size + reach, 0][None, :]
-    return np.maximum(out, LOW)
+# ---- long segments and chunks of giant texts -----------------------------------------------------------------------
+
+
+class Pairs(dict):
+    """Whether two pieces may be neighbours, found once; forgets everything when it is full."""
+
+    def __init__(self, v: Vocabulary, most: int = 300_000):
+        super().__init__()
+        self.v, self.most, self.width = v, most, len(v.rank)
+
+    def __missing__(self, key: int) -> bool:
+        if len(self) > self.most:
+            self.clear()
+        a, b = divmod(key, self.width)
+        self[key] = found = bool(neighbours(self.v, np.array([a]), np.array([b]))[0])
+        return found
+
+    def fill(self, at: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
+        """Finds all pairs of pieces that meet in a text, given by start, at once."""
+        count = np.bincount(at, minlength=int((at + length).max()) + 2 if len(at) else 1)
+        first = np.cumsum(count) - count
+        n = count[at + length]
+        left = np.repeat(np.arange(len(at)), n)
+        right = first[(at + length)[left]] + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        a, b = ids[left], ids[right]
+        keys = np.unique((a * self.width + b)[(a >= 0) & (b >= 0)])
+        keys = keys[np.fromiter((k not in self for k in keys.tolist()), bool, len(keys))]
+        if len(self) + len(keys) > self.most:
+            self.clear()
+        self.update(zip(keys.tolist(), neighbours(self.v, keys // self.width, keys % self.width).tolist(), strict=True))
+
+
+def _by_start(v: Vocabulary, code: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    start, length, ids = _matches(v, code, room)
+    order = np.lexsort((length, start))
+    return start[order], length[order], ids[order]
+
+
+def spread(pairs: Pairs, edges: tuple, lo: int, hi: int, entries: list[tuple[int, int]]) -> tuple[dict, dict]:
+    """From entries (place, last piece) through all pieces that start in [lo, hi): (start, length, piece) of those that end
+    at hi or beyond with the entries that reach them as bits, and (place, piece) -> the (place, piece) before it."""
+    reach: dict[int, dict[int, int]] = {}
+    for k, (at, token) in enumerate(entries):
+        reach.setdefault(at, {})[token] = reach.get(at, {}).get(token, 0) | 1 << k
+    exits, back = {}, {}
+    a, b = np.searchsorted(edges[0], (lo, hi))
+    part = [x[a:b] for x in edges]
+    for s in range(0, len(part[0]), 50_000):
+        pairs.fill(*[x[s : s + 50_000 + 64] for x in part])
+    width = pairs.width
+    here, now = None, -1
+    for at, n, token in zip(*[x.tolist() for x in part], strict=True):
+        if at != now:
+            here, now = reach.pop(at, None), at
+        if here is None:
+            continue
+        bits = 0
+        for before, mask in here.items():
+            if before < 0 or token < 0 or pairs[before * width + token]:
+                bits |= mask
+                back[at + n, token] = at, before
+        if bits:
+            if at + n >= hi:
+                exits[at, n, token] = bits
+            else:
+                to = reach.setdefault(at + n, {})
+                to[token] = to.get(token, 0) | bits
+    return exits, back
+
+
+def _follow(v: Vocabulary, code: np.ndarray, back: dict, at: int, token: int, until: tuple[int, int]) -> np.ndarray:
+    out = []
+    while (at, token) != until:
+        before = back[at, token]
+        out.append(token if token >= 0 else -1 - int(code[before[0]]))
+        at, token = before
+    ids = np.array(out[::-1], np.int64)
+    return _spelled(v, ids, ids)[0]
+
+
+def walk(pairs: Pairs, segment: str) -> np.ndarray:
+    """The ids of one long segment."""
+    code = _codes(segment)
+    exits, back = spread(pairs, _by_start(pairs.v, code, len(code) - np.arange(len(code))), 0, len(code), [(0, -1)])
+    (_, _, token), = exits
+    return _follow(pairs.v, code, back, len(code), token, (0, -1))
+
+
+class Chunk:
+    """A chunk [lo, hi) of a window of text with what comes before and after it; states are pieces over its borders."""
+
+    def __init__(self, pairs: Pairs, window: str, lo: int, hi: int, first: bool, last: bool):
+        v = pairs.v
+        self.pairs, self.window, self.lo, self.hi, self.code = pairs, window, lo, hi, _codes(window)
+        blank, alone = self.code == ord(SPACE), np.isin(self.code, [ord(c) for c in v.alone])
+        edge = np.ones(len(self.code) + 1, bool)  # no piece crosses such a place
+        edge[1:-1] = blank[1:] & ~blank[:-1] | alone[1:] | alone[:-1]
+        self.edges_at = np.flatnonzero(edge)
+        room = self.edges_at[np.searchsorted(self.edges_at, np.arange(len(self.code)), "right")] - np.arange(len(self.code))
+        self.edges = _by_start(v, self.code, room)
+        self.entries = [(lo, -1)] if first else [(a + n, t) for a, n, t in self._over(lo)]
+        self.exits = None if last else self._over(hi)
+
+    def _over(self, border: int) -> list[tuple[int, int, int]]:
+        a, b = np.searchsorted(self.edges[0], (border - self.pairs.v.longest, border))
+        return [(s, n, t) for s, n, t in zip(*[x[a:b].tolist() for x in self.edges], strict=True) if s + n >= border]
+
+    def _inner(self) -> tuple[int, int] | None:
+        """The first place in the chunk that no piece crosses, and the last one before its end."""
+        inside = self.edges_at[np.searchsorted(self.edges_at, self.lo) : np.searchsorted(self.edges_at, self.hi)]
+        return (int(inside[0]), int(inside[-1])) if len(inside) else None
+
+    def _from_entries(self, entries: list, hi: int) -> tuple[dict, dict]:
+        exits, back = spread(self.pairs, self.edges, self.lo, hi, entries)
+        return exits, back
+
+    def transfer(self) -> np.ndarray:
+        inner = self._inner()
+        own = self.exits
+        if inner is None:
+            exits, _ = self._from_entries(self.entries, self.hi)
+            spanning = {k: (at, t) for k, (at, t) in enumerate(self.entries) if at >= self.hi}
+            masks = [exits.get(y, 0) | sum(1 << k for k, (at, t) in spanning.items() if at == y[0] + y[1] and t == y[2] and y[0] < self.lo) for y in own] if own is not None else [sum({1 << k for k in range(len(self.entries)) if any(m >> k & 1 for m in exits.values()) or k in spanning})]
+        else:
+            head, _ = self._from_entries(self.entries, inner[0])
+            alive = 0
+            for m in head.values():
+                alive |= m
+            for k, (at, _) in enumerate(self.entries):
+                alive |= (at >= inner[0]) << k
+            tail, _ = spread(self.pairs, self.edges, inner[1], self.hi, [(inner[1], -1)])
+            masks = [alive if y in tail else 0 for y in own] if own is not None else [alive]
+        out = np.full((len(self.entries), len(masks)), LOW, np.float32)
+        for j, m in enumerate(masks):
+            for k in range(len(self.entries)):
+                if m >> k & 1:
+                    out[k, j] = 0
+        return out
+
+    def trace(self, enter: int, leave: int) -> np.ndarray:
+        """Ids of the pieces that start in the chunk."""
+        v, inner, entry = self.pairs.v, self._inner(), self.entries[enter]
+
+        def last(exits: dict, back: dict, start: tuple[int, int]) -> np.ndarray:
+            found = self.exits[leave] if self.exits is not None else next(iter(exits), None)
+            return _follow(v, self.code, back, found[0] + found[1], found[2], start) if found in exits else np.zeros(0, np.int64)
+
+        if inner is None:
+            return last(*self._from_entries([entry], self.hi), entry)
+        head, back = self._from_entries([entry], inner[0])
+        parts = [_follow(v, self.code, back, a + n, t, entry) for a, n, t in head]
+        middle = re.findall(v.segment, self.window[inner[0] : inner[1]])
+        encoder = Encoder(v)
+        encoder.pairs = self.pairs
+        for k in range(0, len(middle), 20_000):
+            parts += encoder(["".join(middle[k : k + 20_000])])
+        tail, back = spread(self.pairs, self.edges, inner[1], self.hi, [(inner[1], -1)])
+        return np.concatenate([*parts, last(tail, back, (inner[1], -1))])
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -277,99 +445,148 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[:, :, None] + b[None]).max(axis=1), LOW)
 
 
-def states(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Entry and exit state of each chunk on a best path from state 0 to state 0."""
-    prefix = [matrices[0]]
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    while len(matrices) > 1:
+        matrices = [combine(*matrices[k : k + 2]) if k + 1 < len(matrices) else matrices[k] for k in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def states(matrices: list[np.ndarray], enter: int = 0, leave: int = 0) -> list[tuple[int, int]]:
+    """Entry and exit state of each matrix on the best path between two states."""
+    ahead = [matrices[0][enter]]
     for m in matrices[1:]:
-        prefix.append(combine(prefix[-1], m))
-    out, leave = [], 0
+        ahead.append((ahead[-1][:, None] + m).max(axis=0))
+    out = []
     for k in range(len(matrices) - 1, -1, -1):
-        enter = int((prefix[k - 1][0] + matrices[k][:, leave])[::-1].argmax()) if k else 0
-        enter = len(matrices[k]) - 1 - enter if k else 0
-        out.append((enter, leave))
-        leave = enter
+        before = int((ahead[k - 1] + matrices[k][:, leave]).argmax()) if k else enter
+        out.append((before, leave))
+        leave = before
     return out[::-1]
 
 
-def _trace(v: Vocabulary, text: str, n: int, enter: int, leave: int) -> list[int]:
-    code = _codes(text)
-    best, back, piece = _forward(v, code, n, [enter])
-    at, out = n + leave, []
-    while at > enter:
-        size = int(back[at, 0])
-        at -= size
-        token = int(piece[at, size - 1])
-        out.append([token] if token >= 0 else _to_bytes(v, code[at : at + 1]))
-    return [t for part in out[::-1] for t in part]
+# ---- DataFrames ----------------------------------------------------------------------------------------------------
 
 
-def backtrace(v: Vocabulary, text: str, n: int, enter: int, leave: int) -> np.ndarray:
-    before, last, size = _split(v, text, n)
-    if not before:
-        return np.array(_trace(v, last, size, enter, leave), np.int64)
-    middle = encode_segments(v, before[1:])[:1] if before[1:] else ()
-    return np.concatenate([np.array(_trace(v, before[0], len(before[0]), enter, 0), np.int64), *middle, np.array(_trace(v, last, size, 0, leave), np.int64)])
+def _chunk_of(pairs: Pairs, chunk: int, count: int, part: str) -> Chunk:
+    """A chunk row: the chunk with up to `longest` characters before and after it; the first one gets the dummy prefix."""
+    before = 0 if chunk == 0 else pairs.v.longest
+    text = (SPACE if chunk == 0 else "") + escape(part)
+    hi = before + CHUNK + (chunk == 0)
+    return Chunk(pairs, text, before, min(hi, len(text)), chunk == 0, chunk == count - 1)
 
 
-# ---- DataFrames ----------------------------------------------------------------------------------------------------
+def _pack(m: np.ndarray) -> bytes:
+    return np.array(m.shape, np.int32).tobytes() + m.tobytes()
 
 
-def _piece(batch: pa.RecordBatch) -> Iterator[tuple[str, int]]:
-    """Each chunk with its lookahead, escaped, and its own size; the first one has the dummy prefix."""
-    for chunk, text, size in zip(*(batch[c].to_pylist() for c in ("chunk", "part", "size")), strict=True):
-        yield (SPACE * (chunk == 0)) + escape(text), size + (chunk == 0)
+def _unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.float32, offset=8).reshape(np.frombuffer(b, np.int32, 2))
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """docs with ids: array<int> of its text column, in place of any column of that name."""
-    spark = docs.sparkSession
-    docs = docs.drop("ids")
-    own = docs.columns
-    vocabulary = load(model)
-    shared = spark.sparkContext.broadcast(vocabulary)
+def _giant_ids(big: DataFrame, shared) -> DataFrame:
+    """row_id, ids of the giant texts of big (_row, text)."""
+    longest, size = shared.value.longest, CHUNK
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
-        for batch in small(batches):
-            ids = encoder([SPACE + escape(t) if t else "" for t in batch["text"].to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
-
-    ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
-    giant = F.coalesce(F.length("text"), F.lit(0)) > CHUNK
-    short = docs.where(~giant).mapInArrow(whole, T.StructType([*docs.schema.fields, ids]))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("row_id", pa.int64()), ("chunk", pa.int32()), ("count", pa.int32()), ("part", pa.string())])
+        for batch in small(batches, 1):
+            row, text = batch["_row"][0].as_py(), batch["text"][0].as_py()
+            count = -(-len(text) // size)
+            for k in range(count):
+                yield records(schema, [[row], [k], [count], [text[max(0, k * size - longest) : (k + 1) * size + longest]]])
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("row_id", pa.int64()), ("chunk", pa.int32()), ("matrix", pa.binary())])
+        schema = pa.schema([("row_id", pa.int64()), ("node", pa.int32()), ("matrix", pa.binary())])
+        pairs = Pairs(shared.value)
+        for batch in small(batches, 1):
+            row = batch.to_pylist()[0]
+            yield records(schema, [[row["row_id"]], [row["chunk"]], [_pack(_chunk_of(pairs, row["chunk"], row["count"], row["part"]).transfer())]])
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("row_id", pa.int64()), ("node", pa.int32()), ("matrix", pa.binary())])
         for batch in small(batches, 8):
-            yield records(schema, [batch["row_id"], batch["chunk"], [transfer(shared.value, t, n).tobytes() for t, n in _piece(batch)]])
+            whole = [_pack(product([_unpack(x["matrix"]) for x in sorted(group, key=lambda x: x["node"])])) for group in batch["group"].to_pylist()]
+            yield records(schema, [batch["row_id"], batch["parent"], whole])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("row_id", pa.int64()), ("chunk", pa.int32()), ("enter", pa.int32()), ("leave", pa.int32())])
-        width = shared.value.longest
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("row_id", pa.int64()), ("node", pa.int32()), ("enter", pa.int32()), ("leave", pa.int32())])
         for batch in small(batches, 8):
-            for row, chain in zip(batch["row_id"].to_pylist(), batch["chain"].to_pylist(), strict=True):
-                chain.sort(key=lambda x: x["chunk"])
-                found = states([np.frombuffer(x["matrix"]).reshape(width, width) for x in chain])
-                yield records(schema, [[row] * len(found), list(range(len(found))), [a for a, _ in found], [b for _, b in found]])
+            for row in batch.to_pylist():
+                group = sorted(row["group"], key=lambda x: x["node"])
+                found = states([_unpack(x["matrix"]) for x in group], row["enter"], row["leave"])
+                yield records(schema, [[row["row_id"]] * len(found), [x["node"] for x in group], [a for a, _ in found], [b for _, b in found]])
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("row_id", pa.int64()), ("chunk", pa.int32()), ("ids", pa.list_(pa.int32()))])
-        for batch in small(batches, 8):
-            found = [backtrace(shared.value, t, n, a, b) for (t, n), a, b in zip(_piece(batch), batch["enter"].to_pylist(), batch["leave"].to_pylist(), strict=True)]
-            yield records(schema, [batch["row_id"], batch["chunk"], pa.array(found, pa.list_(pa.int32()))])
+        pairs = Pairs(shared.value)
+        for batch in small(batches, 1):
+            row = batch.to_pylist()[0]
+            found = _chunk_of(pairs, row["chunk"], row["count"], row["part"]).trace(row["enter"], row["leave"])
+            yield records(schema, [[row["row_id"]], [row["chunk"]], pa.array([found.astype(np.int32)], pa.list_(pa.int32()))])
+
+    chunks = cut(big.select("_row", "text").mapInArrow(split, "row_id long, chunk int, count int, part string").repartition("row_id", "chunk"), "chunks")
+    level = cut(chunks.mapInArrow(transfers, "row_id long, node int, matrix binary"), "transfers")
+    groups, most = [], chunks.agg(F.max("count")).first()[0] or 1
+    while most > 1 or not groups:
+        group = level.groupBy("row_id", F.expr(f"node div {FAN}").cast("int").alias("parent")).agg(F.collect_list(F.struct("node", "matrix")).alias("group"))
+        groups.append(group)
+        level = cut(group.mapInArrow(up, "row_id long, node int, matrix binary"), "transfers")
+        most = -(-most // FAN)
+    steps = level.select("row_id", "node", F.lit(0).alias("enter"), F.lit(0).alias("leave"))
+    for group in reversed(groups):
+        steps = group.join(steps.withColumnRenamed("node", "parent"), ["row_id", "parent"]).mapInArrow(down, "row_id long, node int, enter int, leave int")
+    parts = chunks.join(steps.withColumnRenamed("node", "chunk"), ["row_id", "chunk"]).mapInArrow(back, "row_id long, chunk int, ids array<int>")
+    return parts.groupBy("row_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
+
+
+_IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+_CHECKED = [T.StructField("decoded_sha256", T.StringType()), T.StructField("exact", T.BooleanType())]
+
+
+def _lists(ids: pa.Array) -> Iterator[list[int]]:
+    ends = ids.offsets.to_numpy() - ids.offsets[0].as_py() if len(ids) else np.zeros(1, np.int64)
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield flat[a:b].tolist()
+
+
+def _checks(v: Vocabulary, texts: list, ids) -> list[pa.Array]:
+    decoded = [decode_ids(v, x) for x in ids]
+    exact = [d == (t or "") for d, t in zip(decoded, texts, strict=True)]
+    return [pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string()), pa.array(exact, pa.bool_())]
 
+
+def _coded(docs: DataFrame, model: str, keep: list[str], checked: bool) -> DataFrame:
+    """The columns keep of docs, ids, and, if checked, decoded_sha256 and exact, all in one step over the rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(load(model))
+    fields = [docs.schema[c] for c in keep]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(shared.value)
+        for batch in small(batches, 200):
+            texts = batch["text"].to_pylist()
+            ids = encoder([SPACE + escape(t) if t else "" for t in texts])
+            made = _checks(shared.value, texts, (x.tolist() for x in ids)) if checked else []
+            names = [*keep, "ids", *(["decoded_sha256", "exact"] if checked else [])]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array(ids, pa.list_(pa.int32())), *made], names=names)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 1):
+            made = _checks(shared.value, batch["text"].to_pylist(), _lists(batch["ids"]))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], batch["ids"], *made], names=[*keep, "ids", "decoded_sha256", "exact"])
+
+    giant = F.coalesce(F.length("text"), F.lit(0)) > CHUNK
+    short = docs.where(~giant).mapInArrow(whole, T.StructType([*fields, _IDS, *(_CHECKED if checked else [])]))
     big = cut(docs.where(giant).withColumn("_row", F.monotonically_increasing_id()), "giants")
-    count = F.ceil(F.length("text") / CHUNK).cast("int")
-    at = F.col("chunk") * CHUNK
-    chunks = big.select(F.col("_row").alias("row_id"), "text", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk"))
-    chunks = chunks.select("row_id", "chunk", F.substring("text", at + 1, F.lit(CHUNK + vocabulary.longest)).alias("part"), F.least(F.lit(CHUNK), F.length("text") - at).alias("size"))
-    chunks = cut(chunks.repartition("row_id", "chunk"), "chunks")
-    chains = chunks.mapInArrow(transfers, "row_id long, chunk int, matrix binary").groupBy("row_id").agg(F.collect_list(F.struct("chunk", "matrix")).alias("chain"))
-    steps = chains.mapInArrow(scan, "row_id long, chunk int, enter int, leave int")
-    parts = chunks.join(steps, ["row_id", "chunk"]).mapInArrow(back, "row_id long, chunk int, ids array<int>")
-    joined = parts.groupBy("row_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
-    long = big.join(joined, big["_row"] == joined["row_id"]).select(*own, "ids")
-    return short.unionByName(long)
+    found = _giant_ids(big, shared)
+    long = big.join(found, big["_row"] == found["row_id"]).select(*[c for c in dict.fromkeys([*keep, "text"])], "ids")
+    return short.unionByName(long.mapInArrow(check, T.StructType([*fields, _IDS, *_CHECKED])) if checked else long.select(*keep, "ids"))
+
+
+def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """docs with ids: array<int> of its text column, in place of any column of that name."""
+    docs = docs.drop("ids", "_row", "row_id")
+    return _coded(docs, model, docs.columns, False)
 
 
 def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -379,19 +596,18 @@ def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            ends = batch["ids"].offsets.to_numpy()
-            flat = batch["ids"].values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False).tolist()
-            texts = [decode_ids(shared.value, flat[a:b]) for a, b in zip((ends[:-1] - ends[0]).tolist(), (ends[1:] - ends[0]).tolist(), strict=True)]
+            texts = [decode_ids(shared.value, x) for x in _lists(batch["ids"])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def encoded_and_checked(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_chars, n_ids, ids, decoded_sha256, exact (the ids decode to the text) of every row of docs."""
-    out = decode(encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model), model)
-    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("exact"))
+def encoded_and_checked(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str = MODEL) -> DataFrame:
+    """The columns keep of docs, ids, decoded_sha256 and exact (the ids decode to the text) of every row."""
+    return _coded(docs.select(*dict.fromkeys([*keep, "text"])), model, list(keep), True)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded_and_checked(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
+    out = encoded_and_checked(docs, ("doc_id", "n_chars"))
+    return out.select("doc_id", "n_chars", F.size("ids").cast("long").alias("n_ids"), "ids", "decoded_sha256", "exact")
