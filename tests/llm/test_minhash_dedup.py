@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
+import pytest
 from tidemill.llm import minhash_dedup
 from tidemill.llm.minhash_dedup import near_duplicates, op4_minhash_dedup
 
 
-def brute(rows, size=3):
+def brute(rows, size=3, least_part=(85, 100)):
     sets = []
     for _, t in rows:
         w = (t or "").encode().lower().split()
@@ -27,7 +29,7 @@ def brute(rows, size=3):
                 if j < i:
                     common[j] = common.get(j, 0) + 1
         for j, c in common.items():
-            if 100 * c >= 85 * (len(s) + len(sets[j]) - c):
+            if least_part[1] * c >= least_part[0] * (len(s) + len(sets[j]) - c):
                 parent[root(i)] = root(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -40,7 +42,9 @@ def got(df):
     return sorted([tuple(r) for r in df.select("doc_id", "n_shingles", "component_id", "kept").collect()], key=str)
 
 
-def test_whole_table(spark, sf):
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_whole_table(spark, size):
+    sf = f"/root/testdata/sf{size}"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     found = got(op4_minhash_dedup(spark, sf))
     assert found == brute(rows)
@@ -60,4 +64,24 @@ def test_edges_and_chains(spark, monkeypatch):
             rows.append((rng.randrange(10**6), " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as class", "2 as band", "3 as n")
     assert got(near_duplicates(df)) == brute(rows)
+    assert got(near_duplicates(df, 5, (4, 5))) == brute(rows, 5, (4, 5))
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def thue_morse():
+    """Two words that every polynomial hash modulo 2^64 with an odd base takes for one."""
+    t = "0"
+    while len(t) < 1024:
+        t += t.translate(str.maketrans("01", "10"))
+    return t.translate(str.maketrans("01", "ab")), t.translate(str.maketrans("01", "ba"))
+
+
+def test_long_words_differ(spark):
+    a, b = thue_morse()
+    rows = [(1, f"{a} x y z"), (2, f"{b} x y z"), (3, " ".join(["u", "v"][c == "b"] for c in a)), (4, " ".join(["u", "v"][c == "b"] for c in b)), (5, f"{a} x Y z"), (6, a), (7, b)]
+    assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_checks_compare_words():
+    a, b = minhash_dedup.exact_shingles([b"a b c a b c d", b"b c d e a b c"], 3)
+    assert len(a) == 4 and len(b) == 5 and len(np.intersect1d(a, b)) == 2

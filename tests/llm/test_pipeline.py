@@ -18,7 +18,7 @@ def test_stages_one_by_one(spark):
     assert len(kept) >= sum(len(r.text.split()) >= 5 and any(c.isalpha() for c in r.text) for r in rows.values()) * 0.99
 
     lang = lang.cache()
-    want = {d for d, _, _, keep in groups([(k, rows[k].text) for k in kept]) if keep}
+    want = {d for d, _, _, keep in groups([(k, rows[k].text) for k in kept], 5, (4, 5)) if keep}
     unique = p.dedup_stage(spark, lang, sf)
     assert unique.columns == docs.columns
     assert sorted(r.doc_id for r in unique.collect()) == sorted(want)

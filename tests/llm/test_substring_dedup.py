@@ -6,6 +6,8 @@ import pytest
 from tidemill.llm import substring_dedup as substring_dedup_module
 from tidemill.llm.substring_dedup import SuffixAutomaton, op1_substring_dedup, substring_dedup
 
+from .test_minhash_dedup import thue_morse
+
 
 def brute(rows, window):
     tokens = [(i, (t or "").encode().split()) for i, t in rows]
@@ -25,7 +27,9 @@ def got(df):
     return sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()], key=str)
 
 
-def test_whole_table(spark, sf):
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_whole_table(spark, size):
+    sf = f"/root/testdata/sf{size}"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     found = got(op1_substring_dedup(spark, sf))
     assert found == brute(rows, 35)
@@ -61,3 +65,15 @@ def test_automaton_counts():
     automaton = SuffixAutomaton([[1, 2, 3, 1, 2], [2, 3, 1]], [1, 1])
     assert automaton.repeated([2, 3, 1, 9], 3) == 1
     assert automaton.repeated([3, 1, 2], 3) == 0
+
+
+def test_long_words_and_long_texts(spark, monkeypatch):
+    a, b = thue_morse()
+    w, v = " ".join(f"w{k}" for k in range(17)), " ".join(f"v{k}" for k in range(17))
+    rows = [(1, f"{w} {a} {v}"), (2, f"{w} {b} {v}"), (3, " ".join(a)), (4, " ".join(b))]
+    assert got(substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 35)
+    monkeypatch.setattr(substring_dedup_module, "PART", 100)  # a text of more words than one part holds
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(300)}" for _ in range(1500)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[300:900])), (3, " ".join(words[1000:] + words[:90]))]
+    assert got(substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 35)
