@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import cut, documents
@@ -20,11 +20,12 @@ from tidemill.llm.language_id import fit, identify
 from tidemill.llm.minhash_dedup import near_duplicates
 from tidemill.llm.mixing import mix
 from tidemill.llm.secret_scan import redact
-from tidemill.llm.sentencepiece_codec import decode, encode
+from tidemill.llm.sentencepiece_codec import encoded_and_checked
 
 #: The part of its share of n-grams by which the best language must lead the second one to be believed.
 LEAST_LEAD = 0.02
-
+#: Near copies share this many words in a row, in this part of all their shingles.
+SHINGLE, THRESHOLD = 5, (4, 5)
 
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -50,10 +51,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @shielded
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of every group of near copies, one row of it; documents without words are no copies."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    return chosen.dropDuplicates(["doc_id", "text"])
+    """Keeps the smallest id of every group of near copies, one row of it; documents without words are no copies.
+
+    Null ids are kept unless they are linked; rows of one id go or stay together, equal texts of one id are one row.
+    """
+    kept = near_duplicates(docs, SHINGLE, THRESHOLD).where("kept").select(F.struct("doc_id").alias("_id")).distinct()
+    chosen = docs.withColumn("_id", F.struct("doc_id")).join(kept, "_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("_id", "text").orderBy("source", "lang", "n_chars"))
+    return chosen.withColumn("_place", place).where("_place = 1").select(*docs.columns)
 
 
 @shielded
@@ -72,8 +77,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_chars, ids, n_ids, exact: the token ids, and whether they decode to the text."""
-    out = decode(encode(docs.select("doc_id", "source", "lang", "n_chars", F.coalesce("text", F.lit("")).alias("text"))))
-    return out.select("doc_id", "source", "lang", "n_chars", "ids", F.size("ids").cast("long").alias("n_ids"), (F.col("decoded") == F.col("text")).alias("exact"))
+    out = encoded_and_checked(docs, ("doc_id", "source", "lang", "n_chars"))
+    return out.select("doc_id", "source", "lang", "n_chars", "ids", F.size("ids").cast("long").alias("n_ids"), "exact")
 
 
 STAGES = [
