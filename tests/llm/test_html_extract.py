@@ -1,5 +1,7 @@
 import html as entities
 import re
+import time
+import tracemalloc
 
 import numpy as np
 from tidemill.llm import html_extract as h
@@ -43,7 +45,7 @@ def test_blocks_of_broken_pages():
 
 
 def test_held_out_layouts():
-    maker, w, right, total = h.PageMaker(4711), h.train(), 0, 0
+    maker, w, right, total = h.PageMaker(4711), h.trained(), 0, 0
     for _ in range(300):
         found, y = h.labelled(maker.page())
         if found:
@@ -79,21 +81,38 @@ def test_edges(spark):
 def test_custom_elements_are_no_raw_elements():
     for name in ("video-js", "svg-icon", "audio-player", "select-menu", "object-view", "math-field", "scripted"):
         assert [t for _, t, _ in h.blocks(f"<p>one</p><{name} id=v></{name}><p>two</p>")] == ["one", "two"], name
-    assert [t for _, t, _ in h.blocks("<p>a</p><video src=x><p>no</p></video><svg/><select\n><option>no</select><p>b</p><video")] == ["a", "b"]
+    assert [t for _, t, _ in h.blocks("<p>a</p><svg/><select\n><option>no</select><p>b</p><svg")] == ["a", "b"]
+    assert [t for _, t, _ in h.blocks("<p>so <object data=x>a picture</object> shows</p><video src=x>no <b>video</b> here</video>")] == ["so a picture shows", "no video here"]
 
 
 def test_formulas_are_text():
     page = '<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding="application/x-tex">x=2</annotation></semantics></math> holds</p>'
-    assert [(t, [x[0] for x in p]) for p, t, _ in h.blocks(page)] == [("so x=2 holds", ["p"])]
+    assert h.blocks(page) == [(h._bit("t:p") | h._bit("l:p"), "so x=2 holds", 0)]
 
 
 def test_deep_nesting():
-    deep = lambda inner: "<div>" * 20 + inner + "</div>" * 20
+    deep = lambda inner: "<div>" * 30 + inner + "</div>" * 30
     one = "<nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>A title</h1>{}</article><section class=comments>{}</section><footer>&copy; me</footer>"
     text, reply = "<p>Some text of it. It goes on.</p>" * 3, "<p>I think so too.</p>" * 3
     pages = [one.format(deep(text), deep(reply)), one.format(text, reply)]
     found = h.blocks(pages[0])
-    assert all(h._bin("n:comment", h.PATH) in h._path_bins(p) for p, t, _ in found if t == "I think so too.")
-    assert all(h._bin("t:article", h.PATH) in h._path_bins(p) for p, t, _ in found if t.startswith("Some"))
-    got = h.main_texts(h.train(), pages)
+    assert all(h._bit("n:comment") & p for p, t, _ in found if t == "I think so too.")
+    assert all(h._bit("t:article") & p for p, t, _ in found if t.startswith("Some"))
+    got = h.main_texts(h.trained(), pages)
     assert got[0] == got[1] == "A title" + " Some text of it. It goes on." * 3
+
+
+def test_deep_and_long_pages_stay_cheap():
+    began = time.time()
+    assert len(h.blocks("<div>x" * 50_000)) == 50_000
+    assert len(h.blocks("<b>" * 50_000 + "<div>x</div></i>" * 50_000)) == 50_000
+    assert time.time() - began < 10
+    small_page = "<article><p>Some text of it. It goes on.</p></article>"
+    long_page = "<article>" + "<p>Some text of it. It goes on.</p>" * 200_000 + "</article>"
+    w = h.trained()
+    tracemalloc.start()
+    got = h.main_texts(w, [small_page] * 63 + [long_page])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == "Some text of it. It goes on." and got[63].count("Some") == 200_000
+    assert most < 500 << 20

@@ -1,18 +1,19 @@
 """Main text of HTML pages by a recurrent block labeller.
 
 Method: a page becomes its sequence of leaf blocks (text between block-level tags, inline tags removed). Each block has a
-vector of hashed tag-path features (tags, words of class, id and role along the path), hashed words and a few measures. A
-bidirectional LSTM in numpy reads the whole sequence, so every block is labelled with the context of the whole document.
+vector of hashed tag-path features (tags, words of class, id and role along the whole path, as a set of bits that grows
+with each open element, so depth costs nothing), hashed words and a few measures. A bidirectional LSTM in numpy reads the whole sequence, so every block is labelled with the context of the whole document.
 Main blocks are joined in page order.
 
 The labeller is trained by the driver, in some seconds and with fixed seeds, on PAGES synthetic pages whose labels are
 known by construction: many layouts of article, navigation, header, footer, sidebar, notice, advert, form and comments,
 with plain and semantic markup, made-up words in all of them. That sample is bounded and does not depend on the corpus.
-The weights (about 100 KB) are broadcast; pages are labelled where they are read, without any shuffle.
+The weights (about 100 KB) are broadcast; pages are labelled where they are read, without any shuffle, some thousands of
+blocks at a time; one page of n blocks takes some 700 n bytes.
 
 Edge cases: null and empty html give '' with 0 characters. Unclosed, crossing and cut-off tags, comments and raw elements
 are read as browsers mostly do, custom elements such as video-js as any other element; formulas are text without their
-annotations; an unfinished tag at the end is dropped, text outside of tags is text. Rows are
+annotations, what stands inside of video, audio, object or canvas is text; an unfinished tag at the end is dropped, text outside of tags is text. Rows are
 independent of each other: equal rows give equal results. An empty table gives an empty result. Only page_id, url and html
 are read.
 """
@@ -23,7 +24,6 @@ import html as entities
 import random
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,12 @@ from .common import byte_hashes, lean, records, small, word_bounds
 PATH, WORDS, MEASURES, HIDDEN = 512, 16, 8, 16
 PAGES, EPOCHS, BATCH, RATE, SEED = 1500, 10, 20, 0.01, 11
 INPUT = PATH + WORDS + MEASURES
+#: Blocks, padding included, that are labelled at a time, but for a single longer page.
+CELLS = 1 << 14
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|iframe|svg|textarea|select|object|annotation(?:-xml)?|canvas|audio|video)(?=[\s/>]|\Z)[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(script|style|template|noscript|iframe|svg|textarea|select|annotation(?:-xml)?)(?=[\s/>]|\Z)[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>"""
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -52,10 +54,13 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
-def blocks(html: str) -> list[tuple[tuple, str, int]]:
-    """Path, text and link characters of each leaf block that has text."""
-    out, parts, stack, at, links = [], [], [], 0, 0
-    path: tuple = ()
+def blocks(html: str, masks: dict | None = None) -> list[tuple[int, str, int]]:
+    """Path features as bits, text and link characters of each leaf block that has text. masks: features seen before."""
+    masks = {} if masks is None else masks
+    out, parts, at, links = [], [], 0, 0
+    stack: list[tuple] = []  # name, features of all elements so far, those of the path, last block's place, name before
+    count: dict[str, int] = {}  # of open elements by name
+    path = _ROOT
 
     def flush():
         nonlocal parts, links
@@ -67,12 +72,17 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
     def add(raw: str):
         nonlocal path, links
         text = entities.unescape(raw) if "&" in raw else raw
-        if not parts or not path and text.strip():
-            path = tuple(x for x in stack if x[0] not in _INLINE)
+        if not parts or path == _ROOT and text.strip():
+            path = stack[-1][2] if stack else _ROOT
         parts.append(text)
         if any(s[0] == "a" for s in stack[-3:]):
             links += len(text)
 
+    def close(to: int):
+        for x in stack[to:]:
+            count[x[0]] -= 1
+        del stack[to:]
+
     for m in _MARKUP.finditer(html):
         if m.start() > at:
             add(html[at : m.start()])
@@ -87,22 +97,26 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
             if name in _BLOCKS:
                 flush()
         elif closing:
-            if any(s[0] == name for s in stack):
+            if count.get(name):
                 if name in _BLOCKS:
                     flush()
-                while stack and stack.pop()[0] != name:
-                    pass
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                close(k)
         else:
             if name in _BLOCKS:
                 flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ("ul", "ol", "dl", "table") or stack[k][0] not in ("p", *_CLOSES.get(name, ())) and stack[k][0] in _BLOCKS:
-                        break
-                    if stack[k][0] == "p" or stack[k][0] in _CLOSES.get(name, ()):
-                        del stack[k:]
-                        break
+                if stack and (k := stack[-1][3]) >= 0 and (stack[k][0] == "p" or stack[k][0] in _CLOSES.get(name, ())):
+                    close(k)
             if not given.rstrip().endswith("/"):
-                stack.append((name, given))
+                all_, shown, block, before = stack[-1][1:] if stack else (0, _ROOT, -1, "")
+                if name not in _INLINE:
+                    all_ |= _mask(masks, name, given)
+                    shown = all_ | _bit(f"l:{name}") | (_bit(f"l:{before}") if before else 0)
+                    before = name
+                stack.append((name, all_, shown, len(stack) if name in _BLOCKS else block, before))
+                count[name] = count.get(name, 0) + 1
     if at < len(html):
         add(html[at:])
     flush()
@@ -111,6 +125,8 @@ def blocks(html: str) -> list[tuple[tuple, str, int]]:
 
 # ---- features ------------------------------------------------------------------------------------------------------
 
+_ROOT = 0
+
 
 def _bin(text: str, size: int) -> int:
     h = 2166136261
@@ -119,25 +135,30 @@ def _bin(text: str, size: int) -> int:
     return (h ^ h >> 15) * 2654435761 % (1 << 32) * size >> 32
 
 
-@lru_cache(20_000)
-def _element_bins(tag: str, given: str) -> frozenset[int]:
-    names = [f"t:{tag}"]
-    for m in _NAMED.finditer(given):
-        for word in _PARTS.findall(m[2] or m[3] or m[4] or ""):
-            names.append(f"n:{word.lower().removesuffix('s')}")
-    return frozenset(_bin(n, PATH) for n in names)
+def _bit(text: str) -> int:
+    return 1 << _bin(text, PATH)
+
 
+def _mask(masks: dict, tag: str, given: str) -> int:
+    """The features of one element."""
+    if (tag, given) not in masks:
+        if len(masks) > 20_000:
+            masks.clear()
+        out = _bit(f"t:{tag}")
+        for m in _NAMED.finditer(given):
+            for word in _PARTS.findall(m[2] or m[3] or m[4] or ""):
+                out |= _bit(f"n:{word.lower().removesuffix('s')}")
+        masks[tag, given] = out
+    return masks[tag, given]
 
-@lru_cache(20_000)
-def _path_bins(path: tuple) -> tuple[int, ...]:
-    bins = {_bin(f"l:{tag}", PATH) for tag, _ in path[-2:]}
-    return tuple(sorted(bins.union(*(_element_bins(*x) for x in path))))
 
+def path_features(paths: list[int]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(p.to_bytes(PATH // 8, "little") for p in paths), np.uint8).reshape(-1, PATH // 8)
+    return np.unpackbits(raw, axis=1, bitorder="little").astype(np.float32)
 
-def features(found: list[tuple[tuple, str, int]]) -> np.ndarray:
-    x = np.zeros((len(found), INPUT), np.float32)
-    if not found:
-        return x
+
+def text_features(found: list[tuple[int, str, int]]) -> np.ndarray:
+    x = np.zeros((len(found), WORDS + MEASURES), np.float32)
     raw = [t.lower().encode() for _, t, _ in found]
     ends = np.cumsum([len(b) + 1 for b in raw])
     data = np.frombuffer(b"\n".join(raw), np.uint8)
@@ -145,17 +166,21 @@ def features(found: list[tuple[tuple, str, int]]) -> np.ndarray:
     owner = np.searchsorted(ends, starts, "right")
     bins = (byte_hashes(data, starts, stops) >> np.uint64(60)).astype(np.int64)
     count = np.bincount(owner, minlength=len(found))
-    x[:, PATH : PATH + WORDS] = np.bincount(owner * WORDS + bins, minlength=len(found) * WORDS).reshape(-1, WORDS) / np.maximum(count, 1)[:, None]
+    x[:, :WORDS] = np.bincount(owner * WORDS + bins, minlength=len(found) * WORDS).reshape(-1, WORDS) / np.maximum(count, 1)[:, None]
     n = len(found)
-    for k, (path, text, links) in enumerate(found):
-        x[k, list(_path_bins(path))] = 1
+    for k, (_, text, links) in enumerate(found):
         size = len(text)
-        x[k, PATH + WORDS :] = (
+        x[k, WORDS:] = (
             np.log1p(size) / 6, np.log1p(count[k]) / 4, links / size, text[-1] in ".!?:\"»”", "©" in text, sum(map(text.count, ".,;!?")) / size * 10, k / n, 1.0,
         )
     return x
 
 
+def features(found: list[tuple[int, str, int]]) -> np.ndarray:
+    """All features of the blocks of a page, as training takes them."""
+    return np.hstack((path_features([p for p, _, _ in found]), text_features(found))) if found else np.zeros((0, INPUT), np.float32)
+
+
 # ---- the network ---------------------------------------------------------------------------------------------------
 
 
@@ -176,10 +201,9 @@ def start_weights(rng: np.random.Generator) -> dict[str, np.ndarray]:
     return w
 
 
-def _scan(w: dict, d: str, x: np.ndarray, live: np.ndarray, keep: bool):
-    """One direction over padded sequences, time first; padding leaves the state as it is."""
-    steps, n, _ = x.shape
-    gates = x @ w[f"x{d}"] + w[f"c{d}"]
+def _scan(w: dict, d: str, gates: np.ndarray, live: np.ndarray, keep: bool):
+    """One direction over padded sequences of gate inputs, time first; padding leaves the state as it is."""
+    steps, n, _ = gates.shape
     h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
     hs, trail = np.zeros((steps, n, HIDDEN), np.float32), []
     for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
@@ -198,8 +222,12 @@ def _scan(w: dict, d: str, x: np.ndarray, live: np.ndarray, keep: bool):
 
 
 def forward(w: dict, x: np.ndarray, live: np.ndarray, keep: bool = False):
-    f, trail_f = _scan(w, "f", x, live, keep)
-    b, trail_b = _scan(w, "b", x, live, keep)
+    return _forward(w, {d: x @ w[f"x{d}"] + w[f"c{d}"] for d in "fb"}, live, keep)
+
+
+def _forward(w: dict, gates: dict[str, np.ndarray], live: np.ndarray, keep: bool = False):
+    f, trail_f = _scan(w, "f", gates["f"], live, keep)
+    b, trail_b = _scan(w, "b", gates["b"], live, keep)
     both = np.concatenate((f, b), axis=2)
     return _sigmoid(both @ w["out"] + w["off"]), both, {"f": trail_f, "b": trail_b}
 
@@ -374,7 +402,15 @@ def labelled(html: str) -> tuple[list, np.ndarray]:
     return [(p, t.replace(MARK, "") or "x", n) for p, t, n in found], y
 
 
-@lru_cache(1)
+_TRAINED: list = []  # the weights of this process
+
+
+def trained() -> dict[str, np.ndarray]:
+    if not _TRAINED:
+        _TRAINED.append(train())
+    return _TRAINED[0]
+
+
 def train() -> dict[str, np.ndarray]:
     """Adam on the training pages, in an order fixed by the seed."""
     maker, rng = PageMaker(SEED), np.random.default_rng(SEED)
@@ -402,27 +438,48 @@ def train() -> dict[str, np.ndarray]:
     return w
 
 
-def main_texts(w: dict[str, np.ndarray], pages: list[str]) -> list[str]:
-    found = [blocks(p) for p in pages]
+def page_gates(w: dict[str, np.ndarray], found: list[tuple[int, str, int]]) -> dict[str, np.ndarray]:
+    """Gate inputs of the blocks of a page: those of each distinct path are made once."""
+    paths: dict[int, int] = {}
+    at = np.array([paths.setdefault(p, len(paths)) for p, _, _ in found])
+    distinct, texts = list(paths), text_features(found)
+    out = {}
+    for d in "fb":
+        of_path = np.concatenate([path_features(distinct[k : k + 1024]) @ w[f"x{d}"][:PATH] for k in range(0, len(distinct), 1024)])
+        out[d] = of_path[at] + texts @ w[f"x{d}"][PATH:] + w[f"c{d}"]
+    return out
+
+
+def main_texts(w: dict[str, np.ndarray], pages: list[str], masks: dict | None = None) -> list[str]:
+    masks = {} if masks is None else masks
+    found = [blocks(p, masks) for p in pages]
     order = sorted((k for k in range(len(found)) if found[k]), key=lambda k: len(found[k]))
     out = [""] * len(pages)
-    for at in range(0, len(order), 64):
-        part = order[at : at + 64]
-        x, live = pad([features(found[k]) for k in part])
-        p, _, _ = forward(w, x, live)
+    while order:  # the longest pages first, few at a time, so that padding stays small
+        longest = len(found[order[-1]])
+        part = [order.pop() for _ in range(min(len(order), 64, max(1, CELLS // longest)))]
+        live = np.zeros((longest, len(part)), bool)
+        gates = {d: np.zeros((longest, len(part), 4 * HIDDEN), np.float32) for d in "fb"}
+        for column, k in enumerate(part):
+            live[: len(found[k]), column] = True
+            for d, g in page_gates(w, found[k]).items():
+                gates[d][: len(g), column] = g
+        p, _, _ = _forward(w, gates, live)
         for column, k in enumerate(part):
             out[k] = " ".join(t for (_, t, _), keep in zip(found[k], p[:, column] >= 0.5, strict=False) if keep)
+            found[k] = []
     return out
 
 
 def extract(pages: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
     lean(pages.sparkSession)
-    shared = pages.sparkSession.sparkContext.broadcast(weights or train())
+    shared = pages.sparkSession.sparkContext.broadcast(weights or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks: dict = {}
         for batch in small(batches, 256):
-            texts = main_texts(shared.value, [h or "" for h in batch["html"].to_pylist()])
+            texts = main_texts(shared.value, [h or "" for h in batch["html"].to_pylist()], masks)
             yield records(_RESULT, [batch["page_id"], batch["url"], texts, [len(t) for t in texts]])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
