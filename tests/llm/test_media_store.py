@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
+import struct
 import zlib
+from collections import Counter
 
 import pytest
 from tidemill.llm import media_store as m
@@ -8,19 +11,20 @@ from tidemill.llm.media_store import media_columns, op9_media_columns
 
 
 def want(i, t):
+    """All columns by plain loops."""
     b = (t or "").encode()
-    size = max(64, -(-len(b) // 64) * 64)
-    p = b.ljust(size, b"\0")
-    return i, len(b), size, hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])
+    p = b.ljust(max(64, -(-len(b) // 64) * 64), b"\0")
+    ends = plain_cuts(p)
+    chunks = [p[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+    form = b"CDC1" + struct.pack("<QI", len(p), len(chunks)) + b"".join(struct.pack("<I", len(c)) + hashlib.sha256(c).digest() for c in chunks)
+    mean, square = sum(p) / len(p), sum(x * x for x in p) / len(p)
+    entropy = -sum(n / len(p) * math.log2(n / len(p)) for n in Counter(p).values()) + 0.0
+    feature = f"chunks={len(chunks)};mean={mean:.6f};rms={square**0.5:.6f};zeros={p.count(0)};entropy={entropy:.6f}"
+    return i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(form), hashlib.sha256(form).hexdigest(), feature
 
 
 def check(rows, got):
-    key = lambda r: (r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32)
-    assert sorted(map(key, got), key=str) == sorted((want(*r) for r in rows), key=str)
-    same = {}
-    for r in got:
-        assert r.media_bytes >= r.payload_bytes + 16
-        assert same.setdefault((r.payload_sha256, r.n_bytes), (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
+    assert sorted(map(tuple, got), key=str) == sorted((want(*r) for r in rows), key=str)
 
 
 def plain_cuts(p):
@@ -52,11 +56,24 @@ def test_cuts_move_with_the_content():
 
 
 def test_store_is_checked():
-    chunks = [b"a" * 300, b"b" * 20]
+    chunks = [b"a" * 300, b"b" * 20, b"c" * 9]
     media = m.store(chunks, [hashlib.sha256(c).digest() for c in chunks])
-    assert m.read(media) == (b"".join(chunks), 2)
-    with pytest.raises(ValueError):
-        m.read(media[:-1] + b"x")
+    assert m.read(media, b"".join(chunks), {}) == (b"".join(chunks), 3)
+    assert m.read(media, chunks[0] + chunks[2], {1: chunks[1]}) == (b"".join(chunks), 3)
+    for pack, shared in ((chunks[0] + chunks[2] + b"x", {1: chunks[1]}), (chunks[0] + b"d" * 9, {1: chunks[1]}), (chunks[0] + chunks[2], {})):
+        with pytest.raises(ValueError):
+            m.read(media, pack, shared)
+
+
+def test_shared_bytes_lie_once(spark):
+    rng = random.Random(3)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(40_000))
+    rows = [(k, f"{rng.random()} " * 40 + common) for k in range(50)]
+    media, chunks = m.stored(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(len(r.bytes) for r in chunks.collect()) <= len(common)  # not 50 times that
+    assert all(len(r.pack) <= r.n_bytes - len(common) + 64 + m.MOST for r in media.collect())
+    digests = [r.digest for r in chunks.collect()]
+    assert len(set(digests)) == len(digests) > 10
 
 
 def test_whole_table(spark):

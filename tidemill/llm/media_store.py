@@ -2,14 +2,14 @@
 
 Method: a gear hash rolls over the payload; it depends on the last 64 bytes, so all its values come from six doublings of
 the whole array. A chunk ends where the top 10 bits of the hash are zero, after 256 bytes at least and 8192 at most. Chunk
-digests (SHA-256) are counted over the corpus; a chunk that may occur more than once goes to the shared chunk store, one
-row a digest, the others stay with their payload. The stored form lists the chunks in order: 4 bytes `CDC1`, the payload
-length, the number of chunks, then length and digest of each, then the samples of 8 bits. Reading joins the list with the
-chunk store, checks every digest and puts the payload together again; all features come from the bytes read back.
+digests (SHA-256) are counted over the corpus. The stored form of a payload is the ordered list of its chunks: 4 bytes
+`CDC1`, the payload length, the number of chunks, then length and digest of each. The bytes, samples of 8 bits, lie once in
+the chunk table: a chunk that may occur more than once in the shared chunk store, one row a digest, all others in one pack
+beside the list. Lists, packs and store are written as Parquet and read again; reading joins the list with the store,
+checks every digest and puts the payload together; all features come from the bytes read back.
 
-The payload is the text's UTF-8 bytes with zero bytes up to a positive multiple of 64. A bounded Bloom filter sorts
-payloads without shared chunks out of the joins; it is a sieve only: what passes it falsely is stored shared all the same
-and read back by the join.
+The payload is the text's UTF-8 bytes with zero bytes up to a positive multiple of 64. A bounded Bloom filter tells which
+chunks may occur again; it is a sieve only: what passes it falsely is stored shared all the same and read back by the join.
 
 Edge cases: null and empty texts have 64 zero bytes. Equal texts have equal results. Rows with equal ids stay apart. An
 empty table gives an empty result. A digest that does not fit its bytes raises an error. Other columns are not read.
@@ -34,7 +34,8 @@ LEAST, MOST, MASK_BITS = 256, 8192, 10
 GEAR = mix64(np.arange(1, 257, dtype=np.uint64))
 
 _KEYS = pa.schema([("key", pa.int64())])
-_CHUNKS = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("pos", pa.int32()), ("shared", pa.bool_()), ("digest", pa.binary()), ("bytes", pa.binary())])
+_STORED = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("pack", pa.binary()), ("n_shared", pa.int32()), ("digest", pa.binary()), ("bytes", pa.binary())])
+_WANTED = pa.schema([("row_id", pa.int64()), ("pos", pa.int32()), ("digest", pa.binary())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 _KINDS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -92,29 +93,38 @@ def _key(digest: bytes) -> int:
 
 
 def store(chunks: list[bytes], digests: list[bytes]) -> bytes:
-    """The stored form."""
+    """The stored form: the list of chunks."""
     head = struct.pack("<4sQI", b"CDC1", sum(map(len, chunks)), len(chunks))
-    return b"".join((head, *(struct.pack("<I32s", len(c), d) for c, d in zip(chunks, digests, strict=True)), *chunks))
+    return b"".join((head, *(struct.pack("<I32s", len(c), d) for c, d in zip(chunks, digests, strict=True))))
 
 
-def read(media: bytes) -> tuple[bytes, int]:
-    """The verified payload of a stored form, and its number of chunks."""
+def entries(media: bytes) -> list[tuple[int, bytes]]:
+    """Length and digest of each chunk of a stored form."""
     magic, size, n = struct.unpack_from("<4sQI", media)
-    table, at = 16, 16 + 36 * n
-    parts = []
-    for k in range(n):
-        length, digest = struct.unpack_from("<I32s", media, table + 36 * k)
-        parts.append(media[at : at + length])
-        at += length
-        if hashlib.sha256(parts[-1]).digest() != digest:
-            raise ValueError("a chunk does not fit its digest")
-    if magic != b"CDC1" or sum(map(len, parts)) != size or at != len(media):
+    out = list(struct.iter_unpack("<I32s", media[16:]))
+    if magic != b"CDC1" or len(out) != n or sum(x for x, _ in out) != size:
         raise ValueError("not a stored payload")
-    return b"".join(parts), n
+    return out
+
+
+def read(media: bytes, pack: bytes, shared: dict[int, bytes]) -> tuple[bytes, int]:
+    """The verified payload of a stored form, from its pack and the shared chunks by place; and its number of chunks."""
+    at, parts = 0, []
+    for k, (length, digest) in enumerate(entries(media)):
+        if k in shared:
+            parts.append(shared[k])
+        else:
+            parts.append(pack[at : at + length])
+            at += length
+        if len(parts[-1]) != length or hashlib.sha256(parts[-1]).digest() != digest:
+            raise ValueError("a chunk does not fit its digest")
+    if at != len(pack):
+        raise ValueError("a pack does not fit its list")
+    return b"".join(parts), len(parts)
 
 
-def _row(doc_id, n_bytes: int, media: bytes) -> tuple:
-    p, n = read(media)
+def _row(doc_id, n_bytes: int, media: bytes, pack: bytes, shared: dict[int, bytes]) -> tuple:
+    p, n = read(media, pack, shared)
     samples = np.frombuffer(p, np.uint8)
     count = np.bincount(samples, minlength=256)
     share = count[count > 0] / len(samples)
@@ -133,47 +143,67 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield records(_KEYS, [[_key(d) for _, _, digests in chunked(batch) for d in digests]])
 
 
+def _keys_of(digests: list[bytes]) -> np.ndarray:
+    return np.array([_key(d) for d in digests], np.int64)
+
+
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches, 100):
-        out = []
-        for doc_id, n, parts in zip(*(batch[c].to_pylist() for c in ("doc_id", "n_bytes", "parts")), strict=True):
-            parts.sort(key=lambda x: x["pos"])
-            out.append(_row(doc_id, n, store([x["bytes"] for x in parts], [x["digest"] for x in parts])))
-        yield records(_RESULT, _columns(out))
+        parts = batch["parts"].to_pylist() if "parts" in batch.schema.names else [()] * batch.num_rows
+        rows = zip(*(batch[c].to_pylist() for c in ("doc_id", "n_bytes", "media", "pack")), parts, strict=True)
+        yield records(_RESULT, _columns([_row(i, n, media, pack, {x["pos"]: x["bytes"] for x in own}) for i, n, media, pack, own in rows]))
 
 
-def media_columns(docs: DataFrame) -> DataFrame:
-    """The digest columns of every row's payload, as read back from its stored form."""
+def stored(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The written tables: row_id, doc_id, n_bytes, media, pack, n_shared of every row; digest, bytes of the shared chunks."""
     spark = docs.sparkSession
     slim = docs.select("doc_id", "text")
     repeated = slim.mapInArrow(_keys, "key long").groupBy("key").count().where("count > 1")
     known = spark.sparkContext.broadcast(key_filter(repeated, "key"))
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Payloads without a chunk that may be shared are stored and read in place."""
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """List and pack of each payload, and the chunks that may be shared, most of them once a task."""
+        seen: set[bytes] = set()
         for batch in small(batches):
             out = []
-            for doc_id, (n, chunks, digests) in zip(batch["doc_id"].to_pylist(), chunked(batch), strict=True):
-                if not passes(known.value, np.array([_key(d) for d in digests], np.int64)).any():
-                    out.append(_row(doc_id, n, store(chunks, digests)))
-            yield records(_RESULT, _columns(out))
+            for doc_id, row_id, (n, chunks, digests) in zip(batch["doc_id"].to_pylist(), batch["row_id"].to_pylist(), chunked(batch), strict=True):
+                shared = passes(known.value, _keys_of(digests)).tolist()
+                pack = b"".join(c for c, s in zip(chunks, shared, strict=True) if not s)
+                out.append((row_id, doc_id, n, store(chunks, digests), pack, sum(shared), None, None))
+                for c, d, s in zip(chunks, digests, shared, strict=True):
+                    if s and d not in seen:
+                        if len(seen) > 100_000:
+                            seen.clear()
+                        seen.add(d)
+                        out.append((None, None, None, None, None, None, d, c))
+            yield records(_STORED, list(zip(*out, strict=True)) if out else [[] for _ in _STORED.names])
+
+    kinds = "row_id long, doc_id long, n_bytes long, media binary, pack binary, n_shared int, digest binary, bytes binary"
+    table = cut(slim.withColumn("row_id", F.monotonically_increasing_id()).mapInArrow(write, kinds), "media")
+    chunk_store = cut(table.where("digest is not null").groupBy("digest").agg(F.first("bytes").alias("bytes")), "chunk-store")
+    return table.where("digest is null").drop("digest", "bytes"), chunk_store
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def media_columns(docs: DataFrame) -> DataFrame:
+    """The digest columns of every row's payload, as read back from its stored form."""
+    spark = docs.sparkSession
+    media, chunk_store = stored(docs)
+    known = spark.sparkContext.broadcast(key_filter(chunk_store.select(F.expr("cast(conv(hex(substring(digest, 1, 8)), 16, -10) as long)").alias("key")), "key"))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             out = []
-            for doc_id, row_id, (n, chunks, digests) in zip(batch["doc_id"].to_pylist(), batch["row_id"].to_pylist(), chunked(batch), strict=True):
-                shared = passes(known.value, np.array([_key(d) for d in digests], np.int64))
-                if shared.any():
-                    out += [(row_id, doc_id, n, k, s, d, c) for k, (s, d, c) in enumerate(zip(shared.tolist(), digests, chunks, strict=True))]
-            yield records(_CHUNKS, list(zip(*out, strict=True)) if out else [[] for _ in _CHUNKS.names])
-
-    kinds = "row_id long, doc_id long, n_bytes long, pos int, shared boolean, digest binary, bytes binary"
-    table = cut(slim.withColumn("row_id", F.monotonically_increasing_id()).mapInArrow(parts, kinds), "chunks")
-    chunk_store = cut(table.where("shared").groupBy("digest").agg(F.first("bytes").alias("bytes")), "chunk-store")
-    lists = table.where("shared").drop("bytes").join(chunk_store, "digest")
-    whole = lists.select(table.columns).unionByName(table.where("not shared"))
-    joined = whole.groupBy("row_id", "doc_id", "n_bytes").agg(F.collect_list(F.struct("pos", "digest", "bytes")).alias("parts"))
-    return slim.mapInArrow(own, _KINDS).unionByName(joined.select("doc_id", "n_bytes", "parts").mapInArrow(_assemble, _KINDS))
+            for row_id, form in zip(batch["row_id"].to_pylist(), batch["media"].to_pylist(), strict=True):
+                digests = [d for _, d in entries(form)]
+                out += [(row_id, k, digests[k]) for k in np.flatnonzero(passes(known.value, _keys_of(digests))).tolist()]
+            yield records(_WANTED, list(zip(*out, strict=True)) if out else [[] for _ in _WANTED.names])
+
+    alone = media.where("n_shared = 0").select("doc_id", "n_bytes", "media", "pack").mapInArrow(_assemble, _KINDS)
+    mixed = media.where("n_shared > 0")
+    found = mixed.select("row_id", "media").mapInArrow(wanted, "row_id long, pos int, digest binary").join(chunk_store, "digest")
+    parts = found.groupBy("row_id").agg(F.collect_list(F.struct("pos", "bytes")).alias("parts"))
+    joined = mixed.join(parts, "row_id", "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<struct<pos:int,bytes:binary>>")))
+    return alone.unionByName(joined.select("doc_id", "n_bytes", "media", "pack", "parts").mapInArrow(_assemble, _KINDS))
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
