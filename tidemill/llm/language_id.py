@@ -8,7 +8,7 @@ places gives all languages containing a gram in one look. A document's popcount
 filter's false positives, which are known from its fill; the largest corrected share decides.
 
 The model takes 16 MB for up to 64 languages, 16 MB more for each further 64, as long as no language has over 484,000
-grams; beyond that it grows with them (35 to 70 bytes a gram of the fullest language) and none is left out. Counting it is a
+grams; more than 4096 values of lang are an error; beyond that it grows with them (35 to 70 bytes a gram of the fullest language) and none is left out. Counting it is a
 shuffle of gram counts, summed up within each task first.
 
 Edge cases: null texts and texts without a letter are `und` with score 0, as is every text if no language was learned.
@@ -22,7 +22,6 @@ import math
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -36,6 +35,7 @@ from .common import crc_remainder, cut, documents, mix64, records, small
 SIZE = 4
 PLACE_BITS, HASHES, FILL = 21, 3, 0.5
 LEAST, SHARE = 2, 0.2
+MOST = 4096
 MODULUS, HELD_OUT = 4, 2
 
 _COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
@@ -57,9 +57,13 @@ def shifts(bits: int) -> list[int]:
     return [k * ((64 - bits) // (HASHES - 1)) for k in range(HASHES)]
 
 
-@lru_cache(1)
+_LETTERS: list = []  # filled once a process
+
+
 def _letters() -> np.ndarray:
-    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)])
+    if not _LETTERS:
+        _LETTERS.append(np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)]))
+    return _LETTERS[0]
 
 
 def grams(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +137,9 @@ def fit(docs: DataFrame) -> Model:
     """Learns from all rows of docs (text, lang)."""
     known = docs.where("text is not null and lang is not null and lang != ''").select("text", "lang")
     counts = cut(known.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MOST + 1).collect()}
+    if len(totals) > MOST:
+        raise ValueError(f"over {MOST} values of lang: that column holds no languages")
     languages = sorted(totals)
     words = max(1, -(-len(languages) // 64))
     if not languages:
@@ -199,11 +205,12 @@ def identify(docs: DataFrame, model: Model, lead: bool = False) -> DataFrame:
     """docs with the columns lang_pred and score, and lead if wanted, in place of any of these names."""
     extra = ["lang_pred", "score", *(["lead"] if lead else [])]
     docs = docs.drop(*extra)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
         for batch in small(batches):
-            names, *numbers = judge(shared.value, batch["text"].to_pylist())
+            names, *numbers = judge(model, batch["text"].to_pylist())
             made = [pa.array(names, pa.string()), *[pa.array(x, pa.float64()) for x in numbers]]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made[: len(extra)]], names=[*batch.schema.names, *extra])
 

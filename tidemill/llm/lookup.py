@@ -6,7 +6,10 @@ import numpy as np
 
 
 class Lookup:
-    """Positions of known 64-bit keys, by a few direct-mapped tables on different bits of the key."""
+    """Positions of known 64-bit keys, by a few direct-mapped tables on different bits of the key.
+
+    Broadcasts hold `state`, as they are pickled by reference and executors need not know this class.
+    """
 
     def __init__(self, keys: np.ndarray):
         self.keys, self.tables = keys, []
@@ -33,3 +36,18 @@ class Lookup:
             out[left[good]] = found[good]
             left = left[~good]
         return out
+
+    @property
+    def state(self) -> tuple:
+        return self.keys, self.tables
+
+    @classmethod
+    def of(cls, keys: np.ndarray, tables: list) -> Lookup:
+        out = cls.__new__(cls)
+        out.keys, out.tables = keys, tables
+        return out
+
+
+def opened(shared) -> Lookup:
+    """The table of a broadcast state."""
+    return Lookup.of(*shared.value)

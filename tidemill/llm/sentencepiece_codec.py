@@ -62,6 +62,16 @@ class Vocabulary(NamedTuple):
     segment: str
 
 
+def packed(v: Vocabulary) -> tuple:
+    """The vocabulary as a broadcast holds it."""
+    return tuple(v._replace(steps=v.steps.state, pairs=v.pairs.state))
+
+
+def unpacked(shared) -> Vocabulary:
+    v = Vocabulary(*shared.value)
+    return v._replace(steps=Lookup.of(*v.steps), pairs=Lookup.of(*v.pairs))
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -485,7 +495,7 @@ def _unpack(b: bytes) -> np.ndarray:
 
 def _giant_ids(big: DataFrame, shared) -> DataFrame:
     """row_id, ids of the giant texts of big (_row, text)."""
-    longest, size = shared.value.longest, CHUNK
+    longest, size = unpacked(shared).longest, CHUNK
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("row_id", pa.int64()), ("chunk", pa.int32()), ("count", pa.int32()), ("part", pa.string())])
@@ -497,7 +507,7 @@ def _giant_ids(big: DataFrame, shared) -> DataFrame:
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("row_id", pa.int64()), ("node", pa.int32()), ("matrix", pa.binary())])
-        pairs = Pairs(shared.value)
+        pairs = Pairs(unpacked(shared))
         for batch in small(batches, 1):
             row = batch.to_pylist()[0]
             yield records(schema, [[row["row_id"]], [row["chunk"]], [_pack(_chunk_of(pairs, row["chunk"], row["count"], row["part"]).transfer())]])
@@ -518,7 +528,7 @@ def _giant_ids(big: DataFrame, shared) -> DataFrame:
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("row_id", pa.int64()), ("chunk", pa.int32()), ("ids", pa.list_(pa.int32()))])
-        pairs = Pairs(shared.value)
+        pairs = Pairs(unpacked(shared))
         for batch in small(batches, 1):
             row = batch.to_pylist()[0]
             found = _chunk_of(pairs, row["chunk"], row["count"], row["part"]).trace(row["enter"], row["leave"])
@@ -558,21 +568,23 @@ def _checks(v: Vocabulary, texts: list, ids) -> list[pa.Array]:
 
 def _coded(docs: DataFrame, model: str, keep: list[str], checked: bool) -> DataFrame:
     """The columns keep of docs, ids, and, if checked, decoded_sha256 and exact, all in one step over the rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(model))
+    shared = docs.sparkSession.sparkContext.broadcast(packed(load(model)))
     fields = [docs.schema[c] for c in keep]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        v = unpacked(shared)
+        encoder = Encoder(v)
         for batch in small(batches, 200):
             texts = batch["text"].to_pylist()
             ids = encoder([SPACE + escape(t) if t else "" for t in texts])
-            made = _checks(shared.value, texts, (x.tolist() for x in ids)) if checked else []
+            made = _checks(v, texts, (x.tolist() for x in ids)) if checked else []
             names = [*keep, "ids", *(["decoded_sha256", "exact"] if checked else [])]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array(ids, pa.list_(pa.int32())), *made], names=names)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = unpacked(shared)
         for batch in small(batches, 1):
-            made = _checks(shared.value, batch["text"].to_pylist(), _lists(batch["ids"]))
+            made = _checks(v, batch["text"].to_pylist(), _lists(batch["ids"]))
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], batch["ids"], *made], names=[*keep, "ids", "decoded_sha256", "exact"])
 
     giant = F.coalesce(F.length("text"), F.lit(0)) > CHUNK
@@ -592,11 +604,12 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 def decode(coded: DataFrame, model: str = MODEL) -> DataFrame:
     """coded with decoded: the text of its ids column ('' for null), in place of any column of that name."""
     coded = coded.drop("decoded")
-    shared = coded.sparkSession.sparkContext.broadcast(load(model))
+    shared = coded.sparkSession.sparkContext.broadcast(packed(load(model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = unpacked(shared)
         for batch in small(batches):
-            texts = [decode_ids(shared.value, x) for x in _lists(batch["ids"])]
+            texts = [decode_ids(v, x) for x in _lists(batch["ids"])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())]))
