@@ -32,7 +32,9 @@ class Lookup:
         left = np.arange(len(keys))
         for shift, mask, table in self.tables:
             found = table[(keys[left] >> shift & mask).astype(np.int64)]
-            good = (found >= 0) & (self.keys[found] == keys[left])
+            taken = np.flatnonzero(found >= 0)  # a key that is not in this table nor in a later one most often meets a free slot
+            left, found = left[taken], found[taken]
+            good = self.keys[found] == keys[left]
             out[left[good]] = found[good]
             left = left[~good]
         return out

@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -199,22 +200,45 @@ def _spelled(v: Vocabulary, token: np.ndarray, owner: np.ndarray) -> tuple[np.nd
     return wide, owner
 
 
-def encode_segments(v: Vocabulary, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+class Recent:
+    """neighbours() of a vocabulary, with the answers last found for many pairs at hand."""
+
+    def __init__(self, v: Vocabulary, bits: int = 17):
+        self.v, self.shift = v, np.uint64(64 - bits)
+        self.keys, self.answers = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, bool)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(left), bool)
+        live = np.flatnonzero((left | right) >= 0)
+        x, y = left[live], right[live]
+        key = x * len(self.v.rank) + y
+        slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+        ok[live] = self.answers[slot]
+        new = np.flatnonzero(self.keys[slot] != key)
+        if len(new):
+            ok[live[new]] = found = neighbours(self.v, x[new], y[new])
+            self.keys[slot[new]] = key[new]
+            self.answers[slot[new]] = found
+        return ok
+
+
+def encode_segments(v: Vocabulary, segments: list[str], pairs: Recent | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all segments in a row, and how many of each segment; all are solved in step."""
+    pairs = pairs or Recent(v)
     sizes = np.array([len(s) for s in segments], np.int64)
     code = _codes("".join(segments))
     first = np.concatenate(([0], np.cumsum(sizes)))
     owner = np.repeat(np.arange(len(segments)), sizes)
     start, length, ids = _matches(v, code, first[1:][owner] - np.arange(len(code)))
     offset = start - first[owner[start]]
-    order = np.argsort(offset, kind="stable")  # all pieces at the first character of their segment, then at the second, ...
+    order = np.argsort(offset.astype(np.uint16) if sizes.max(initial=0) < 1 << 16 else offset, kind="stable")  # all pieces at the first character of their segment, then at the second, ...
     begin, length, ids = (start + owner[start])[order], length[order], ids[order]
     goal, steps_at = begin + length, np.cumsum(np.bincount(offset)) if len(offset) else np.zeros(0, np.int64)
     node = first[:-1] + np.arange(len(segments))  # one node more than characters
     back, token_at = np.zeros(len(code) + len(segments), np.int64), np.full(len(code) + len(segments), -1, np.int64)
     lo = 0
     for hi in steps_at.tolist():  # every beginning of a segment has one encoding, so one last piece
-        good = np.flatnonzero(neighbours(v, token_at[begin[lo:hi]], ids[lo:hi])) + lo
+        good = np.flatnonzero(pairs(token_at[begin[lo:hi]], ids[lo:hi])) + lo
         back[goal[good]], token_at[goal[good]] = length[good], ids[good]
         lo = hi
     at, live, steps = sizes.copy(), np.flatnonzero(sizes > 0), []
@@ -226,7 +250,7 @@ def encode_segments(v: Vocabulary, segments: list[str]) -> tuple[np.ndarray, np.
         live = live[at[live] > 0]
     owner = np.concatenate([s[0] for s in steps[::-1]]) if steps else np.zeros(0, np.int64)
     token = np.concatenate([s[1] for s in steps[::-1]]) if steps else np.zeros(0, np.int64)
-    by_owner = np.argsort(owner, kind="stable")
+    by_owner = np.argsort(owner.astype(np.uint16) if len(segments) < 1 << 16 else owner, kind="stable")
     token, owner = _spelled(v, token[by_owner], owner[by_owner])
     return token, np.bincount(owner, minlength=len(segments))
 
@@ -243,7 +267,7 @@ class Encoder:
     """Encodes whole texts and keeps the ids of the segments it has solved, up to `most` of them."""
 
     def __init__(self, v: Vocabulary, most: int = 500_000):
-        self.v, self.most, self.find, self.pairs = v, most, re.compile(v.segment).findall, Pairs(v)
+        self.v, self.most, self.find, self.pairs, self.recent = v, most, re.compile(v.segment).findall, Pairs(v), Recent(v)
         self.forget()
 
     def forget(self) -> None:
@@ -251,7 +275,7 @@ class Encoder:
         self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _solve(self, segments: list[str]) -> None:
-        solved, n = encode_segments(self.v, [s if len(s) <= SHORT else "" for s in segments])
+        solved, n = encode_segments(self.v, [s if len(s) <= SHORT else "" for s in segments], self.recent)
         parts, at = [], 0
         if any(len(s) > SHORT for s in segments):
             ends = np.cumsum(n)
@@ -274,7 +298,7 @@ class Encoder:
             words = self.find(t)
             places.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
         if len(known) > before:
-            self._solve(list(known)[before:])
+            self._solve(list(islice(known, before, None)))
         out = []
         for p in places:
             n = self.sizes[p]
@@ -287,7 +311,7 @@ def encode_texts(v: Vocabulary, escaped: list[str]) -> list[np.ndarray]:
 
 
 def decode_ids(v: Vocabulary, ids) -> str:
-    return b"".join([v.texts[k] for k in ids]).decode("utf-8", "replace")[1:]
+    return b"".join(map(v.texts.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 # ---- long segments and chunks of giant texts -----------------------------------------------------------------------
