@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,17 +21,30 @@ def verify(loaded: DataFrame, made: DataFrame) -> None:
 def full_refresh(made: DataFrame, path: str) -> DataFrame:
     """Replaces the table at path, partitioned by document type, by chunks (doc_id, chunk_index, ...), and verifies it.
 
-    The id is made of document and chunk and not a running number, so no task has to see all rows.
+    The id is made of document and chunk and not a running number, so no task has to see all rows. The new table is
+    written beside the old one and made once, so an embedder sees each chunk once; what the writing tasks counted must be
+    what is read again, and only then does the new table take the place of the old one. A failure before leaves that
+    untouched.
     """
+    spark = made.sparkSession
     rows = made.withColumn("id", F.xxhash64("doc_id", "chunk_index"))
-    if "metadata" in rows.columns:
-        rows = rows.withColumn("doc_type", F.col("metadata.doc_type"))
-        rows.write.mode("overwrite").partitionBy("doc_type").parquet(path)
+    typed = "metadata" in rows.columns
+    seen = Observation()
+    rows = rows.observe(seen, F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("missing"))
+    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    if typed:
+        rows.withColumn("doc_type", F.col("metadata.doc_type")).write.partitionBy("doc_type").parquet(beside)
     else:
-        rows.write.mode("overwrite").parquet(path)
-    loaded = made.sparkSession.read.parquet(path)
-    verify(loaded, made)
-    return loaded
+        rows.write.parquet(beside)
+    written = spark.read.parquet(beside)
+    if tuple(written.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()) != (seen.get["n"], seen.get["missing"]):
+        raise RuntimeError("the loaded table does not hold what was made")
+    of = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(of(path), True)
+    if not files.rename(of(beside), of(path)):
+        raise RuntimeError(f"{beside} is whole but could not take its place")
+    return spark.read.parquet(path)
 
 
 def embed(made: DataFrame, embedder: Callable[[list[str]], list[list[float]]], width: int, batch: int = 16) -> DataFrame:
@@ -66,10 +80,13 @@ def hashed_frequencies(width: int) -> Callable[[list[str]], list[list[float]]]:
 
 
 def incremental(spark: SparkSession, incoming: str, kinds: str, make: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Chunks new Parquet files of documents as they come and appends them; ends when all present files are done."""
+    """Chunks new Parquet files of documents as they come; ends when all present files are done.
+
+    Each micro-batch owns the folder load=<its number> of the table, so one that is retried replaces what it left.
+    """
 
-    def add(batch: DataFrame, _: int) -> None:
-        make(batch).withColumn("id", F.xxhash64("doc_id", "chunk_index")).write.mode("append").parquet(path)
+    def add(batch: DataFrame, number: int) -> None:
+        make(batch).withColumn("id", F.xxhash64("doc_id", "chunk_index")).write.mode("overwrite").parquet(f"{path}/load={number}")
 
     stream = spark.readStream.schema(kinds).parquet(incoming)
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,7 +11,7 @@ from tidemill import evaluation as ev
 from tidemill import ingest
 from tidemill import text as tx
 from tidemill import vectors as v
-from tidemill.sources import table
+from tidemill.sources import shared_dir, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,9 +43,9 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang", "source")
 
 
-def passages(spark: SparkSession, sf: str, how: str = "left") -> DataFrame:
-    """All documents, with a null embedding where they have none; how='inner' keeps those that have one."""
-    return texts(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", how)
+def passages(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, with a null embedding where they have none."""
+    return texts(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
 
 
 COSINE = "list_cosine_similarity(e.embedding::double[], q.embedding::double[])"
@@ -98,7 +98,7 @@ def vec_rownum_pool_each(spark: SparkSession, sf: str) -> DataFrame:
 WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 GRAMS = "list_distinct(flatten(list_transform(" + WORDS + ", lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 SQL_KEYWORD = f"""t as (select {GRAMS.format(f"'{QUERY_TEXT}'")} as q),
-    g as (select doc_id as id, lang, {GRAMS.format("text")} as g from documents where doc_id in (select vec_id from embeddings)),
+    g as (select doc_id as id, lang, {GRAMS.format("text")} as g from documents),
     s as (select id, lang, len(list_intersect(g, q)) / greatest(len(g) + len(q) - len(list_intersect(g, q)), 1) as keyword from g, t)"""
 
 
@@ -108,15 +108,6 @@ def trigram_score(content):
 
 @query(f"with {SQL_KEYWORD} select id, round(keyword, 6) as keyword from s where keyword > 0.02 order by s.keyword desc, id limit 30")
 def kw_trigram_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return v.keyword_search(passages(spark, sf, "inner"), trigram_score, 30, 0.02).select("id", F.round("keyword", 6).alias("keyword"))
-
-
-#: The same over all documents, whether or not they have a vector.
-SQL_KEYWORD_ALL = SQL_KEYWORD.replace(" where doc_id in (select vec_id from embeddings)", "")
-
-
-@query(f"with {SQL_KEYWORD_ALL} select id, round(keyword, 6) as keyword from s where keyword > 0.02 order by s.keyword desc, id limit 30")
-def kw_trigram_similarity_all(spark: SparkSession, sf: str) -> DataFrame:
     return v.keyword_search(texts(spark, sf), trigram_score, 30, 0.02).select("id", F.round("keyword", 6).alias("keyword"))
 
 
@@ -125,24 +116,13 @@ def kw_word_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return v.keyword_search(texts(spark, sf), v.word_similarity(QUERY_TEXT), 30).select("id", F.round("keyword", 6).alias("keyword"))
 
 
-@query(f"""with {QV}, {SQL_KEYWORD.replace("from documents where", "from documents where lang = 'en' and")},
-    c as (select e.vec_id as id, {COSINE} as similarity from embeddings e, q where e.vec_id in (select id from g)),
-    vec as (select id, row_number() over (order by similarity desc, id) as r from c qualify r <= 30),
-    kw as (select id, row_number() over (order by keyword desc, id) as r from s where keyword > 0.1 qualify r <= 30),
-    f as (select coalesce(vec.id, kw.id) as id, coalesce(1.0::double / (60 + vec.r), 0) + coalesce(1.0::double / (60 + kw.r), 0) as score from vec full join kw on vec.id = kw.id)
-    select f.id, lang, round(similarity, 6) as similarity, round(score, 9) as rrf_score from f join c on c.id = f.id join g on g.id = f.id order by score desc, f.id limit 10""")
-def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    found = v.hybrid_search(passages(spark, sf, "inner"), QUERY_TEXT, query_vector(spark, sf), 10, "lang", "en", score=trigram_score)
-    return found.select("id", "lang", F.round("similarity", 6).alias("similarity"), F.round("rrf_score", 9).alias("rrf_score"))
-
-
-@query(f"""with {QV}, {SQL_KEYWORD_ALL.replace("from documents", "from documents where lang = 'en'")},
+@query(f"""with {QV}, {SQL_KEYWORD.replace("from documents", "from documents where lang = 'en'")},
     c as (select e.vec_id as id, {COSINE} as similarity from embeddings e, q where e.vec_id in (select id from g)),
     vec as (select id, row_number() over (order by similarity desc, id) as r from c qualify r <= 30),
     kw as (select id, row_number() over (order by keyword desc, id) as r from s where keyword > 0.1 qualify r <= 30),
     f as (select coalesce(vec.id, kw.id) as id, coalesce(1.0::double / (60 + vec.r), 0) + coalesce(1.0::double / (60 + kw.r), 0) as score from vec full join kw on vec.id = kw.id)
     select f.id, lang, round(similarity, 6) as similarity, round(score, 9) as rrf_score from f join g on g.id = f.id left join c on c.id = f.id order by score desc, f.id limit 10""")
-def hybrid_rrf_all(spark: SparkSession, sf: str) -> DataFrame:
+def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     found = v.hybrid_search(passages(spark, sf), QUERY_TEXT, query_vector(spark, sf), 10, "lang", "en", score=trigram_score)
     return found.select("id", "lang", F.round("similarity", 6).alias("similarity"), F.round("rrf_score", 9).alias("rrf_score"))
 
@@ -153,6 +133,10 @@ def hybrid_word_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id", F.round("similarity", 6).alias("similarity"), F.round("rrf_score", 9).alias("rrf_score"))
 
 
+#: The names under which the whole queries stood beside ones that read a part.
+for _name, _same in {"kw_trigram_similarity_all": "kw_trigram_similarity", "hybrid_rrf_all": "hybrid_rrf"}.items():
+    QUERIES[_name], ORACLES[_name] = QUERIES[_same], ORACLES[_same]
+
 # ---- routing -------------------------------------------------------------------------------------------------------
 
 SQL_ROUTE = """x as (select vec_id, label, embedding from embeddings qualify row_number() over (partition by label order by vec_id) <= 5),
@@ -185,21 +169,22 @@ def route_confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- evaluation ----------------------------------------------------------------------------------------------------
 
-#: For the vectors 0 to 9 as questions: expected are rows of their class, hits are the nearest 12 other rows.
-SQL_HITS = """c as (select q.vec_id as q, e.vec_id as id, e.label, q.label as want, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as s from embeddings q, embeddings e where q.vec_id < 10 and e.vec_id <> q.vec_id),
+#: Every row of the query set is a question: expected are rows of its class, hits are the nearest 12 other rows.
+SQL_HITS = f"""c as (select q.vec_id as q, e.vec_id as id, e.label, q.label as want, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) as s from embeddings q, embeddings e where q.vec_id % {EACH} = 0 and e.vec_id <> q.vec_id),
     r as (select *, row_number() over (partition by q order by s desc, id) as rank from c),
     p as (select q, id % 50 as doc, min(rank) as rank from r where rank <= 12 group by all),
     d as (select q, doc, row_number() over (partition by q order by rank, doc) as place from p),
-    w as (select distinct q, id % 50 as doc from c where label = want and id % 3 = 0)"""
+    w as (select distinct q, id % 50 as doc from c where label = want)"""
 
 
 def hits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     e = embedded(spark, sf)
-    few = e.where("id < 10").select(F.col("id").alias("q"), F.col("embedding").alias("asked"), F.col("label").alias("want"))
-    pairs = e.join(F.broadcast(few), F.col("id") != F.col("q")).withColumn("s", v.cosine(F.col("embedding"), F.col("asked")))  # ten questions
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "id"))
-    found = pairs.select("q", "id", "s").withColumn("rank", rank).where("rank <= 12").select("q", (F.col("id") % 50).alias("doc"), "rank")
-    expected = pairs.where("label = want and id % 3 = 0").select("q", (F.col("id") % 50).alias("doc")).distinct()
+    near = v.nearest_of_each(e, asked(e), 13).where("id != q")  # the row itself may be among them
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("rank"))
+    found = near.withColumn("rank", rank).where("rank <= 12").select("q", (F.col("id") % 50).alias("doc"), "rank")
+    docs = e.groupBy(F.col("label").alias("want"), (F.col("id") % 50).alias("doc")).agg(F.count("*").alias("n"))
+    questions = asked(e).select(F.col("id").alias("q"), F.col("label").alias("want"))
+    expected = questions.join(docs, "want").where("n > 1 or doc != q % 50").select("q", "doc")  # other rows than the question's own
     return ev.distinct_positions(found), expected
 
 
@@ -222,40 +207,6 @@ def grade_sets(spark: SparkSession, sf: str) -> DataFrame:
     return ev.grade_sets(places.withColumnRenamed("doc", "id"), expected.withColumnRenamed("doc", "id"))
 
 
-#: The same for every row of the query set, expected by label alone.
-SQL_HITS_EACH = SQL_HITS.replace("q.vec_id < 10", f"q.vec_id % {EACH} = 0").replace("label = want and id % 3 = 0", "label = want")
-
-
-def hits_each(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    e = embedded(spark, sf)
-    near = v.nearest_of_each(e, asked(e), 13).where("id != q")  # the row itself may be among them
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("rank"))
-    found = near.withColumn("rank", rank).where("rank <= 12").select("q", (F.col("id") % 50).alias("doc"), "rank")
-    docs = e.groupBy(F.col("label").alias("want"), (F.col("id") % 50).alias("doc")).agg(F.count("*").alias("n"))
-    questions = asked(e).select(F.col("id").alias("q"), F.col("label").alias("want"))
-    expected = questions.join(docs, "want").where("n > 1 or doc != q % 50").select("q", "doc")  # other rows than the question's own
-    return ev.distinct_positions(found), expected
-
-
-@query(f"""with {SQL_HITS_EACH} select k, cast(count(*) filter (hit) as bigint) as hits, count(*) as total, count(*) filter (hit) * 100 // count(*) as percent
-    from (select k, x.q, exists (select 1 from d join w on d.q = w.q and d.doc = w.doc where d.q = x.q and place <= k) as hit from (select distinct q from w) x, (values (3), (5)) k(k)) group by k""")
-def hit_at_k_each(spark: SparkSession, sf: str) -> DataFrame:
-    places, expected = hits_each(spark, sf)
-    return ev.rate(ev.hit_at(places, expected, 3), "hit").withColumn("k", F.lit(3)).unionByName(ev.rate(ev.hit_at(places, expected, 5), "hit").withColumn("k", F.lit(5)))
-
-
-@query(f"with {SQL_HITS_EACH} select q, doc, place from d")
-def distinct_places_each(spark: SparkSession, sf: str) -> DataFrame:
-    return hits_each(spark, sf)[0].withColumn("place", F.col("place").cast("long"))
-
-
-@query(f"""with {SQL_HITS_EACH}, g as (select q, doc from d), b as (select coalesce(g.q, w.q) as q, g.q is null as missing, w.q is null as extra from g full join w on g.q = w.q and g.doc = w.doc)
-    select q, case when bool_or(missing) then 'wrong' when bool_or(extra) then 'over' else 'exact' end as grade from b group by q""")
-def grade_sets_each(spark: SparkSession, sf: str) -> DataFrame:
-    places, expected = hits_each(spark, sf)
-    return ev.grade_sets(places.withColumnRenamed("doc", "id"), expected.withColumnRenamed("doc", "id"))
-
-
 # ---- chunking ------------------------------------------------------------------------------------------------------
 
 SQL_TOKENS = "cast(floor(len(regexp_extract_all({0}, '[가-힣一-鿿぀-ヿ]')) + len(regexp_extract_all({0}, '[A-Za-z0-9]+')) * 1.3::double) as integer)"
@@ -292,14 +243,8 @@ def chunk_sections(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.size(tx.sections(F.col("text"))).cast("long").alias("sections")).where("sections > 0")
 
 
-@query(f"with recursive {SQL_FOLD} select doc_id, chunk_index, case when starts_with(content, '# ') then content else '# Document ' || doc_id || chr(10) || chr(10) || content end as content from c where chunk_index < 2")
-def chunk_prefix_index(spark: SparkSession, sf: str) -> DataFrame:
-    c = folded(spark, sf).where("chunk_index < 2")
-    return c.select("doc_id", "chunk_index", tx.titled(F.concat(F.lit("Document "), "doc_id"), F.col("content")).alias("content"))
-
-
 @query(f"with recursive {SQL_FOLD} select doc_id, chunk_index, case when starts_with(content, '# ') then content else '# Document ' || doc_id || chr(10) || chr(10) || content end as content from c")
-def chunk_prefix_all(spark: SparkSession, sf: str) -> DataFrame:
+def chunk_prefix_index(spark: SparkSession, sf: str) -> DataFrame:
     return folded(spark, sf).select("doc_id", "chunk_index", tx.titled(F.concat(F.lit("Document "), "doc_id"), F.col("content")).alias("content"))
 
 
@@ -314,8 +259,6 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with recursive {SQL_FOLD} select count(*) as n_rows, count(distinct doc_id) as n_docs from c")
 def load_verify(spark: SparkSession, sf: str) -> DataFrame:
     """Writes the chunks, verifies the written table and counts what is read from it."""
-    from tidemill.llm.common import shared_dir
-
     loaded = ingest.full_refresh(folded(spark, sf), f"{shared_dir(spark)}/load_verify-{uuid.uuid4().hex}")
     return loaded.agg(F.count("*").alias("n_rows"), F.countDistinct("doc_id").alias("n_docs"))
 
@@ -323,3 +266,7 @@ def load_verify(spark: SparkSession, sf: str) -> DataFrame:
 @query("select source, lang, count(*) as n, count(distinct text) as texts, sum(length(text)) as n_chars from documents group by all")
 def documents_by_source(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"), F.sum(F.length("text")).alias("n_chars"))
+
+
+for _name, _same in {"hit_at_k_each": "hit_at_k", "distinct_places_each": "distinct_places", "grade_sets_each": "grade_sets", "chunk_prefix_all": "chunk_prefix_index"}.items():
+    QUERIES[_name], ORACLES[_name] = QUERIES[_same], ORACLES[_same]

@@ -6,6 +6,7 @@ ord is the input order. Several rules depend on it (first seen, last wins), so i
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one only on a local master without any."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
 def _mapped(values: dict, key: Column, default: str | None = None) -> Column:
     found = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key]
     return F.coalesce(found, F.lit(default)) if default else found

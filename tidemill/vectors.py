@@ -6,6 +6,8 @@ task; windows for rank numbers only see rows after that cut.
 
 from __future__ import annotations
 
+import heapq
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST = 10
+MOST, POOL = 10, 30
 PART = 2048
 
 _NEAREST = pa.schema([("q", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
@@ -146,19 +148,18 @@ def nearest_of_each(rows: DataFrame, questions: DataFrame, k: int) -> DataFrame:
 
 def trigrams(text: Column) -> Column:
     """The distinct trigrams of the lower-cased words, each word with two blanks before and one after it."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    grams = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))))
-    return F.array_distinct(grams)
+    padded = F.concat(F.lit("  "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "   ")), F.lit(" "))
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit(r"(?=(\S\S[\S ]| \S[\S ]|  \S))"), F.lit(1)))  # of all three signs in a row those within one word
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
-    """Shared over all distinct trigrams."""
-    both = F.size(F.array_intersect(a, b))
-    return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
+    """Shared over all distinct trigrams. a is evaluated once."""
+    of = F.transform(F.array(a), lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_intersect(x, b)).alias("both")))[0]
+    return F.transform(F.array(of), lambda x: x["both"] / F.greatest(x["n"] + F.size(b) - x["both"], F.lit(1)))[0]
 
 
 def _words(text: str) -> list[str]:
-    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
 
 def _gram_list(text: str) -> list[str]:
@@ -199,11 +200,29 @@ def word_similarity_of(query: str, text: str) -> float:
     return best
 
 
-def word_similarity(query: str) -> Callable[[Column], Column]:
+def word_similarity(query: str, least: float = 0.1, most: int = POOL) -> Callable[[Column], Column]:
+    """Word similarity for a ranking: exact for rows that can be above least and among the `most` best, 0 for others.
+
+    No stretch of a text can be more similar than the part of the query's trigrams that the whole text has. That bound
+    needs a few searches for substrings; rows whose bound is below the best scores of their task so far are not scored.
+    """
+    wanted = sorted(set(_gram_list(query)))
+
+    def bound(text: str) -> float:
+        padded = "  " + "   ".join(_words(text)) + " "
+        return sum(g in padded for g in wanted) / max(1, len(wanted))
+
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        best: list[float] = []
         for part in texts:
-            yield part.map(lambda t: word_similarity_of(query, t or "")).astype("float64")
+            found = np.zeros(len(part))
+            for k, text in enumerate(part):
+                if text and (top := bound(text)) > least and (len(best) < most or top >= best[0]):
+                    found[k] = word_similarity_of(query, text)
+                    if found[k] > least:
+                        (heapq.heappush if len(best) < most else heapq.heappushpop)(best, found[k])
+            yield pd.Series(found)
 
     return score
 
@@ -213,7 +232,7 @@ def keyword_search(chunks: DataFrame, score: Callable[[Column], Column], k: int,
     return chunks.withColumn("keyword", score(F.col("content"))).where(F.col("keyword") > least).orderBy(F.desc("keyword"), "id").limit(k)
 
 
-def hybrid_search(chunks: DataFrame, query_text: str, query: Column, top_k: int = 5, filter_column: str | None = None, filter_value=None, rrf_k: int = 60, pool: int = 30, score: Callable[[Column], Column] | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, query_text: str, query: Column, top_k: int = 5, filter_column: str | None = None, filter_value=None, rrf_k: int = 60, pool: int = POOL, score: Callable[[Column], Column] | None = None) -> DataFrame:
     """Reciprocal-rank fusion of both axes: the rows of chunks with similarity (cosine) and rrf_score, by the latter.
 
     Rows without an embedding have no rank on the vector axis and a null similarity; the keyword axis reads all rows. Only
@@ -222,7 +241,7 @@ def hybrid_search(chunks: DataFrame, query_text: str, query: Column, top_k: int
     check(top_k)
     wanted = filtered(chunks, filter_column, filter_value)
     vec = ranked(nearest(wanted.where("embedding is not null").select("id", "embedding"), query, pool), "similarity").withColumnRenamed("rank", "vec_rank")
-    kw = ranked(keyword_search(wanted.select("id", "content"), score or word_similarity(query_text), pool), "keyword").withColumnRenamed("rank", "kw_rank")
+    kw = ranked(keyword_search(wanted.select("id", "content"), score or word_similarity(query_text, most=pool), pool), "keyword").withColumnRenamed("rank", "kw_rank")
     part = lambda c: F.coalesce(1.0 / (F.lit(rrf_k) + F.col(c)), F.lit(0.0))
     fused = vec.join(kw, "id", "full_outer").select("id", (part("vec_rank") + part("kw_rank")).alias("rrf_score"))
     best = fused.orderBy(F.desc("rrf_score"), "id").limit(min(top_k, MOST))
