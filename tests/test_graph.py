@@ -96,3 +96,13 @@ def test_neighbors_and_excluded_are_all_edges(small):
             links = sum(r.link_count for r in g.hop(e, anchor, "USES", {"status": status}).collect())
             whole = sum(r.link_count for r in g.hop(e, anchor, "USES").collect())
             assert links + g.excluded(e, anchor, "USES", {"status": status}).first()[0] == whole
+
+
+def test_requests_are_settled():
+    assert g.settled("USES") == ("USES", {"status": "active"})
+    assert g.settled("USES", all_edges=True) == ("USES", None)
+    assert g.settled("USES", edge_filter={"status": "cancelled"}) == ("USES", {"status": "cancelled"})
+    assert g.settled(None, edge_filter={"priority": "high"}) == ("REPORTED_ISSUE", {"priority": "high"})
+    assert g.settled("LEADS", "part", "customer") == (None, None) and g.settled("LEADS", "part", "supplier") == ("LEADS", None)
+    assert g.settled(None, edge_filter={"colour": "red"}) == (None, {"colour": "red"})
+    assert g.endpoints_ok("LEADS", "order") and not g.endpoints_ok("LEADS", "part") and g.endpoints_ok("LEADS", None)

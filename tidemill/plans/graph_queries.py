@@ -120,6 +120,46 @@ def g_neighbors_excluded(spark: SparkSession, sf: str) -> DataFrame:
     return g.excluded(s.edges(spark, sf, ("USES",), "customer_7"), "customer_7", "USES", {"status": "active"})
 
 
+def _ranked(relation: str, kind: str, where: str, order: str, k: int) -> str:
+    return f"""{WITH} select id, name, link_count, distinct_count from (select src as id, name, count(*) as link_count, count(distinct dst) as distinct_count
+      from a join n on n.id = src where relation = '{relation}' and type = '{kind}' and {where} group by src, name order by link_count {order}, name, src limit {k})"""
+
+
+def _report(anchor: str, kind: str, relation: str, passes: str, k: int) -> str:
+    """The filter report of neighbors, counted step by step; relation and passes are conditions on an edge."""
+    calm = "relation <> 'REPORTED_ISSUE'"
+    return f"""{WITH}, h1 as (select distinct dst from a join n on n.id = dst where src = '{anchor}' and {relation} and {passes} and type = '{kind}'),
+    m as (select distinct dst from a where src = '{anchor}' and {calm} and {passes}),
+    h2 as (select distinct a.dst from m join n as mid on mid.id = m.dst join a on a.src = m.dst join n on n.id = a.dst where a.dst <> '{anchor}' and {calm} and {relation} and {passes} and n.type = '{kind}'),
+    x as (select (select count(*) from h1) as one, (select count(*) from h2) as two,
+      (select count(*) from a where src = '{anchor}' and {relation} and not {passes}) as out_one,
+      (select count(*) from a where src = '{anchor}' and {calm} and not {passes}) + (select count(*) from a join m on a.src = m.dst where {calm} and {relation} and not {passes}) as out_two)
+    select case when one > 0 then 1 when two > 0 then 2 else 0 end as hops, total, least(total, {k}) as returned, total > {k} as truncated, out_one + case when one > 0 then 0 else out_two end as excluded
+    from (select *, case when one > 0 then one else two end as total from x)"""
+
+
+ACTIVE = "(relation <> 'USES' or coalesce(status, '') = 'active')"
+
+
+@query(_report("part_7", "order", "relation = 'HAS_PROJECT'", ACTIVE, 30))
+def g_neighbors_report_2hop(spark: SparkSession, sf: str) -> DataFrame:
+    return g.report(s.nodes(spark, sf), s.edges(spark, sf, ("IN_NATION", "NATION_HEAD", "USES", "MANAGES_ACCOUNT", "HAS_PROJECT", "LEADS")), "part_7", "HAS_PROJECT", "order", edge_filter={"status": "active"}, top_k=30, near=s.edges(spark, sf, anchor="part_7"))
+
+
+@query(_report("customer_7", "part", "relation = 'USES'", ACTIVE, 10))
+def g_neighbors_report_default(spark: SparkSession, sf: str) -> DataFrame:
+    """Products in use, without any filter given: active ones."""
+    relation, chosen = g.settled("USES", "part", "customer")
+    return g.report(s.nodes(spark, sf), s.edges(spark, sf), "customer_7", relation, "part", edge_filter=chosen, near=s.edges(spark, sf, anchor="customer_7"))
+
+
+@query(_ranked("USES", "part", "status = 'active'", "desc", 10))
+def g_rank_default(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranking by products in use: the default filter holds here as well."""
+    relation, chosen = g.settled("USES", "part")
+    return g.rank(s.nodes(spark, sf, ("part",)), s.edges(spark, sf, ("USES",)), relation, "part", edge_filter=chosen)
+
+
 @query(_two_hops("part_7", "order", "relation <> 'REPORTED_ISSUE' and (relation <> 'USES' or status = 'active')", "a.relation = 'HAS_PROJECT'", 30))
 def g_neighbors_2hop(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(g.neighbors(s.nodes(spark, sf), s.edges(spark, sf), "part_7", "HAS_PROJECT", "order", edge_filter={"status": "active"}, top_k=30, near=s.edges(spark, sf, anchor="part_7")))
@@ -130,11 +170,6 @@ def g_same_type_2hop(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(g.neighbors(s.nodes(spark, sf), s.edges(spark, sf), "customer_7", None, "customer", top_k=30, near=s.edges(spark, sf, anchor="customer_7")))
 
 
-def _ranked(relation: str, kind: str, where: str, order: str, k: int) -> str:
-    return f"""{WITH} select id, name, link_count, distinct_count from (select src as id, name, count(*) as link_count, count(distinct dst) as distinct_count
-      from a join n on n.id = src where relation = '{relation}' and type = '{kind}' and {where} group by src, name order by link_count {order}, name, src limit {k})"""
-
-
 @query(_ranked("USES", "customer", "true", "desc", 10))
 def g_rank_desc(spark: SparkSession, sf: str) -> DataFrame:
     return g.rank(s.nodes(spark, sf, ("customer",)), s.edges(spark, sf, ("USES",)), "USES", "customer")
