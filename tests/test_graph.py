@@ -1,5 +1,7 @@
 """Golden cases on a small graph, by hand."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 from tidemill import graph as g
@@ -106,3 +108,25 @@ def test_requests_are_settled():
     assert g.settled("LEADS", "part", "customer") == (None, None) and g.settled("LEADS", "part", "supplier") == ("LEADS", None)
     assert g.settled(None, edge_filter={"colour": "red"}) == (None, {"colour": "red"})
     assert g.endpoints_ok("LEADS", "order") and not g.endpoints_ok("LEADS", "part") and g.endpoints_ok("LEADS", None)
+
+
+def test_rows_are_flat_and_sparse(small, spark):
+    n, e = small
+    rows = lambda *args, **more: [json.loads(r.row) for r in g.neighbor_rows(n, e, *args, **more).collect()]
+    assert rows("p1", None, "project") == [{"id": "j1", "type": "project", "name": "Move", "status": "in_progress", "relation": "HAS_PROJECT", "via": "Beta"}]
+    assert rows("c1", None, "product") == [
+        {"id": "p1", "type": "product", "name": "Gear", "relation": "USES", "link_count": 2, "contract_amount": 150.0, "contract_status": "active"},
+        {"id": "p2", "type": "product", "name": "Gear Pro", "relation": "REPORTED_ISSUE", "link_count": 2, "top_priority": "critical", "issue_count": 2},
+    ]
+    assert rows("c2", "USES", "product", edge_filter={"status": "active"})[0]["contract_amount"] == 0.0
+    assert rows("j1", "USES", "employee", node_filter={"region": "none"}) == []
+    clash = spark.createDataFrame([(0, "a", "t", "A", {"name": "other", "relation": "x", "via": "kept", "q": '"}'}), (1, "b", "t", "B", None)], n.schema)
+    link = spark.createDataFrame([("b", "a", "LEADS", None, None, None, 0)], e.schema)
+    assert [json.loads(r.row) for r in g.neighbor_rows(clash, link, "b").collect()] == [{"id": "a", "type": "t", "name": "other", "relation": "LEADS", "via": "kept", "q": '"}'}]
+    assert {r.id: r.fields for r in g.flat(clash).collect()}["b"] == {"id": "b", "type": "t", "name": "B"}
+
+
+def test_the_far_step_reads_only_what_it_can_use(spark, sf):
+    n, near = sources.nodes(spark, sf, ("order",)), sources.edges(spark, sf, anchor="part_7")
+    scans = lambda e: g.two_hops(n, e, "part_7", "HAS_PROJECT", {"status": "active"}, near)._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+    assert scans(sources.edges(spark, sf)) == scans(sources.edges(spark, sf, ("HAS_PROJECT",)))

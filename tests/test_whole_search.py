@@ -3,7 +3,7 @@
 import re
 
 import numpy as np
-from tidemill import ingest, registry
+from tidemill import ingest, registry, sql_functions
 from tidemill import vectors as v
 
 
@@ -95,3 +95,21 @@ def test_load_verify_counts_what_was_written(spark, sf, monkeypatch):
     monkeypatch.setattr(ingest, "full_refresh", lambda made, path: (paths.append(path), load(made, path))[1])
     got = registry.QUERIES["load_verify"](spark, sf).first()
     assert len(paths) == 1 and spark.read.parquet(paths[0]).count() == got.n_rows
+
+
+def test_table_functions_are_the_searches(spark):
+    text = "the license of that version"
+    rows = [(1, "zzz", [1.0, 0.0], "a"), (2, "the license", [0.0, 1.0], "b"), (3, "", [1.0, 1.0], "a"), (4, text, None, "a"), (5, f"{text} x", [0.0, 0.0], None), (6, None, [1.0], "b"), (7, "that version", [1.0, 0.0], "b")]
+    df = spark.createDataFrame(rows, "id long, content string, embedding array<float>, kind string")
+    df.createOrReplaceTempView("some_chunks")
+    sql_functions.register(spark, "some_chunks")
+    query = v.literal([1.0, 0.5])
+    for kind, asked in ((None, "null"), ("b", "'b'")):
+        got = spark.sql(f"select id, similarity from vector_search(array(1d, 0.5d), filter_kind => {asked})").collect()
+        want = v.vector_search(df, query, 5, "kind", kind).select("id", "similarity").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+        got = spark.sql(f"select id, similarity, rrf_score from hybrid_search('{text}', array(1d, 0.5d), 4, {asked}, candidate_pool => 3)").collect()
+        want = v.hybrid_search(df, text, query, 4, "kind", kind, pool=3).select("id", "similarity", "rrf_score").collect()
+        assert {r.id: (r.similarity, round(r.rrf_score, 12)) for r in got} == {r.id: (r.similarity, round(r.rrf_score, 12)) for r in want}
+    assert spark.sql("select count(*) from vector_search(array(1d, 0.5d), 99)").first()[0] == 7
+    assert "TakeOrderedAndProject" in spark.sql("select * from vector_search(array(1d, 0.5d), 3)")._jdf.queryExecution().executedPlan().toString()

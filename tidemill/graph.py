@@ -76,11 +76,8 @@ def two_hops(n: DataFrame, e: DataFrame, anchor: str, relation: str | None, edge
     return paths.withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first", "src").withColumn("first", F.col("first")).drop("mid_ord")
 
 
-def neighbors(n: DataFrame, e: DataFrame, anchor: str, relation: str | None = None, target_type: str | None = None, node_filter: dict | None = None, edge_filter: dict | None = None, top_k: int = DEFAULT, near: DataFrame | None = None) -> DataFrame:
-    """Nodes at one hop; where that gives none of a wanted type, at two. In the order of links, name and first sight.
-
-    near: the edges at the anchor, if the caller can read them alone; e must hold all edges.
-    """
+def _found(n: DataFrame, e: DataFrame, anchor: str, relation: str | None, target_type: str | None, node_filter: dict | None, edge_filter: dict | None, top_k: int, near: DataFrame | None) -> DataFrame:
+    """The rows of neighbors, unsorted, with the column `first` that settles their order."""
     keep = n.where((F.col("type") == target_type if target_type else F.lit(True)) & node_passes(node_filter)).select(F.col("id").alias("dst"), "type", "name")
     rows = hop(e if near is None else near, anchor, relation, edge_filter).join(keep, "dst").withColumn("hops", F.lit(1))
     if target_type is not None:
@@ -88,7 +85,42 @@ def neighbors(n: DataFrame, e: DataFrame, anchor: str, relation: str | None = No
     if target_type is not None and rows.isEmpty():
         rows.unpersist()
         rows = two_hops(n, e, anchor, relation, edge_filter, near).join(keep, "dst").withColumn("hops", F.lit(2))
-    return rows.orderBy(F.desc("link_count"), "name", "first", "dst").limit(clamp(top_k)).select(F.col("dst").alias("id"), "type", "name", "relation", "direction", "via", "hops", "link_count", "contract_amount", "contract_status", "top_priority", "issue_count")
+    return rows.orderBy(*_order("dst")).limit(clamp(top_k)).withColumnRenamed("dst", "id")
+
+
+def _order(key: str) -> list[Column | str]:
+    return [F.desc("link_count"), "name", "first", key]
+
+
+def neighbors(n: DataFrame, e: DataFrame, anchor: str, relation: str | None = None, target_type: str | None = None, node_filter: dict | None = None, edge_filter: dict | None = None, top_k: int = DEFAULT, near: DataFrame | None = None) -> DataFrame:
+    """Nodes at one hop; where that gives none of a wanted type, at two. In the order of links, name and first sight.
+
+    near: the edges at the anchor, if the caller can read them alone; e must hold all edges.
+    """
+    rows = _found(n, e, anchor, relation, target_type, node_filter, edge_filter, top_k, near)
+    return rows.select("id", "type", "name", "relation", "direction", "via", "hops", "link_count", "contract_amount", "contract_status", "top_priority", "issue_count")
+
+
+def flat(n: DataFrame) -> DataFrame:
+    """id, fields: id, name and type of a node and its properties in one map; a property of such a name replaces it."""
+    brief = F.create_map(*[x for c in ("id", "name", "type") for x in (F.lit(c), F.col(c))])
+    own = F.coalesce("props", F.create_map().cast("map<string,string>"))
+    return n.select("id", F.map_concat(F.map_filter(brief, lambda k, _: ~F.map_contains_key(own, k)), own).alias("fields"))
+
+
+def neighbor_rows(n: DataFrame, e: DataFrame, anchor: str, relation: str | None = None, target_type: str | None = None, node_filter: dict | None = None, edge_filter: dict | None = None, top_k: int = DEFAULT, near: DataFrame | None = None) -> DataFrame:
+    """id and row of neighbors() with the same arguments, in its order; row is a JSON object of one level.
+
+    It has the node's flat fields, then what is known of its links, which replaces fields of the same name: relation; via if
+    there is one; link_count above 1; amount, status, priority and number of issues if any edge has them.
+    """
+    rows = _found(n, e, anchor, relation, target_type, node_filter, edge_filter, top_k, near)
+    only = lambda c, ok: F.when(ok, F.col(c)).alias(c)
+    facts = F.to_json(F.struct("relation", only("via", F.col("via") != ""), only("link_count", F.col("link_count") > 1), "contract_amount", "contract_status", "top_priority", only("issue_count", F.col("issue_count") > 0)))
+    x = flat(n).join(F.broadcast(rows.withColumn("facts", facts)), "id")  # at most MOST rows
+    fields = F.to_json(F.map_filter("fields", lambda k, _: ~F.array_contains(F.json_object_keys("facts"), k)))
+    whole = F.when(fields == "{}", F.col("facts")).otherwise(F.concat(F.expr("left(_fields, length(_fields) - 1)"), F.lit(","), F.substring("facts", 2, 1 << 30)))
+    return x.withColumn("_fields", fields).orderBy(*_order("id")).select("id", whole.alias("row"))
 
 
 def excluded(e: DataFrame, anchor: str, relation: str | None, edge_filter: dict) -> DataFrame:

@@ -115,6 +115,18 @@ def g_neighbors_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(g.neighbors(s.nodes(spark, sf), s.edges(spark, sf), "customer_7", "USES", "part", edge_filter={"status": "active"}, near=s.edges(spark, sf, anchor="customer_7")))
 
 
+_FIELDS = {"id": "id", "type": "type", "name": "name", "brand": "p_brand", "size": "p_size", "relation": "relation", "link_count": "case when link_count > 1 then link_count end", "contract_amount": "cast(round(contract_amount) as bigint)", "contract_status": "contract_status"}
+
+
+@query(f"""select id, field, value from (select r.id, unnest([{', '.join(f"{{'field': '{k}', 'value': cast({v} as varchar)}}" for k, v in _FIELDS.items())}], recursive := true)
+      from ({_one_hop("customer_7", "part", "relation = 'USES'", 30)}) r join part on r.id = 'part_' || p_partkey) where value is not null""")
+def g_neighbor_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows as sparse objects, field by field; amounts in whole units."""
+    rows = g.neighbor_rows(s.nodes(spark, sf, ("part",)), s.edges(spark, sf), "customer_7", "USES", "part", top_k=30, near=s.edges(spark, sf, anchor="customer_7"))
+    x = rows.select("id", F.explode(F.from_json("row", "map<string,string>")).alias("field", "value"))
+    return x.withColumn("value", F.when(F.col("field") == "contract_amount", F.round(F.col("value").try_cast("double")).cast("long").cast("string")).otherwise(F.col("value")))
+
+
 @query(f"{WITH} select count(*) filter (status <> 'active') as excluded from a where src = 'customer_7' and relation = 'USES'")
 def g_neighbors_excluded(spark: SparkSession, sf: str) -> DataFrame:
     return g.excluded(s.edges(spark, sf, ("USES",), "customer_7"), "customer_7", "USES", {"status": "active"})

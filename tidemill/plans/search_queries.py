@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill import evaluation as ev
 from tidemill import ingest
+from tidemill import sql_functions
 from tidemill import text as tx
 from tidemill import vectors as v
 from tidemill.sources import shared_dir, table
@@ -67,6 +68,16 @@ def vec_rownum_pool(spark: SparkSession, sf: str) -> DataFrame:
     return v.ranked(v.nearest(embedded(spark, sf), query_vector(spark, sf), 30), "similarity").select("id", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"with {QV} select vec_id as id, round({COSINE}, 6) as similarity from embeddings e, q where label = 4 order by {COSINE} desc, vec_id limit 10")
+def vec_table_function(spark: SparkSession, sf: str) -> DataFrame:
+    """The search as a SQL table function, a default left out and others named."""
+    embedded(spark, sf).select("id", F.lit(None).cast("string").alias("content"), "embedding", F.col("label").cast("string").alias("kind")).createOrReplaceTempView("tidemill_chunks")
+    sql_functions.register(spark, "tidemill_chunks")
+    vector = table(spark, sf, "embeddings").where(F.col("vec_id") == QUERY_ID).select("embedding").first()[0]
+    numbers = ", ".join(f"{float(x)!r}d" for x in vector)
+    return spark.sql(f"select id, round(similarity, 6) as similarity from vector_search(array({numbers}), filter_kind => '4', top_k => 10)")
+
+
 #: The query set of whole searches: every row whose id is divisible by 20, against all rows.
 EACH = 20
 SQL_EACH = f"""c as (select q.vec_id as q, e.vec_id as id, e.label, {COSINE} as s from embeddings q, embeddings e where q.vec_id % {EACH} = 0),
