@@ -17,6 +17,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round first hangs all larger neighbours of a node on its smallest neighbour, then all smaller ones; rounds grow
     with the logarithm of a component's size. A node with very many neighbours is a skewed join key, which Spark splits.
+
+    Edge cases: pairs with a null, pairs of a node with itself and repeated pairs add nothing, so a node that occurs in no
+    other pair has no row. An empty table gives an empty result; further columns are not read.
     """
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _state(now)
