@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, secret_scan
+from . import fill_middle, mixing, secret_scan
 from .brown_lm import op3_lm_score
+from .fill_middle import op12_fill_in_middle
 from .fingerprint import op7_fingerprint
 from .html_extract import op2_html_extract
 from .language_id import op6_language_id
@@ -14,7 +15,7 @@ from .secret_scan import op10_secret_scan
 from .sentencepiece_codec import op8_sentencepiece
 from .substring_dedup import op1_substring_dedup
 
-OPERATORS = (op1_substring_dedup, op2_html_extract, op3_lm_score, op4_minhash_dedup, op5_mixing, op6_language_id, op7_fingerprint, op8_sentencepiece, op9_media_columns, op10_secret_scan)
+OPERATORS = (op1_substring_dedup, op2_html_extract, op3_lm_score, op4_minhash_dedup, op5_mixing, op6_language_id, op7_fingerprint, op8_sentencepiece, op9_media_columns, op10_secret_scan, op12_fill_in_middle)
 
 
 def queries() -> dict:
@@ -26,5 +27,5 @@ def queries() -> dict:
 def oracles() -> dict[str, str]:
     import corpus_pipeline
 
-    known = {"op5_mixing": mixing.oracle(), "op10_secret_scan": secret_scan.oracle()}
+    known = {"op5_mixing": mixing.oracle(), "op10_secret_scan": secret_scan.oracle(), "op12_fill_in_middle": fill_middle.oracle()}
     return known | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
