@@ -13,9 +13,10 @@ from .minhash_dedup import op4_minhash_dedup
 from .mixing import op5_mixing
 from .secret_scan import op10_secret_scan
 from .sentencepiece_codec import op8_sentencepiece
+from .spelling import op11_spelling_groups
 from .substring_dedup import op1_substring_dedup
 
-OPERATORS = (op1_substring_dedup, op2_html_extract, op3_lm_score, op4_minhash_dedup, op5_mixing, op6_language_id, op7_fingerprint, op8_sentencepiece, op9_media_columns, op10_secret_scan, op12_fill_in_middle)
+OPERATORS = (op1_substring_dedup, op2_html_extract, op3_lm_score, op4_minhash_dedup, op5_mixing, op6_language_id, op7_fingerprint, op8_sentencepiece, op9_media_columns, op10_secret_scan, op11_spelling_groups, op12_fill_in_middle)
 
 
 def queries() -> dict:
