@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from tidemill.llm import spelling
-from tidemill.llm.spelling import edited, neighbourhood, op11_spelling_groups, spelling_groups, word_hash
+from tidemill.llm.spelling import edited, neighbourhoods, op11_spelling_groups, spelling_groups, word_hashes
 
 LOWER = {chr(65 + k): chr(97 + k) for k in range(26)}
 
@@ -80,11 +80,16 @@ def test_full_sieve_changes_nothing(spark, monkeypatch):
     assert got(spelling_groups(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
-@pytest.mark.parametrize("word", ["a", "aab", "abcabc", "zzé"])
-def test_neighbourhood_is_whole_and_distinct(word):
+@pytest.mark.parametrize("words", [["a", "é"], ["aab", "zzé", "bbb"], ["abcabc"]])
+@pytest.mark.parametrize("block", [1, 1 << 18])
+def test_neighbourhoods_are_whole_and_distinct(words, block):
     alphabet = np.array(sorted(map(ord, "abzé")), np.uint64)
-    made = [(edited(word, kind, int(p), int(c)), h) for hashes, kind, places, letters in neighbourhood(word, alphabet, step=2) for h, p, c in zip(hashes.tolist(), places, letters, strict=True)]
-    strings = [s for s, _ in made]
-    want = {word[:k] + word[k + 1 :] for k in range(len(word))} | {word[:k] + c + word[k + 1 :] for k in range(len(word)) for c in "abzé"} | {word[:k] + c + word[k:] for k in range(len(word) + 1) for c in "abzé"}
-    assert len(strings) == len(set(strings)) and set(strings) == want - {word}
-    assert all(word_hash(s) == h for s, h in made if s)
+    made = [[] for _ in words]
+    for kind, hashes, of, places, letters in neighbourhoods(words, alphabet, block):
+        for h, i, p, c in zip(hashes.tolist(), of.tolist(), places.tolist(), letters.tolist(), strict=True):
+            made[i].append((edited(words[i], kind, p, c), h))
+    for word, pairs in zip(words, made, strict=True):
+        strings = [s for s, _ in pairs]
+        want = {word[:k] + word[k + 1 :] for k in range(len(word))} | {word[:k] + c + word[k + 1 :] for k in range(len(word)) for c in "abzé"} | {word[:k] + c + word[k:] for k in range(len(word) + 1) for c in "abzé"}
+        assert len(strings) == len(set(strings)) and set(strings) == want - {word}
+        assert all(word_hashes([s])[0] == h for s, h in pairs if s)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, key_filter, mix64, passes, records, small
+from .common import cut, documents, key_filter, mix64, passes, records, shuffle_width, small
 
 #: Letters after A-Z are lower-cased.
 RUN = re.compile("[a-zÀ-ÿ]+")
@@ -39,6 +39,8 @@ SLIP = 199
 LENGTH, COUNT, FACTOR = 6, 5, 5
 #: Characters of a text that are cut into words at once; distinct words held by a task before they are passed on.
 PART, HELD = 1 << 20, 200_000
+#: Words whose candidates are made in one task.
+TASK = 10_000
 #: The sieve has 64 places for each word, within these powers of two (8 and 64 MB).
 LEAST_BITS, MOST_BITS = 26, 29
 
@@ -96,53 +98,69 @@ def _at(place: np.ndarray, letter: np.ndarray) -> np.ndarray:
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))
+    return np.concatenate((np.zeros((len(x), 1), np.uint64), np.cumsum(x, axis=1, dtype=np.uint64)), axis=1)
 
 
 def _finish(total: np.ndarray, length: int) -> np.ndarray:
     return mix64(total + np.uint64(length * 0xA24BAED4963EE407 & (1 << 64) - 1))
 
 
-def word_hash(word: str) -> int:
-    letters = np.array([ord(c) for c in word], np.uint64)
-    return int(_finish(_at(np.arange(len(word)), letters).sum(dtype=np.uint64, keepdims=True), len(word))[0])
+def _letters(words: list[str]) -> np.ndarray:
+    """Words of one length as rows of code points."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.uint64)
 
 
-def neighbourhood(word: str, alphabet: np.ndarray, step: int = 4096) -> Iterator[tuple[np.ndarray, str, np.ndarray, np.ndarray]]:
-    """Hashes, kind, places and letters of all distinct strings at one edit, in blocks of places.
+def word_hashes(words: list[str]) -> np.ndarray:
+    """Hashes of words of one length."""
+    w = _letters(words)
+    return _finish(_at(np.arange(w.shape[1])[None, :], w).sum(axis=1, dtype=np.uint64), w.shape[1])
+
+
+def neighbourhoods(words: list[str], alphabet: np.ndarray, block: int = 1 << 18) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Kind, hashes, words (their numbers), places and letters of all distinct strings at one edit from words of one length.
 
     Of equal strings one is made: a run of one letter loses its first, and a letter is inserted before a run of itself, not
-    within or after it.
+    within or after it. Places are taken in blocks, so memory is bounded by block and the words.
     """
-    w, n, a = np.array([ord(c) for c in word], np.uint64), len(word), alphabet.astype(np.uint64)
-    own, left, right = (_sums(_at(np.arange(n) + k, w)) for k in (0, -1, 1))
+    w, a = _letters(words), alphabet.astype(np.uint64)
+    m, n = w.shape
+    own, left, right = (_sums(_at(np.arange(n)[None, :] + k, w)) for k in (0, -1, 1))
+    first = np.ones((m, n), bool)
+    first[:, 1:] = w[:, 1:] != w[:, :-1]
+    i, p = np.nonzero(first)
+    yield "delete", _finish(own[i, p] + left[i, n] - left[i, p + 1], n - 1), i, p, np.zeros(len(i), np.uint64)
+    step = max(1, block // (m * len(a)))
     for lo in range(0, n + 1, step):
         p = np.arange(lo, min(lo + step, n + 1))
         q = p[p < n]
-        first = q[(q == 0) | (w[q] != w[q - 1])]
-        yield _finish(own[first] + left[n] - left[first + 1], n - 1), "delete", first, np.zeros(len(first), np.uint64)
         new = _at(p[:, None], a[None, :])
-        other = w[q][:, None] != a
-        put = (own[n] - own[q + 1] + own[q])[:, None] + new[: len(q)]
-        yield _finish(put[other], n), "replace", np.repeat(q, other.sum(axis=1)), np.broadcast_to(a, other.shape)[other]
-        before = np.where(p > 0, w[np.maximum(p, 1) - 1], 0)
-        other = before[:, None] != a
-        put = (own[p] + right[n] - right[p])[:, None] + new
-        yield _finish(put[other], n + 1), "insert", np.repeat(p, other.sum(axis=1)), np.broadcast_to(a, other.shape)[other]
+        i, j, c = np.nonzero(w[:, q, None] != a)
+        yield "replace", _finish((own[:, n :] - own[:, q + 1] + own[:, q])[i, j] + new[j, c], n), i, q[j], a[c]
+        before = np.where(p > 0, w[:, np.maximum(p, 1) - 1], 0)
+        i, j, c = np.nonzero(before[:, :, None] != a)
+        yield "insert", _finish((own[:, p] + right[:, n :] - right[:, p])[i, j] + new[j, c], n + 1), i, p[j], a[c]
 
 
 def edited(word: str, kind: str, place: int, letter: int) -> str:
     return word[:place] + ("" if kind == "delete" else chr(letter)) + word[place + (kind != "insert") :]
 
 
+def _by_length(words: list[str]) -> Iterator[list[int]]:
+    """Numbers of the words of each length."""
+    size = np.array([len(w) for w in words])
+    for n in np.unique(size).tolist():
+        yield np.flatnonzero(size == n).tolist()
+
+
 def _propose(sieve, alphabet: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            out = []
-            for word, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True):
-                for hashes, kind, places, letters in neighbourhood(word, alphabet):
-                    for k in np.flatnonzero(passes(sieve.value, hashes)).tolist():
-                        out.append((word, n, edited(word, kind, int(places[k]), int(letters[k]))))
+            words, counts, out = batch["word"].to_pylist(), batch["n"].to_pylist(), []
+            for rows in _by_length(words):
+                for kind, hashes, of, places, letters in neighbourhoods([words[k] for k in rows], alphabet):
+                    hit = np.flatnonzero(passes(sieve.value, hashes))
+                    for i, p, c in zip(of[hit].tolist(), places[hit].tolist(), letters[hit].tolist(), strict=True):
+                        out.append((words[rows[i]], counts[rows[i]], edited(words[rows[i]], kind, p, c)))
             yield records(_CANDIDATES, list(zip(*out, strict=True)) if out else [[], [], []])
 
     return run
@@ -150,8 +168,9 @@ def _propose(sieve, alphabet: np.ndarray):
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
-        keys = np.array([word_hash(w) for w in batch["word"].to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys)], ["key"])
+        words = batch["word"].to_pylist()
+        keys = [word_hashes([words[k] for k in rows]) for rows in _by_length(words)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64))], ["key"])
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -159,9 +178,11 @@ def near_words(words: DataFrame) -> DataFrame:
     spark = words.sparkSession
     letters = words.select(F.explode(F.split("word", "")).alias("c")).where("c != ''").distinct().toArrow()["c"].to_pylist()  # at most the 90 letters of RUN
     alphabet = np.array(sorted(map(ord, letters)), np.uint64)
-    bits = min(MOST_BITS, max(LEAST_BITS, words.count().bit_length() + 6))
+    many = words.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, many.bit_length() + 6))
     sieve = spark.sparkContext.broadcast(key_filter(words.mapInArrow(_hashed, "key long"), "key", bits))
-    candidates = words.mapInArrow(_propose(sieve, alphabet), "word string, n long, candidate string")
+    dealt = words.repartition(max(shuffle_width(spark), many // TASK), "word")  # a small table, but each row is hundreds of candidates
+    candidates = dealt.mapInArrow(_propose(sieve, alphabet), "word string, n long, candidate string")
     return candidates.join(words.select(F.col("word").alias("candidate"), F.col("n").alias("near_n")), "candidate").select("word", "n", F.col("candidate").alias("near"), "near_n")
 
 
