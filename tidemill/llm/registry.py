@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import fill_middle, mixing, secret_scan
 from .brown_lm import op3_lm_score
+from .embedding_dedup import op13_embedding_dedup
 from .fill_middle import op12_fill_in_middle
 from .fingerprint import op7_fingerprint
 from .html_extract import op2_html_extract
@@ -16,7 +17,7 @@ from .sentencepiece_codec import op8_sentencepiece
 from .spelling import op11_spelling_groups
 from .substring_dedup import op1_substring_dedup
 
-OPERATORS = (op1_substring_dedup, op2_html_extract, op3_lm_score, op4_minhash_dedup, op5_mixing, op6_language_id, op7_fingerprint, op8_sentencepiece, op9_media_columns, op10_secret_scan, op11_spelling_groups, op12_fill_in_middle)
+OPERATORS = (op1_substring_dedup, op2_html_extract, op3_lm_score, op4_minhash_dedup, op5_mixing, op6_language_id, op7_fingerprint, op8_sentencepiece, op9_media_columns, op10_secret_scan, op11_spelling_groups, op12_fill_in_middle, op13_embedding_dedup)
 
 
 def queries() -> dict:
