@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill import trigram_index as ti
 from tidemill import vector_index as vi
 from tidemill import vectors as v
-from tidemill.plans.search_queries import SQL_EACH, asked, embedded
-from tidemill.sources import shared_dir
+from tidemill.plans.graph_queries import SQL_NODES
+from tidemill.plans.search_queries import GRAMS, QUERY_TEXT, SQL_EACH, SQL_KEYWORD, WORDS, asked, embedded, passages, query_vector, texts
+from tidemill.sources import nodes, shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +69,47 @@ def vec_index_recall(spark: SparkSession, sf: str) -> DataFrame:
     index = vi.build(e, _place(spark, "vec-index"))
     found = vi.recall(vi.search_each(index, asked(e), 10), v.nearest_of_each(e, asked(e), 10))
     return found.select("questions", "wanted", (F.col("recall") >= 0.9).alias("enough"))
+
+
+# ---- trigrams ------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {SQL_KEYWORD} select id, lang, round(keyword, 6) as keyword from s where keyword > 0.02 order by s.keyword desc, id limit 30")
+def kw_trigram_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The best texts by trigram similarity, from posting lists; the table of texts is joined to the last rows."""
+    index = ti.build(texts(spark, sf), _place(spark, "trigram-index"))
+    found = ti.search(index, spark, QUERY_TEXT, 30, 0.02)
+    return texts(spark, sf).select("id", "lang").join(F.broadcast(found), "id").select("id", "lang", F.round("keyword", 6).alias("keyword"))  # thirty rows
+
+
+@query()
+def kw_word_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The best texts by word similarity; texts are read where the bound of the lists reaches the thirtieth score."""
+    index = ti.build(texts(spark, sf), _place(spark, "trigram-index"))
+    return ti.word_search(index, texts(spark, sf), QUERY_TEXT, 30).select("id", F.round("keyword", 6).alias("keyword"))
+
+
+@query()
+def hybrid_word_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The hybrid search with its keyword axis from the posting lists."""
+    index = ti.build(texts(spark, sf), _place(spark, "trigram-index"))
+    found = v.hybrid_search(passages(spark, sf), QUERY_TEXT, query_vector(spark, sf), 10, keyword=ti.word_search(index, texts(spark, sf), QUERY_TEXT, v.POOL))
+    return found.select("id", F.round("similarity", 6).alias("similarity"), F.round("rrf_score", 9).alias("rrf_score"))
+
+
+NAME_QUERY = "small red ring 7"
+_STRETCH = "len(list_intersect(list_slice(g, i, j), q)) / (len(q) + len(list_distinct(list_slice(g, i, j))) - len(list_intersect(list_slice(g, i, j), q)))"
+
+
+@query(f"""with {SQL_NODES}, t as (select {GRAMS.format(f"'{NAME_QUERY}'")} as q),
+    l as (select id, name, flatten(list_transform({WORDS.format("name")}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))) as g from n where type <> 'order'),
+    d as (select distinct name, g from l),
+    x as (select name, g, q, unnest(range(1, len(g) + 1)) as i from d, t), y as (select name, g, q, i, unnest(range(i, len(g) + 1)) as j from x),
+    s as (select name, max({_STRETCH}) as keyword from y group by name)
+    select id, l.name, round(keyword, 6) as keyword from l join s on s.name = l.name where keyword > 0.1 order by s.keyword desc, id limit 30""")
+def kw_word_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The node names most similar to a phrase by word similarity: every stretch of every name."""
+    n = nodes(spark, sf, ("customer", "part", "supplier", "nation")).select("id", F.col("name").alias("content"))
+    index = ti.build(n, _place(spark, "trigram-index"))
+    found = ti.word_search(index, n, NAME_QUERY, 30)
+    return n.join(F.broadcast(found), "id").select("id", F.col("content").alias("name"), F.round("keyword", 6).alias("keyword"))  # thirty rows

@@ -224,24 +224,29 @@ def word_similarity(query: str, least: float = 0.1, most: int = POOL) -> Callabl
                         (heapq.heappush if len(best) < most else heapq.heappushpop)(best, found[k])
             yield pd.Series(found)
 
-    return score
+    return score.asNondeterministic()  # what is skipped depends on the rows before
 
 
 def keyword_search(chunks: DataFrame, score: Callable[[Column], Column], k: int, least: float = 0.1) -> DataFrame:
-    """The k rows with the best keyword score above least; chunks has id and content."""
-    return chunks.withColumn("keyword", score(F.col("content"))).where(F.col("keyword") > least).orderBy(F.desc("keyword"), "id").limit(k)
+    """The k rows with the best keyword score above least; chunks has id and content. The few best are filtered, so no row
+    is scored a second time for a filter."""
+    return chunks.withColumn("keyword", score(F.col("content"))).orderBy(F.desc("keyword"), "id").limit(k).where(F.col("keyword") > least)
 
 
-def hybrid_search(chunks: DataFrame, query_text: str, query: Column, top_k: int = 5, filter_column: str | None = None, filter_value=None, rrf_k: int = 60, pool: int = POOL, score: Callable[[Column], Column] | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, query_text: str, query: Column, top_k: int = 5, filter_column: str | None = None, filter_value=None, rrf_k: int = 60, pool: int = POOL, score: Callable[[Column], Column] | None = None, keyword: DataFrame | None = None) -> DataFrame:
     """Reciprocal-rank fusion of both axes: the rows of chunks with similarity (cosine) and rrf_score, by the latter.
 
+    keyword: the best pool rows of the keyword axis (id, keyword), where an index has found them already.
+
     Rows without an embedding have no rank on the vector axis and a null similarity; the keyword axis reads all rows. Only
     ids and ranks of at most pool rows an axis are fused; wide columns are joined to the few results at the end.
     """
     check(top_k)
     wanted = filtered(chunks, filter_column, filter_value)
     vec = ranked(nearest(wanted.where("embedding is not null").select("id", "embedding"), query, pool), "similarity").withColumnRenamed("rank", "vec_rank")
-    kw = ranked(keyword_search(wanted.select("id", "content"), score or word_similarity(query_text, most=pool), pool), "keyword").withColumnRenamed("rank", "kw_rank")
+    if keyword is None:
+        keyword = keyword_search(wanted.select("id", "content"), score or word_similarity(query_text, most=pool), pool)
+    kw = ranked(keyword, "keyword").withColumnRenamed("rank", "kw_rank")
     part = lambda c: F.coalesce(1.0 / (F.lit(rrf_k) + F.col(c)), F.lit(0.0))
     fused = vec.join(kw, "id", "full_outer").select("id", (part("vec_rank") + part("kw_rank")).alias("rrf_score"))
     best = fused.orderBy(F.desc("rrf_score"), "id").limit(min(top_k, MOST))
