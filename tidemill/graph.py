@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph_store import bucket
 from .sources import RELATIONS, adjacency
 
 MOST, DEFAULT = 30, 10
@@ -64,13 +65,20 @@ def hop(e: DataFrame, anchor: str, relation: str | None, edge_filter: dict | Non
     return near.groupBy("dst").agg(*summary(), F.lit(None).cast("string").alias("via"))
 
 
+def _from(adj: DataFrame, some: DataFrame) -> DataFrame:
+    """The edges that start at some nodes (src); of a kept adjacency only the folders of those nodes are opened."""
+    if "bucket" in adj.columns:
+        return adj.join(some.withColumn("bucket", bucket(F.col("src"))), ["bucket", "src"]).drop("bucket")
+    return adj.join(some, "src")
+
+
 def two_hops(n: DataFrame, e: DataFrame, anchor: str, relation: str | None, edge_filter: dict | None = None, near: DataFrame | None = None) -> DataFrame:
     """dst at two hops: the middle by any relation but events, the last step by the given one. The first middle node, in
     the order of its edges, that leads to a node gives its edges and `via`. near: the edges at the anchor, where known."""
     adj = adjacency(e).where(edge_passes(edge_filter))
     mids = adjacency(e if near is None else near).where(edge_passes(edge_filter)).where((F.col("src") == anchor) & relation_passes(None, False)).groupBy("dst").agg(F.min("ord").alias("mid_ord"))
     named = mids.join(n.select(F.col("id").alias("dst"), F.col("name").alias("via")), "dst").withColumnRenamed("dst", "src")
-    far = adj.where(relation_passes(relation, False)).join(named, "src").where(F.col("dst") != anchor)
+    far = _from(adj.where(relation_passes(relation, False)), named).where(F.col("dst") != anchor)
     paths = far.groupBy("dst", "src", "via", "mid_ord").agg(*summary())
     first = Window.partitionBy("dst").orderBy("mid_ord", "src")
     return paths.withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first", "src").withColumn("first", F.col("first")).drop("mid_ord")
@@ -141,7 +149,7 @@ def report(n: DataFrame, e: DataFrame, anchor: str, relation: str | None = None,
         middle = at.where(relation_passes(None, False))
         mids = middle.where(ok).select(F.col("dst").alias("src")).distinct()
         parts["two"] = two_hops(n, e, anchor, relation, edge_filter, near).join(keep, "dst")
-        parts["out_two"] = middle.where(~ok).select("src").unionByName(adjacency(e).where(relation_passes(relation, False) & ~ok).join(mids, "src").select("src"))
+        parts["out_two"] = middle.where(~ok).select("src").unionByName(_from(adjacency(e).where(relation_passes(relation, False) & ~ok), mids).select("src"))
     counted = reduce(DataFrame.unionByName, [x.agg(F.count("*").alias("n")).withColumn("part", F.lit(name)) for name, x in parts.items()])
     of = lambda name: F.coalesce(F.max(F.when(F.col("part") == name, F.col("n"))), F.lit(0))
     x = counted.agg(*[of(name).alias(name) for name in ("one", "out_one", "two", "out_two")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill import graph as g
 from tidemill import sources as s
+from tidemill.graph_store import star_graph
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -107,12 +108,14 @@ def g_resolve(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_one_hop("customer_7", "part", "true", 30))
 def g_neighbors_1hop(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(g.neighbors(s.nodes(spark, sf), s.edges(spark, sf), "customer_7", target_type="part", top_k=30, near=s.edges(spark, sf, anchor="customer_7")))
+    k = star_graph(spark, sf)
+    return _shown(g.neighbors(k.nodes, k.edges, "customer_7", target_type="part", top_k=30, near=k.at("customer_7")))
 
 
 @query(_one_hop("customer_7", "part", "relation = 'USES' and status = 'active'", 10))
 def g_neighbors_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(g.neighbors(s.nodes(spark, sf), s.edges(spark, sf), "customer_7", "USES", "part", edge_filter={"status": "active"}, near=s.edges(spark, sf, anchor="customer_7")))
+    k = star_graph(spark, sf)
+    return _shown(g.neighbors(k.nodes, k.edges, "customer_7", "USES", "part", edge_filter={"status": "active"}, near=k.at("customer_7")))
 
 
 _FIELDS = {"id": "id", "type": "type", "name": "name", "brand": "p_brand", "size": "p_size", "relation": "relation", "link_count": "case when link_count > 1 then link_count end", "contract_amount": "cast(round(contract_amount) as bigint)", "contract_status": "contract_status"}
@@ -122,14 +125,15 @@ _FIELDS = {"id": "id", "type": "type", "name": "name", "brand": "p_brand", "size
       from ({_one_hop("customer_7", "part", "relation = 'USES'", 30)}) r join part on r.id = 'part_' || p_partkey) where value is not null""")
 def g_neighbor_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The rows as sparse objects, field by field; amounts in whole units."""
-    rows = g.neighbor_rows(s.nodes(spark, sf, ("part",)), s.edges(spark, sf), "customer_7", "USES", "part", top_k=30, near=s.edges(spark, sf, anchor="customer_7"))
+    k = star_graph(spark, sf)
+    rows = g.neighbor_rows(k.nodes, k.edges, "customer_7", "USES", "part", top_k=30, near=k.at("customer_7"))
     x = rows.select("id", F.explode(F.from_json("row", "map<string,string>")).alias("field", "value"))
     return x.withColumn("value", F.when(F.col("field") == "contract_amount", F.round(F.col("value").try_cast("double")).cast("long").cast("string")).otherwise(F.col("value")))
 
 
 @query(f"{WITH} select count(*) filter (status <> 'active') as excluded from a where src = 'customer_7' and relation = 'USES'")
 def g_neighbors_excluded(spark: SparkSession, sf: str) -> DataFrame:
-    return g.excluded(s.edges(spark, sf, ("USES",), "customer_7"), "customer_7", "USES", {"status": "active"})
+    return g.excluded(star_graph(spark, sf).at("customer_7"), "customer_7", "USES", {"status": "active"})
 
 
 def _ranked(relation: str, kind: str, where: str, order: str, k: int) -> str:
@@ -155,14 +159,16 @@ ACTIVE = "(relation <> 'USES' or coalesce(status, '') = 'active')"
 
 @query(_report("part_7", "order", "relation = 'HAS_PROJECT'", ACTIVE, 30))
 def g_neighbors_report_2hop(spark: SparkSession, sf: str) -> DataFrame:
-    return g.report(s.nodes(spark, sf), s.edges(spark, sf, ("IN_NATION", "NATION_HEAD", "USES", "MANAGES_ACCOUNT", "HAS_PROJECT", "LEADS")), "part_7", "HAS_PROJECT", "order", edge_filter={"status": "active"}, top_k=30, near=s.edges(spark, sf, anchor="part_7"))
+    k = star_graph(spark, sf)
+    return g.report(k.nodes, k.edges, "part_7", "HAS_PROJECT", "order", edge_filter={"status": "active"}, top_k=30, near=k.at("part_7"))
 
 
 @query(_report("customer_7", "part", "relation = 'USES'", ACTIVE, 10))
 def g_neighbors_report_default(spark: SparkSession, sf: str) -> DataFrame:
     """Products in use, without any filter given: active ones."""
+    k = star_graph(spark, sf)
     relation, chosen = g.settled("USES", "part", "customer")
-    return g.report(s.nodes(spark, sf), s.edges(spark, sf), "customer_7", relation, "part", edge_filter=chosen, near=s.edges(spark, sf, anchor="customer_7"))
+    return g.report(k.nodes, k.edges, "customer_7", relation, "part", edge_filter=chosen, near=k.at("customer_7"))
 
 
 @query(_ranked("USES", "part", "status = 'active'", "desc", 10))
@@ -174,12 +180,14 @@ def g_rank_default(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_two_hops("part_7", "order", "relation <> 'REPORTED_ISSUE' and (relation <> 'USES' or status = 'active')", "a.relation = 'HAS_PROJECT'", 30))
 def g_neighbors_2hop(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(g.neighbors(s.nodes(spark, sf), s.edges(spark, sf), "part_7", "HAS_PROJECT", "order", edge_filter={"status": "active"}, top_k=30, near=s.edges(spark, sf, anchor="part_7")))
+    k = star_graph(spark, sf)
+    return _shown(g.neighbors(k.nodes, k.edges, "part_7", "HAS_PROJECT", "order", edge_filter={"status": "active"}, top_k=30, near=k.at("part_7")))
 
 
 @query(_two_hops("customer_7", "customer", "relation <> 'REPORTED_ISSUE'", "a.relation <> 'REPORTED_ISSUE'", 30))
 def g_same_type_2hop(spark: SparkSession, sf: str) -> DataFrame:
-    return _shown(g.neighbors(s.nodes(spark, sf), s.edges(spark, sf), "customer_7", None, "customer", top_k=30, near=s.edges(spark, sf, anchor="customer_7")))
+    k = star_graph(spark, sf)
+    return _shown(g.neighbors(k.nodes, k.edges, "customer_7", None, "customer", top_k=30, near=k.at("customer_7")))
 
 
 @query(_ranked("USES", "customer", "true", "desc", 10))
@@ -213,7 +221,8 @@ def g_scan_far_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{WITH}, r as (select dst from a join n on n.id = dst where src = 'customer_7' and relation = 'USES' and type = 'part' group by dst)
     select count(*) as total, least(count(*), 10) as returned, count(*) > 10 as truncated from r""")
 def g_total_returned_truncated(spark: SparkSession, sf: str) -> DataFrame:
-    found = g.hop(s.edges(spark, sf, ("USES",), "customer_7"), "customer_7", "USES").join(s.nodes(spark, sf, ("part",)).select(F.col("id").alias("dst")), "dst")
+    k = star_graph(spark, sf)
+    found = g.hop(k.at("customer_7"), "customer_7", "USES").join(k.nodes.where("type = 'part'").select(F.col("id").alias("dst")), "dst")
     return found.agg(F.count("*").alias("total")).select("total", F.least("total", F.lit(10).cast("long")).alias("returned"), (F.col("total") > 10).alias("truncated"))
 
 

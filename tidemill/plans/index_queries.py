@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill import kept
 from tidemill import trigram_index as ti
 from tidemill import vector_index as vi
 from tidemill import vectors as v
@@ -28,8 +29,15 @@ def query(sql: str | None = None):
     return add
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def vector_lists(spark: SparkSession, sf: str) -> vi.VectorIndex:
+    """The kept index of all embeddings."""
+    place = kept.once(spark, "vectors", [f"{sf}/embeddings.parquet"], lambda p: vi.build(embedded(spark, sf), p))
+    return vi.open_index(spark, place)
+
+
+def trigram_lists(spark: SparkSession, sf: str) -> ti.TrigramIndex:
+    """The kept index of all documents."""
+    return ti.TrigramIndex(kept.once(spark, "trigrams", [f"{sf}/documents.parquet"], lambda p: ti.build(texts(spark, sf), p)))
 
 
 # ---- vectors -------------------------------------------------------------------------------------------------------
@@ -39,7 +47,7 @@ def _place(spark: SparkSession, name: str) -> str:
 def vec_index_each(spark: SparkSession, sf: str) -> DataFrame:
     """The ten nearest rows of each question in the cells that the calibration chose."""
     e = embedded(spark, sf)
-    index = vi.build(e, _place(spark, "vec-index"))
+    index = vector_lists(spark, sf)
     return vi.search_each(index, asked(e), 10).select("q", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -47,7 +55,7 @@ def vec_index_each(spark: SparkSession, sf: str) -> DataFrame:
 def vec_index_all_cells(spark: SparkSession, sf: str) -> DataFrame:
     """The same search with every cell probed: the exact answer, from the lists."""
     e = embedded(spark, sf)
-    index = vi.build(e, _place(spark, "vec-index"))
+    index = vector_lists(spark, sf)
     found = vi.search_each(index, asked(e), 10, probes=len(index.centroids))
     return found.select("q", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
@@ -57,7 +65,7 @@ def vec_index_all_cells(spark: SparkSession, sf: str) -> DataFrame:
 def vec_index_filter_after(spark: SparkSession, sf: str) -> DataFrame:
     """The filter sees each question's forty nearest rows, so some questions get fewer than ten."""
     e = embedded(spark, sf)
-    index = vi.build(e, _place(spark, "vec-index"))
+    index = vector_lists(spark, sf)
     found = vi.search_each(index, asked(e), 10, F.col("label") == 4, probes=len(index.centroids))
     return found.select("q", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
@@ -66,7 +74,7 @@ def vec_index_filter_after(spark: SparkSession, sf: str) -> DataFrame:
 def vec_index_recall(spark: SparkSession, sf: str) -> DataFrame:
     """How much of the exact answer the index finds, over all questions: at least nine in ten."""
     e = embedded(spark, sf)
-    index = vi.build(e, _place(spark, "vec-index"))
+    index = vector_lists(spark, sf)
     found = vi.recall(vi.search_each(index, asked(e), 10), v.nearest_of_each(e, asked(e), 10))
     return found.select("questions", "wanted", (F.col("recall") >= 0.9).alias("enough"))
 
@@ -77,7 +85,7 @@ def vec_index_recall(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {SQL_KEYWORD} select id, lang, round(keyword, 6) as keyword from s where keyword > 0.02 order by s.keyword desc, id limit 30")
 def kw_trigram_index(spark: SparkSession, sf: str) -> DataFrame:
     """The best texts by trigram similarity, from posting lists; the table of texts is joined to the last rows."""
-    index = ti.build(texts(spark, sf), _place(spark, "trigram-index"))
+    index = trigram_lists(spark, sf)
     found = ti.search(index, spark, QUERY_TEXT, 30, 0.02)
     return texts(spark, sf).select("id", "lang").join(F.broadcast(found), "id").select("id", "lang", F.round("keyword", 6).alias("keyword"))  # thirty rows
 
@@ -85,14 +93,14 @@ def kw_trigram_index(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def kw_word_index(spark: SparkSession, sf: str) -> DataFrame:
     """The best texts by word similarity; texts are read where the bound of the lists reaches the thirtieth score."""
-    index = ti.build(texts(spark, sf), _place(spark, "trigram-index"))
+    index = trigram_lists(spark, sf)
     return ti.word_search(index, texts(spark, sf), QUERY_TEXT, 30).select("id", F.round("keyword", 6).alias("keyword"))
 
 
 @query()
 def hybrid_word_index(spark: SparkSession, sf: str) -> DataFrame:
     """The hybrid search with its keyword axis from the posting lists."""
-    index = ti.build(texts(spark, sf), _place(spark, "trigram-index"))
+    index = trigram_lists(spark, sf)
     found = v.hybrid_search(passages(spark, sf), QUERY_TEXT, query_vector(spark, sf), 10, keyword=ti.word_search(index, texts(spark, sf), QUERY_TEXT, v.POOL))
     return found.select("id", F.round("similarity", 6).alias("similarity"), F.round("rrf_score", 9).alias("rrf_score"))
 
@@ -110,6 +118,6 @@ _STRETCH = "len(list_intersect(list_slice(g, i, j), q)) / (len(q) + len(list_dis
 def kw_word_names(spark: SparkSession, sf: str) -> DataFrame:
     """The node names most similar to a phrase by word similarity: every stretch of every name."""
     n = nodes(spark, sf, ("customer", "part", "supplier", "nation")).select("id", F.col("name").alias("content"))
-    index = ti.build(n, _place(spark, "trigram-index"))
+    index = ti.build(n, f"{shared_dir(spark)}/name-trigrams-{uuid.uuid4().hex}")
     found = ti.word_search(index, n, NAME_QUERY, 30)
     return n.join(F.broadcast(found), "id").select("id", F.col("content").alias("name"), F.round("keyword", 6).alias("keyword"))  # thirty rows

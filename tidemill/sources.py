@@ -140,7 +140,9 @@ def read_questions(spark: SparkSession, path: str, tool: str | None = None) -> D
 
 
 def adjacency(e: DataFrame) -> DataFrame:
-    """Every edge from both of its ends: src, dst, direction and the edge's columns."""
+    """Every edge from both of its ends: src, dst, direction and the edge's columns. An adjacency stays as it is."""
+    if "src" in e.columns:
+        return e
     rest = [c for c in e.columns if c not in ("source", "target")]
     out = e.select(F.col("source").alias("src"), F.col("target").alias("dst"), F.lit("out").alias("direction"), *rest)
     return out.unionByName(e.select(F.col("target").alias("src"), F.col("source").alias("dst"), F.lit("in").alias("direction"), *rest))
