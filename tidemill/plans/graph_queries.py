@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill import graph as g
+from tidemill import graph_paths as gp
 from tidemill import sources as s
 from tidemill.graph_store import star_graph
 
@@ -236,3 +237,71 @@ def g_integrity(spark: SparkSession, sf: str) -> DataFrame:
 def g_property_values(spark: SparkSession, sf: str) -> DataFrame:
     n = s.nodes(spark, sf, ("customer", "order")).select("type", F.explode("props").alias("property", "value"))
     return n.groupBy("type", "property", "value").agg(F.count("*").alias("n"))
+
+
+# ---- the whole graph -----------------------------------------------------------------------------------------------
+
+HOPS = 3
+_BFS = f"""src as (select id from n where type = 'nation' and id in (select 'nation_' || n_nationkey from nation where n_regionkey = 0)),
+    a1 as (select distinct src, dst from a where relation <> 'REPORTED_ISSUE'),
+    b(node, source, dist) as (select id, id, 0 from src union select a1.dst, b.source, b.dist + 1 from b join a1 on a1.src = b.node where b.dist < {HOPS})"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+@query(_recursive(f"""{WITH}, {_BFS},
+    m as (select node, min(dist) as dist, arg_min(source, row(dist, source)) as source from b group by node),
+    p as (select m.node, m.source, m.dist, min(q.node) as parent from m left join a1 on a1.dst = m.node left join m q on q.node = a1.src and q.source = m.source and q.dist = m.dist - 1 group by all),
+    t(node, dist, path) as (select node, dist, node from p where dist = 0 union all select p.node, p.dist, t.path || '>' || p.node from t join p on p.parent = t.node and p.dist = t.dist + 1)
+    select t.node, p.source, t.dist, t.path from t join p using (node)"""))
+def g_paths_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node within three hops of the nations of one region, its nearest of them and the path from there."""
+    k = star_graph(spark, sf)
+    region = s.table(spark, sf, "nation").where("n_regionkey = 0").select(F.concat(F.lit("nation_"), "n_nationkey").alias("node"))
+    found = gp.shortest_paths(k.edges.where("relation != 'REPORTED_ISSUE'"), region, HOPS)
+    return found.select("node", "source", "dist", F.array_join("path", ">").alias("path"))
+
+
+@query(_recursive(f"{WITH}, {_BFS} select source, node, min(dist) as dist from b group by source, node"))
+def g_paths_each(spark: SparkSession, sf: str) -> DataFrame:
+    """The hops from each of these nations to every node in reach."""
+    k = star_graph(spark, sf)
+    region = s.table(spark, sf, "nation").where("n_regionkey = 0").select(F.concat(F.lit("nation_"), "n_nationkey").alias("node"))
+    return gp.shortest_paths(k.edges.where("relation != 'REPORTED_ISSUE'"), region, HOPS, each=True).select("source", "node", "dist")
+
+
+ROUNDS = 5
+
+
+def _rank_rounds() -> str:
+    made = [f"{WITH}, ids as (select id from n), w as (select src, dst, count(*) as n from a where src in (select id from ids) and dst in (select id from ids) group by all), deg as (select src, sum(n) as degree from w group by src), size as (select count(*) as n from ids), r0 as (select id as node, cast(1 as double) as rank from ids)"]
+    for k in range(ROUNDS):
+        made.append(f"""i{k} as (select coalesce(sum(rank), 0) as idle from r{k} where node not in (select src from deg)),
+    g{k} as (select dst as node, sum(rank / degree * w.n) as got from r{k} join deg on deg.src = node join w on w.src = node group by dst),
+    r{k + 1} as (select ids.id as node, 0.15::double + 0.85::double * (coalesce(got, 0) + idle / size.n) as rank from ids cross join i{k} cross join size left join g{k} on g{k}.node = ids.id)""")
+    return ", ".join(made) + f" select node, round(rank, 6) as rank from r{ROUNDS}"
+
+
+@query(_rank_rounds())
+def g_pagerank(spark: SparkSession, sf: str) -> DataFrame:
+    """Five rounds of PageRank over all nodes and relations, in units of the mean rank."""
+    k = star_graph(spark, sf)
+    n = k.nodes.count()
+    return gp.pagerank(k.edges, k.nodes, ROUNDS).select("node", F.round(F.col("rank") * n, 6).alias("rank"))
+
+
+def _label_rounds() -> str:
+    """Smallest labels spread for as many rounds as the longest path has edges: order, supplier, order, within one star."""
+    made = [f"{WITH}, ids as (select id from n), w as (select distinct src, dst from a where relation in ('LEADS', 'NATION_HEAD') and src in (select id from ids) and dst in (select id from ids)), l0 as (select id as node, id as label from ids)"]
+    for k in range(6):
+        made.append(f"l{k + 1} as (select x.node, least(min(x.label), coalesce(min(y.label), min(x.label))) as label from l{k} x left join w on w.dst = x.node left join l{k} y on y.node = w.src group by x.node)")
+    return ", ".join(made) + " select node, label as component from l6"
+
+
+@query(_label_rounds())
+def g_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of all nodes by the suppliers that lead orders and head nations."""
+    k = star_graph(spark, sf)
+    return gp.components(k.edges.where("relation in ('LEADS', 'NATION_HEAD')"), k.nodes)

@@ -143,6 +143,7 @@ def adjacency(e: DataFrame) -> DataFrame:
     """Every edge from both of its ends: src, dst, direction and the edge's columns. An adjacency stays as it is."""
     if "src" in e.columns:
         return e
-    rest = [c for c in e.columns if c not in ("source", "target")]
-    out = e.select(F.col("source").alias("src"), F.col("target").alias("dst"), F.lit("out").alias("direction"), *rest)
-    return out.unionByName(e.select(F.col("target").alias("src"), F.col("source").alias("dst"), F.lit("in").alias("direction"), *rest))
+    rest = [F.col(c) for c in e.columns if c not in ("source", "target")]
+    end = lambda src, dst, direction: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(direction).alias("direction"))
+    both = e.select(F.explode(F.array(end("source", "target", "out"), end("target", "source", "in"))).alias("_end"), *rest)
+    return both.select("_end.src", "_end.dst", "_end.direction", *rest)  # one pass over the edges
