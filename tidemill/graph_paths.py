@@ -20,12 +20,13 @@ from .kept import cut
 HUB = 200_000
 
 
-def _salted(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _salted(adj: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Edges as (src, part, dst, n) with the number of parallel ones, and (src, degree, parts) of every node with edges."""
-    edges = adj.groupBy("src", "dst").agg(F.count("*").alias("n"))
-    degrees = edges.groupBy("src").agg(F.sum("n").alias("degree"), F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
-    edges = edges.join(degrees.select("src", "parts"), "src")
-    return edges.select("src", F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int").alias("part"), "dst", "n"), degrees
+    edges = cut(adj.groupBy("src", "dst").agg(F.count("*").alias("n")), f"{name}-edges")
+    degrees = cut(edges.groupBy("src").agg(F.sum("n").alias("degree"), F.ceil(F.count("*") / HUB).cast("int").alias("parts")), f"{name}-degrees")
+    hubs = degrees.where("parts > 1").select("src", "parts")  # at most one for each HUB edges
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.col("parts"))).cast("int")
+    return edges.join(hubs, "src", "left").select("src", part.alias("part"), "dst", "n"), degrees
 
 
 def _sent(state: DataFrame, edges: DataFrame) -> DataFrame:
@@ -44,8 +45,8 @@ def shortest_paths(adj: DataFrame, sources: DataFrame, hops: int, each: bool = F
     if hops < 0:
         raise ValueError("hops must not be negative")
     key = ["node", "source"] if each else ["node"]
-    edges, degrees = _salted(adj.select("src", "dst").distinct())
-    edges, parts = cut(edges, "path-edges"), cut(degrees.select("src", "parts"), "path-parts")
+    edges, degrees = _salted(adj.select("src", "dst"), "path")
+    parts = degrees.select("src", "parts")
     start = sources.select("node").where("node is not null").distinct()
     layers = [cut(start.select("node", F.col("node").alias("source"), F.lit(0).alias("dist"), F.array("node").alias("path")), "paths")]
     for dist in range(1, hops + 1):
@@ -67,8 +68,7 @@ def pagerank(adj: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float
     so many rounds, or when the ranks change by no more than least_change in sum. Edges from or to unknown nodes don't count.
     """
     known = nodes.select(F.col("id").alias("src")).where("src is not null").distinct()
-    edges, degrees = _salted(adj.select("src", "dst").join(known, "src", "left_semi").join(known.withColumnRenamed("src", "dst"), "dst", "left_semi"))
-    edges = cut(edges, "rank-edges")
+    edges, degrees = _salted(adj.select("src", "dst").join(known, "src", "left_semi").join(known.withColumnRenamed("src", "dst"), "dst", "left_semi"), "rank")
     state = known.join(degrees, "src", "left").withColumn("rank", F.lit(1.0))
     state = cut(state, "ranks")
     n = state.count()
@@ -91,8 +91,7 @@ def components(adj: DataFrame, nodes: DataFrame) -> DataFrame:
     the longest path in most graphs; it ends when no label changes.
     """
     known = nodes.select(F.col("id").alias("src")).where("src is not null").distinct()
-    edges, degrees = _salted(adj.select("src", "dst").distinct().join(known, "src", "left_semi").join(known.withColumnRenamed("src", "dst"), "dst", "left_semi"))
-    edges = cut(edges, "component-edges")
+    edges, degrees = _salted(adj.select("src", "dst").join(known, "src", "left_semi").join(known.withColumnRenamed("src", "dst"), "dst", "left_semi"), "component")
     state = cut(known.join(degrees.select("src", "parts"), "src", "left").withColumn("label", F.col("src")), "components")
     while True:
         around = _sent(state.where("parts is not null").select("src", "parts", "label"), edges).groupBy(F.col("dst").alias("src")).agg(F.min("label").alias("near"))
