@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill import graph as g
 from tidemill import graph_paths as gp
+from tidemill import linking
 from tidemill import sources as s
 from tidemill.graph_store import star_graph
 
@@ -305,3 +306,33 @@ def g_components(spark: SparkSession, sf: str) -> DataFrame:
     """Components of all nodes by the suppliers that lead orders and head nations."""
     k = star_graph(spark, sf)
     return gp.components(k.edges.where("relation in ('LEADS', 'NATION_HEAD')"), k.nodes)
+
+
+# ---- entities in texts ---------------------------------------------------------------------------------------------
+
+#: All node names, and as further entities the first word and the first two words of every benchmark item.
+SQL_ENTITIES = """b as (select item_id, k, array_to_string(list_slice(string_split(text, ' '), 1, k), ' ') as name from benchmark, (values (1), (2)) v(k)),
+    ents as (select id, name, ord from n union all select 'phrase_' || item_id || '_' || k, name, 5000000000000000 + 10 * item_id + k from b),
+    dict as (select lower(name) as name, arg_max(id, ord) as id from ents where name <> '' group by 1)"""
+
+
+def entities(spark: SparkSession, sf: str) -> DataFrame:
+    n = s.nodes(spark, sf).select("id", "name", "ord")
+    words, k = F.split("text", " "), F.explode(F.array(F.lit(1), F.lit(2))).alias("k")
+    b = s.table(spark, sf, "benchmark").select("item_id", "text", k)
+    phrase = F.array_join(F.slice(words, 1, F.col("k")), " ")
+    return n.unionByName(b.select(F.concat_ws("_", F.lit("phrase"), "item_id", "k").alias("id"), phrase.alias("name"), (F.lit(5_000_000_000_000_000) + 10 * F.col("item_id") + F.col("k")).alias("ord")))
+
+
+@query(f"""with {SQL_NODES}, {SQL_ENTITIES}, c as (select conv_id, turn, name, id, strpos(lower(text), name) - 1 as place from conversations join dict on contains(lower(text), name))
+    select conv_id, turn, cast(place as bigint) as "at", length(name) as length, id from c qualify row_number() over (partition by conv_id, turn order by length(name) desc, name) = 1""")
+def g_first_entity(spark: SparkSession, sf: str) -> DataFrame:
+    """The entity a turn of a conversation is about: the longest name in it."""
+    turns = s.table(spark, sf, "conversations")
+    return linking.first_entity(turns, "text", ["conv_id", "turn"], entities(spark, sf)).withColumn("length", F.col("length").cast("long"))
+
+
+@query()
+def g_linked_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """All entities of all turns, longest first, no stretch used twice."""
+    return linking.link(s.table(spark, sf, "conversations"), "text", ["conv_id", "turn"], entities(spark, sf))
