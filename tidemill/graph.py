@@ -6,8 +6,10 @@ Anchors and terms are literals or small frames of the caller; edges are never co
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from .graph_store import bucket
 from .sources import RELATIONS, adjacency
 
 MOST, DEFAULT = 30, 10
+#: The least ratio of a close match; terms that are compared with all names in one call.
+CLOSE, MOST_TERMS = 0.6, 10_000
 PRIORITIES = ("low", "medium", "high", "critical")
 
 
@@ -216,9 +220,50 @@ def scan(n: DataFrame, e: DataFrame, relation: str, target_type: str, far_filter
     return found.orderBy(F.desc("link_count"), "name", "first", "id").limit(clamp(top_k)).drop("first")
 
 
-def resolve(n: DataFrame, terms: DataFrame) -> DataFrame:
+def _ratio(names: pd.Series, terms: pd.Series) -> pd.Series:
+    """Twice the letters of the longest common blocks over all letters; 0 where a bound shows that it is below CLOSE."""
+    matcher, out, last = SequenceMatcher(), [], None
+    for name, term in zip(names, terms, strict=True):
+        if term != last:  # what the matcher knows of the second string is kept
+            matcher.set_seq2(term)
+            last = term
+        matcher.set_seq1(name)
+        out.append(matcher.ratio() if matcher.quick_ratio() >= CLOSE else 0.0)
+    return pd.Series(out, dtype="float64")
+
+
+def close_matches(n: DataFrame, terms: DataFrame, most: int = 3, least: float = CLOSE) -> DataFrame:
+    """term, place, name, ratio: for each term of a small frame the names most like it, from that ratio on.
+
+    Likeness is the Ratcliff-Obershelp ratio, names and terms as they are written. Of equal ratios the larger name comes
+    first; a name that several nodes have counts as often. No common blocks can be longer than the shorter string, nor than
+    the letters both have: names of unfit length never reach the ratio, those of unfit letters are not matched. The best of
+    each task are cut before they are ranked.
+    """
+    if least < CLOSE:
+        raise ValueError(f"the bounds hold from {CLOSE} on")
+    wanted = terms.select("term").where("term is not null and term != ''").distinct()
+    if wanted.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        raise ValueError(f"at most {MOST_TERMS} terms at once are compared with all names")
+    names = n.where("name is not null").groupBy("name").agg(F.least(F.count("*"), F.lit(most)).cast("int").alias("times"))
+    a, b = F.length("name"), F.length("term")
+    pairs = names.join(F.broadcast(wanted), 2 * F.least(a, b) >= least * (a + b) - 1e-9)  # at most MOST_TERMS rows
+    scored = pairs.withColumn("ratio", F.pandas_udf(_ratio, "double")("name", "term")).where(F.col("ratio") >= least)
+    each = scored.withColumn("_time", F.explode(F.sequence(F.lit(1), "times"))).select("term", "name", "ratio")
+    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("ratio"), F.desc("name")))
+    return each.withColumn("place", place).where(F.col("place") <= most).select("term", "place", "name", "ratio")
+
+
+def names_of_type(n: DataFrame, node_type: str) -> DataFrame:
+    """name of the nodes of a type, in their order (ord)."""
+    return n.where(F.col("type") == node_type).select("ord", "name").orderBy("ord").select("name")
+
+
+def resolve(n: DataFrame, terms: DataFrame, close: bool = False) -> DataFrame:
     """term, how (name, id, part, ambiguous or none), id, candidates for the terms of a small frame (term string).
 
+    close: terms that nothing fits get the names most like them as candidates.
+
     Of nodes with one name, in lower case, the last counts. A name beats an id, an id beats parts of names; several parts
     make the term ambiguous. Names and ids are equi-joins; only terms that neither found are looked for inside names.
     """
@@ -234,4 +279,9 @@ def resolve(n: DataFrame, terms: DataFrame) -> DataFrame:
     by_part = parts.select("term", F.when(F.col("n") == 1, "part").otherwise("ambiguous").alias("how"), F.when(F.col("n") == 1, F.col("id")).alias("id"), F.when(F.col("n") > 1, F.array_join("candidates", ";")).alias("candidates"))
     none = F.lit(None).cast("string").alias("candidates")
     found = by_name.select("*", none).unionByName(by_id.select("*", none)).unionByName(by_part)
-    return terms.select("term").distinct().join(found, "term", "left").withColumn("how", F.coalesce("how", F.lit("none")))
+    out = terms.select("term").distinct().join(found, "term", "left").withColumn("how", F.coalesce("how", F.lit("none")))
+    if not close:
+        return out
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"])
+    near = close_matches(n, out.where("how = 'none'")).groupBy("term").agg(F.array_join(listed, ";").alias("near"))
+    return out.join(near, "term", "left").withColumn("candidates", F.coalesce("candidates", "near")).drop("near")

@@ -108,6 +108,21 @@ def g_resolve(spark: SparkSession, sf: str) -> DataFrame:
     return g.resolve(s.nodes(spark, sf), spark.createDataFrame([(t,) for t in TERMS], "term string"))
 
 
+UNKNOWN = ["Custmer#00000001", "nation-1", "reed rings", "gizmo blue", "Ordr#77", "part_5", "", "qqq"]
+
+
+@query()
+def g_close_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Mistaken names and the three names of nodes most like each."""
+    found = g.close_matches(s.nodes(spark, sf), spark.createDataFrame([(t,) for t in UNKNOWN], "term string"))
+    return found.withColumn("ratio", F.round("ratio", 6))
+
+
+@query(f"with {SQL_NODES} select name from n where type = 'nation'")
+def g_names_of_type(spark: SparkSession, sf: str) -> DataFrame:
+    return g.names_of_type(s.nodes(spark, sf, ("nation",)), "nation")
+
+
 @query(_one_hop("customer_7", "part", "true", 30))
 def g_neighbors_1hop(spark: SparkSession, sf: str) -> DataFrame:
     k = star_graph(spark, sf)
