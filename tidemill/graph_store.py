@@ -43,7 +43,7 @@ def write(nodes: DataFrame, edges: DataFrame, path: str, n_edges: int = 0) -> No
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(BUCKETS * files, 10_000))
     a = sources.adjacency(edges).withColumn("bucket", bucket(F.col("src"))).withColumn("_part", F.pmod(F.xxhash64("dst"), F.lit(files)))
     a.repartition(width, "bucket", "_part").sortWithinPartitions("bucket", "src").drop("_part").write.partitionBy("bucket").parquet(f"{path}/adjacency")
-    nodes.repartition("type", F.pmod(F.xxhash64("id"), F.lit(files))).sortWithinPartitions("type", "id").write.partitionBy("type").parquet(f"{path}/nodes")
+    nodes.repartitionByRange("type", "id").sortWithinPartitions("type", "id").write.partitionBy("type").parquet(f"{path}/nodes")
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> KeptGraph:
