@@ -113,3 +113,11 @@ def test_table_functions_are_the_searches(spark):
         assert {r.id: (r.similarity, round(r.rrf_score, 12)) for r in got} == {r.id: (r.similarity, round(r.rrf_score, 12)) for r in want}
     assert spark.sql("select count(*) from vector_search(array(1d, 0.5d), 99)").first()[0] == 7
     assert "TakeOrderedAndProject" in spark.sql("select * from vector_search(array(1d, 0.5d), 3)")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_refresh_replaces_the_table_and_leaves_nothing_else(spark, tmp_path):
+    place = tmp_path / "chunks"
+    for n in (5, 3):
+        made = spark.range(n).selectExpr("id as doc_id", "0 as chunk_index", "'x' as content")
+        assert ingest.full_refresh(made, str(place)).count() == n
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["chunks"]

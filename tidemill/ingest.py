@@ -23,8 +23,8 @@ def full_refresh(made: DataFrame, path: str) -> DataFrame:
 
     The id is made of document and chunk and not a running number, so no task has to see all rows. The new table is
     written beside the old one and made once, so an embedder sees each chunk once; what the writing tasks counted must be
-    what is read again, and only then does the new table take the place of the old one. A failure before leaves that
-    untouched.
+    what is read again, and only then does the new table take the place of the old one, by two renames: the old one is put
+    aside, whole, and deleted last. A failure before leaves it untouched; between the renames readers find no table.
     """
     spark = made.sparkSession
     rows = made.withColumn("id", F.xxhash64("doc_id", "chunk_index"))
@@ -41,9 +41,15 @@ def full_refresh(made: DataFrame, path: str) -> DataFrame:
         raise RuntimeError("the loaded table does not hold what was made")
     of = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
     files = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(of(path), True)
+    aside = f"{beside}-old"
+    had = files.exists(of(path))
+    if had and not files.rename(of(path), of(aside)):
+        raise RuntimeError(f"{path} could not be put aside for {beside}, which is whole")
     if not files.rename(of(beside), of(path)):
+        if had:
+            files.rename(of(aside), of(path))
         raise RuntimeError(f"{beside} is whole but could not take its place")
+    files.delete(of(aside), True)
     return spark.read.parquet(path)
 
 
