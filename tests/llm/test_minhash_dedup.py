@@ -68,6 +68,42 @@ def test_edges_and_chains(spark, monkeypatch):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def boilerplate(n, seed):
+    """Texts of which two share 100 words in a row and differ in 15: Jaccard 0.77 at most, many common buckets."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(100)]
+    return [(k, " ".join([*base, *(f"t{rng.randrange(400)}" for _ in range(15))])) for k in range(n)]
+
+
+def test_boilerplate_sends_few_texts(spark, monkeypatch):
+    rows = boilerplate(3000, 5)
+    rows += [(5000 + k, t.rsplit(" ", 3)[0] + f" e{k} f{k} g{k}") for k, (_, t) in enumerate(rows[:40])]
+    sent = []
+    across = minhash_dedup.across
+
+    def counted(*args):
+        out = across(*args)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "across", counted)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {k: k - 5000 if k >= 5000 else k for k, _ in rows}
+    assert 2 * sum(sent) < 10_000
+
+
+def test_heavy_shingles_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 3)
+    monkeypatch.setattr(minhash_dedup, "HEAVY", 40)
+    rng = random.Random(8)
+    rows = [(k, t) for k, t in boilerplate(80, 9)]
+    for k in range(160):  # chains: neighbours link, ends do not
+        w = rows[rng.randrange(len(rows))][1].split()
+        w[rng.randrange(len(w))] = f"n{rng.randrange(50)}"
+        rows.append((1000 + k, " ".join(w)))
+    assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
 def thue_morse():
     """Two words that every polynomial hash modulo 2^64 with an odd base takes for one."""
     t = "0"

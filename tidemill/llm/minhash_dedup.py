@@ -9,9 +9,12 @@ Documents with equal word sequences are one class, known by 128 bits of the SHA-
 never multiply. Then, on classes:
 1. every member of a bucket is checked exactly against the bucket's smallest class (a star, never all pairs);
 2. components of the confirmed links; a bucket inside one component is settled, as is one of two members;
-3. in other buckets the members outside of the bucket's largest component are checked against all others, in blocks of
-   bounded size: a member of the largest component is repeated once for each BLOCK outsiders, an outsider once for each
-   BLOCK members, so no bucket has to fit into a task and no link is lost;
+3. classes of other buckets meet across components by their rarest shingles. Shingles are ordered by the number of these
+   classes that hold them, those of one component first. Two sets over the threshold share one of the first
+   n - ceil(threshold * n) + 1 of each, and at the first one they share enough must follow in both: pairs that can't link
+   by their sizes and places are never made, and a class that shares too few shingles with other components has no pairs.
+   Hashes are compared here, which can only let more pairs through. Words are sent for the pairs left, each pair once
+   whatever the number of its buckets. A shingle that many classes put first has them dealt over blocks of bounded size;
 4. components of all links.
 Checks compare the words themselves: hashes only find candidates. Bounded Bloom filters keep the words of documents without
 a candidate from being shuffled.
@@ -41,9 +44,11 @@ BANDS, ROWS = 28, 5
 UNIVERSE = 1 << 20
 BLOCK = 512
 SALTS = 16
+HEAVY = 1 << 16
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("words", pa.binary()), ("text", pa.binary())])
+_POSTINGS = pa.schema([(c, pa.int64()) for c in ("class", "component", "n", "shingle")])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -144,49 +149,55 @@ def _confirm(shingle: int, threshold: tuple[int, int]) -> Callable:
     return run
 
 
-def _confirm_block(held: list[tuple[int, int, bytes]], shingle: int, threshold: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links between members of different components; held: class, component, words."""
-    names, labels = [x[0] for x in held], np.array([x[1] for x in held])
-    sets = exact_shingles([x[2] for x in held], shingle)
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, element = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(element, kind="stable")
-    posted, ends = owner[order], np.cumsum(np.bincount(element))
-    first = np.concatenate(([0], np.cumsum(sizes)))
-    values, counts = np.unique(labels, return_counts=True)
-    largest = values[counts.argmax()]
-    out = []
-    for i in np.flatnonzero(labels != largest).tolist():
-        own = element[first[i] : first[i + 1]]
-        lo = np.where(own > 0, ends[own - 1], 0)
-        n = ends[own] - lo
-        common = np.bincount(posted[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())], minlength=len(sets))
-        for j in np.flatnonzero(_similar(threshold, common, sizes[i], sizes) & (labels != labels[i])).tolist():
-            out.append((names[i], names[j]))
-    return out
-
-
-def _confirm_blocks(shingle: int, threshold: tuple[int, int]) -> Callable:
-    """Rows come sorted by block; a block has about twice BLOCK members at most."""
-
+def _hashed(shingle: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in small(batches):
-            out = []
-            for block, name, label, text in zip(*(batch[c].to_pylist() for c in ("block", "class", "component", "text")), strict=True):
-                if block != now:
-                    if len(held) > 1:
-                        out += _confirm_block(held, shingle, threshold)
-                    now, held = block, []
-                held.append((name, label, text))
-            yield records(_LINKS, list(zip(*out, strict=True)) if out else [[], []])
-        if len(held) > 1 and (out := _confirm_block(held, shingle, threshold)):
-            yield records(_LINKS, list(zip(*out, strict=True)))
+        for batch in small(batches, 50):
+            sets = [h for _, h in shingle_sets(batch["text"].to_pylist(), shingle)]
+            sizes = [len(h) for h in sets]
+            held = [np.repeat(batch[c].to_numpy(), sizes) for c in ("class", "component")]
+            yield records(_POSTINGS, [*held, np.repeat(np.array(sizes, np.int64), sizes), np.concatenate(sets).view(np.int64)])
 
     return run
 
 
+def _shared(postings: DataFrame) -> DataFrame:
+    """The postings of shingles that lie in several components, with their number df.
+
+    Shingles with more than 1/HEAVY of all postings are fewer than HEAVY: they are broadcast, so no key of the shuffle is hot.
+    """
+    most = postings.count() // HEAVY
+    df = postings.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("x"), F.max("component").alias("y"))
+    df = cut(df.where("x != y").select("shingle", "df"), "shared")
+    often = postings.join(F.broadcast(df.where(F.col("df") > most).withColumnRenamed("df", "often")), "shingle", "left")
+    seldom = often.where("often is null").drop("often").join(df.where(F.col("df") <= most), "shingle")
+    return often.where("often is not null").withColumnRenamed("often", "df").unionByName(seldom)
+
+
+def across(postings: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """a > b: classes of different components that may link; postings hold class, component, n (set size) and shingle."""
+    part, whole = threshold
+    sets = _shared(postings).groupBy("class", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("held"))
+    own = F.col("n") - F.size("held")  # these come first
+    first = F.expr(f"n - (n * {part} + {whole - 1}) div {whole} + 1")
+    sets = sets.where(f"{whole} * size(held) >= {part} * n")
+    front = F.slice("held", F.lit(1), F.greatest(F.lit(0), first - own).cast("int"))
+    front = cut(sets.select("class", "component", "n", own.alias("own"), F.posexplode(front).alias("k", "x")).select("class", "component", "n", F.expr("n - own - k").alias("rest"), "x.shingle"), "front")
+    blocks = front.groupBy("shingle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+    most = front.count() // HEAVY
+    many = blocks.where(F.col("blocks") * BLOCK > most + BLOCK).select("shingle", F.col("blocks").alias("many"))
+    few = blocks.where(F.col("blocks") * BLOCK <= most + BLOCK).select("shingle", "blocks")
+    dealt = front.join(F.broadcast(many), "shingle", "left")
+    dealt = dealt.where("many is not null").withColumnRenamed("many", "blocks").unionByName(dealt.where("many is null").drop("many").join(few, "shingle"))
+    dealt = cut(dealt.withColumn("mine", F.pmod(F.xxhash64("class"), "blocks").cast("int")), "dealt")
+    each = F.explode(F.expr("sequence(0, blocks - 1)"))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("shingle", "class", "component", "n", "rest")]
+    left = dealt.select(*side("a"), F.col("mine").alias("i_a"), each.alias("j_a"))
+    right = dealt.select(*side("b"), each.alias("i_b"), F.col("mine").alias("j_b"))
+    fits = f"class_a > class_b and component_a != component_b and {whole} * least(rest_a, rest_b) >= {part} * (n_a + n_b - least(rest_a, rest_b))"
+    pairs = left.join(right, F.expr(f"shingle_a = shingle_b and i_a = i_b and j_a = j_b and {fits}"))
+    return pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text).
 
@@ -209,25 +220,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
     texts = cut(texts.join(linked, "words").select("class", "text"), "texts")
     hubs = members.groupBy("band", "hub").agg(F.max(F.when(F.col("class") == F.col("hub"), F.col("n"))).alias("hub_n"))
     pairs = members.join(hubs.select("band", "hub_n"), "band").where(f"class != hub and {whole} * least(n, hub_n) >= {part} * greatest(n, hub_n)").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
-    checked = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("of_a")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("of_b")), "b")
-    links = cut(checked.mapInArrow(_confirm(shingle, threshold), "a long, b long"), "links")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("of_a")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("of_b")), "b")
+        return cut(both.mapInArrow(_confirm(shingle, threshold), "a long, b long"), "links")
+
+    links = confirmed(pairs)
     found = cut(connected_components(links), "components")
 
     # Buckets of three or more members that lie in several components.
     placed = members.select("band", "class").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    parts = placed.groupBy("band", "component").agg(F.count("*").alias("m"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("same"))
-    open_ = parts.groupBy("band").agg(F.count("*").alias("components"), F.sum("m").alias("m"), F.sum("same").alias("same"), F.max(F.struct("m", "component")).alias("most")).where("components > 1 and m > 2")
-    open_ = open_.groupBy("same", "m").agg(F.min(F.struct("band", "most")).alias("x"))  # one of the buckets with the same members
-    count = lambda x: F.ceil(x / BLOCK).cast("int")
-    open_ = open_.select("x.band", F.col("x.most.component").alias("largest"), count(F.col("x.most.m")).alias("inner"), count(F.col("m") - F.col("x.most.m")).alias("outer"))
-    x = placed.join(open_, "band").withColumn("out", F.col("component") != F.col("largest"))
-    x = x.withColumn("mine", F.pmod(F.xxhash64("class"), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner"))).cast("int"))
-    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    of_outer = F.transform(upto("outer"), lambda k: F.when(F.col("out"), F.xxhash64("band", F.lit(0), F.least("mine", k), F.greatest("mine", k))).otherwise(F.xxhash64("band", F.lit(1), "mine", k)))
-    of_inner = F.when(F.col("out"), F.transform(upto("inner"), lambda k: F.xxhash64("band", F.lit(1), k, "mine"))).otherwise(F.array().cast("array<long>"))
-    blocks = x.select(F.explode(F.concat(of_outer, of_inner)).alias("block"), "class", "component")
-    more = blocks.join(texts, "class").repartition(shuffle_width(spark), "block").sortWithinPartitions("block").mapInArrow(_confirm_blocks(shingle, threshold), "a long, b long")
-    more = cut(more.distinct(), "links")
+    open_ = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x != y and m > 2").select("band")
+    open_ = placed.join(open_, "band").select("class", "component").distinct()
+    postings = texts.join(open_, "class").select("class", "component", F.col("text").cast("string").alias("text"))
+    postings = cut(postings.mapInArrow(_hashed(shingle), "class long, component long, n long, shingle long"), "postings")
+    more = confirmed(across(postings, threshold).join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         found = cut(connected_components(links.unionByName(more)), "components")
 
