@@ -25,6 +25,17 @@ def _t(spark: SparkSession, sf: str, *names: str):
     return found[0] if len(found) == 1 else found
 
 
+def not_in(df: DataFrame, key: str, listed: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose key is NOT IN a column, as SQL has it: a null listed leaves none, a null key only if nothing is listed.
+
+    A plain anti join, which shuffles both sides by the key, and one row with the counts of all and of null values.
+    """
+    counts = listed.agg(F.count("*").alias("_all"), F.count_if(F.col(column).isNull()).alias("_null"))
+    keys = listed.where(F.col(column).isNotNull()).select(F.col(column).alias("_key")).distinct()
+    kept = df.join(keys, F.col(key) == F.col("_key"), "left_anti").join(F.broadcast(counts), F.lit(True))  # one row
+    return kept.where((F.col("_all") == 0) | ((F.col("_null") == 0) & F.col(key).isNotNull())).select(*df.columns)
+
+
 def money(c):
     return F.round(c, 2)
 
@@ -90,7 +101,7 @@ def sql_semi_join(spark: SparkSession, sf: str) -> DataFrame:
 @query("select p_brand, count(*) as n from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 49) group by p_brand")
 def sql_anti_join(spark: SparkSession, sf: str) -> DataFrame:
     p, l = _t(spark, sf, "part", "lineitem")
-    return p.join(l.where("l_quantity > 49"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").groupBy("p_brand").agg(F.count("*").alias("n"))
+    return not_in(p, "p_partkey", l.where("l_quantity > 49"), "l_partkey").groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
 @query("select a.r_name as r1, b.r_name as r2 from region a cross join region b")

@@ -13,8 +13,8 @@ def group_frame(df: DataFrame, partition: list[str], order: list[Column], value:
 
     A group is the rows of a partition with equal order values. before and after count groups, None is unbounded; they are
     0 or more, so the row's own group lies in the frame and can be taken off. Dense ranks are the places of the groups: the
-    frame is a range of ranks, and what is excluded is subtracted. Spark sorts a partition once for all of it; a partition
-    is one task's work, as in any window.
+    frame is a range of ranks, and what is excluded is subtracted. Rows are shuffled once, by the partition, and sorted
+    twice; a partition is one task's work, as in any window.
 
     Edge cases: null values are not counted; a frame without values has sum and avg null, count 0. Null partition or order
     values are equal to each other. Sums of floats may differ from added ones in the last digits; where the excluded rows
