@@ -27,6 +27,9 @@ LEAST_LEAD = 0.02
 #: Near copies share this many words in a row, in this part of all their shingles.
 SHINGLE, THRESHOLD = 5, (4, 5)
 
+#: Bytes of a piece of a shard of the mix: a mix is 3/2 of its input, over 8 shards.
+PIECE = 5 * (1 << 26)
+
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -70,9 +73,13 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @shielded
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents so that sources come near their target words; rows lie in shards in shuffled order."""
+    """Repeats and drops documents so that sources come near their target words; rows lie in shards in shuffled order.
+
+    A shard is dealt over pieces of about PIECE bytes, so tasks grow in number and not in size.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     mixed = mix(docs)
-    return mixed.repartition("mix_shard", F.pmod("mix_order", F.lit(64))).sortWithinPartitions("mix_shard", "mix_order").select(*docs.columns)
+    return mixed.repartition("mix_shard", F.pmod("mix_order", F.lit(max(64, size // PIECE)))).sortWithinPartitions("mix_shard", "mix_order").select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
