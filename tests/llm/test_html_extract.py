@@ -116,3 +116,70 @@ def test_deep_and_long_pages_stay_cheap():
     tracemalloc.stop()
     assert got[0] == "Some text of it. It goes on." and got[63].count("Some") == 200_000
     assert most < 500 << 20
+
+
+# Pages written by hand, none from the maker.
+P1 = "The kerf is the slot that a saw leaves behind in the wood. It is as wide as the teeth are set."
+P2 = "A thin blade wastes less timber, but it bends when the cut is deep."
+P3 = "Most workshops keep three saws and sharpen them once a month."
+HEAD = "<html><head><title>Saws</title></head><body>"
+NAV = '<nav><a href="/">Home</a> <a href="/about">About</a> <a href="/contact">Contact</a></nav>'
+FOOT = "<footer><p>© 2024 Sawyers Ltd. All rights reserved.</p></footer>"
+PAGES = [
+    (f"{HEAD}{NAV}<article><h1>Saws</h1><p>{P1}</p><dl><dt>Kerf</dt><dd>The width of a cut.</dd><dt>Set</dt><dd>How far teeth lean out.</dd></dl><p>{P2}</p></article>{FOOT}</body></html>",
+     f"Saws {P1} Kerf The width of a cut. Set How far teeth lean out. {P2}"),
+    (f"{HEAD}{NAV}<article><h1>Saws</h1><dl><dt>Kerf</dt><dd>The width of a cut.</dd></dl></article>{FOOT}</body></html>", "Saws Kerf The width of a cut."),
+    (f"{HEAD}{NAV}<article><h1>Saws</h1><p>{P1}</p><details><summary>More on blades</summary><p>{P2}</p></details></article>{FOOT}</body></html>", f"Saws {P1} More on blades {P2}"),
+    (f"{HEAD}<article><p>{P1}</p><table><tr><th>Blade</th><th>Width</th></tr><tr><td>Rip</td><td>3 mm</td></tr></table><p>{P2}</p></article>{FOOT}</body></html>", f"{P1} Blade Width Rip 3 mm {P2}"),
+    (f"<table><tr><th>Blade</th><th>Width</th></tr><tr><td>Rip</td><td>3 mm</td></tr></table>", "Blade Width Rip 3 mm"),
+    (P1, P1),
+    (f"{P1}\n\n{P2}", f"{P1} {P2}"),
+    (f"<div>{P1}</div>", P1),
+    (f"<html><body><div>{P1}</div></body></html>", P1),
+    (f"<p>{P1}</p><p>{P2}</p>", f"{P1} {P2}"),
+    (f'<html><body><div class="x1"><a href="/">Home</a> <a href="/a">About</a></div><div class="x2"><h1>Saws</h1><p>{P1}</p><p>{P2}</p></div><div class="x3">© 2024 Sawyers Ltd. All rights reserved.</div></body></html>', f"Saws {P1} {P2}"),
+    (f'<html><body><div class="q7"><h1>Saws</h1><p>{P1}</p><p>{P2}</p><p>{P3}</p></div><div class="z"><p>Copyright 2023 Sawyers Ltd. Privacy policy. Terms of service.</p></div></body></html>', f"Saws {P1} {P2} {P3}"),
+    (f'<html><body><div class="a8f"><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/c">Contact</a></li></ul></div><div class="b2c"><h1>On saws</h1><p>{P1}</p><p>{P3}</p></div><div class="d4e">© Sawyers</div></body></html>', f"On saws {P1} {P3}"),
+    (f'{HEAD}{NAV}<article><h1>Saws</h1><p>{P1}</p><p hidden>Draft note for editors.</p><p style="display: none">Old text.</p><p class="hidden-gem">{P2}</p></article>{FOOT}</body></html>', f"Saws {P1} {P2}"),
+    (f'{HEAD}<script src="x.js"/>var a = "<p>no</p>";</script>{NAV}<article><h1>Saws</h1><p>{P1}</p><script src="y.js"/>track();</script><p>{P2}</p></article>{FOOT}</body></html>', f"Saws {P1} {P2}"),
+    (f'{HEAD}{NAV}<script src="x.js" /><article><h1>Saws</h1><p>{P1}</p></article>{FOOT}</body></html>', f"Saws {P1}"),
+    (f'{HEAD}{NAV}<main><h1>Saws</h1><p>{P1}</p><p>{P2}</p></main><section class="comments"><h3>Comments</h3><p>Great read, thanks!</p><p>I prefer axes.</p></section>{FOOT}</body></html>', f"Saws {P1} {P2}"),
+    (f'{HEAD}{NAV}<div class="sidebar"><h3>Popular posts</h3><ul><li><a href=/1>Axes</a></li></ul></div><div class="content"><p>{P1}</p><ol><li>Mark the line.</li><li>Cut beside it.</li></ol></div>{FOOT}</body></html>', f"{P1} Mark the line. Cut beside it."),
+    (f"{NAV}{FOOT}", ""),
+]
+
+
+def test_pages_by_hand():
+    for (page, want), got in zip(PAGES, h.main_texts(h.trained(), [page for page, _ in PAGES]), strict=True):
+        assert got == want, page
+
+
+def test_script_ends_at_its_end_tag():
+    texts = lambda page: [t for _, t, _ in h.blocks(page)]
+    assert texts('<p>a</p><script src="x.js"/>var t = "<p>no</p>";</script><p>b</p>') == ["a", "b"]
+    assert texts('<p>a</p><script src="x.js"/><p>b</p>') == ["a", "b"]
+    assert texts("<p>a</p><script>var t = 1;<p>b</p>") == ["a"]
+    began = time.time()
+    assert len(texts("<script/><p>x</p>" * 20_000)) == 20_000
+    assert time.time() - began < 10
+
+
+def test_hidden_elements_are_no_text():
+    texts = lambda page: [t for _, t, _ in h.blocks(page)]
+    assert texts("<p hidden>a<p>b<div HIDDEN=''><p>c</p><b>d</b></div>e") == ["b", "e"]
+    assert texts("<div style='color:red; display : none'>a</div><p style=\"visibility:hidden\">b</p><p style=display:none>c</p>d") == ["d"]
+    assert texts("<p class=hidden>a</p><p class='x hidden y'>b</p><p data-hidden>c</p><p title='display:none'>d</p>") == ["a", "b", "c", "d"]
+
+
+def test_weights_are_kept(spark):
+    own, h._TRAINED[:] = h.trained(), []
+    once = h.train
+    try:
+        h.train = lambda: own
+        assert h.trained(spark) is own
+        h._TRAINED[:] = []
+        h.train = None  # must not be called again
+        read = h.trained(spark)
+    finally:
+        h.train, h._TRAINED[:] = once, [own]
+    assert read.keys() == own.keys() and all((read[k] == own[k]).all() for k in own)

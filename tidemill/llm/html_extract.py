@@ -2,53 +2,68 @@
 
 Method: a page becomes its sequence of leaf blocks (text between block-level tags, inline tags removed). Each block has a
 vector of hashed tag-path features (tags, words of class, id and role along the whole path, as a set of bits that grows
-with each open element, so depth costs nothing), hashed words and a few measures. A bidirectional LSTM in numpy reads the whole sequence, so every block is labelled with the context of the whole document.
+with each open element, so depth costs nothing), how many elements closed and opened since the block before, hashed words
+and a few measures. A bidirectional LSTM in numpy reads the whole sequence, so every block is labelled with the context of the whole document.
 Main blocks are joined in page order.
 
 The labeller is trained by the driver, in some seconds and with fixed seeds, on PAGES synthetic pages whose labels are
 known by construction: many layouts of article, navigation, header, footer, sidebar, notice, advert, form and comments,
-with plain and semantic markup, made-up words in all of them. That sample is bounded and does not depend on the corpus.
-The weights (about 100 KB) are broadcast; pages are labelled where they are read, without any shuffle, some thousands of
+with plain and semantic markup, made-up words in all of them. Some pages have names that say nothing, so only words and
+shape tell there; some are bare text or one block. That sample is bounded and does not depend on the corpus. The weights
+(about 500 KB) are kept in the shared folder under a digest of this module and broadcast; pages are labelled where they are read, without any shuffle, some thousands of
 blocks at a time; one page of n blocks takes some 700 n bytes.
 
 Edge cases: null and empty html give '' with 0 characters. Unclosed, crossing and cut-off tags, comments and raw elements
 are read as browsers mostly do, custom elements such as video-js as any other element; formulas are text without their
-annotations, what stands inside of video, audio, object or canvas is text; an unfinished tag at the end is dropped, text outside of tags is text. Rows are
+annotations, elements with hidden, display:none or visibility:hidden in their attributes are no text; script and the
+like end at their end tag, whatever slash their start tag has; what stands inside of video, audio, object or canvas is text; an unfinished tag at the end is dropped, text outside of tags is text. Rows are
 independent of each other: equal rows give equal results. An empty table gives an empty result. Only page_id, url and html
 are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import inspect
 import random
 import re
+import sys
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import byte_hashes, lean, records, small, word_bounds
+from .common import byte_hashes, lean, records, shared_dir, small, word_bounds
 
-PATH, WORDS, MEASURES, HIDDEN = 512, 16, 8, 16
-PAGES, EPOCHS, BATCH, RATE, SEED = 1500, 10, 20, 0.01, 11
-INPUT = PATH + WORDS + MEASURES
+PATH, STEPS, WORDS, MEASURES, HIDDEN = 512, 16, 64, 8, 20
+PAGES, EPOCHS, BATCH, RATE, SEED = 4000, 12, 40, 0.02, 11
+#: The weights are the mean of those after each step of this many last epochs.
+MEAN = 3
+INPUT = PATH + STEPS + WORDS + MEASURES
 #: Blocks, padding included, that are labelled at a time, but for a single longer page.
 CELLS = 1 << 14
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|iframe|svg|textarea|select|annotation(?:-xml)?)(?=[\s/>]|\Z)[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"|<(script|style|template|noscript|iframe|svg|textarea|select|annotation(?:-xml)?)(?=[\s/>]|\Z)[^>]*(?:>|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>"""
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+#: Elements whose content is no text, and those of them that a slash closes; for others browsers read on to the end tag.
+_RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in "script style template noscript iframe svg textarea select annotation annotation-xml".split()}
+_SLASHED = ("svg", "annotation", "annotation-xml")
 _BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i kbd mark nobr q s samp small span strike strong sub sup time tt u var math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_HIDDEN = re.compile(r"""(?:^|[\s"'])hidden(?=[\s=/]|$)""", re.I)
+_UNSEEN = re.compile(r"""\bstyle\s*=\s*(?:"[^"]*?|'[^']*?|[^\s"']*?)(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+_QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 _RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -58,35 +73,46 @@ def blocks(html: str, masks: dict | None = None) -> list[tuple[int, str, int]]:
     """Path features as bits, text and link characters of each leaf block that has text. masks: features seen before."""
     masks = {} if masks is None else masks
     out, parts, at, links = [], [], 0, 0
-    stack: list[tuple] = []  # name, features of all elements so far, those of the path, last block's place, name before
+    stack: list[tuple] = []  # name, features of all elements so far, those of the path, last block's place, name before, hidden
+    endless: set[str] = set()  # raw elements without an end tag from here on
     count: dict[str, int] = {}  # of open elements by name
-    path = _ROOT
+    path, depth, last, low = _ROOT, 0, 0, 0  # depth of this block and the last, the least depth between them
 
     def flush():
-        nonlocal parts, links
+        nonlocal parts, links, last, low
         text = " ".join("".join(parts).split())
         if text:
-            out.append((path, text, min(links, len(text))))
+            steps = _steps(last - low, depth - low) if out else 0
+            out.append((path | steps, text, min(links, len(text))))
+            last = low = depth
         parts, links = [], 0
 
     def add(raw: str):
-        nonlocal path, links
+        nonlocal path, links, depth, low
+        if stack and stack[-1][5]:
+            return
         text = entities.unescape(raw) if "&" in raw else raw
         if not parts or path == _ROOT and text.strip():
-            path = stack[-1][2] if stack else _ROOT
+            path, depth = stack[-1][2] if stack else _ROOT, len(stack)
+            low = min(low, depth)
         parts.append(text)
         if any(s[0] == "a" for s in stack[-3:]):
             links += len(text)
 
     def close(to: int):
+        nonlocal low
+        low = min(low, to)
         for x in stack[to:]:
             count[x[0]] -= 1
         del stack[to:]
 
-    for m in _MARKUP.finditer(html):
+    while m := _MARKUP.search(html, at):
         if m.start() > at:
             add(html[at : m.start()])
         at = m.end()
+        if m[1]:
+            at = _raw_end(html, m[1].lower(), at, m[0].endswith("/>"), endless)
+            continue
         name = m[3] or m[6]
         if not name:
             continue
@@ -110,12 +136,13 @@ def blocks(html: str, masks: dict | None = None) -> list[tuple[int, str, int]]:
                 if stack and (k := stack[-1][3]) >= 0 and (stack[k][0] == "p" or stack[k][0] in _CLOSES.get(name, ())):
                     close(k)
             if not given.rstrip().endswith("/"):
-                all_, shown, block, before = stack[-1][1:] if stack else (0, _ROOT, -1, "")
+                all_, shown, block, before, unseen = stack[-1][1:] if stack else (0, _ROOT, -1, "", False)
                 if name not in _INLINE:
                     all_ |= _mask(masks, name, given)
                     shown = all_ | _bit(f"l:{name}") | (_bit(f"l:{before}") if before else 0)
                     before = name
-                stack.append((name, all_, shown, len(stack) if name in _BLOCKS else block, before))
+                unseen = unseen or bool(given) and _unseen(given)
+                stack.append((name, all_, shown, len(stack) if name in _BLOCKS else block, before, unseen))
                 count[name] = count.get(name, 0) + 1
     if at < len(html):
         add(html[at:])
@@ -123,6 +150,22 @@ def blocks(html: str, masks: dict | None = None) -> list[tuple[int, str, int]]:
     return out
 
 
+def _raw_end(html: str, name: str, at: int, slashed: bool, endless: set[str]) -> int:
+    """Where a raw element ends whose start tag ends at at. One closed by a slash that never ends is taken as empty."""
+    if slashed and name in _SLASHED:
+        return at
+    end = None if name in endless else _RAW[name].search(html, at)
+    if end:
+        return end.end()
+    endless.add(name)
+    return at if slashed else len(html)
+
+
+def _unseen(given: str) -> bool:
+    """Whether attributes say that an element is not shown."""
+    return "hidden" in given.lower() and bool(_HIDDEN.search(_QUOTED.sub('""', given)) or _UNSEEN.search(given)) or "none" in given.lower() and bool(_UNSEEN.search(given))
+
+
 # ---- features ------------------------------------------------------------------------------------------------------
 
 _ROOT = 0
@@ -147,13 +190,22 @@ def _mask(masks: dict, tag: str, given: str) -> int:
         out = _bit(f"t:{tag}")
         for m in _NAMED.finditer(given):
             for word in _PARTS.findall(m[2] or m[3] or m[4] or ""):
-                out |= _bit(f"n:{word.lower().removesuffix('s')}")
+                if len(word) < 2:
+                    continue
+                word = word.lower().removesuffix("s")
+                out |= _bit(f"n:{word}") | _bit(f"m:{word}")  # of two bits a name that means nothing seldom has both of one that does
         masks[tag, given] = out
     return masks[tag, given]
 
 
+def _steps(closed: int, opened: int) -> int:
+    """Features of the elements closed and opened since the block before."""
+    return 1 << PATH + min(closed, STEPS // 2 - 1) | 1 << PATH + STEPS // 2 + min(opened, STEPS // 2 - 1)
+
+
 def path_features(paths: list[int]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(p.to_bytes(PATH // 8, "little") for p in paths), np.uint8).reshape(-1, PATH // 8)
+    size = (PATH + STEPS) // 8
+    raw = np.frombuffer(b"".join(p.to_bytes(size, "little") for p in paths), np.uint8).reshape(-1, size)
     return np.unpackbits(raw, axis=1, bitorder="little").astype(np.float32)
 
 
@@ -164,9 +216,10 @@ def text_features(found: list[tuple[int, str, int]]) -> np.ndarray:
     data = np.frombuffer(b"\n".join(raw), np.uint8)
     starts, stops = word_bounds(data)
     owner = np.searchsorted(ends, starts, "right")
-    bins = (byte_hashes(data, starts, stops) >> np.uint64(60)).astype(np.int64)
+    bins = (byte_hashes(data, starts, stops) >> np.uint64(58)).astype(np.int64)
     count = np.bincount(owner, minlength=len(found))
-    x[:, :WORDS] = np.bincount(owner * WORDS + bins, minlength=len(found) * WORDS).reshape(-1, WORDS) / np.maximum(count, 1)[:, None]
+    # a word said over and over counts twice at most, one that stands alone a third
+    x[:, :WORDS] = np.minimum(np.bincount(owner * WORDS + bins, minlength=len(found) * WORDS), 2).reshape(-1, WORDS) / np.maximum(count, 3)[:, None]
     n = len(found)
     for k, (_, text, links) in enumerate(found):
         size = len(text)
@@ -267,8 +320,8 @@ def pad(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 MARK = ""
 _SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve sch ung ich keit ein ión ado que ment eau tion é ü ß ñ ç".split()
 _CUES = {
-    "footer": ["©", "copyright", "all rights reserved", "privacy", "terms", "imprint", "&copy;", "&middot;"], "notice": ["we use cookies", "accept", "this site", "warning", "sign in to continue"], "ad": ["buy now", "sponsored", "advertisement", "offer", "sale", "deal"],
-    "form": ["email", "subscribe", "send", "search", "your name", "password"], "comments": ["reply", "posted", "says", "comment", "likes"], "nav": ["home", "about", "contact", "news", "menu", "login"], "header": ["home", "blog", "daily", "welcome"], "sidebar": ["related", "popular", "recent posts", "tags", "share", "read more"],
+    "footer": ["©", "copyright", "all rights reserved", "privacy policy", "terms of service", "imprint", "&copy;", "© 2024", "copyright 2023", "contact us"], "notice": ["we use cookies", "accept cookies", "this site uses cookies", "warning", "sign in to continue", "please log in"], "ad": ["buy now", "sponsored", "advertisement", "special offer", "sale", "deal"],
+    "form": ["email", "subscribe", "send", "search", "your name", "password", "sign up", "submit"], "comments": ["reply", "posted by", "says", "comment", "likes", "reply", "wrote"], "nav": ["home", "about", "contact", "news", "menu", "login", "products", "blog"], "header": ["home", "blog", "daily", "welcome"], "sidebar": ["related", "popular posts", "recent posts", "tags", "share", "read more", "related posts"],
 }
 _NAMES = {
     "nav": ["nav", "navbar", "menu", "main-menu", "topnav", "breadcrumb", "navigation", "links", "pagination"], "header": ["header", "site-header", "masthead", "banner", "top", "logo"], "footer": ["footer", "site-footer", "bottom", "copyright", "legal", "colophon"], "sidebar": ["sidebar", "side", "widget", "related", "aside", "right-col", "recommended", "share", "social", "tags", "popular"],
@@ -284,13 +337,15 @@ class PageMaker:
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.pool = ["".join(self.r.choices(_SYLLABLES, k=self.r.choice((1, 1, 2, 2, 3, 4)))) for _ in range(5000)]
+        self.opaque = False  # whether names and tags of the page say nothing
 
     def word(self) -> str:
-        return "".join(self.r.choices(_SYLLABLES, k=self.r.choice((1, 1, 2, 2, 3, 4))))
+        return self.r.choice(self.pool)
 
     def words(self, low: int, high: int) -> str:
         n, style = self.r.randint(low, high), self.r.random()
-        out = [self.word() for _ in range(n)]
+        out = self.r.choices(self.pool, k=n)
         if style < 0.08:
             out = [w.upper() + "!!" for w in out]
         elif style < 0.15:
@@ -301,6 +356,8 @@ class PageMaker:
         return text[:1].upper() + text[1:] + self.r.choice((".", ".", ".", "", "?"))
 
     def paragraph(self) -> str:
+        if self.r.random() < 0.15:
+            return self.words(1, 3)
         text = " ".join(self.words(1, 25) for _ in range(self.r.choice((1, 1, 2, 3, 5))))
         if self.r.random() < 0.2:
             text += f" <{(i := self.r.choice(('b', 'i', 'em', 'strong', 'span')))}>{self.words(1, 4)}</{i}> {self.words(1, 6)}"
@@ -308,10 +365,16 @@ class PageMaker:
             text += f' <a href="/{self.word()}">{self.words(1, 3)}</a> {self.words(1, 6)}'
         if self.r.random() < 0.1:
             text = text.replace(". ", ".<br>", 1)
+        if self.r.random() < 0.06 and not self.opaque:  # an article may say so too
+            text = self.r.choice((text + " ", "")) + self.r.choice(_CUES[self.r.choice(list(_CUES))]).capitalize() + "."
         return ("<b>" if self.r.random() < 0.12 else "") + text
 
     def attr(self, kind: str) -> str:
         name, r = self.r.choice(_NAMES[kind]), self.r.random()
+        if self.opaque:
+            return self.r.choice(("", f' class="{self.word()}"', f' class="x{self.r.randint(1, 99)}"', f' class="css-{self.word()}{self.r.randint(1, 9)}"', f' id="{self.word()}"'))
+        if r > 0.93:
+            return ""
         if kind in _ROLES and self.r.random() < 0.07:
             return f' role="{_ROLES[kind]}"'
         if r < 0.55:
@@ -323,33 +386,50 @@ class PageMaker:
         if self.r.random() < 0.8:
             title = f"<h1>{MARK}{self.words(2, 10)}</h1>"
             out.append(f"<header>{title}</header>" if self.r.random() < 0.12 else title)
-        for _ in range(self.r.choice((1, 2, 3, 4, 6, 9, 14))):
+        for _ in range(self.r.choice((1, 2, 3, 4, 6, 9, 14, 25))):
             r = self.r.random()
-            if r < 0.78:
-                out.append(f"<p>{MARK}{self.paragraph()}" + ("</p>" if self.r.random() < 0.85 else ""))
-            elif r < 0.86:
+            if r < 0.7:
+                tag = "p" if self.r.random() < 0.9 else "div"
+                out.append(f"<{tag}>{MARK}{self.paragraph()}" + (f"</{tag}>" if tag == "div" or self.r.random() < 0.85 else ""))
+            elif r < 0.78:
                 out.append(f"<h{self.r.choice('23')}>{MARK}{self.words(1, 6)}</h2>")  # some end tags do not fit
-            elif r < 0.91:
-                out.append("<ul>" + "".join(f"<li>{MARK}{self.words(1, 15)}</li>" for _ in range(self.r.randint(1, 5))) + "</ul>")
-            elif r < 0.94:
+            elif r < 0.83:
+                kind = self.r.choice(("ul", "ol"))
+                out.append(f"<{kind}>" + "".join(f"<li>{MARK}{self.words(1, 15)}</li>" for _ in range(self.r.randint(1, 5))) + f"</{kind}>")
+            elif r < 0.86:
                 out.append(f"<blockquote>{MARK}{self.words(4, 25)}</blockquote>")
-            elif r < 0.96:
-                out.append(f"<table><tr><td>{MARK}{self.words(1, 5)}</td><td>{MARK}{self.words(1, 5)}</td></tr></table>")
-            elif r < 0.98:
+            elif r < 0.9:
+                out.append(self.table())
+            elif r < 0.92:
                 out.append(f"<figure><img src=x><figcaption>{MARK}{self.words(2, 10)}</figcaption></figure>")
-            else:
+            elif r < 0.94:
                 out.append(f"<pre>{MARK}{self.words(2, 20)}</pre>")
+            elif r < 0.97:
+                out.append("<dl>" + "".join(f"<dt>{MARK}{self.words(1, 4)}</dt><dd>{MARK}{self.words(1, 15)}</dd>" for _ in range(self.r.randint(1, 4))) + "</dl>")
+            else:
+                out.append(f"<details{self.r.choice(('', ' open'))}><summary>{MARK}{self.words(1, 6)}</summary><p>{MARK}{self.paragraph()}</p></details>")
+        if self.r.random() < 0.05:
+            out = [f"<section>{x}</section>" if self.r.random() < 0.5 else x for x in out]
         for kind in ("ad", "sidebar", "notice", "form", "comments"):
-            if self.r.random() < 0.08:
+            if self.r.random() < (0 if self.opaque else 0.08):  # without names nothing would tell
                 out.insert(self.r.randint(1, len(out)), self.junk(kind))
         return "\n".join(out) if self.r.random() < 0.5 else "".join(out)
 
+    def table(self) -> str:
+        width, rows, head = self.r.randint(1, 4), self.r.randint(1, 4), self.r.random()
+        row = lambda tag: "<tr>" + "".join(f"<{tag}>{MARK}{self.words(1, 5)}</{tag}>" for _ in range(width)) + "</tr>"
+        first = row("th") if head < 0.6 else ""
+        return "<table>" + (f"<thead>{first}</thead><tbody>" if head < 0.25 else first) + "".join(row("td") for _ in range(rows)) + "</table>"
+
     def junk(self, kind: str) -> str:
         tag = self.r.choice(_TAGS[kind])
+        if self.opaque and tag not in ("form", "ul"):
+            tag = "div"
         attr = self.attr(kind) if tag in ("div", "ul", "ol", "section", "p", "ins", "form") or self.r.random() < 0.5 else ""
         if tag == "form" and self.r.random() < 0.5:
             attr = ""
-        say = lambda: self.r.choice(_CUES[kind]) + " " if self.r.random() < 0.35 else ""
+        cued = 1 if not attr and tag in ("div", "section", "p", "ul", "ol") or self.opaque else 0.35  # without a name only words tell
+        say = lambda: " ".join(self.r.sample(_CUES[kind], self.r.choice((1, 1, 2)))) + " " if self.r.random() < cued else ""
         items = []
         for _ in range(self.r.choice((1, 1, 2, 4, 6) if kind != "ad" else (1, 1, 2))):
             if kind == "nav" or kind in ("sidebar", "footer", "header") and self.r.random() < 0.4:
@@ -362,25 +442,52 @@ class PageMaker:
                 items.append(self.r.choice((body, f"<h4>{self.words(1, 2)}</h4>{body}", f'<div class="comment"><span>{self.words(1, 2)}</span>{body}</div>', f"<li>{say()}{self.words(2, 40)}</li>", f"<article class='comment'>{body}</article>")))
             else:
                 text = say() + (self.words(1, 20) if self.r.random() < 0.7 else self.paragraph())
+                if tag == "p":  # which holds no blocks: they would close it
+                    items.append(text + " ")
+                    continue
                 items.append(self.r.choice((f"<p>{text}</p>", text + " ", f"<h3>{self.words(1, 4)}</h3><p>{text}</p>", f"<div>{text}</div>")))
+        if kind == "footer" and self.r.random() < 0.2:
+            items = [self.r.choice(("© ", "&copy; ", "Copyright ")) + self.words(1, 3)]
         inner = "".join(items)
         if tag not in ("ul", "ol") and "<li>" in inner:
             inner = f"<ul>{inner}</ul>"
         return f"<{tag}{attr}>{inner}</{tag}>"
 
+    def small(self) -> str:
+        """A page of little but text: bare text, one block, a few paragraphs; or of nothing but something else."""
+        r = self.r
+        if r.random() < 0.2:
+            html = self.junk(r.choice(("nav", "footer", "form", "notice")))
+        else:
+            html = r.choice((
+                lambda: MARK + self.paragraph(),
+                lambda: f"<div{self.attr('plain')}>{MARK}{self.paragraph()}</div>",
+                lambda: "".join(f"<p>{MARK}{self.paragraph()}</p>" for _ in range(r.randint(1, 4))),
+                lambda: f"<article>{self.main()}</article>",
+                lambda: f"<div>{self.main()}</div>",
+                lambda: f"<h1>{MARK}{self.words(1, 6)}</h1><p>{MARK}{self.paragraph()}</p>",
+                self.table,
+            ))()
+            if r.random() < 0.25:
+                html += self.junk("footer")
+        return html if r.random() < 0.4 else f"<html><head><title>{self.words(1, 8)}</title></head><body>{html}</body></html>" if r.random() < 0.7 else f"<html><body>{html}</body></html>"
+
     def page(self) -> str:
         r = self.r
+        self.opaque = r.random() < 0.15
+        if r.random() < 0.12:
+            return self.small()
         body = []
         order = [k for k in ("notice", "header", "nav", "ad", "form") if r.random() < (0.75 if k == "nav" else 0.5 if k == "ad" else 0.4)]
         r.shuffle(order)
         body += [self.junk(k) for k in order]
-        tag = r.choice(("article", "article", "article", "main", "div", "div", "section", "td"))
+        tag = r.choice(("article", "article", "article", "main", "div", "div", "section", "td")) if not self.opaque else "div"
         attr = self.attr("main") if tag in ("div", "section", "td") or r.random() < 0.3 else ""
         bare = r.random() < 0.07
         main = self.main() if bare else f"<{tag}{attr}>{self.main()}</{tag}>"
         if tag == "td" and not bare:
             main = f"<table><tr>{main}</tr></table>"
-        for _ in range(0 if bare else r.choice((0, 0, 1, 2))):
+        for _ in range(0 if bare else r.choice((0, 0, 1, 2)) if r.random() < 0.95 else r.randint(3, 30)):
             main = f"<{(w := r.choice(('div', 'main', 'section')))}{self.attr('plain') if w != 'main' else ''}>{main}</{w}>"
         body.append(main)
         if r.random() < 0.3:
@@ -405,14 +512,32 @@ def labelled(html: str) -> tuple[list, np.ndarray]:
 _TRAINED: list = []  # the weights of this process
 
 
-def trained() -> dict[str, np.ndarray]:
+def trained(spark: SparkSession | None = None) -> dict[str, np.ndarray]:
+    """The weights, trained once in a process, and with a session once for its shared folder and the code of this module."""
     if not _TRAINED:
-        _TRAINED.append(train())
+        _TRAINED.append(_kept(spark) if spark else train())
     return _TRAINED[0]
 
 
+def _kept(spark: SparkSession) -> dict[str, np.ndarray]:
+    """The weights in the shared folder. They are written beside and renamed, so nobody reads a part of them."""
+    source = inspect.getsource(sys.modules[__name__])
+    place = f"{shared_dir(spark)}/html-weights-{hashlib.sha256(source.encode()).hexdigest()[:16]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path(place)):
+        made = train()
+        beside = f"{place}-{uuid.uuid4().hex}"
+        rows = [(name, list(v.shape), v.tobytes()) for name, v in made.items()]
+        spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.parquet(beside)
+        if files.exists(path(place)) or not files.rename(path(beside), path(place)):
+            files.delete(path(beside), True)
+        return made
+    return {r.name: np.frombuffer(r.data, np.float32).reshape(r.shape) for r in spark.read.parquet(place).collect()}
+
+
 def train() -> dict[str, np.ndarray]:
-    """Adam on the training pages, in an order fixed by the seed."""
+    """Adam on the training pages, in an order fixed by the seed; the mean of the weights of the last epochs."""
     maker, rng = PageMaker(SEED), np.random.default_rng(SEED)
     data = []
     while len(data) < PAGES:
@@ -420,10 +545,11 @@ def train() -> dict[str, np.ndarray]:
         if found:
             data.append((features(found), y))
     w = start_weights(rng)
+    mean, steps = {k: np.zeros(v.shape) for k, v in w.items()}, 0
     first, second, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(data))
-        for at in range(0, len(order), BATCH):
+        order = np.argsort([len(y) for _, y in data] + rng.uniform(0, 4, len(data)))  # pages of like length together
+        for at in rng.permutation(np.arange(0, len(order), BATCH)):
             part = [data[k] for k in order[at : at + BATCH]]
             x, live = pad([f for f, _ in part])
             y = np.zeros(live.shape, np.float32)
@@ -435,7 +561,11 @@ def train() -> dict[str, np.ndarray]:
                 first[name] = 0.9 * first[name] + 0.1 * g
                 second[name] = 0.999 * second[name] + 0.001 * g * g
                 w[name] -= (rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    return w
+            if epoch >= EPOCHS - MEAN:
+                steps += 1
+                for name in w:
+                    mean[name] += w[name]
+    return {name: (v / steps).astype(np.float32) for name, v in mean.items()}
 
 
 def page_gates(w: dict[str, np.ndarray], found: list[tuple[int, str, int]]) -> dict[str, np.ndarray]:
@@ -445,8 +575,8 @@ def page_gates(w: dict[str, np.ndarray], found: list[tuple[int, str, int]]) -> d
     distinct, texts = list(paths), text_features(found)
     out = {}
     for d in "fb":
-        of_path = np.concatenate([path_features(distinct[k : k + 1024]) @ w[f"x{d}"][:PATH] for k in range(0, len(distinct), 1024)])
-        out[d] = of_path[at] + texts @ w[f"x{d}"][PATH:] + w[f"c{d}"]
+        of_path = np.concatenate([path_features(distinct[k : k + 1024]) @ w[f"x{d}"][: PATH + STEPS] for k in range(0, len(distinct), 1024)])
+        out[d] = of_path[at] + texts @ w[f"x{d}"][PATH + STEPS :] + w[f"c{d}"]
     return out
 
 
@@ -473,8 +603,9 @@ def main_texts(w: dict[str, np.ndarray], pages: list[str], masks: dict | None =
 
 def extract(pages: DataFrame, weights: dict[str, np.ndarray] | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
-    lean(pages.sparkSession)
-    shared = pages.sparkSession.sparkContext.broadcast(weights or trained())
+    spark = pages.sparkSession
+    lean(spark)
+    shared = spark.sparkContext.broadcast(weights or trained(spark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks: dict = {}
