@@ -68,3 +68,9 @@ def test_all_conversations(spark):
     known = [tuple(r) for r in graph_queries.entities(spark, sf).where("id like 'phrase%' or id like 'part%' or id like 'nation%'").collect()]
     found = sorted(((r.conv_id, r.turn), r.at, r.length, r.id) for r in registry.QUERIES["g_linked_entities"](spark, sf).collect())
     assert found == brute(turns, known) and len(found) > 100
+
+
+def test_candidates_are_never_broadcast(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    plan = linking.matches(turns, "text", ["conv_id", "turn"], graph_queries.entities(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan

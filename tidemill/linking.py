@@ -122,6 +122,7 @@ def matches(texts: DataFrame, column: str, keys: list[str], entities: DataFrame)
     arrow = pa.schema([*lowered.limit(0).toArrow().schema][: len(keys)] + [("at", pa.int64()), ("name", pa.string())])
     kinds = ", ".join(f"`{c}` {lowered.schema[c].dataType.simpleString()}" for c in keys)
     candidates = lowered.mapInArrow(_propose(shared, keys, arrow), f"{kinds}, at long, name string")
+    candidates = candidates.hint("merge")  # Spark takes them for as large as the texts, but one text has many: never broadcast
     return candidates.join(names, "name").select(*keys, "at", F.length("name").alias("length"), "name", F.col("id").cast("string").alias("id"))
 
 
