@@ -109,3 +109,21 @@ def test_empty(spark):
     assert gp.shortest_paths(none, frame(spark, "a", "node"), 2).collect()[0]["path"] == ["a"]
     with pytest.raises(ValueError, match="negative"):
         gp.shortest_paths(none, frame(spark, "a", "node"), -1)
+
+
+def test_no_round_shuffles_edges(spark, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges, degrees = gp._salted(spark.range(200).selectExpr("id % 7 as src", "id as dst"), "probe")
+        state = degrees.select("src", "parts")
+        plan = gp._sent(state, edges)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and gp._sent(state, edges).count() == 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_nodes_are_never_broadcast(spark, tmp_path):
+    spark.range(9).selectExpr("id as src", "id + 1 as dst").write.parquet(str(tmp_path / "e"))
+    e = spark.read.parquet(str(tmp_path / "e"))
+    kept = gp._between(e, e.select("src").distinct())
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString() and kept.count() == 8

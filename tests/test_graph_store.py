@@ -77,3 +77,29 @@ def test_kept_and_built_graphs_answer_alike(spark, sf):
     for kind in ("part", "customer", "supplier"):
         rows = [[tuple(r) for r in g.neighbors(a, b, "customer_11", target_type=kind).collect()] for a, b in ((n, e), (k.nodes, k.edges))]
         assert [r[:8] for r in rows[0]] == [r[:8] for r in rows[1]] and rows[0]
+
+
+SOME = ["customer_7", "part_7", "supplier_3", "nation_1", "order_5", "customer_007", "x", "part_99999999999999999999", "", "customer_-1"]
+
+
+def test_edges_at_nodes_are_those_of_the_whole_graph(spark, sf):
+    some = spark.createDataFrame([(x,) for x in [*SOME, *SOME[:2], None]], "src string")
+    whole = graph_queries.s.adjacency(graph_queries.s.edges(spark, sf))
+    want = whole.where(whole.src.isin(SOME))
+    found = graph_store.TableGraph(spark, sf).starting(some)
+    assert found.count() == want.count() > 100 and found.columns == want.columns
+    assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty()
+
+
+def test_a_question_builds_no_graph(spark, sf):
+    kept.forget(spark, "graph")
+    for name in ("g_neighbors_1hop", "g_neighbors_2hop", "g_neighbors_report_default", "g_same_type_2hop", "g_paths_nearest"):
+        assert registry.QUERIES[name](spark, sf).count()
+    assert kept.forget(spark, "graph") == 0
+
+
+def test_numbers_of_nodes_stand_for_their_names(spark, sf):
+    s = graph_queries.s
+    named = s.links(spark, sf).select(s.node_name(s.F.col("src")), s.node_name(s.F.col("dst")))
+    whole = s.adjacency(s.edges(spark, sf)).select("src", "dst")
+    assert named.exceptAll(whole).isEmpty() and whole.exceptAll(named).isEmpty()

@@ -1,6 +1,7 @@
 """Graph operators: entity resolution, one- and two-hop neighbours, degree ranking and conditional scans.
 
-Builders of DataFrames; only neighbors() runs a job, which stops at the first row, to see whether one hop is enough.
+Builders of DataFrames; only neighbors() runs a job, which stops at the first row, to see whether one hop is enough. With
+a TableGraph in place of edges, the far step of two hops runs jobs as well, which write the edges at the middle nodes.
 Anchors and terms are literals or small frames of the caller; edges are never collected. Edges without a node at their end are left out by the joins.
 """
 
@@ -13,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph_store import bucket
+from .graph_store import TableGraph, bucket
+from .kept import cut
 from .sources import RELATIONS, adjacency
 
 MOST, DEFAULT = 30, 10
@@ -69,8 +71,13 @@ def hop(e: DataFrame, anchor: str, relation: str | None, edge_filter: dict | Non
     return near.groupBy("dst").agg(*summary(), F.lit(None).cast("string").alias("via"))
 
 
-def _from(adj: DataFrame, some: DataFrame) -> DataFrame:
-    """The edges that start at some nodes (src); of a kept adjacency only the folders of those nodes are opened."""
+def _from(e: DataFrame | TableGraph, some: DataFrame, passes: Column) -> DataFrame:
+    """The passing edges that start at some nodes (src); of a kept adjacency only the folders of those nodes are opened, of
+    a graph in tables only the rows with their keys."""
+    if isinstance(e, TableGraph):
+        some = cut(some, "mids")
+        return e.starting(some).where(passes).join(some, "src")
+    adj = adjacency(e).where(passes)
     if "bucket" in adj.columns:
         return adj.join(some.withColumn("bucket", bucket(F.col("src"))), ["bucket", "src"]).drop("bucket")
     return adj.join(some, "src")
@@ -79,10 +86,10 @@ def _from(adj: DataFrame, some: DataFrame) -> DataFrame:
 def two_hops(n: DataFrame, e: DataFrame, anchor: str, relation: str | None, edge_filter: dict | None = None, near: DataFrame | None = None) -> DataFrame:
     """dst at two hops: the middle by any relation but events, the last step by the given one. The first middle node, in
     the order of its edges, that leads to a node gives its edges and `via`. near: the edges at the anchor, where known."""
-    adj = adjacency(e).where(edge_passes(edge_filter))
+    near = e.at(anchor) if near is None and isinstance(e, TableGraph) else near
     mids = adjacency(e if near is None else near).where(edge_passes(edge_filter)).where((F.col("src") == anchor) & relation_passes(None, False)).groupBy("dst").agg(F.min("ord").alias("mid_ord"))
     named = mids.join(n.select(F.col("id").alias("dst"), F.col("name").alias("via")), "dst").withColumnRenamed("dst", "src")
-    far = _from(adj.where(relation_passes(relation, False)), named).where(F.col("dst") != anchor)
+    far = _from(e, named, edge_passes(edge_filter) & relation_passes(relation, False)).where(F.col("dst") != anchor)
     paths = far.groupBy("dst", "src", "via", "mid_ord").agg(*summary())
     first = Window.partitionBy("dst").orderBy("mid_ord", "src")
     return paths.withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first", "src").withColumn("first", F.col("first")).drop("mid_ord")
@@ -91,6 +98,7 @@ def two_hops(n: DataFrame, e: DataFrame, anchor: str, relation: str | None, edge
 def _found(n: DataFrame, e: DataFrame, anchor: str, relation: str | None, target_type: str | None, node_filter: dict | None, edge_filter: dict | None, top_k: int, near: DataFrame | None) -> DataFrame:
     """The rows of neighbors, unsorted, with the column `first` that settles their order."""
     keep = n.where((F.col("type") == target_type if target_type else F.lit(True)) & node_passes(node_filter)).select(F.col("id").alias("dst"), "type", "name")
+    near = e.at(anchor) if near is None and isinstance(e, TableGraph) else near
     rows = hop(e if near is None else near, anchor, relation, edge_filter).join(keep, "dst").withColumn("hops", F.lit(1))
     if target_type is not None:
         rows = rows.persist()  # what the test reads is not made again for the result
@@ -144,8 +152,9 @@ def report(n: DataFrame, e: DataFrame, anchor: str, relation: str | None = None,
     """hops (0 for none found), total, returned, truncated and excluded of neighbors() with the same arguments, in one row.
 
     excluded: edges that fit in all but the edge filter, at the anchor and, where two hops were walked, again at the anchor
-    among the middle steps and at the middle nodes. All counts are parts of one plan; no job runs here.
+    among the middle steps and at the middle nodes. All counts are parts of one plan; no job runs here, but for a TableGraph.
     """
+    near = e.at(anchor) if near is None and isinstance(e, TableGraph) else near
     ok, at = edge_passes(edge_filter), adjacency(e if near is None else near).where(F.col("src") == anchor)
     keep = n.where((F.col("type") == target_type if target_type else F.lit(True)) & node_passes(node_filter)).select(F.col("id").alias("dst"))
     parts = {"one": hop(e if near is None else near, anchor, relation, edge_filter).join(keep, "dst"), "out_one": at.where(relation_passes(relation, True) & ~ok)}
@@ -153,7 +162,7 @@ def report(n: DataFrame, e: DataFrame, anchor: str, relation: str | None = None,
         middle = at.where(relation_passes(None, False))
         mids = middle.where(ok).select(F.col("dst").alias("src")).distinct()
         parts["two"] = two_hops(n, e, anchor, relation, edge_filter, near).join(keep, "dst")
-        parts["out_two"] = middle.where(~ok).select("src").unionByName(_from(adjacency(e).where(relation_passes(relation, False) & ~ok), mids).select("src"))
+        parts["out_two"] = middle.where(~ok).select("src").unionByName(_from(e, mids, relation_passes(relation, False) & ~ok).select("src"))
     counted = reduce(DataFrame.unionByName, [x.agg(F.count("*").alias("n")).withColumn("part", F.lit(name)) for name, x in parts.items()])
     of = lambda name: F.coalesce(F.max(F.when(F.col("part") == name, F.col("n"))), F.lit(0))
     x = counted.agg(*[of(name).alias(name) for name in ("one", "out_one", "two", "out_two")])

@@ -5,37 +5,59 @@ stays short and a lost executor costs one round at most. No node or edge reaches
 
 A hub is a node with over HUB edges: its edges are dealt over parts by a hash of their far end, and what a round sends along
 them is repeated once for each part, so no task gets all edges of one node. What comes in at a node is summed where it is
-made before it is shuffled.
+made before it is shuffled. Tables with a row for each node are joined by merging: their files are so small that Spark would
+broadcast millions of rows. The far ends of a node or part are one row of a table in buckets, so no round shuffles edges.
+
+Nodes may be numbers in place of names, which makes all rows shorter; name then gives the column that they are ordered by.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kept import cut
 
-HUB = 200_000
+HUB, BUCKET_EDGES = 200_000, 4_000_000
+
+
+def itself(node: Column) -> Column:
+    return node
 
 
 def _salted(adj: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Edges as (src, part, dst, n) with the number of parallel ones, and (src, degree, parts) of every node with edges."""
-    edges = cut(adj.groupBy("src", "dst").agg(F.count("*").alias("n")), f"{name}-edges")
-    degrees = cut(edges.groupBy("src").agg(F.sum("n").alias("degree"), F.ceil(F.count("*") / HUB).cast("int").alias("parts")), f"{name}-degrees")
-    hubs = degrees.where("parts > 1").select("src", "parts")  # at most one for each HUB edges
+    """Edges as (src, part, dsts), parallel ones as often as they are, and (src, degree, parts) of every node with edges."""
+    spark = adj.sparkSession
+    edges = cut(adj, f"{name}-edges")
+    degrees = cut(edges.groupBy("src").agg(F.count("*").alias("degree")).withColumn("parts", F.ceil(F.col("degree") / HUB).cast("int")), f"{name}-degrees")
+    hubs = cut(degrees.where("parts > 1").select("src", "parts"), f"{name}-hubs")  # at most one for each HUB edges
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.col("parts"))).cast("int")
-    return edges.join(hubs, "src", "left").select("src", part.alias("part"), "dst", "n"), degrees
+    n_edges = degrees.agg(F.sum("degree")).first()[0] or 0
+    n, table = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_edges // BUCKET_EDGES), f"{name}_lists_{uuid.uuid4().hex}"
+    dealt = edges.join(hubs, "src", "left").select("src", part.alias("part"), "dst").repartition(n, "src", "part")
+    lists = dealt.groupBy("src", "part").agg(F.collect_list("dst").alias("dsts"))
+    lists.write.bucketBy(n, "src", "part").saveAsTable(table)
+    return spark.table(table), degrees
+
+
+def _between(adj: DataFrame, known: DataFrame) -> DataFrame:
+    """The edges with both ends among known nodes (src)."""
+    ends = [known.select(F.col("src").alias(c)).hint("merge") for c in ("dst", "src")]
+    return adj.select("src", "dst").join(ends[0], "dst", "left_semi").join(ends[1], "src", "left_semi")
 
 
 def _sent(state: DataFrame, edges: DataFrame) -> DataFrame:
     """Every row of state (src, parts, ...) along all edges of its node."""
     dealt = state.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return dealt.join(edges, ["src", "part"])
+    dealt = dealt.hint("shuffle_hash")  # a bucket has no more nodes than edges, so its part of the state is small
+    return dealt.join(edges, ["src", "part"]).withColumn("dst", F.explode("dsts")).drop("dsts")
 
 
-def shortest_paths(adj: DataFrame, sources: DataFrame, hops: int, each: bool = False) -> DataFrame:
+def shortest_paths(adj: DataFrame, sources: DataFrame, hops: int, each: bool = False, name: Callable[[Column], Column] = itself) -> DataFrame:
     """node, source, dist, path (nodes from source to node) of all nodes within some hops of the sources (node).
 
     Each node's nearest source, the smallest of several; with each=True, one row for each source within reach. Of several
@@ -46,15 +68,16 @@ def shortest_paths(adj: DataFrame, sources: DataFrame, hops: int, each: bool = F
         raise ValueError("hops must not be negative")
     key = ["node", "source"] if each else ["node"]
     edges, degrees = _salted(adj.select("src", "dst"), "path")
-    parts = degrees.select("src", "parts")
+    parts = degrees.select("src", "parts").hint("merge")
     start = sources.select("node").where("node is not null").distinct()
     layers = [cut(start.select("node", F.col("node").alias("source"), F.lit(0).alias("dist"), F.array("node").alias("path")), "paths")]
     for dist in range(1, hops + 1):
         state = layers[-1].select(F.col("node").alias("src"), "source", "path").join(parts, "src")
         seen = reduce(DataFrame.unionByName, [x.select(*key) for x in layers])
-        met = _sent(state, edges).select(F.col("dst").alias("node"), "source", "src", "path").join(seen, key, "left_anti")
-        best = met.groupBy(*key).agg(F.min_by(F.struct("source", "path"), F.struct("source", "src")).alias("best"))
-        found = best.select("node", "best.source", F.lit(dist).alias("dist"), F.concat("best.path", F.array("node")).alias("path"))
+        order = F.struct(name(F.col("source")), name(F.col("src"))).alias("order")
+        met = _sent(state.select("*", order), edges).select(F.col("dst").alias("node"), "source", "path", "order")
+        best = met.groupBy(*key).agg(F.min_by(F.struct("source", "path"), "order").alias("best"))
+        found = best.join(seen, key, "left_anti").select("node", "best.source", F.lit(dist).alias("dist"), F.concat("best.path", F.array("node")).alias("path"))
         layers.append(cut(found, "paths"))
         if layers[-1].isEmpty():
             break
@@ -68,14 +91,14 @@ def pagerank(adj: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float
     so many rounds, or when the ranks change by no more than least_change in sum. Edges from or to unknown nodes don't count.
     """
     known = nodes.select(F.col("id").alias("src")).where("src is not null").distinct()
-    edges, degrees = _salted(adj.select("src", "dst").join(known, "src", "left_semi").join(known.withColumnRenamed("src", "dst"), "dst", "left_semi"), "rank")
-    state = known.join(degrees, "src", "left").withColumn("rank", F.lit(1.0))
+    edges, degrees = _salted(_between(adj, known), "rank")
+    state = known.join(degrees.hint("merge"), "src", "left").withColumn("rank", F.lit(1.0))
     state = cut(state, "ranks")
     n = state.count()
     for _ in range(rounds if n else 0):
         idle = state.where("degree is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         given = _sent(state.where("degree is not null").select("src", "parts", (F.col("rank") / F.col("degree")).alias("share")), edges)
-        got = given.groupBy(F.col("dst").alias("src")).agg(F.sum(F.col("share") * F.col("n")).alias("got"))
+        got = given.groupBy(F.col("dst").alias("src")).agg(F.sum("share").alias("got"))
         new = 1 - damping + damping * (F.coalesce("got", F.lit(0.0)) + idle / n)
         state = cut(state.withColumnRenamed("rank", "old").join(got, "src", "left").select("src", "degree", "parts", new.alias("rank"), F.abs(new - F.col("old")).alias("change")), "ranks")
         if state.agg(F.sum("change")).first()[0] <= least_change * n:
@@ -84,19 +107,19 @@ def pagerank(adj: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float
     return state.select(F.col("src").alias("node"), (F.col("rank") / F.lit(max(n, 1))).alias("rank"))
 
 
-def components(adj: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) of all nodes (id).
+def components(adj: DataFrame, nodes: DataFrame, name: Callable[[Column], Column] = itself) -> DataFrame:
+    """node, component (the smallest node reachable, by name) of all nodes (id).
 
     Each round takes the smallest label around a node and then that label's own label, so rounds grow with the logarithm of
     the longest path in most graphs; it ends when no label changes.
     """
     known = nodes.select(F.col("id").alias("src")).where("src is not null").distinct()
-    edges, degrees = _salted(adj.select("src", "dst").join(known, "src", "left_semi").join(known.withColumnRenamed("src", "dst"), "dst", "left_semi"), "component")
-    state = cut(known.join(degrees.select("src", "parts"), "src", "left").withColumn("label", F.col("src")), "components")
+    edges, degrees = _salted(_between(adj, known), "component")
+    state = cut(known.join(degrees.select("src", "parts").hint("merge"), "src", "left").withColumn("label", name(F.col("src"))), "components")
     while True:
         around = _sent(state.where("parts is not null").select("src", "parts", "label"), edges).groupBy(F.col("dst").alias("src")).agg(F.min("label").alias("near"))
         low = cut(state.join(around, "src", "left").select("src", "parts", F.col("label").alias("old"), F.least("label", "near").alias("label")), "components")
-        jump = low.select(F.col("src").alias("label"), F.col("label").alias("further"))
+        jump = low.select(name(F.col("src")).alias("label"), F.col("label").alias("further")).hint("merge")
         state = cut(low.join(jump, "label").select("src", "parts", F.least("label", "further").alias("label"), (F.col("old") != F.least("label", "further")).alias("moved")), "components")
         if state.where("moved").isEmpty():
             return state.select(F.col("src").alias("node"), F.col("label").alias("component"))
