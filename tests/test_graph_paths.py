@@ -127,3 +127,9 @@ def test_nodes_are_never_broadcast(spark, tmp_path):
     e = spark.read.parquet(str(tmp_path / "e"))
     kept = gp._between(e, e.select("src").distinct())
     assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString() and kept.count() == 8
+
+
+def test_components_go_beyond_six_edges(spark):
+    e = spark.range(40).selectExpr("explode(array(struct(id as src, id + 1 as dst), struct(id + 1 as src, id as dst))) as x").select("x.*")
+    found = gp.components(e, spark.range(41))
+    assert {(r.node, r.component) for r in found.collect()} == {(k, 0) for k in range(41)}
