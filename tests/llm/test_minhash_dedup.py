@@ -104,6 +104,27 @@ def test_heavy_shingles_and_blocks(spark, monkeypatch):
     assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_many_classes_near_each_other_make_few_pairs(spark, monkeypatch):
+    """None is near the smallest of its buckets, and most pairs of the group lie just below the threshold."""
+    rng, base, rows = random.Random(4), [f"b{k}" for k in range(150)], []
+    for k in range(400):  # two of 10 words at the end have 0.77, one of 10 and one of 4 at least 0.8
+        w = [*base, *(f"t{k}x{e}" for e in range(10 if k < 376 else 4))]
+        w[rng.randrange(5, 145)] = f"e{k}"
+        rows.append((k, " ".join(w)))
+    sent, across = [], minhash_dedup.across
+
+    def counted(*args):
+        out = across(*args)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "across", counted)
+    monkeypatch.setattr(minhash_dedup, "WAYS", 8, raising=False)
+    monkeypatch.setattr(minhash_dedup, "HUBS", 8, raising=False)
+    assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, (4, 5))) == brute(rows, 5, (4, 5))
+    assert sum(sent) < 10 * len(rows)  # 11,535 when all of them met
+
+
 def thue_morse():
     """Two words that every polynomial hash modulo 2^64 with an odd base takes for one."""
     t = "0"

@@ -13,8 +13,10 @@ never multiply. Then, on classes:
    classes that hold them, those of one component first. Two sets over the threshold share one of the first
    n - ceil(threshold * n) + 1 of each, and at the first one they share enough must follow in both: pairs that can't link
    by their sizes and places are never made, and a class that shares too few shingles with other components has no pairs.
-   Hashes are compared here, which can only let more pairs through. Words are sent for the pairs left, each pair once
-   whatever the number of its buckets. A shingle that many classes put first has them dealt over blocks of bounded size;
+   Hashes are compared here, which can only let more pairs through. Where many classes of several components put one
+   shingle first, all meet one of them, another one each turn, and linked ones become one component. Words are sent for
+   the pairs left, each pair once whatever the number of its buckets. A shingle that many classes put first has them dealt
+   over blocks of bounded size;
 4. components of all links.
 Checks compare the words themselves: hashes only find candidates. Bounded Bloom filters keep the words of documents without
 a candidate from being shuffled.
@@ -45,6 +47,7 @@ UNIVERSE = 1 << 20
 BLOCK = 512
 SALTS = 16
 HEAVY = 1 << 16
+WAYS, HUBS, TURNS = 64, 32, 8
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("words", pa.binary()), ("text", pa.binary())])
@@ -160,41 +163,84 @@ def _hashed(shingle: int) -> Callable:
     return run
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """The postings of shingles that lie in several components, with their number df.
+def _by_shingle(rows: DataFrame, of: DataFrame, size: str, total: int) -> DataFrame:
+    """rows joined with of, which has one row a shingle and how many rows it has in all as size.
 
-    Shingles with more than 1/HEAVY of all postings are fewer than HEAVY: they are broadcast, so no key of the shuffle is hot.
+    Shingles with more than 1/HEAVY of all rows are fewer than HEAVY: they are broadcast, so no key of the shuffle is hot.
     """
-    most = postings.count() // HEAVY
+    heavy, held = F.col(size) > total // HEAVY, [c for c in of.columns if c != "shingle"]
+    often = rows.join(F.broadcast(of.where(heavy).select("shingle", F.struct(*held).alias("_of"))), "shingle", "left")
+    seldom = often.where("_of is null").drop("_of").join(of.where(~heavy), "shingle")
+    return often.where("_of is not null").select(*rows.columns, *[F.col(f"_of.{c}").alias(c) for c in held]).unionByName(seldom)
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """The postings of shingles that lie in several components, with their number df."""
     df = postings.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("x"), F.max("component").alias("y"))
-    df = cut(df.where("x != y").select("shingle", "df"), "shared")
-    often = postings.join(F.broadcast(df.where(F.col("df") > most).withColumnRenamed("df", "often")), "shingle", "left")
-    seldom = often.where("often is null").drop("often").join(df.where(F.col("df") <= most), "shingle")
-    return often.where("often is not null").withColumnRenamed("often", "df").unionByName(seldom)
+    return _by_shingle(postings, cut(df.where("x != y").select("shingle", "df"), "shared"), "df", postings.count())
 
 
-def across(postings: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """a > b: classes of different components that may link; postings hold class, component, n (set size) and shingle."""
+def fronts(postings: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The rarest shingles of each class, of which two that may link across components share one: shingle, class,
+    component, n (set size) and rest, how many shingles can still be shared from there on. Components may grow afterwards."""
     part, whole = threshold
     sets = _shared(postings).groupBy("class", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("held"))
     own = F.col("n") - F.size("held")  # these come first
     first = F.expr(f"n - (n * {part} + {whole - 1}) div {whole} + 1")
     sets = sets.where(f"{whole} * size(held) >= {part} * n")
     front = F.slice("held", F.lit(1), F.greatest(F.lit(0), first - own).cast("int"))
-    front = cut(sets.select("class", "component", "n", own.alias("own"), F.posexplode(front).alias("k", "x")).select("class", "component", "n", F.expr("n - own - k").alias("rest"), "x.shingle"), "front")
-    blocks = front.groupBy("shingle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-    most = front.count() // HEAVY
-    many = blocks.where(F.col("blocks") * BLOCK > most + BLOCK).select("shingle", F.col("blocks").alias("many"))
-    few = blocks.where(F.col("blocks") * BLOCK <= most + BLOCK).select("shingle", "blocks")
-    dealt = front.join(F.broadcast(many), "shingle", "left")
-    dealt = dealt.where("many is not null").withColumnRenamed("many", "blocks").unionByName(dealt.where("many is null").drop("many").join(few, "shingle"))
-    dealt = cut(dealt.withColumn("mine", F.pmod(F.xxhash64("class"), "blocks").cast("int")), "dealt")
+    return cut(sets.select("class", "component", "n", own.alias("own"), F.posexplode(front).alias("k", "x")).select("class", "component", "n", F.expr("n - own - k").alias("rest"), "x.shingle"), "front")
+
+
+def _fits(threshold: tuple[int, int]) -> str:
+    part, whole = threshold
+    return f"component_a != component_b and {whole} * least(rest_a, rest_b) >= {part} * (n_a + n_b - least(rest_a, rest_b))"
+
+
+def _side(x: str) -> list:
+    return [F.col(c).alias(f"{c}_{x}") for c in ("shingle", "class", "component", "n", "rest")]
+
+
+def merged(front: DataFrame, threshold: tuple[int, int], confirmed: Callable) -> tuple[DataFrame, DataFrame | None]:
+    """The front with larger components, and the links that made them.
+
+    Where a shingle has more than WAYS pairs of different components for each of its rows, all its classes are checked
+    against HUBS of them, other ones each turn. So many classes near each other become one component, whose pairs need no
+    check, at a cost in proportion to the front. It ends when no shingle is left, a turn finds nothing or after TURNS; the
+    pairs left are for across().
+    """
+    placed, links = cut(front.select("class", "component").distinct(), "placed"), None
+    for turn in range(TURNS):
+        size = front.groupBy("shingle", "component").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.sum("c").alias("m"), F.expr("sum(c) * sum(c) - sum(c * c)").alias("ordered"))
+        crowded = cut(size.where(f"ordered > {2 * WAYS} * m").select("shingle", "m"), "crowded")
+        if crowded.isEmpty():
+            break
+        rows = _by_shingle(front, crowded, "m", front.count())
+        mark = F.xxhash64("class", F.lit(turn))
+        hubs = rows.groupBy("shingle", "m", F.pmod(mark, F.lit(HUBS)).alias("k")).agg(F.min_by(F.struct("class", "component", "n", "rest"), mark).alias("hub"))
+        hubs = cut(hubs.groupBy("shingle", "m").agg(F.collect_list("hub").alias("hubs")), "hubs")
+        pairs = _by_shingle(front.select("shingle", *_side("a")[1:]), hubs, "m", front.count()).withColumn("hub", F.explode("hubs"))
+        pairs = pairs.select("*", *[F.col(f"hub.{c}").alias(f"{c}_b") for c in ("class", "component", "n", "rest")]).where(_fits(threshold))
+        new = confirmed(pairs.select(F.greatest("class_a", "class_b").alias("a"), F.least("class_a", "class_b").alias("b")).distinct())
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        found = connected_components(placed.select(F.col("class").alias("a"), F.col("component").alias("b")).unionByName(new))
+        placed = placed.join(found.select(F.col("node").alias("class"), F.col("component").alias("to")), "class", "left")
+        placed = cut(placed.select("class", F.coalesce("to", "component").alias("component")), "placed")
+        front = cut(front.drop("component").join(placed, "class"), "front")
+    return front, links
+
+
+def across(front: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """a > b: classes of different components that may link."""
+    blocks = front.groupBy("shingle").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+    blocks = blocks.select("shingle", "m", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = cut(_by_shingle(front, blocks, "m", BLOCK * HEAVY + front.count()).withColumn("mine", F.pmod(F.xxhash64("class"), "blocks").cast("int")), "dealt")
     each = F.explode(F.expr("sequence(0, blocks - 1)"))
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("shingle", "class", "component", "n", "rest")]
-    left = dealt.select(*side("a"), F.col("mine").alias("i_a"), each.alias("j_a"))
-    right = dealt.select(*side("b"), each.alias("i_b"), F.col("mine").alias("j_b"))
-    fits = f"class_a > class_b and component_a != component_b and {whole} * least(rest_a, rest_b) >= {part} * (n_a + n_b - least(rest_a, rest_b))"
-    pairs = left.join(right, F.expr(f"shingle_a = shingle_b and i_a = i_b and j_a = j_b and {fits}"))
+    left = dealt.select(*_side("a"), F.col("mine").alias("i_a"), each.alias("j_a"))
+    right = dealt.select(*_side("b"), each.alias("i_b"), F.col("mine").alias("j_b"))
+    pairs = left.join(right, F.expr(f"shingle_a = shingle_b and i_a = i_b and j_a = j_b and class_a > class_b and {_fits(threshold)}"))
     return pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
@@ -234,7 +280,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
     open_ = placed.join(open_, "band").select("class", "component").distinct()
     postings = texts.join(open_, "class").select("class", "component", F.col("text").cast("string").alias("text"))
     postings = cut(postings.mapInArrow(_hashed(shingle), "class long, component long, n long, shingle long"), "postings")
-    more = confirmed(across(postings, threshold).join(pairs, ["a", "b"], "left_anti"))
+    front, more = merged(fronts(postings, threshold), threshold, confirmed)
+    last = confirmed(across(front, threshold).join(pairs, ["a", "b"], "left_anti"))
+    more = last if more is None else more.unionByName(last)
     if not more.isEmpty():
         found = cut(connected_components(links.unionByName(more)), "components")
 
