@@ -130,3 +130,13 @@ def test_the_far_step_reads_only_what_it_can_use(spark, sf):
     n, near = sources.nodes(spark, sf, ("order",)), sources.edges(spark, sf, anchor="part_7")
     scans = lambda e: g.two_hops(n, e, "part_7", "HAS_PROJECT", {"status": "active"}, near)._jdf.queryExecution().optimizedPlan().toString().count("parquet")
     assert scans(sources.edges(spark, sf)) == scans(sources.edges(spark, sf, ("HAS_PROJECT",)))
+
+
+def test_whole_joins_are_dealt_by_their_size(spark, sf, monkeypatch):
+    want = sorted(map(tuple, sources.edges(spark, sf).drop("ord").collect()), key=str)
+    monkeypatch.setattr(sources, "JOINED_LINES", 500, raising=False)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    plan = sources.edges(spark, sf, ("USES",))._jdf.queryExecution().toString()
+    assert "hashpartitioning(l_orderkey" in plan and f", {-(-lines // 500)}), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, sources.edges(spark, sf).drop("ord").collect()), key=str) == want
+    assert "REPARTITION_BY_NUM" not in sources.edges(spark, sf, ("USES",), anchor="part_7")._jdf.queryExecution().toString()
