@@ -12,7 +12,7 @@ from tidemill import ingest
 from tidemill import sql_functions
 from tidemill import text as tx
 from tidemill import vectors as v
-from tidemill.sources import shared_dir, table
+from tidemill.sources import shared_dir, short_batches, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,7 @@ def query_vector(spark: SparkSession, sf: str, vec_id: int = QUERY_ID):
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
+    short_batches(spark)
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang", "source")
 
 
