@@ -125,6 +125,29 @@ def test_many_classes_near_each_other_make_few_pairs(spark, monkeypatch):
     assert sum(sent) < 10 * len(rows)  # 11,535 when all of them met
 
 
+def test_group_below_the_threshold_makes_few_pairs_and_turns(spark, monkeypatch):
+    """Texts of two edits each differ in 40 shingles, where 32 may; a few of one edit link with most of them."""
+    rng, base, rows = random.Random(6), [f"b{k}" for k in range(150)], []
+    for k in range(400):
+        w = list(base)
+        for at in rng.sample(range(5, 145), 2 if k < 300 or k % 20 else 1):
+            w[at] = f"e{k}x{at}"
+        rows.append((k, " ".join(w if k >= 200 else ["q", *w, "q"])))
+    sent, tables, across, cut = [], [], minhash_dedup.across, minhash_dedup.cut
+
+    def counted(*args):
+        out = across(*args)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup, "across", counted)
+    monkeypatch.setattr(minhash_dedup, "cut", lambda df, name="cut": (tables.append(name), cut(df, name))[1])
+    for name in ("WAYS", "HUBS"):
+        monkeypatch.setattr(minhash_dedup, name, 4)
+    assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, (4, 5))) == brute(rows, 5, (4, 5))
+    assert sum(sent) < 5 * len(rows) and tables.count("hubs") <= 2
+
+
 def thue_morse():
     """Two words that every polynomial hash modulo 2^64 with an odd base takes for one."""
     t = "0"

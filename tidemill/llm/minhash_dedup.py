@@ -13,10 +13,11 @@ never multiply. Then, on classes:
    classes that hold them, those of one component first. Two sets over the threshold share one of the first
    n - ceil(threshold * n) + 1 of each, and at the first one they share enough must follow in both: pairs that can't link
    by their sizes and places are never made, and a class that shares too few shingles with other components has no pairs.
-   Hashes are compared here, which can only let more pairs through. Where many classes of several components put one
-   shingle first, all meet one of them, another one each turn, and linked ones become one component. Words are sent for
-   the pairs left, each pair once whatever the number of its buckets. A shingle that many classes put first has them dealt
-   over blocks of bounded size;
+   Hashes are compared here, which can only let more pairs through. A pair must also differ in few enough shingles: those
+   that only its own components hold and, of the others, the bits in which two bitmaps of parities differ. Where many
+   classes of several components put one shingle first, all meet some of them, and linked ones become one component; more
+   turns follow while they unite many. Words are sent for the pairs left, each pair once whatever the number of its
+   buckets. A shingle that many classes put first has them dealt over blocks of bounded size;
 4. components of all links.
 Checks compare the words themselves: hashes only find candidates. Bounded Bloom filters keep the words of documents without
 a candidate from being shuffled.
@@ -47,7 +48,8 @@ UNIVERSE = 1 << 20
 BLOCK = 512
 SALTS = 16
 HEAVY = 1 << 16
-WAYS, HUBS, TURNS = 64, 32, 8
+WAYS, HUBS, TURNS, YIELD = 64, 32, 8, 8
+MARKS = 8
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("words", pa.binary()), ("text", pa.binary())])
@@ -182,32 +184,42 @@ def _shared(postings: DataFrame) -> DataFrame:
 
 def fronts(postings: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """The rarest shingles of each class, of which two that may link across components share one: shingle, class,
-    component, n (set size) and rest, how many shingles can still be shared from there on. Components may grow afterwards."""
+    component, n (set size), rest, how many shingles can still be shared from there on, own, how many no other component
+    holds, and marks, a bitmap of 64 * MARKS parities of the others. Components may grow afterwards."""
     part, whole = threshold
-    sets = _shared(postings).groupBy("class", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("held"))
+    marks = [F.bit_xor(F.expr(f"if(shiftright(shingle, 6) & {MARKS - 1} = {k}, shiftleft(1L, cast(shingle & 63 as int)), 0L)")) for k in range(MARKS)]
+    held = F.array_sort(F.collect_list(F.struct("df", "shingle")))
+    sets = _shared(postings).groupBy("class", "component", "n").agg(held.alias("held"), F.array(*marks).alias("marks"))
     own = F.col("n") - F.size("held")  # these come first
     first = F.expr(f"n - (n * {part} + {whole - 1}) div {whole} + 1")
     sets = sets.where(f"{whole} * size(held) >= {part} * n")
     front = F.slice("held", F.lit(1), F.greatest(F.lit(0), first - own).cast("int"))
-    return cut(sets.select("class", "component", "n", own.alias("own"), F.posexplode(front).alias("k", "x")).select("class", "component", "n", F.expr("n - own - k").alias("rest"), "x.shingle"), "front")
+    each = sets.select("class", "component", "n", own.alias("own"), "marks", F.posexplode(front).alias("k", "x"))
+    return cut(each.select("class", "component", "n", F.expr("n - own - k").alias("rest"), "own", "marks", "x.shingle"), "front")
 
 
 def _fits(threshold: tuple[int, int]) -> str:
+    """What two rows of the front must be for their classes to link: enough is left to share, and few enough differ."""
     part, whole = threshold
-    return f"component_a != component_b and {whole} * least(rest_a, rest_b) >= {part} * (n_a + n_b - least(rest_a, rest_b))"
+    differ = " + ".join(["own_a + own_b", *(f"bit_count(marks_a[{k}] ^ marks_b[{k}])" for k in range(MARKS))])
+    share = f"{whole} * least(rest_a, rest_b) >= {part} * (n_a + n_b - least(rest_a, rest_b))"
+    return f"component_a != component_b and {share} and {whole + part} * ({differ}) <= {whole - part} * (n_a + n_b)"
+
+
+_ROW = ("class", "component", "n", "rest", "own", "marks")
 
 
 def _side(x: str) -> list:
-    return [F.col(c).alias(f"{c}_{x}") for c in ("shingle", "class", "component", "n", "rest")]
+    return [F.col(c).alias(f"{c}_{x}") for c in ("shingle", *_ROW)]
 
 
 def merged(front: DataFrame, threshold: tuple[int, int], confirmed: Callable) -> tuple[DataFrame, DataFrame | None]:
     """The front with larger components, and the links that made them.
 
     Where a shingle has more than WAYS pairs of different components for each of its rows, all its classes are checked
-    against HUBS of them, other ones each turn. So many classes near each other become one component, whose pairs need no
-    check, at a cost in proportion to the front. It ends when no shingle is left, a turn finds nothing or after TURNS; the
-    pairs left are for across().
+    against HUBS of them: those with most left to share, in later turns other ones. So many classes near each other become
+    one component, whose pairs need no check, at a cost in proportion to the front. It ends when no shingle is left, a turn
+    unites less than 1/YIELD of the components or after TURNS; the pairs left are for across().
     """
     placed, links = cut(front.select("class", "component").distinct(), "placed"), None
     for turn in range(TURNS):
@@ -217,18 +229,24 @@ def merged(front: DataFrame, threshold: tuple[int, int], confirmed: Callable) ->
             break
         rows = _by_shingle(front, crowded, "m", front.count())
         mark = F.xxhash64("class", F.lit(turn))
-        hubs = rows.groupBy("shingle", "m", F.pmod(mark, F.lit(HUBS)).alias("k")).agg(F.min_by(F.struct("class", "component", "n", "rest"), mark).alias("hub"))
+        order = F.struct(F.expr("n - rest") if turn == 0 else F.lit(0), mark)
+        hubs = rows.groupBy("shingle", "m", F.pmod(mark, F.lit(HUBS)).alias("k")).agg(F.min_by(F.struct(*_ROW), order).alias("hub"))
         hubs = cut(hubs.groupBy("shingle", "m").agg(F.collect_list("hub").alias("hubs")), "hubs")
         pairs = _by_shingle(front.select("shingle", *_side("a")[1:]), hubs, "m", front.count()).withColumn("hub", F.explode("hubs"))
-        pairs = pairs.select("*", *[F.col(f"hub.{c}").alias(f"{c}_b") for c in ("class", "component", "n", "rest")]).where(_fits(threshold))
+        pairs = pairs.select("*", *[F.col(f"hub.{c}").alias(f"{c}_b") for c in _ROW]).where(_fits(threshold))
         new = confirmed(pairs.select(F.greatest("class_a", "class_b").alias("a"), F.least("class_a", "class_b").alias("b")).distinct())
         if new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
-        found = connected_components(placed.select(F.col("class").alias("a"), F.col("component").alias("b")).unionByName(new))
-        placed = placed.join(found.select(F.col("node").alias("class"), F.col("component").alias("to")), "class", "left")
+        for side in ("a", "b"):
+            new = new.join(placed.select(F.col("class").alias(side), F.col("component").alias(f"of_{side}")), side)
+        found = connected_components(new.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+        before = placed.select("component").distinct().count()
+        placed = placed.join(found.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
         placed = cut(placed.select("class", F.coalesce("to", "component").alias("component")), "placed")
         front = cut(front.drop("component").join(placed, "class"), "front")
+        if YIELD * (before - placed.select("component").distinct().count()) < before:
+            break
     return front, links
 
 
