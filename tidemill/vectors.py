@@ -146,10 +146,14 @@ def nearest_of_each(rows: DataFrame, questions: DataFrame, k: int) -> DataFrame:
 # ---- keyword axis --------------------------------------------------------------------------------------------------
 
 
+def words(text: Column) -> Column:
+    """The lower-cased words, each with two blanks before and one after it."""
+    return F.concat(F.lit("  "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "   ")), F.lit(" "))
+
+
 def trigrams(text: Column) -> Column:
     """The distinct trigrams of the lower-cased words, each word with two blanks before and one after it."""
-    padded = F.concat(F.lit("  "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "   ")), F.lit(" "))
-    return F.array_distinct(F.regexp_extract_all(padded, F.lit(r"(?=(\S\S[\S ]| \S[\S ]|  \S))"), F.lit(1)))  # of all three signs in a row those within one word
+    return F.array_distinct(F.regexp_extract_all(words(text), F.lit(r"(?=([\S&&[^\uDC00-\uDFFF]]\S[\S ]| \S[\S ]|  \S))"), F.lit(1)))  # of all three signs in a row those within one word; none starts within a sign
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
@@ -166,24 +170,31 @@ def _gram_list(text: str) -> list[str]:
     return [f"  {w} "[i : i + 3] for w in _words(text) for i in range(len(w) + 1)]
 
 
-def word_similarity_of(query: str, text: str) -> float:
-    """The largest similarity of the query's trigram set and any stretch of the text's trigram list.
+def _gram_codes(text: str) -> np.ndarray:
+    """The same list as numbers, 21 bits a sign."""
+    sign = np.frombuffer(("  " + "   ".join(_words(text)) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    first, middle, last = sign[:-2], sign[1:-1], sign[2:]
+    return ((first << 42) | (middle << 21) | last)[(middle != 32) | ((first == 32) & (last != 32))]
+
+
+def word_similarity_of(query: str, text: str, floor: float = 0.0) -> float:
+    """The largest similarity of the query's trigram set and any stretch of the text's trigram list. One below floor may
+    come out as another number below floor.
 
     A best stretch starts at a shared trigram. A trigram is new in a stretch if it last occurred before the stretch, so
     running sums give the similarities of all stretches from many starts at once; a start is done when even all shared
-    trigrams could not beat the best so far.
+    trigrams, with no others than those it has already met, could not beat the best so far.
     """
-    wanted, grams = set(_gram_list(query)), _gram_list(text)
-    hit = np.fromiter((g in wanted for g in grams), bool, len(grams))
+    wanted, grams = np.unique(_gram_codes(query)), _gram_codes(text)
+    hit = np.isin(grams, wanted)
     starts, size = np.flatnonzero(hit), len(wanted)
     if not len(starts):
         return 0.0
-    seen: dict[str, int] = {}
-    before = np.empty(len(grams), np.int64)
-    for i, g in enumerate(grams):
-        before[i] = seen.get(g, -1)
-        seen[g] = i
-    best, width = 0.0, min(4 * size, len(grams))
+    order = np.argsort(grams, kind="stable")
+    again = grams[order[1:]] == grams[order[:-1]]
+    before = np.full(len(grams), -1)
+    before[order[1:][again]] = order[:-1][again]
+    best, width = floor * (1 - 1e-9), min(16, len(grams))
     while len(starts):
         before = np.append(before[: len(grams)], np.full(width, len(grams)))  # beyond the end nothing is new
         wide = np.append(hit[: len(grams)], np.zeros(width, bool))
@@ -194,7 +205,7 @@ def word_similarity_of(query: str, text: str) -> float:
             new = before[at] < part[:, None]
             distinct, shared = new.cumsum(axis=1), (new & wide[at]).cumsum(axis=1)
             best = max(best, float((shared / (size + distinct - shared)).max()))
-            left.append(part[(distinct[:, -1] * best < size) & (part + width < len(grams))])
+            left.append(part[((size + distinct[:, -1] - shared[:, -1]) * best < size) & (part + width < len(grams))])
         starts = np.concatenate(left)
         width = min(2 * width, len(grams))
     return best
