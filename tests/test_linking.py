@@ -1,8 +1,10 @@
 """Entity linking against plain loops."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tidemill import linking, registry
 from tidemill.plans import graph_queries
@@ -74,3 +76,36 @@ def test_candidates_are_never_broadcast(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
     plan = linking.matches(turns, "text", ["conv_id", "turn"], graph_queries.entities(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_full_sieves_make_no_large_batches(monkeypatch):
+    monkeypatch.setattr(linking, "CANDIDATES", 50, raising=False)
+    everything = np.full(1 << 10, (1 << 64) - 1, np.uint64)
+    texts = ["abcdefghijklmnopqrstuvwxyz"[k % 7 :] for k in range(40)]
+    keys, schema = ["key"], pa.schema([("key", pa.int64()), ("at", pa.int64()), ("name", pa.string())])
+    shared = SimpleNamespace(value=([3, 8, 12], everything, everything))
+    made = list(linking._propose(shared, keys, schema)(iter([pa.RecordBatch.from_pydict({"key": list(range(40)), "_text": texts})])))
+    assert max(b.num_rows for b in made) < 50 + 26
+    got = [r for b in made for r in zip(*b.to_pydict().values(), strict=True)]
+    assert got == [(k, p, t[p : p + n]) for k, t in enumerate(texts) for n in (3, 8, 12) for p in range(len(t) - n + 1)]
+
+
+def test_many_names_that_begin_alike_let_little_pass(spark, monkeypatch):
+    """Three names for a place of the sieve, as with tens of millions of names."""
+    monkeypatch.setattr(linking, "LEAST_BITS", 12)
+    monkeypatch.setattr(linking, "MOST_BITS", 12)
+    names = spark.range(12_000).selectExpr("concat('client#', id) as name")
+    heads = linking._sieve(names.selectExpr("substring(name, 1, 8) as name").distinct())
+    wholes = linking._sieve(names.where("length(name) > 8"))
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(400)) + "client#77 client#11999" for _ in range(20)]
+    found = [{t[p : p + n] for n, places in linking._places(t, range(8, 13), heads, wholes) for p in places} for t in texts]
+    assert all({"client#7", "client#77", "client#11999"} <= x for x in found) and sum(map(len, found)) < 20 * 100
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 9, 30])
+def test_lengths_about_a_head(spark, n):
+    name = "abcdefghijklmnopqrstuvwxyzäöü한"[:n]
+    texts, entities = [(1, name), (2, "x" + name.upper() + name), (3, name[:-1]), (4, name[1:])], [("a", name, 1), ("b", "abcdefgh#", 2)]
+    t, e = frames(spark, texts, entities)
+    assert got(linking.link(t, "text", ["key"], e)) == brute(texts, entities)

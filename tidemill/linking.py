@@ -1,10 +1,11 @@
 """Linking a table of texts to named entities: longest name first, a matched stretch is not used again.
 
 Every stretch of a text that is as long as some name gets a hash from running sums, one subtraction and product each, for
-all places of a text and one length at a time. A bounded Bloom filter of the names' hashes sieves them, and what passes is
-joined with the names by the strings themselves, so the number of names is not bounded by what a task or a broadcast can hold
-and the filter can only let too much pass. The overlapping matches of one text, no more than it has places and lengths, are
-then settled where they meet.
+all places of a text and one length at a time. A bounded Bloom filter of the first letters of names sieves the places, one of
+the longer names what starts there, and what passes is joined with the names by the strings themselves, so the number of
+names is not bounded by what a task or a broadcast can hold and the filters can only let too much pass. Candidates leave
+Python in batches of some number, however full the filters are. The overlapping matches of one text, no more than it has
+places and lengths, are then settled where they meet.
 
 Texts and names are compared in lower case; places count in the lower-cased text. Of entities with one name the last by ord
 counts. Empty and null names match nothing, null texts have no matches. Keys of texts are unique.
@@ -20,11 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kept import cut
+from .sources import short_batches
+
 _BASE = 0x9E3779B97F4A7C15
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _MASK = (1 << 64) - 1
-#: The sieve has 32 places for each name, within these powers of two (1 and 64 MB).
-LEAST_BITS, MOST_BITS = 23, 29
+#: Letters of a head: many names begin alike, so places of a text where none begins are told by a small sieve.
+HEAD = 8
+#: A sieve has 32 places for each name, within these powers of two (1 and 32 MB).
+LEAST_BITS, MOST_BITS = 23, 28
+#: Candidates a batch that leaves Python holds, but for those of one length in one text.
+CANDIDATES = 20_000
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -38,13 +46,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def stretch_hashes(text: str, length: int, sums: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of all stretches of that length; equal strings have equal ones wherever they stand."""
+def stretch_hashes(text: str, length: int, sums: np.ndarray | None = None, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of all stretches of that length, or of those at some places; equal strings have equal ones wherever they stand."""
     sums = running_sums(text) if sums is None else sums
     n = len(sums) - length
     if n <= 0:
         return np.zeros(0, np.uint64)
-    x = (sums[length:] - sums[:n]) * _powers(len(sums))[1][:n]
+    at = slice(n) if at is None else at
+    return _mixed((sums[length:][at] - sums[at]) * _powers(len(sums))[1][at])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(31)
     return x * _SPREAD
 
@@ -55,9 +67,13 @@ def running_sums(text: str) -> np.ndarray:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of each name, from the running sums of all names of a batch in a row."""
     for batch in batches:
-        keys = [stretch_hashes(n, len(n)) for n in batch["name"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64))], ["key"])
+        names = batch["name"].to_pylist()
+        ends = np.cumsum([len(n) for n in names], dtype=np.int64)
+        starts, sums = np.concatenate(([0], ends[:-1])).astype(np.int64), running_sums("".join(names))
+        keys = _mixed((sums[ends] - sums[starts]) * _powers(len(sums))[1][starts])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
 
 
 def _sieve(names: DataFrame) -> np.ndarray:
@@ -75,20 +91,38 @@ def _passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
+def _places(text: str, lengths: list[int], heads: np.ndarray, wholes: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+    """For each length the places of a text where a name of that length may start."""
+    sums = running_sums(text)
+    begins = np.flatnonzero(_passes(heads, stretch_hashes(text, HEAD, sums)))
+    for length in lengths:
+        if length <= HEAD:
+            at = np.flatnonzero(_passes(heads, stretch_hashes(text, length, sums)))
+        else:
+            at = begins[begins < len(sums) - length]
+            at = at[_passes(wholes, stretch_hashes(text, length, sums, at))]
+        yield length, at.tolist()
+
+
 def _propose(shared, keys: list[str], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, words = shared.value
+        lengths, heads, wholes = shared.value
         for batch in batches:
             row, at, name = [], [], []
+
+            def made(batch=batch) -> pa.RecordBatch:
+                took = [batch[c].take(pa.array(row, pa.int64())) for c in keys]
+                return pa.RecordBatch.from_arrays([*took, pa.array(at, pa.int64()), pa.array(name, pa.string())], schema=schema)
+
             for k, text in enumerate(batch["_text"].to_pylist()):
-                sums = running_sums(text)
-                for length in lengths:
-                    for p in np.flatnonzero(_passes(words, stretch_hashes(text, length, sums))).tolist():
-                        row.append(k)
-                        at.append(p)
-                        name.append(text[p : p + length])
-            took = [batch[c].take(pa.array(row, pa.int64())) for c in keys]
-            yield pa.RecordBatch.from_arrays([*took, pa.array(at, pa.int64()), pa.array(name, pa.string())], schema=schema)
+                for length, places in _places(text, lengths, heads, wholes):
+                    row += [k] * len(places)
+                    at += places
+                    name += [text[p : p + length] for p in places]
+                    if len(row) >= CANDIDATES:
+                        yield made()
+                        row, at, name = [], [], []
+            yield made()
 
     return run
 
@@ -115,9 +149,11 @@ def dictionary(entities: DataFrame) -> DataFrame:
 def matches(texts: DataFrame, column: str, keys: list[str], entities: DataFrame) -> DataFrame:
     """keys, at, length, name, id of every occurrence of a name in a text, overlapping ones too."""
     spark: SparkSession = texts.sparkSession
-    names = dictionary(entities)
+    short_batches(spark)
+    names = cut(dictionary(entities), "names")
     lengths = sorted(r[0] for r in names.select(F.length("name")).distinct().collect())  # bounded by the longest name
-    shared = spark.sparkContext.broadcast((lengths, _sieve(names)))
+    heads = names.select(F.substring("name", 1, HEAD).alias("name")).distinct()
+    shared = spark.sparkContext.broadcast((lengths, _sieve(heads), _sieve(names.where(F.length("name") > HEAD))))
     lowered = texts.where(F.col(column).isNotNull()).select(*keys, F.lower(column).alias("_text"))
     arrow = pa.schema([*lowered.limit(0).toArrow().schema][: len(keys)] + [("at", pa.int64()), ("name", pa.string())])
     kinds = ", ".join(f"`{c}` {lowered.schema[c].dataType.simpleString()}" for c in keys)
