@@ -109,3 +109,24 @@ def test_lengths_about_a_head(spark, n):
     texts, entities = [(1, name), (2, "x" + name.upper() + name), (3, name[:-1]), (4, name[1:])], [("a", name, 1), ("b", "abcdefgh#", 2)]
     t, e = frames(spark, texts, entities)
     assert got(linking.link(t, "text", ["key"], e)) == brute(texts, entities)
+
+
+def test_matches_of_few_texts_are_settled_at_once(spark, sf):
+    """Texts and the lists of their matches reach Python 500 at a time, not 10,000."""
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    linked = registry.QUERIES["g_linked_entities"](spark, sf)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    assert "ArrowEvalPython" not in linked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_settles_batches_of_several_texts(spark):
+    keys, schema = ["key"], pa.schema([("key", pa.int64()), ("at", pa.int64()), ("length", pa.int32()), ("id", pa.string())])
+    one = [{"at": a, "length": n, "id": f"{a}-{n}"} for a, n in ((0, 2), (1, 3), (4, 2), (3, 3), (0, 1), (9, 1))]
+    kind = pa.list_(pa.struct([("at", pa.int64()), ("length", pa.int32()), ("id", pa.string())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([one[:1], one, one[4:], one[::-1]], kind)], ["key", "found"])
+    for skipped in (0, 1):
+        (out,) = linking._settle(keys, schema)(iter([batch.slice(skipped)]))
+        rows = sorted(zip(*out.to_pydict().values(), strict=True))
+        six = [(0, 1, "0-1"), (1, 3, "1-3"), (4, 2, "4-2"), (9, 1, "9-1")]
+        want = [(1, 0, 2, "0-2"), *[(2, *x) for x in six], (3, 0, 1, "0-1"), (3, 9, 1, "9-1"), *[(4, *x) for x in six]]
+        assert rows == want[skipped:]

@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,18 +126,27 @@ def _propose(shared, keys: list[str], schema: pa.Schema):
     return run
 
 
-def _settled(found: pd.Series) -> pd.Series:
-    """Of the matches of a text, sorted longest and leftmost first, those that lie on no stretch taken before."""
+def _settle(keys: list[str], schema: pa.Schema):
+    """Of the matches of each text, longest and leftmost first, those that lie on no stretch taken before."""
 
-    def one(matches) -> list[dict]:
-        taken, out = np.zeros(max(m["at"] + m["length"] for m in matches), bool), []
-        for m in matches:
-            if not taken[m["at"] : m["at"] + m["length"]].any():
-                taken[m["at"] : m["at"] + m["length"]] = True
-                out.append({"at": m["at"], "length": m["length"], "id": m["id"]})
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.RecordBatch.from_struct_array(batch["found"].flatten())
+            at, length, kept = found["at"].to_numpy(), found["length"].to_numpy(), []
+            ends = np.cumsum(batch["found"].value_lengths().to_numpy())
+            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                taken = bytearray((at[a:b] + length[a:b]).max())
+                for m in (a + np.lexsort((at[a:b], -length[a:b]))).tolist():
+                    p, q = at[m], at[m] + length[m]
+                    if taken.find(1, p, q) < 0:
+                        taken[p:q] = b"\1" * (q - p)
+                        kept.append(m)
+            kept = np.array(kept, np.int64)
+            took = [batch[c].take(pa.array(np.searchsorted(ends, kept, "right"))) for c in keys]
+            rest = [found[c].take(pa.array(kept)) for c in ("at", "length", "id")]
+            yield pa.RecordBatch.from_arrays([*took, *rest], schema=schema)
 
-    return found.map(one)
+    return run
 
 
 def dictionary(entities: DataFrame) -> DataFrame:
@@ -146,6 +154,10 @@ def dictionary(entities: DataFrame) -> DataFrame:
     return entities.where("name is not null and name != ''").groupBy(F.lower("name").alias("name")).agg(F.max_by("id", "ord").alias("id"))
 
 
+def _kinds(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
+
+
 def matches(texts: DataFrame, column: str, keys: list[str], entities: DataFrame) -> DataFrame:
     """keys, at, length, name, id of every occurrence of a name in a text, overlapping ones too."""
     spark: SparkSession = texts.sparkSession
@@ -156,18 +168,16 @@ def matches(texts: DataFrame, column: str, keys: list[str], entities: DataFrame)
     shared = spark.sparkContext.broadcast((lengths, _sieve(heads), _sieve(names.where(F.length("name") > HEAD))))
     lowered = texts.where(F.col(column).isNotNull()).select(*keys, F.lower(column).alias("_text"))
     arrow = pa.schema([*lowered.limit(0).toArrow().schema][: len(keys)] + [("at", pa.int64()), ("name", pa.string())])
-    kinds = ", ".join(f"`{c}` {lowered.schema[c].dataType.simpleString()}" for c in keys)
-    candidates = lowered.mapInArrow(_propose(shared, keys, arrow), f"{kinds}, at long, name string")
+    candidates = lowered.mapInArrow(_propose(shared, keys, arrow), f"{_kinds(lowered, keys)}, at long, name string")
     candidates = candidates.hint("merge")  # Spark takes them for as large as the texts, but one text has many: never broadcast
     return candidates.join(names, "name").select(*keys, "at", F.length("name").alias("length"), "name", F.col("id").cast("string").alias("id"))
 
 
 def link(texts: DataFrame, column: str, keys: list[str], entities: DataFrame) -> DataFrame:
     """keys, at, length, id: the entities of each text, longest name first, the leftmost of equal ones, none on another."""
-    order = lambda a, b: F.when(a["length"] != b["length"], b["length"] - a["length"]).otherwise(F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
-    found = matches(texts, column, keys, entities).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "length", "id")), order).alias("found"))
-    settled = F.pandas_udf(_settled, "array<struct<at:long,length:int,id:string>>")
-    return found.select(*keys, F.explode(settled("found")).alias("x")).select(*keys, "x.at", "x.length", "x.id")
+    found = matches(texts, column, keys, entities).groupBy(*keys).agg(F.collect_list(F.struct("at", "length", "id")).alias("found"))
+    schema = pa.schema([*found.limit(0).toArrow().schema][: len(keys)] + [("at", pa.int64()), ("length", pa.int32()), ("id", pa.string())])
+    return found.mapInArrow(_settle(keys, schema), f"{_kinds(found, keys)}, at long, length int, id string")
 
 
 def first_entity(texts: DataFrame, column: str, keys: list[str], entities: DataFrame) -> DataFrame:
