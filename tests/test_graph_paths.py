@@ -133,3 +133,52 @@ def test_components_go_beyond_six_edges(spark):
     e = spark.range(40).selectExpr("explode(array(struct(id as src, id + 1 as dst), struct(id + 1 as src, id as dst))) as x").select("x.*")
     found = gp.components(e, spark.range(41))
     assert {(r.node, r.component) for r in found.collect()} == {(k, 0) for k in range(41)}
+
+
+def ranked(pairs, ids, rounds):
+    known = [(a, b) for a, b in pairs if a in ids and b in ids]
+    edges = [e for a, b in known for e in ((a, b), (b, a))]
+    degree = defaultdict(int)
+    for a, _ in edges:
+        degree[a] += 1
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(rounds):
+        got = defaultdict(float)
+        for a, b in edges:
+            got[b] += rank[a] / degree[a]
+        lost = sum(r for x, r in rank.items() if not degree[x])
+        rank = {x: 0.15 / len(ids) + 0.85 * (got[x] + lost / len(ids)) for x in ids}
+    return rank
+
+
+@pytest.mark.parametrize(("block", "piece"), [(30, 10**6), (30, 50)])
+def test_pagerank_over_blocks_and_pieces(spark, monkeypatch, block, piece):
+    """Several blocks, hubs dealt over pieces, unknown and null ends, repeated nodes, rows that stand for several edges."""
+    monkeypatch.setattr(gp, "BLOCK_NODES", block, raising=False)
+    monkeypatch.setattr(gp, "PIECE_EDGES", piece, raising=False)
+    pairs = [*some(), ("n01", "unknown"), ("gone", "n02"), ("x", "x"), *[("hub", f"n{k:02d}") for k in range(60)]]
+    ids = {*(f"n{k:02d}" for k in range(60)), "hub", "x", "idle"}
+    want = ranked(pairs, ids, 2)
+    listed = frame(spark, [*ids, "n05", None], "id")
+    counted = spark.createDataFrame([*[(*p, pairs.count(p)) for p in sorted(set(pairs))], (None, "n03", 1)], "source string, target string, n int")
+    for adj in (both(spark, pairs), counted):
+        found = {r["node"]: r["rank"] for r in gp.pagerank(adj, listed, 2).collect()}
+        assert found.keys() == want.keys() and all(abs(found[x] - want[x]) < 1e-12 for x in ids)
+
+
+def test_pagerank_shuffles_no_row_for_an_edge(spark, monkeypatch):
+    """A round shuffles one row for each piece and block, not one for each far end or more."""
+    monkeypatch.setattr(gp, "BLOCK_NODES", 100, raising=False)
+    plans = []
+
+    def cut(df, name, f=gp.cut):
+        plans.append((name, df))
+        return f(df, name)
+
+    monkeypatch.setattr(gp, "cut", cut)
+    e = spark.range(3000).selectExpr("id % 300 as src", "(id * 7) % 300 as dst")
+    gp.pagerank(e.union(e.selectExpr("dst", "src")), spark.range(300), 2)
+    last = [df for name, df in plans if name == "ranks"][-1]._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in last and "HashAggregate" not in last and last.count("FileScan parquet spark_catalog") <= 1
+    cells = [t.name for t in spark.catalog.listTables() if t.name.startswith("rank_cells")]
+    assert any(spark.table(t).where("target >= 0").count() == 9 for t in cells)
