@@ -130,3 +130,25 @@ def test_settles_batches_of_several_texts(spark):
         six = [(0, 1, "0-1"), (1, 3, "1-3"), (4, 2, "4-2"), (9, 1, "9-1")]
         want = [(1, 0, 2, "0-2"), *[(2, *x) for x in six], (3, 0, 1, "0-1"), (3, 9, 1, "9-1"), *[(4, *x) for x in six]]
         assert rows == want[skipped:]
+
+
+def test_candidates_leave_python_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(linking, "LEAST_BITS", 6)
+    monkeypatch.setattr(linking, "MOST_BITS", 6)
+    propose = linking._propose
+
+    def watched(*args):
+        run = propose(*args)
+
+        def checked(batches):
+            for batch in run(batches):
+                assert batch.num_rows <= 40_000, batch.num_rows
+                yield batch
+
+        return checked
+
+    monkeypatch.setattr(linking, "_propose", watched)
+    t = spark.range(500).selectExpr("id as key", "concat(repeat('abcdefghij', 30), 'xyz-', id) as text")
+    e = spark.range(2000).selectExpr("concat('e', id) as id", "concat('xyz-', id) as name", "id as ord")
+    e = e.union(spark.range(10).selectExpr("concat('q', id)", "concat(repeat('q', int(id) + 1))", "id"))
+    assert {(r.key, r.id) for r in linking.link(t, "text", ["key"], e).collect()} == {(k, f"e{k}") for k in range(500)}
