vec_index_recall: small cells of the vector index share a part, which gets a question once

Symptom: the query shuffled 201 MB over 0.02 GB of vectors, some ten times what it reads.
Evidence: 2,564 questions went as 312,930 rows with their vectors, one for each probed cell of some 227 rows: 108 MB, after 25 MB for bringing lists and questions to the sizes of cells by a join that was shuffled first.
Fix: cells are packed into parts of at most PART rows; a question goes once to each part with the list of its cells there, and is compared with their rows alone. Sizes of cells, at most 65,536 rows, are broadcast, so neither side is shuffled for them.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 861 -> 622 s, shuffle 1.14 -> 0.45 GB, spill 0.00 -> 0.00 GB, read 0.33 -> 0.33 GB, longest task 13 -> 9 s, most memory of a task 77 -> 77 MB; at 6 GB of input CPU 12572 -> 10940 s, shuffle 12.80 -> 6.14 GB, spill 0.00 -> 0.00 GB, read 2.25 -> 2.25 GB, longest task 139 -> 131 s, most memory of a task 344 -> 302 MB; with hot keys, at 1 GB of input CPU 459 -> 454 s, shuffle 0.30 -> 0.15 GB, spill 0.00 -> 0.00 GB, read 0.19 -> 0.19 GB, longest task 4 -> 5 s, most memory of a task 69 -> 69 MB.

@@ -6,13 +6,15 @@ find the wanted part of its own nearest rows, which lie further off than those o
 with the centroids at hand, so loading goes on after the index exists.
 
 search() serves one vector: its cells are known before the plan is made, so the scan of the lists is pruned by them.
-search_each() serves a table of questions: they are dealt to the blocks of the cells they probe, in one shuffle with the
-lists; a block holds about PART rows whatever the size of its cell, keeps the best k for each question, and only these are
-ranked. Both look at a pool of nearest rows first and filter afterwards, so a filter can leave fewer than k rows; the
-exact searches of `vectors` filter first. Probing all cells makes the answers exact.
-
-The driver holds the sample and the centroids, both bounded by SAMPLE_BYTES; the centroids alone are broadcast. Rows without
-a vector, or with a zero one, are in no list; vectors of another width than the first are an error.
+search_each() serves a table of questions: they are dealt to the parts that hold the cells they probe, in one shuffle with the
+lists. Small cells share a part and a large one is cut into blocks, so a part has about PART rows at most; it gets a question
+once, however many of its cells that probes, keeps the best k for it, and only these are ranked. Both look at a pool of nearest
+rows first and filter afterwards, so a filter can leave fewer than k rows; the exact searches of `vectors` filter first. Probing
+all cells makes the answers exact.
+
+The driver holds the sample and the centroids, both bounded by SAMPLE_BYTES, and the sizes of the cells, at most CELLS; only
+centroids and the places of cells are broadcast. Rows without a vector, or with a zero one, are in no list; vectors of another
+width than the first are an error.
 """
 
 from __future__ import annotations
@@ -105,10 +107,14 @@ def _assign(shared, width: int, most: int):
     return run
 
 
+def _added(rows: DataFrame, run, column: str) -> DataFrame:
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{kinds}, {column}")
+
+
 def _celled(rows: DataFrame, index: VectorIndex, most: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(index.centroids)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_assign(shared, index.centroids.shape[1], most), f"{kinds}, cells array<int>")
+    return _added(rows, _assign(shared, index.centroids.shape[1], most), "cells array<int>")
 
 
 def _with_vector(rows: DataFrame) -> DataFrame:
@@ -172,6 +178,42 @@ def search(index: VectorIndex, spark: SparkSession, vector: list[float], k: int,
     return (found if where is None else found.where(where)).orderBy(F.desc("similarity"), "id").limit(k)
 
 
+def _parts(lists: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell the first of those it shares a part with and its number of blocks, 0 if it has no rows: neighbours in
+    number share a part of at most PART rows, a larger cell has blocks of its own."""
+    first, blocks = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+    now, held = 0, v.PART
+    for cell, n in lists.groupBy("cell").count().orderBy("cell").collect():
+        if held + n > v.PART:
+            now, held = cell, 0
+        held += n
+        first[cell], blocks[cell] = now, -(-n // v.PART)
+    return first, blocks
+
+
+def _dealt(shared, places, width: int, most: int, questions: int = 1024):
+    """The rows with the parts that hold the cells nearest to their vector, most of them a row, and which of these each part holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, blocks = places.value
+        pieces = (batch.slice(at, questions) for batch in batches for at in range(0, batch.num_rows, questions))
+        for batch in _assign(shared, width, most)(pieces):
+            row, cell = v.named_cells(batch)
+            times = blocks[cell]
+            block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            row, cell = np.repeat(row, times), np.repeat(cell, times)
+            part = first[cell] * (1 << 32) + block
+            order = np.lexsort((part, row))
+            row, cell, part = row[order], cell[order], part[order]
+            start = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+            cells = pa.ListArray.from_arrays(pa.array(np.append(start, len(cell)).astype(np.int32)), pa.array(cell))
+            of_row = np.searchsorted(row[start], np.arange(batch.num_rows + 1)).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(of_row), pa.StructArray.from_arrays([pa.array(part[start]), cells], ["part", "cells"]))
+            yield batch.drop_columns(["cells"]).append_column("parts", parts)
+
+    return run
+
+
 def search_each(index: VectorIndex, questions: DataFrame, k: int, where: Column | None = None, probes: int | None = None, pool: int = POOL) -> DataFrame:
     """q, id, similarity, rank: for each of questions (id, embedding) the nearest k rows that its probed cells hold.
 
@@ -180,12 +222,15 @@ def search_each(index: VectorIndex, questions: DataFrame, k: int, where: Column
     spark = questions.sparkSession
     _measured(questions, index.centroids.shape[1])
     lists = index.lists(spark)
-    blocks = lists.groupBy("cell").agg(F.ceil(F.count("*") / v.PART).cast("int").alias("blocks"))
-    row = lambda asked, block: [(F.col("cell").cast("long") * (1 << 32) + block).alias("part"), F.lit(asked).cast("long").alias("asked"), F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")]
-    held = lists.select("cell", "id", "embedding").join(blocks, "cell").select(*row(0, F.pmod(F.xxhash64("id"), "blocks")))
-    probed = _celled(_with_vector(questions.select("id", "embedding")), index, min(probes or index.probes, len(index.centroids)))
-    probed = probed.withColumn("cell", F.explode("cells")).drop("cells").join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = held.unionByName(probed.select(*row(1, F.col("block"))))
+    first, blocks = _parts(lists, len(index.centroids))
+    place = spark.createDataFrame([(int(c), int(first[c]), int(blocks[c])) for c in np.flatnonzero(blocks)], "cell int, first long, blocks int")
+    row = lambda part, asked, cells: [part.alias("part"), F.lit(asked).cast("long").alias("asked"), F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), cells.alias("cells")]
+    held = lists.select("cell", "id", "embedding").join(F.broadcast(place), "cell")  # a row for each of at most CELLS cells
+    held = held.select(*row(F.col("first") * (1 << 32) + F.pmod(F.xxhash64("id"), "blocks"), 0, F.array("cell")))
+    shared = [spark.sparkContext.broadcast(x) for x in (index.centroids, (first, blocks))]
+    probe = _dealt(*shared, index.centroids.shape[1], min(probes or index.probes, len(index.centroids)))
+    probed = _added(_with_vector(questions.select("id", "embedding")), probe, "parts array<struct<part: bigint, cells: array<int>>>").withColumn("at", F.explode("parts"))
+    both = held.unionByName(probed.select(*row(F.col("at.part"), 1, F.col("at.cells"))))
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pool = k if where is None else max(k, pool)
     found = both.repartition(width, "part").sortWithinPartitions("part", "asked").mapInArrow(v._nearest_in_parts(pool), "q long, id long, similarity double")

@@ -79,15 +79,23 @@ def _lengths(a: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
-def _by_width(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    width = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+def _by_width(piece: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    width = pc.list_value_length(piece["embedding"]).to_numpy(zero_copy_only=False)
     for w in np.unique(width).tolist():
-        mask = pa.array(width == w)
-        yield w, ids.filter(mask).to_numpy(), vectors.filter(mask).flatten().to_numpy(zero_copy_only=False).reshape(-1, w)
+        own = piece.filter(pa.array(width == w))
+        yield w, own, own["embedding"].flatten().to_numpy(zero_copy_only=False).reshape(-1, w)
+
+
+def named_cells(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Row and cell of all that the rows name in cells; without that column they all name one."""
+    if "cells" not in rows.schema.names:
+        return np.arange(rows.num_rows), np.zeros(rows.num_rows, np.int32)
+    return pc.list_parent_indices(rows["cells"]).to_numpy(), rows["cells"].flatten().to_numpy()
 
 
 def _nearest_in_parts(k: int, questions: int = 128):
-    """Rows come sorted by part, those to be searched before the questions; each question gets the best k of the part."""
+    """Rows come sorted by part, those to be searched before the questions; each question gets the best k of the part, where
+    rows have cells (one each) of those in the cells that it names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, ready = None, {}, {}
@@ -100,29 +108,50 @@ def _nearest_in_parts(k: int, questions: int = 128):
                     now, held, ready = part, {}, {}
                 for at in range(lo, hi, questions if asked else hi - lo):
                     piece = batch.slice(at, min(hi - at, questions) if asked else hi - lo)
-                    for w, ids, x in _by_width(piece["id"], piece["embedding"]):
+                    for w, own, x in _by_width(piece):
+                        ids, (near, cells) = own["id"].to_numpy(), named_cells(own)
                         if not asked:
-                            held.setdefault(w, []).append((ids, x))
-                            continue
-                        if w not in held:
+                            held.setdefault(w, []).append((ids, x, cells))
                             continue
-                        if w not in ready:
-                            rows = np.concatenate([i for i, _ in held[w]])
-                            order = np.argsort(rows, kind="stable")
-                            y = np.concatenate([v for _, v in held[w]])[order]
-                            ready[w] = rows[order], y, _lengths(y)
-                        yield _best(k, ids, x, *ready[w])
+                        if w in held:
+                            ready[w] = _by_cell(held.pop(w))
+                        if w in ready:
+                            yield _best(k, ids, x, near, cells, *ready[w])
 
     return run
 
 
-def _best(k: int, ids: np.ndarray, x: np.ndarray, rows: np.ndarray, y: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+def _by_cell(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, dict[int, tuple]]:
+    """The ids in order; of each cell the places of its rows there, their vectors and lengths."""
+    rows, cells = np.concatenate([i for i, _, _ in held]), np.concatenate([c for _, _, c in held])
+    order = np.argsort(rows, kind="stable")
+    y, cells = np.concatenate([x for _, x, _ in held])[order], cells[order]
+    places = {c: np.flatnonzero(cells == c) for c in np.unique(cells).tolist()}
+    return rows[order], {c: (at, y[at], _lengths(y[at])) for c, at in places.items()}
+
+
+def _similar(k: int, x: np.ndarray, y: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of x and y; -inf where there is none, and below the k best of a row of x."""
+    s = _dots(x, y)
     whole = _lengths(x)[:, None] * length
-    s = np.divide(_dots(x, y), whole, out=np.full(whole.shape, -np.inf), where=whole > 0)
-    least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+    np.divide(s, whole, out=s, where=whole > 0)
+    s[~(whole > 0)] = -np.inf
+    del whole
+    if s.shape[1] > k:
+        s[~(s >= np.partition(s, -k, axis=1)[:, -k, None])] = -np.inf
+    return s
+
+
+def _best(k: int, ids: np.ndarray, x: np.ndarray, near: np.ndarray, cells: np.ndarray, rows: np.ndarray, held: dict[int, tuple]) -> pa.RecordBatch:
+    s = np.full((len(ids), len(rows)), -np.inf)
+    for cell in np.unique(cells).tolist():
+        if cell in held:
+            at, y, length = held[cell]
+            who = near[cells == cell]
+            s[np.ix_(who, at)] = _similar(k, x[who], y, length)
     out = []
     for i, q in enumerate(ids.tolist()):
-        found = np.flatnonzero((s[i] >= least[i]) & (s[i] > -np.inf))
+        found = np.flatnonzero(s[i] > -np.inf)
         found = found[np.argsort(-s[i, found], kind="stable")][:k]  # rows lie in the order of their ids
         out.append((np.full(len(found), q), rows[found], s[i, found]))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), _NEAREST.types, strict=True)], schema=_NEAREST)
