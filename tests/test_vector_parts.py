@@ -79,3 +79,14 @@ def test_parts_are_full_and_no_fuller(spark, monkeypatch):
     first, blocks = vi._parts(lists, 8)
     assert blocks.tolist() == [1, 1, 0, 1, 3, 1, 1, 0]
     assert first[[0, 1, 3, 4, 5, 6]].tolist() == [0, 0, 3, 4, 5, 6]
+
+
+def test_vectors_are_shuffled_as_they_are(spark):
+    ids, x = (some[:60] for some in clustered())
+    for kind in ("float", "double"):
+        rows = frame(spark, ids, x, kind)
+        plan = v.nearest_of_each(rows, rows, 3)._jdf.queryExecution().optimizedPlan().toString()
+        assert "array<double>" not in plan
+    mixed = v.nearest_of_each(frame(spark, ids, x), frame(spark, ids, x, "double"), 3)
+    same = v.nearest_of_each(frame(spark, ids, x), frame(spark, ids, x), 3)
+    assert mixed.exceptAll(same).isEmpty() and same.exceptAll(mixed).isEmpty()

@@ -83,7 +83,13 @@ def _by_width(piece: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.n
     width = pc.list_value_length(piece["embedding"]).to_numpy(zero_copy_only=False)
     for w in np.unique(width).tolist():
         own = piece.filter(pa.array(width == w))
-        yield w, own, own["embedding"].flatten().to_numpy(zero_copy_only=False).reshape(-1, w)
+        yield w, own, own["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, w)
+
+
+def sent_as(*tables: DataFrame) -> str:
+    """The type in which the tables' vectors are shuffled: floats as they are, as doubles if there are others."""
+    kinds = {t.schema["embedding"].dataType.simpleString() for t in tables}
+    return "array<float>" if kinds == {"array<float>"} else "array<double>"
 
 
 def named_cells(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +170,8 @@ def nearest_of_each(rows: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     only these are ranked. No table is broadcast or held whole. Rows without a cosine to a question are not found.
     """
     parts = max(1, -(-rows.count() // PART))
-    pick = lambda df, part, asked: df.where("embedding is not null").select(part.alias("part"), F.lit(asked).cast("long").alias("asked"), F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = sent_as(rows, questions)
+    pick = lambda df, part, asked: df.where("embedding is not null").select(part.alias("part"), F.lit(asked).cast("long").alias("asked"), F.col("id").cast("long").alias("id"), F.col("embedding").cast(kind).alias("embedding"))
     both = pick(rows, F.pmod(F.xxhash64("id"), F.lit(parts)), 0).unionByName(pick(questions, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))), 1))
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = both.repartition(width, "part").sortWithinPartitions("part", "asked").mapInArrow(_nearest_in_parts(k), "q long, id long, similarity double")
