@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict, deque
 
+import pyarrow.parquet as pq
 import pytest
 from tidemill import graph_paths as gp
 
@@ -182,3 +183,18 @@ def test_pagerank_shuffles_no_row_for_an_edge(spark, monkeypatch):
     assert "explode" not in last and "HashAggregate" not in last and last.count("FileScan parquet spark_catalog") <= 1
     cells = [t.name for t in spark.catalog.listTables() if t.name.startswith("rank_cells")]
     assert any(spark.table(t).where("target >= 0").count() == 9 for t in cells)
+
+
+def rounds_of_paths(spark, monkeypatch, pairs, sources, hops):
+    plans = []
+    monkeypatch.setattr(gp, "cut", lambda df, name, f=gp.cut: plans.append((name, df)) or f(df, name))
+    found = gp.shortest_paths(both(spark, pairs), frame(spark, sources, "node"), hops)
+    return found, [df for name, df in plans if name == "paths"][1:]
+
+
+def test_a_round_of_paths_reads_no_row_for_every_node(spark, monkeypatch):
+    """Besides the lists of edges it reads what was reached before, and hubs."""
+    monkeypatch.setattr(gp, "HUB", 20)
+    _, rounds = rounds_of_paths(spark, monkeypatch, [("a", "b"), ("b", "c"), *[("c", f"n{k:03d}") for k in range(300)]], ["a"], 2)
+    files = {f.removeprefix("file://") for f in rounds[0].inputFiles() if "_lists_" not in f}
+    assert files and sum(pq.read_metadata(f).num_rows for f in files) <= 2

@@ -20,7 +20,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .kept import cut
@@ -35,19 +35,19 @@ def itself(node: Column) -> Column:
     return node
 
 
-def _salted(adj: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Edges as (src, part, dsts), parallel ones as often as they are, and (src, degree, parts) of every node with edges."""
-    spark = adj.sparkSession
-    edges = cut(adj, f"{name}-edges")
-    degrees = cut(edges.groupBy("src").agg(F.count("*").alias("degree")).withColumn("parts", F.ceil(F.col("degree") / HUB).cast("int")), f"{name}-degrees")
-    hubs = cut(degrees.where("parts > 1").select("src", "parts"), f"{name}-hubs")  # at most one for each HUB edges
+def _salted(adj: DataFrame, name: str, every: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Edges as (src, part, dsts), parallel ones as often as they are, and (src, parts) of every node with edges, or of hubs alone."""
+    spark, counted = adj.sparkSession, Observation()
+    edges = cut(adj.observe(counted, F.count("*").alias("n")), f"{name}-edges")
+    parts = edges.groupBy("src").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
+    parts = cut(parts, f"{name}-parts") if every else parts
+    hubs = cut(parts.where("parts > 1"), f"{name}-hubs")  # at most one for each HUB edges
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.col("parts"))).cast("int")
-    n_edges = degrees.agg(F.sum("degree")).first()[0] or 0
-    n, table = max(LEAST_BUCKETS, n_edges // BUCKET_EDGES), f"{name}_lists_{uuid.uuid4().hex}"
+    n, table = max(LEAST_BUCKETS, counted.get["n"] // BUCKET_EDGES), f"{name}_lists_{uuid.uuid4().hex}"
     dealt = edges.join(hubs, "src", "left").select("src", part.alias("part"), "dst").repartition(n, "src", "part")
     lists = dealt.groupBy("src", "part").agg(F.collect_list("dst").alias("dsts"))
     lists.write.bucketBy(n, "src", "part").saveAsTable(table)
-    return spark.table(table), degrees
+    return spark.table(table), parts if every else hubs
 
 
 def _between(adj: DataFrame, known: DataFrame) -> DataFrame:
@@ -73,20 +73,19 @@ def shortest_paths(adj: DataFrame, sources: DataFrame, hops: int, each: bool = F
     if hops < 0:
         raise ValueError("hops must not be negative")
     key = ["node", "source"] if each else ["node"]
-    edges, degrees = _salted(adj.select("src", "dst"), "path")
-    parts = degrees.select("src", "parts").hint("merge")
+    edges, hubs = _salted(adj.select("src", "dst"), "path", every=False)
     start = sources.select("node").where("node is not null").distinct()
     layers = [cut(start.select("node", F.col("node").alias("source"), F.lit(0).alias("dist"), F.array("node").alias("path")), "paths")]
     for dist in range(1, hops + 1):
-        state = layers[-1].select(F.col("node").alias("src"), "source", "path").join(parts, "src")
+        if dist > 1 and layers[-1].isEmpty():
+            break
+        state = layers[-1].select(F.col("node").alias("src"), "source", "path").join(hubs, "src", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         seen = reduce(DataFrame.unionByName, [x.select(*key) for x in layers])
         order = F.struct(name(F.col("source")), name(F.col("src"))).alias("order")
         met = _sent(state.select("*", order), edges).select(F.col("dst").alias("node"), "source", "path", "order")
         best = met.groupBy(*key).agg(F.min_by(F.struct("source", "path"), "order").alias("best"))
         found = best.join(seen, key, "left_anti").select("node", "best.source", F.lit(dist).alias("dist"), F.concat("best.path", F.array("node")).alias("path"))
         layers.append(cut(found, "paths"))
-        if layers[-1].isEmpty():
-            break
     return reduce(DataFrame.unionByName, layers)
 
 
@@ -301,8 +300,8 @@ def components(adj: DataFrame, nodes: DataFrame, name: Callable[[Column], Column
     the longest path in most graphs; it ends when no label changes.
     """
     known = nodes.select(F.col("id").alias("src")).where("src is not null").distinct()
-    edges, degrees = _salted(_between(adj, known), "component")
-    state = cut(known.join(degrees.select("src", "parts").hint("merge"), "src", "left").withColumn("label", name(F.col("src"))), "components")
+    edges, parts = _salted(_between(adj, known), "component")
+    state = cut(known.join(parts.hint("merge"), "src", "left").withColumn("label", name(F.col("src"))), "components")
     while True:
         around = _sent(state.where("parts is not null").select("src", "parts", "label"), edges).groupBy(F.col("dst").alias("src")).agg(F.min("label").alias("near"))
         low = cut(state.join(around, "src", "left").select("src", "parts", F.col("label").alias("old"), F.least("label", "near").alias("label")), "components")
