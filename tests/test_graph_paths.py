@@ -198,3 +198,17 @@ def test_a_round_of_paths_reads_no_row_for_every_node(spark, monkeypatch):
     _, rounds = rounds_of_paths(spark, monkeypatch, [("a", "b"), ("b", "c"), *[("c", f"n{k:03d}") for k in range(300)]], ["a"], 2)
     files = {f.removeprefix("file://") for f in rounds[0].inputFiles() if "_lists_" not in f}
     assert files and sum(pq.read_metadata(f).num_rows for f in files) <= 2
+
+
+def test_edges_are_counted_in_few_buckets(spark, monkeypatch):
+    """What tells hubs shuffles a row for a bucket of nodes, not for a node; who shares a hub's bucket keeps all edges."""
+    monkeypatch.setattr(gp, "HUB", 400)
+    plans = []
+    monkeypatch.setattr(gp, "cut", lambda df, name, f=gp.cut: plans.append((name, df)) or f(df, name))
+    pairs = [*[("hub", f"n{k:04d}") for k in range(1000)], *[(f"n{k:04d}", f"m{k % 7}") for k in range(1000)]]
+    found = gp.shortest_paths(both(spark, pairs), frame(spark, ["hub"], "node"), 2).collect()
+    assert sorted((r.node, r.dist) for r in found) == sorted([("hub", 0), *[(f"n{k:04d}", 1) for k in range(1000)], *[(f"m{k}", 2) for k in range(7)]])
+    counts = [df._jdf.queryExecution().executedPlan().toString() for name, df in plans if name not in ("paths", "path-edges")]
+    assert counts and not any("hashpartitioning(src" in plan for plan in counts)
+    lists = [t.name for t in spark.catalog.listTables() if t.name.startswith("path_lists")]
+    assert any(spark.table(t).where("src = 'hub'").selectExpr("count(*) > 1", "sum(size(dsts)) = 1000").first() == (True, True) for t in lists)

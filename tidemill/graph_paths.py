@@ -3,8 +3,9 @@
 Each runs in rounds of joins and aggregates; a round's result is written to the shared folder and read again, so lineage
 stays short and a lost executor costs one round at most. No node or edge reaches the driver, only counts and sums.
 
-PageRank has its own tables, of blocks of nodes. For the others: a hub is a node with over HUB edges: its edges are dealt over parts by a hash of their far end, and what a round sends along
-them is repeated once for each part, so no task gets all edges of one node. What comes in at a node is summed where it is
+PageRank has its own tables, of blocks of nodes. For the others: a hub is a node with over HUB edges: its edges are dealt over
+parts by a hash of their far end, and what a round sends along them is repeated once for each part, so no task gets all edges of
+one node. The few nodes that share a hub's bucket, in which edges are counted, are dealt alike. What comes in at a node is summed where it is
 made before it is shuffled. Tables with a row for each node are joined by merging: their files are so small that Spark would
 broadcast millions of rows. The far ends of a node or part are one row of a table in buckets, so no round shuffles edges.
 
@@ -35,19 +36,33 @@ def itself(node: Column) -> Column:
     return node
 
 
-def _salted(adj: DataFrame, name: str, every: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Edges as (src, part, dsts), parallel ones as often as they are, and (src, parts) of every node with edges, or of hubs alone."""
+def _lists(adj: DataFrame, name: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Edges as (src, part, dsts), parallel ones as often as they are, and what adds the number of their parts to nodes (src).
+
+    Edges are counted in buckets of nodes, eight times as many as there can be hubs. All nodes of a bucket with over HUB edges,
+    a hub's, have as many parts as these need; where nodes lie in other buckets, each has one."""
     spark, counted = adj.sparkSession, Observation()
     edges = cut(adj.observe(counted, F.count("*").alias("n")), f"{name}-edges")
-    parts = edges.groupBy("src").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
-    parts = cut(parts, f"{name}-parts") if every else parts
-    hubs = cut(parts.where("parts > 1"), f"{name}-hubs")  # at most one for each HUB edges
-    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.col("parts"))).cast("int")
-    n, table = max(LEAST_BUCKETS, counted.get["n"] // BUCKET_EDGES), f"{name}_lists_{uuid.uuid4().hex}"
-    dealt = edges.join(hubs, "src", "left").select("src", part.alias("part"), "dst").repartition(n, "src", "part")
+    n_edges = counted.get["n"]
+    bucket = F.pmod(F.xxhash64("src"), F.lit(8 * n_edges // HUB + 1)).alias("bucket")
+    crowded = edges.groupBy(bucket).agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).where("parts > 1")
+    crowded = cut(crowded, f"{name}-crowded")  # at most one for each HUB edges
+
+    def parted(nodes: DataFrame) -> DataFrame:
+        found = nodes.select("*", bucket).join(crowded, "bucket", "left").drop("bucket")
+        return found.withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+    n, table = max(LEAST_BUCKETS, n_edges // BUCKET_EDGES), f"{name}_lists_{uuid.uuid4().hex}"
+    dealt = parted(edges).select("src", F.pmod(F.xxhash64("dst"), "parts").cast("int").alias("part"), "dst").repartition(n, "src", "part")
     lists = dealt.groupBy("src", "part").agg(F.collect_list("dst").alias("dsts"))
     lists.write.bucketBy(n, "src", "part").saveAsTable(table)
-    return spark.table(table), parts if every else hubs
+    return spark.table(table), parted
+
+
+def _salted(adj: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Edges as _lists gives them, and (src, parts) of every node with edges."""
+    edges, parted = _lists(adj, name)
+    return edges, cut(parted(edges.select("src").distinct()), f"{name}-parts")
 
 
 def _between(adj: DataFrame, known: DataFrame) -> DataFrame:
@@ -73,13 +88,13 @@ def shortest_paths(adj: DataFrame, sources: DataFrame, hops: int, each: bool = F
     if hops < 0:
         raise ValueError("hops must not be negative")
     key = ["node", "source"] if each else ["node"]
-    edges, hubs = _salted(adj.select("src", "dst"), "path", every=False)
+    edges, parted = _lists(adj.select("src", "dst"), "path")
     start = sources.select("node").where("node is not null").distinct()
     layers = [cut(start.select("node", F.col("node").alias("source"), F.lit(0).alias("dist"), F.array("node").alias("path")), "paths")]
     for dist in range(1, hops + 1):
         if dist > 1 and layers[-1].isEmpty():
             break
-        state = layers[-1].select(F.col("node").alias("src"), "source", "path").join(hubs, "src", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        state = parted(layers[-1].select(F.col("node").alias("src"), "source", "path"))
         seen = reduce(DataFrame.unionByName, [x.select(*key) for x in layers])
         order = F.struct(name(F.col("source")), name(F.col("src"))).alias("order")
         met = _sent(state.select("*", order), edges).select(F.col("dst").alias("node"), "source", "path", "order")
